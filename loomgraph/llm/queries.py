@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .probminhash import near_duplicates
 from .rlz import dedup_substrings
 from .shared import table
 
@@ -15,6 +16,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its class of near copies, its links, and whether it stays (the smallest id of each class does)."""
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
+
+
+QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
+}
 
 ORACLES: dict[str, str] = {}

@@ -147,13 +147,13 @@ def gram_hashes(h: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
     return out
 
 
-def slices(batch: pa.RecordBatch, name: str, limit: int = 4 << 20):
-    """Parts of a batch with about limit bytes of text each; a longer document is a part of its own."""
+def slices(batch: pa.RecordBatch, name: str, limit: int = 4 << 20, rows: int = 1 << 30):
+    """Parts of a batch with about limit bytes of text, or so many rows, each; a longer document is a part of its own."""
     column = batch.column(batch.schema.get_field_index(name))
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
     at, total = 0, 0
     for i, n in enumerate(sizes):
-        if total and total + n > limit:
+        if i > at and (total + n > limit or i - at >= rows):
             yield batch.slice(at, i - at)
             at, total = i, 0
         total += int(n)
