@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .probminhash import near_duplicates
+from .quality import quality
 from .rlz import dedup_substrings
 from .shared import table
 
@@ -16,6 +17,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: base counts, the base verdict, and the verdict of the threshold table."""
+    return quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its class of near copies, its links, and whether it stays (the smallest id of each class does)."""
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -24,6 +30,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
