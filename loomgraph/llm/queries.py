@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .langid import bucket, identify, learn
+from .mixing import mix
+from .pieces import round_trip
 from .probminhash import near_duplicates
 from .quality import quality
 from .rlz import dedup_substrings
 from .shared import table
 
+#: A public tokenizer's model file; a parameter of the queries that need one.
+PIECE_MODEL = os.environ.get("LOOMGRAPH_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: words, removed words, digest of the words that stay."""
@@ -22,6 +30,24 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
+    """Per document: piece ids, their number, and whether they decode to the text."""
+    return round_trip(table(spark, sf_dir, "documents"), model_file)
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its size, its source's size and target, and the words that the mix takes of it."""
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: whether it was held out, its language and score."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = learn(docs.filter(bucket("doc_id") != 1))
+    out = docs.select("doc_id", "text", F.coalesce(bucket("doc_id") == 1, F.lit(False)).alias("held_out"))
+    return identify(out, model).drop("text")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its class of near copies, its links, and whether it stays (the smallest id of each class does)."""
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -31,6 +57,9 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_source_mixing": op5_source_mixing,
+    "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
