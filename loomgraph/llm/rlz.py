@@ -150,6 +150,16 @@ def _covered(first: np.ndarray, size: np.ndarray, window: int, n: int) -> np.nda
     return np.cumsum(depth)[:n] > 0
 
 
+def _packed(column: pa.Array, wanted: np.ndarray) -> pa.Array:
+    """The wanted texts, compressed: they travel once more."""
+    return pa.array([pa.compress(x.as_py().encode(), "zstd", asbytes=True) if w else None for x, w in zip(column, wanted, strict=True)], pa.binary())
+
+
+def _unpacked(batch: pa.RecordBatch, sizes: str, name: str) -> pa.Array:
+    raw, n = batch.column(batch.schema.get_field_index(name)), batch.column(batch.schema.get_field_index(sizes))
+    return pa.array([pa.decompress(x.as_py(), k.as_py(), "zstd", asbytes=True).decode() for x, k in zip(raw, n, strict=True)], pa.string())
+
+
 def _flat(part: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column, and the row of each; null: none."""
     column = part.column(part.schema.get_field_index(name))
@@ -200,7 +210,9 @@ def _parse(window: int, text: str, names: list[str]):
                 done = pa.array(waiting == 0)
                 kept = joined_words(words, np.flatnonzero(~cover))
                 new = {
-                    text: pa.compute.if_else(done, kept, column),
+                    text: pa.compute.if_else(done, kept, pa.scalar(None, pa.string())),
+                    "__rlz_raw": _packed(column, waiting > 0),
+                    "__rlz_bytes": pa.array(np.diff(words.offsets)),
                     "__rlz_n": pa.array(words.count.astype(np.int64)),
                     "__rlz_start": list_array(start, spans, pa.int32()),
                     "__rlz_length": list_array(length, spans, pa.int32()),
@@ -218,8 +230,9 @@ def _settle(window: int, text: str, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
-                words = Words(*text_bytes(part.column(part.schema.get_field_index(text))))
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                words = Words(*text_bytes(_unpacked(part, "__rlz_bytes", "__rlz_raw")))
                 n = len(words.start)
                 start, row = _flat(part, "__rlz_start")
                 length, _ = _flat(part, "__rlz_length")
@@ -252,7 +265,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lists = first.groupBy(F.col("k").alias("__rlz_lk")).agg(F.collect_list("p").alias("__rlz_first"))
     joined = keyed.join(lists, keyed["__rlz_k"] == lists["__rlz_lk"], "left").drop("__rlz_lk")
     ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
-    more = [("__rlz_n", T.LongType()), ("__rlz_start", ints), ("__rlz_length", ints), ("__rlz_at", ints), ("__rlz_w1", longs), ("__rlz_w2", longs)]
+    more = [("__rlz_raw", T.BinaryType()), ("__rlz_bytes", T.LongType()), ("__rlz_n", T.LongType()), ("__rlz_start", ints), ("__rlz_length", ints), ("__rlz_at", ints), ("__rlz_w1", longs), ("__rlz_w2", longs)]
     schema = T.StructType(keyed.schema.fields + [T.StructField(n, t) for n, t in more])
     parsed = written(joined.mapInArrow(_parse(window, text_col, schema.names), schema), "rlz")
     waiting = F.size("__rlz_at") > 0
@@ -261,7 +274,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     firsts = firsts.groupBy(F.col("f.__rlz_k").alias("__rlz_lk")).agg(F.collect_list("f.__rlz_at").alias("__rlz_firsts"))
     open_ = parsed.filter(waiting).drop("__rlz_w1", "__rlz_w2")
     open_ = open_.join(firsts, open_["__rlz_k"] == firsts["__rlz_lk"], "left").drop("__rlz_lk")
-    last = T.StructType([f for f in schema.fields if f.name not in ("__rlz_at", "__rlz_w1", "__rlz_w2")])
+    last = T.StructType([f for f in schema.fields if f.name not in ("__rlz_raw", "__rlz_bytes", "__rlz_at", "__rlz_w1", "__rlz_w2")])
     settled = open_.mapInArrow(_settle(window, text_col, last.names), last)
     out = parsed.filter(~waiting).select(*last.names).unionByName(settled)
     removed = F.coalesce(F.aggregate("__rlz_length", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))

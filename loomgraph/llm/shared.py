@@ -100,7 +100,7 @@ class Words:
         inner = inner[(inner > 0) & (inner < len(raw))]
         edge_start[inner] |= on[1:-1][inner] == 1
         edge_end[inner - 1] |= on[1:-1][inner - 1] == 1
-        self.raw = raw
+        self.raw, self.offsets = raw, offsets
         self.start = np.flatnonzero(edge_start)
         self.end = np.flatnonzero(edge_end) + 1
         self.bound = np.searchsorted(self.start, offsets)
@@ -147,7 +147,7 @@ def gram_hashes(h: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
     return out
 
 
-def slices(batch: pa.RecordBatch, name: str, limit: int = 4 << 20, rows: int = 1 << 30):
+def slices(batch: pa.RecordBatch, name: str, limit: int = 1 << 20, rows: int = 1 << 30):
     """Parts of a batch with about limit bytes of text, or so many rows, each; a longer document is a part of its own."""
     column = batch.column(batch.schema.get_field_index(name))
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
