@@ -7,13 +7,16 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import chat_examples, read_back
 from .langid import bucket, identify, learn
+from .media import media_features, new_folder, read_archives, write_archives
 from .mixing import mix
 from .pieces import round_trip
 from .probminhash import near_duplicates
 from .quality import quality
 from .rlz import dedup_substrings
 from .shared import table
+from .urls import filter_urls
 
 #: A public tokenizer's model file; a parameter of the queries that need one.
 PIECE_MODEL = os.environ.get("LOOMGRAPH_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -40,6 +43,26 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, read back from its formatted examples: turns, the text under the loss mask, and sizes."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema)
+    return read_back(chat_examples(rows.unionByName(probe)))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: host, path, the longest rule that fits, and the verdict."""
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: digests and features of its media form, as read back from archives."""
+    folder = new_folder(spark)
+    write_archives(table(spark, sf_dir, "documents"), folder)
+    return media_features(read_archives(spark, folder))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: whether it was held out, its language and score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -59,6 +82,9 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_source_mixing": op5_source_mixing,
+    "op6_chat_formatting": op6_chat_formatting,
+    "op7_url_filter": op7_url_filter,
+    "op8_media_columns": op8_media_columns,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
