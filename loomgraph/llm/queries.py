@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_examples, read_back
+from .htmltext import main_text
 from .langid import bucket, identify, learn
 from .media import media_features, new_folder, read_archives, write_archives
 from .mixing import mix
@@ -22,6 +23,11 @@ from .urls import filter_urls
 PIECE_MODEL = os.environ.get("LOOMGRAPH_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: its main text and the text's length."""
+    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: words, removed words, digest of the words that stay."""
     out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -78,6 +84,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_sentencepiece": op4_sentencepiece,
