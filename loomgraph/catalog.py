@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import temporal_queries
+from .plans import search_queries, temporal_queries
 
-MODULES = [temporal_queries]
+MODULES = [temporal_queries, search_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
