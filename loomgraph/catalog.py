@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import search_queries, temporal_queries
+from .plans import flow_queries, search_queries, temporal_queries
 
-MODULES = [temporal_queries, search_queries]
+MODULES = [temporal_queries, search_queries, flow_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["as_of"](spark, sf_dir)
+    return queries()["hybrid_search"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,0 +1 @@
+"""Sources: files, recorded pages of REST services, webhooks, and incremental sync."""

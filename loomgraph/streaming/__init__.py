@@ -1,0 +1 @@
+"""Structured Streaming forms of ingest, supersession and windows."""
