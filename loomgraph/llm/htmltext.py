@@ -14,8 +14,8 @@ line hashes) are sorted by range, numbered, and joined with the next number.
 Copies of one page are one row there, so that a page isn't compared with itself.
 
 Defined results: a null html has an empty text; a null URL or one without ://
-has an empty host and path; a page without a neighbour on its host, or equal to
-it in all lines, keeps its undecided lines; repeated rows get the same text; an
+has an empty host and path; pages without lines are nobody's neighbours; a page without
+a neighbour on its host, or equal to it in all lines, keeps its undecided lines; repeated rows get the same text; an
 empty table gives an empty result; other columns pass through (the html column
 doesn't; a result column replaces one of that name).
 """
@@ -222,7 +222,7 @@ def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url") ->
     more = [("__diff_blocks", T.ArrayType(T.StringType())), ("__diff_lines", T.ArrayType(T.LongType())), ("__diff_fixed", T.BooleanType())]
     schema = T.StructType(kept + [T.StructField(n, t) for n, t in more])
     parsed = written(keyed.mapInArrow(_parsed(html_col, schema.names), schema), "pages")
-    light = parsed.groupBy(F.col("__diff_host").alias("host"), F.col("__diff_path").alias("path"), F.col("__diff_sig").alias("sig")).agg(F.first("__diff_lines").alias("lines"))
+    light = parsed.filter(F.size("__diff_lines") > 0).groupBy(F.col("__diff_host").alias("host"), F.col("__diff_path").alias("path"), F.col("__diff_sig").alias("sig")).agg(F.first("__diff_lines").alias("lines"))
     order = light.repartitionByRange("host", "path", "sig").sortWithinPartitions("host", "path", "sig")
     order = written(order.mapInArrow(_numbered, "part int, n long, host string, path string, sig string, lines array<long>"), "order")
     sizes = order.groupBy("part").agg(F.count("*").alias("rows"))

@@ -40,7 +40,7 @@ def sainte_lague(weight: np.ndarray, seats: int, cap: np.ndarray) -> np.ndarray:
     for _ in range(200):
         mid = (low + high) / 2
         low, high = (mid, high) if given(mid).sum() <= seats else (low, mid)
-    out = given(low)
+    out = given(low * (1 - 1e-12))  # ties go by the queue below
     left = seats - int(out.sum())
     queue = [(-weight[i] / (2 * out[i] + 1), i) for i in np.flatnonzero(out < cap)] if left > 0 else []
     heapq.heapify(queue)

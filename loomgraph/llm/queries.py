@@ -12,6 +12,7 @@ from .htmltext import main_text
 from .langid import bucket, identify, learn
 from .media import media_features, new_folder, read_archives, write_archives
 from .mixing import mix
+from .oracles import ORACLES  # noqa: F401
 from .pieces import round_trip
 from .probminhash import near_duplicates
 from .quality import quality
@@ -36,7 +37,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: base counts, the base verdict, and the verdict of the threshold table."""
-    return quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
@@ -78,8 +79,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its class of near copies, its links, and whether it stays (the smallest id of each class does)."""
-    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Per document: its class of near copies, and whether it stays (the smallest id of each class does)."""
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("n_links")
     return out.withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
 
 
@@ -95,5 +96,3 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
-
-ORACLES: dict[str, str] = {}
