@@ -18,10 +18,19 @@ VISIBILITY = T.StructType(
     + [T.StructField("classification", T.StringType()), T.StructField("inheritedFrom", T.StringType()), T.StructField("sourceSystem", T.StringType()), T.StructField("sourceAcl", T.ArrayType(ACL_ENTRY))]
 )
 
-EPISODES = T.StructType.fromDDL("group_id string, id string, content string, source_type string, source_id string, valid_at timestamp_ntz, created_at timestamp_ntz, metadata string, embedding array<float>").add("visibility", VISIBILITY)
-ENTITIES = T.StructType.fromDDL("group_id string, id string, entity_type string, name string, summary string, attributes map<string,string>, embedding array<float>").add("visibility", VISIBILITY)
-FACTS = T.StructType.fromDDL("group_id string, id string, source string, relation string, target string, fact_text string, valid_at timestamp_ntz, invalid_at timestamp_ntz, created_at timestamp_ntz, confidence double, episode_id string").add("visibility", VISIBILITY)
-MEMORY = T.StructType.fromDDL("group_id string, id string, episode_id string, kind string, title string, summary string, owner string, subject string, status string, valid_at timestamp_ntz, created_at timestamp_ntz, confidence double").add("visibility", VISIBILITY)
+KINDS = {"string": T.StringType(), "double": T.DoubleType(), "timestamp_ntz": T.TimestampNTZType(), "array<float>": T.ArrayType(T.FloatType()), "map<string:string>": T.MapType(T.StringType(), T.StringType())}
+
+
+def _rows(fields: str) -> T.StructType:
+    """A struct type from `name kind, ...`, and the policy; without a session."""
+    pairs = [f.split() for f in fields.split(",")]
+    return T.StructType([T.StructField(n, KINDS[k]) for n, k in pairs] + [T.StructField("visibility", VISIBILITY)])
+
+
+EPISODES = _rows("group_id string, id string, content string, source_type string, source_id string, valid_at timestamp_ntz, created_at timestamp_ntz, metadata string, embedding array<float>")
+ENTITIES = _rows("group_id string, id string, entity_type string, name string, summary string, attributes map<string:string>, embedding array<float>")
+FACTS = _rows("group_id string, id string, source string, relation string, target string, fact_text string, valid_at timestamp_ntz, invalid_at timestamp_ntz, created_at timestamp_ntz, confidence double, episode_id string")
+MEMORY = _rows("group_id string, id string, episode_id string, kind string, title string, summary string, owner string, subject string, status string, valid_at timestamp_ntz, created_at timestamp_ntz, confidence double")
 
 #: Allowed kinds of the data model.
 CARDINALITIES = ("many", "one_per_source", "one_per_target", "one_between_pair")
