@@ -9,11 +9,12 @@ end as soon as they come later than its last register was filled.
 
 Forty bands of six registers find candidates: a pair at 0.8 is missed with a
 probability of 5e-6.  Copies of one text are one node.  In each bucket all nodes
-are compared with the smallest one first; only nodes that this leaves in
-different components are compared with each other.  A pair is linked if the
-exact Jaccard similarity of the two shingle sets is at least 0.8; a sketch of 96
-register bytes rules out pairs far below (estimate under 0.6, five standard
-deviations).  Classes are the connected components.
+are compared with the smallest one first, then with two others; only nodes that
+this leaves in different components are compared with each other, in blocks of a
+bounded size, inside a task, so that no rows are made for pairs that aren't
+alike.  A pair is linked if the exact Jaccard similarity of the two shingle sets
+is at least 0.8; a sketch of a byte of each register rules out pairs far below
+(4.5 standard deviations of the estimate).  Classes are the connected components.
 
 Defined results: a null, empty or blank text has no shingles and only its exact
 copies are its class; a null id is never compared: it has a null class and
@@ -32,8 +33,9 @@ from pyspark.sql import functions as F
 
 from .shared import Words, as_signed, gram_hashes, list_array, mix, powers, slices, text_bytes, written
 
-SHINGLE, BANDS, ROWS, SKETCH = 5, 40, 6, 96
-REGISTERS = BANDS * ROWS
+SHINGLE, BANDS, ROWS = 5, 40, 6
+REGISTERS = SKETCH = 480  # the first BANDS * ROWS make the bands
+BLOCK = 1000
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -99,7 +101,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = registers(doc, h, 1 + np.log(n), part.num_rows)
             low = best & np.uint64(0xFFFFFFFF)
             has = words.count > 0
-            bands = mix(mix((low.reshape(-1, BANDS, ROWS) * code[1:]).sum(axis=2, dtype=np.uint64)) + salt)
+            bands = mix(mix((low[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS) * code[1:]).sum(axis=2, dtype=np.uint64)) + salt)
             sketch = low[:, :SKETCH].astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), list_array(as_signed(bands[has].ravel()), has * BANDS, pa.int64()), pa.array([x.tobytes() for x in sketch], pa.binary())],
@@ -107,12 +109,63 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def least_agreement(threshold: float) -> float:
+    """Share of equal registers that a pair at the threshold falls below with a probability of 3e-6."""
+    return threshold - 4.5 * (threshold * (1 - threshold) / SKETCH) ** 0.5
+
+
+def _alike(low: float):
     """Pairs whose sketches agree enough."""
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
-        keep = (a == b).mean(axis=1) >= 0.6
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
+            keep = (a == b).mean(axis=1) >= low
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _crossed(low: float):
+    """From rows (b, i, j, own, k, label, sketch, bands) in the order of the first three: pairs of one block pair of a bucket
+    with different labels and sketches that agree enough, each in its first common bucket only."""
+
+    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+        here, i, j = rows[0][:3]
+        own, k, label = (np.array([r[x] for r in rows]) for x in (3, 4, 5))
+        if len(rows) < 2 or (label == label[0]).all():
+            return []
+        sketch = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(-1, SKETCH)
+        bands = np.array([r[7] for r in rows])
+        out = []
+        step = max(1, (16 << 20) // (SKETCH * len(rows)))
+        for at in range(0, len(rows), step):
+            part = slice(at, at + step)
+            near = (label[part, None] < label[None]) & ((own[part, None] != own[None]) if i != j else True)
+            x, y = np.nonzero(near)
+            for cut in range(0, len(x), 50_000):
+                p, q = x[cut : cut + 50_000] + at, y[cut : cut + 50_000]
+                fine = (sketch[p] == sketch[q]).mean(axis=1) >= low
+                p, q = p[fine], q[fine]
+                same = bands[p] == bands[q]
+                first = bands[p, same.argmax(axis=1)] == here if len(p) else np.zeros(0, bool)
+                out += zip(np.minimum(k[p], k[q])[first].tolist(), np.maximum(k[p], k[q])[first].tolist(), strict=True)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        make = lambda found: pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], pa.int64()) for n in (0, 1)], names=["a", "b"])
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if rows and rows[-1][:3] != row[:3]:
+                    if found := pairs(rows):
+                        yield make(found)
+                    rows = []
+                rows.append(row)
+        if rows and (found := pairs(rows)):
+            yield make(found)
+
+    return run
 
 
 def _verified(threshold: float):
@@ -169,21 +222,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = written(texts, "texts")
     sketch = nodes.select("k", "sketch")
 
-    def links(pairs: DataFrame) -> DataFrame:
+    low = least_agreement(threshold)
+
+    def alike(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sketch.select(F.col("k").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketch.select(F.col("k").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        near = both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike, "a long, b long")
+        return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike(low), "a long, b long")
+
+    def links(near: DataFrame) -> DataFrame:
         near = near.join(texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b")
-        return near.select("a", "b", "text_a", "text_b").mapInArrow(_verified(threshold), "a long, b long")
-
-    first = written(links(pairs), "links")
-    label = components(first)
-    placed = members.join(label, "k", "left").select("k", "b", "a", F.coalesce("label", "k").alias("label"))
-    split = placed.groupBy("b").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("b")
-    open_ = written(placed.join(split, "b").filter("k > a"), "open")
-    left, right = open_.select("b", F.col("k").alias("i"), F.col("label").alias("p")), open_.select("b", F.col("k").alias("j"), F.col("label").alias("q"))
-    cross = left.join(right, "b").filter("p < q").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-    second = written(links(cross), "links")
-    edges = first.unionByName(second)
+        return written(near.select("a", "b", "text_a", "text_b").mapInArrow(_verified(threshold), "a long, b long"), "links")
+
+    def placed(label: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """Members with the label of their component; and the buckets with several labels, their sizes and another member."""
+        out = members.join(label, "k", "left").select("k", "b", F.coalesce("label", "k").alias("label"))
+        other = F.min(F.struct(F.xxhash64(F.lit(turn), "k").alias("h"), "k", "label"))
+        split = out.groupBy("b").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), other.alias("other"))
+        return out, split.filter("x < y").select("b", "n", F.col("other.k").alias("a"), F.col("other.label").alias("a_label"))
+
+    edges = links(alike(pairs))
+    for turn in (1, 2):
+        out, split = placed(components(edges), turn)
+        again = out.join(split, "b").filter("label != a_label").select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b")).distinct()
+        edges = edges.unionByName(links(alike(again)))
+    out, split = placed(components(edges), 3)
+    parts = F.ceil(F.col("n") / BLOCK)
+    blocks = out.join(split.select("b", "n"), "b").join(nodes.select("k", "sketch", "bands"), "k").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "k"), parts))
+    blocks = blocks.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    blocks = blocks.select("b", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "k", "label", "sketch", "bands")
+    cross = blocks.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "k").mapInArrow(_crossed(low), "a long, b long").distinct()
+    edges = edges.unionByName(links(cross))
     label = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("n_links"))
     of_text = nodes.select("t", "k").join(label, "k", "left").join(degree, "k", "left").select("t", F.coalesce("label", "k").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
