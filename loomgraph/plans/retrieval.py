@@ -60,8 +60,8 @@ def fuse(lists: list[DataFrame]) -> DataFrame:
         both = rows if both is None else both.unionByName(rows)
     fields = F.min_by(F.struct("content", "valid_at", "invalid_at"), F.col("__list") * 1_000_000 + F.col("pos"))
     fused = both.groupBy("type", "id").agg(F.sum(1.0 / (K + F.col("pos"))).alias("raw"), fields.alias("f"))
-    most = fused.agg(F.max("raw").alias("most"))
-    return fused.crossJoin(F.broadcast(most)).select("type", "id", (F.col("raw") / F.greatest("most", F.lit(0.001))).alias("score"), "f.*")
+    most = fused.agg(F.max("raw").alias("most")).withColumn("__one", F.lit(1))  # one row
+    return fused.withColumn("__one", F.lit(1)).join(F.broadcast(most), "__one").select("type", "id", (F.col("raw") / F.greatest("most", F.lit(0.001))).alias("score"), "f.*")
 
 
 def recency(score: Column, valid_at: Column, now) -> Column:
