@@ -37,7 +37,7 @@ FAMILIES = {
 }
 FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 
-DIMS = 4096
+DIMS = 2048
 LETTER = r"\p{L}"
 
 
@@ -60,7 +60,7 @@ def features(column: pa.Array) -> np.ndarray:
             value = value * np.uint32(257) + code[i : len(code) - size + 1 + i]
         whole = doc[: len(value)] == doc[size - 1 :]
         whole &= value != 0
-        place = (value * np.uint32(factor)) >> np.uint32(20)
+        place = (value * np.uint32(factor)) >> np.uint32(21)
         counts += np.bincount(doc[: len(value)][whole] * DIMS + place[whole], minlength=n * DIMS)
     counts = counts.reshape(n, DIMS)
     return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
@@ -68,16 +68,15 @@ def features(column: pa.Array) -> np.ndarray:
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: float = 30.0, rounds: int = 150) -> np.ndarray:
     """A linear support vector machine (squared hinge, bias last) for y in -1 and 1, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
+    w = np.zeros(x.shape[1] + 1, np.float32)
     v, t = w.copy(), 1.0
-    step = 1.0 / (1 + 2 * cost * float((share[:, None] * x * x).sum()))
+    step = np.float32(1.0 / (1 + 2 * cost * float(share @ (np.einsum("ij,ij->i", x, x) + 1))))
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        nxt = v - step * (v - 2 * cost * (x.T @ (share * y * slack)))
+        pull = share * y * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+        nxt = v - step * (v - np.float32(2 * cost) * np.append(pull @ x, pull.sum()).astype(np.float32))
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        w, v, t = nxt, nxt + (t - 1) / t2 * (nxt - w), t2
+        w, v, t = nxt, nxt + np.float32((t - 1) / t2) * (nxt - w), t2
     return w
 
 
@@ -136,7 +135,7 @@ def bucket(id_col: str):
     return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3
 
 
-def learn(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 6000) -> Model | None:
+def learn(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 4000) -> Model | None:
     """A model from at most max_rows of the labelled rows; None if there are none.  Languages share the bound equally."""
     rows = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.filter("lang is not null and id is not null").filter(F.coalesce(F.col("text").rlike(LETTER), F.lit(False)))
@@ -157,7 +156,7 @@ def learn(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def _label(model: Model | None, text: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, rows=1000):
+            for part in slices(batch, text, rows=500):
                 column = part.column(part.schema.get_field_index(text))
                 letter = np.asarray(pc.fill_null(pc.match_substring_regex(column, LETTER), False))
                 lang, score = (np.full(part.num_rows, "und", object), np.zeros(part.num_rows)) if model is None else model.predict(features(column))

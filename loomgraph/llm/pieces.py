@@ -259,7 +259,7 @@ def _applied(shared, work, source: str, target: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = shared.value
         for batch in batches:
-            for part in slices(batch, source, 2 << 20) if work is encode_column else (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+            for part in slices(batch, source, 1 << 19) if work is encode_column else (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
                 old = {n: part.column(i) for i, n in enumerate(part.schema.names)}
                 new = {target: work(a, old[source])}
                 yield pa.RecordBatch.from_arrays([new.get(f, old.get(f)) for f in names], names=names)

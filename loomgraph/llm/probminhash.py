@@ -95,7 +95,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     code = powers(0x9E6C63D0676A9A99, ROWS + 1)
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for batch in batches:
-        for part in slices(batch, "text", 2 << 20, 1000):
+        for part in slices(batch, "text", 1 << 20, 250):
             words = Words(*text_bytes(part.column(2)))
             doc, h, n = distinct(*shingles(words))
             best = registers(doc, h, 1 + np.log(n), part.num_rows)
@@ -171,8 +171,8 @@ def _crossed(low: float):
 def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text_a", 2 << 20):
-                for piece in slices(part, "text_b", 2 << 20):
+            for part in slices(batch, "text_a", 1 << 20):
+                for piece in slices(part, "text_b", 1 << 20):
                     sides = [distinct(*shingles(Words(*text_bytes(piece.column(i))))) for i in (2, 3)]
                     (da, ha, _), (db, hb, _) = sides
                     n = piece.num_rows
