@@ -34,10 +34,13 @@ def trigrams(x: Column) -> Column:
 
 
 def set_similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays of distinct values; 0 if either is empty."""
-    shared = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - shared
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / union).otherwise(0.0)
+    """Jaccard similarity of two arrays of distinct values; 0 if either is empty.  Each array is made once for a row."""
+
+    def of(s: Column) -> Column:
+        shared = F.size(F.array_intersect(s["a"], s["b"]))
+        return F.when((F.size(s["a"]) > 0) & (F.size(s["b"]) > 0), shared / (F.size(s["a"]) + F.size(s["b"]) - shared)).otherwise(0.0)
+
+    return F.element_at(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), of), 1)
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -50,6 +50,7 @@ def distances(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 def traverse(facts: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 3, limit: int | None = 50) -> DataFrame:
     """Facts within so many hops: hop is one more than the nearer endpoint's distance; score is confidence * 0.9 ^ hop."""
+    edges = written(edges, "edges")
     reach = distances(edges, seeds, hops - 1).select(F.col("id").alias("src"), "distance")
     near = edges.join(reach, "src").groupBy("fact_id").agg((F.min("distance") + 1).alias("hop"))
     out = facts.join(near, facts["id"] == near["fact_id"]).select("id", "source", "relation", "target", "hop", (F.col("confidence") * F.pow(F.lit(0.9), F.col("hop"))).alias("score"))
@@ -73,6 +74,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float
     the rounds end where they changed by less than tolerance in all.  Seeds that aren't nodes don't count; without any, all
     scores are 0.
     """
+    edges = written(edges.select("src", "dst", "weight"), "edges")
     out_weight = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     steps = written(edges.join(out_weight, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "steps")
     valid = seeds.select("id").distinct().join(nodes.select("id"), "id", "left_semi")
