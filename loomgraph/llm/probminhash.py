@@ -1,11 +1,13 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-Shingles are five words (a shorter text with words is one shingle), weighted by
-1 + ln(count in the text).  Each shingle is a Poisson process with its weight as
-rate: its arrivals come at exponential gaps, and each goes to a register that
-the shingle's hash picks.  A register keeps the shingle that arrived first, so
-two texts agree in a register with their probability Jaccard.  A text's arrivals
-end as soon as they come later than its last register was filled.
+Shingles are five words (a shorter text with words is one shingle).  Each
+shingle is a Poisson process with its weight as rate: its arrivals come at
+exponential gaps, and each goes to a register that the shingle's hash picks.  A
+register keeps the shingle that arrived first, so two texts agree in a register
+with their probability Jaccard.  All distinct shingles of a text weigh the same,
+however often it repeats them: then this is the Jaccard similarity of the
+shingle sets, by which pairs are linked.  A text's arrivals end as soon as they
+come later than its last register was filled.
 
 Forty bands of six registers find candidates: a pair at 0.8 is missed with a
 probability of 5e-6.  Copies of one text are one node.  In each bucket all nodes
@@ -53,11 +55,11 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([d for d, _ in parts]), np.concatenate([h for _, h in parts])
 
 
-def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each document's distinct hashes, in the order of documents, and how often each occurs."""
-    _, at, n = np.unique(mix(h + mix(doc.astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
+def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's distinct hashes, in the order of documents."""
+    _, at = np.unique(mix(h + mix(doc.astype(np.uint64) + np.uint64(1))), return_index=True)
     order = np.argsort(doc[at], kind="stable")
-    return doc[at][order], h[at][order], n[order]
+    return doc[at][order], h[at][order]
 
 
 def registers(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int, m: int = REGISTERS) -> np.ndarray:
@@ -97,8 +99,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 1 << 20, 250):
             words = Words(*text_bytes(part.column(2)))
-            doc, h, n = distinct(*shingles(words))
-            best = registers(doc, h, 1 + np.log(n), part.num_rows)
+            doc, h = distinct(*shingles(words))
+            best = registers(doc, h, np.ones(len(doc)), part.num_rows)
             low = best & np.uint64(0xFFFFFFFF)
             has = words.count > 0
             bands = mix(mix((low[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS) * code[1:]).sum(axis=2, dtype=np.uint64)) + salt)
@@ -174,7 +176,7 @@ def _verified(threshold: float):
             for part in slices(batch, "text_a", 1 << 20):
                 for piece in slices(part, "text_b", 1 << 20):
                     sides = [distinct(*shingles(Words(*text_bytes(piece.column(i))))) for i in (2, 3)]
-                    (da, ha, _), (db, hb, _) = sides
+                    (da, ha), (db, hb) = sides
                     n = piece.num_rows
                     na, nb = np.bincount(da, minlength=n), np.bincount(db, minlength=n)
                     doc = np.concatenate([da, db])

@@ -108,6 +108,23 @@ def test_near_duplicates_match_brute_force(spark):
     assert kept == set(brute_classes(rows).values())
 
 
+def test_passages_that_repeat_unequally_often(spark):
+    """What is linked is the Jaccard of shingle sets, so how often a text repeats a passage must not hide a pair."""
+    rows, number = [], 0
+    for family in range(8):
+        base = [f"b{family}_{i}" for i in range(84)]
+        passage = [f"p{family}_{i}" for i in range(20 if family % 2 else 100)]
+        for times in (1, 1000):
+            rows.append((number, " ".join([*base, *passage * times, f"tail{number}"])))
+            number += 1
+        rows.append((number, " ".join(base[: 40 + family])))
+        number += 1
+    want = brute_classes(rows)
+    assert len(set(want.values())) == 16
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs).collect()} == want
+
+
 def test_null_ids_are_never_compared(spark):
     docs = spark.createDataFrame([(None, "same text here now ok"), (1, "same text here now ok"), (None, None)], "doc_id long, text string")
     rows = near_duplicates(docs).collect()
