@@ -14,7 +14,7 @@ from .operators import memory as M
 from .operators import temporal as T
 from .plans import answers, retrieval as R
 from .security import Access, simulate, visible_rows
-from .storage import insert_if_absent, upsert
+from .storage import insert_if_absent, upsert, written
 
 
 @dataclass(frozen=True)
@@ -82,8 +82,10 @@ class Engine:
         return self.entities.select("id", simulate("visibility", access).alias("s")).select("id", "s.*")
 
     def canonical_clusters(self, least: float = 0.82) -> DataFrame:
-        """Entities of one type with like names: id, the cluster's canonical id, and the band of its weakest pair."""
-        pairs = G.similar_names(visible_rows(self.entities, self.access).select("id", "entity_type", "name"), least)
+        """Entities of one type with equal or like names: id, the cluster's canonical id, and the band of its weakest pair."""
+        names = visible_rows(self.entities, self.access).select("id", "entity_type", "name")
+        same = G.name_members(names).filter("id <> representative").select(F.col("representative").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
+        pairs = written(G.similar_names(names, least).unionByName(same), "pairs")
         both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))
         found = G.components(both.select(F.col("src").alias("id")).distinct(), both)
         weakest = pairs.join(found, F.col("a") == F.col("id")).groupBy("label").agg(F.min("score").alias("score"))

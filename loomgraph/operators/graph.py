@@ -172,19 +172,37 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def name_members(names: DataFrame) -> DataFrame:
+    """Rows (id, entity_type, name) with name tokens, and the smallest id of their type with the same token set: id, representative."""
+    sets = _token_sets(names)
+    first = sets.groupBy("entity_type", "t").agg(F.min("id").alias("representative"))
+    return sets.join(first, ["entity_type", "t"]).select("id", "representative").distinct()
+
+
 def similar_names(names: DataFrame, least: float) -> DataFrame:
-    """Pairs of rows (id, entity_type, name) of one type whose name tokens have at least this Jaccard similarity.
+    """Pairs of representatives (name_members) of one type whose name tokens have at least this Jaccard similarity.
 
-    Rows meet by shared tokens, and one row stands for all of the same token set, so that equal names don't multiply.
+    A set's tokens stand in the order of their number of sets.  Two sets that are alike enough share a token among
+    their first size - ceil(least * size) + 1, so they meet by those only, and tokens of most names make few pairs.
     """
-    from ..functions.text import set_similarity, tokens
+    from ..functions.text import set_similarity
 
-    sets = names.select("entity_type", F.array_sort(tokens(F.col("name"))).alias("t"), "id").filter(F.size("t") > 0).groupBy("entity_type", "t").agg(F.min("id").alias("id"))
+    sets = written(_token_sets(names).groupBy("entity_type", "t").agg(F.min("id").alias("id")), "sets")
     by = sets.select("entity_type", F.explode("t").alias("token"), "id", "t")
-    pairs = by.join(by.select("entity_type", "token", F.col("id").alias("id2"), F.col("t").alias("t2")), ["entity_type", "token"]).filter("id < id2").select("id", "id2", "t", "t2").distinct()
+    counts = by.groupBy("entity_type", "token").agg(F.count("*").alias("n"))
+    ordered = by.join(counts, ["entity_type", "token"]).groupBy("entity_type", "id", "t").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("o"))
+    prefix = F.slice("o", F.lit(1), F.size("t") - F.ceil(least * F.size("t") - 1e-9).cast("int") + 1)
+    heads = written(ordered.select("entity_type", F.explode(F.transform(prefix, lambda x: x["token"])).alias("token"), "id", "t"), "heads")
+    pairs = heads.join(heads.select("entity_type", "token", F.col("id").alias("id2"), F.col("t").alias("t2")), ["entity_type", "token"]).filter("id < id2").select("id", "id2", "t", "t2").distinct()
     return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"), set_similarity(F.col("t"), F.col("t2")).alias("score")).filter(F.col("score") >= least)
 
 
+def _token_sets(names: DataFrame) -> DataFrame:
+    from ..functions.text import tokens
+
+    return names.select("entity_type", F.array_sort(tokens(F.col("name"))).alias("t"), "id").filter(F.size("t") > 0)
+
+
 def merge_entities(facts: DataFrame, mapping: DataFrame) -> DataFrame:
     """Facts with endpoints rewritten by mapping (duplicate, canonical)."""
     out = facts

@@ -123,6 +123,10 @@ def known_entity_match(spark, sf_dir):
     return known_names(table(spark, sf_dir, "documents").select("doc_id", "text"), names, "doc_id", "text")
 
 
+def part_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_type").alias("entity_type"), F.concat_ws(" ", "p_brand", "p_name").alias("name"), F.col("p_partkey").alias("id"))
+
+
 NAMES_SQL = "WITH RECURSIVE names AS (SELECT p_type AS entity_type, p_brand || ' ' || p_name AS name, min(p_partkey) AS id FROM part GROUP BY ALL)"
 
 
@@ -133,8 +137,14 @@ u AS (SELECT entity_type, t, min(id) AS id FROM t WHERE len(t) > 0 GROUP BY ALL)
 SELECT a.id AS a, b.id AS b, round({jaccard_sql("a.t", "b.t")}, 6) AS score FROM u a JOIN u b ON a.entity_type = b.entity_type AND a.id < b.id WHERE {jaccard_sql("a.t", "b.t")} >= 0.5"""
 )
 def token_jaccard_pairs(spark, sf_dir):
-    names = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("entity_type"), F.concat_ws(" ", "p_brand", "p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
-    return G.similar_names(names, 0.5).select("a", "b", F.round("score", 6).alias("score"))
+    return G.similar_names(part_names(spark, sf_dir), 0.5).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS id, p_type AS entity_type, list_sort(list_distinct(list_filter({words_sql("p_brand || ' ' || p_name")}, lambda w: length(w) > 1))) AS t FROM part)
+SELECT id, min(id) OVER (PARTITION BY entity_type, t) AS representative FROM t WHERE len(t) > 0""")
+def token_set_members(spark, sf_dir):
+    """Every part with the representative that stands for it in token_jaccard_pairs."""
+    return G.name_members(part_names(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ vectors

@@ -1,5 +1,7 @@
 """The engine over the smallest tables."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,13 @@ def test_writes(spark, engine):
     assert merged.facts.filter("source = 'nation:3' or target = 'nation:3'").count() == 0 and merged.get_entity("nation:3").count() == 0
 
 
+def test_clusters_hold_equal_names(spark, engine):
+    names = [("x1", "Ada Lovelace"), ("x2", "ada  lovelace"), ("x3", "Ada B Lovelace"), ("x4", "Grace Hopper"), ("x5", "Alan M Turing Bletchley park london"), ("x6", "Alan Turing Bletchley park"), ("x7", "Alan Turing bletchley park")]
+    one = engine.entities.filter("id = 'nation:3'").drop("id", "name").crossJoin(spark.createDataFrame(names, "id string, name string"))
+    got = replace(engine, entities=one.select(*engine.entities.columns)).canonical_clusters(0.8).collect()
+    assert {(r.id, r.canonical, r.band) for r in got} == {("x1", "x1", "apply"), ("x2", "x1", "apply"), ("x3", "x1", "apply"), ("x5", "x5", "ambiguous"), ("x6", "x5", "ambiguous"), ("x7", "x5", "ambiguous")}
+
+
 def test_answers_cite_what_they_say(engine):
     got = engine.answer("worthless", methods=("keyword",), now="2001-01-01")
     cited, said = got.citations.collect(), got.answer.first()

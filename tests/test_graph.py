@@ -1,5 +1,7 @@
 """Graph kernels: properties on small graphs."""
 
+import random
+
 import pytest
 
 from loomgraph.operators import graph as G
@@ -60,3 +62,19 @@ def test_merge_rewrites_both_endpoints(spark):
     f = spark.createDataFrame([("1", "a", "b"), ("2", "c", "a")], "id string, source string, target string")
     m = spark.createDataFrame([("a", "x")], "duplicate string, canonical string")
     assert sorted(map(tuple, G.merge_entities(f, m).collect())) == [("1", "x", "b"), ("2", "c", "x")]
+
+
+@pytest.mark.parametrize("least", [0.5, 0.82, 1 / 3])
+def test_similar_names_match_brute_force(spark, least):
+    rng = random.Random(7)
+    words = ["common", *(f"w{i}" for i in range(14))]
+    rows = [(i, rng.choice("tu"), " ".join(["common", *rng.sample(words, rng.randint(0, 7))])) for i in range(80)] + [(90, "t", "x"), (91, "t", "")]
+    names = spark.createDataFrame(rows, "id long, entity_type string, name string")
+    first = {}
+    for i, kind, name in rows:
+        if t := frozenset(w for w in name.split() if len(w) > 1):
+            first.setdefault((kind, t), i)
+    want = {(i, j) for (k, t), i in first.items() for (m, u), j in first.items() if k == m and i < j and len(t & u) / len(t | u) >= least}
+    assert {(r.a, r.b) for r in G.similar_names(names, least).collect()} == want
+    members = {r.id: r.representative for r in G.name_members(names).collect()}
+    assert members == {i: first[kind, t] for i, kind, name in rows if (t := frozenset(w for w in name.split() if len(w) > 1))}
