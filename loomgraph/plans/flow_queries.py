@@ -162,9 +162,7 @@ def resolve_entities(spark, sf_dir):
     k = F.col("c_custkey")
     name = F.when(k % 3 == 0, F.upper("c_name")).when(k % 3 == 1, F.concat("c_name", F.lit(" inc"))).otherwise(F.concat(F.lit("unknown "), "c_mktsegment"))
     extracted = c.select(F.lit("customer").alias("entity_type"), name.alias("name"))
-    entities = c.select(F.concat(F.lit("customer:"), k.cast("string")).alias("id"), F.lit("customer").alias("entity_type"), F.col("c_name").alias("name"))
-    aliases = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("alias")).limit(0)
-    return I.resolve_entities(extracted, entities, aliases).select("name", "decision", "entity_id", F.round("score", 6).alias("score"))
+    return I.resolve_entities(extracted, bridge.entities(spark, sf_dir), bridge.aliases(spark, sf_dir)).select("name", "decision", "entity_id", F.round("score", 6).alias("score"))
 
 
 NEW_FACTS_SQL = """, new AS (

@@ -1,9 +1,12 @@
 """Graph kernels: properties on small graphs."""
 
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from loomgraph import bridge, catalog
 from loomgraph.operators import graph as G
 
 
@@ -58,6 +61,38 @@ def test_components_of_a_long_path(spark):
     assert {got[x] for x in names} == {"n000"} and got["z"] == "z"
 
 
+def test_all_components_match_union_find(spark, small):
+    entities = [r.id for r in bridge.entities(spark, small).filter(bridge.sees("acl", "security")).select("id").collect()]
+    parent = {i: i for i in entities}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    facts = bridge.facts(spark, small).filter("invalid_at is null").filter(bridge.sees("acl", "security")).select("source", "target").collect()
+    for r in facts:
+        if r.source in parent and r.target in parent:
+            x, y = sorted((find(r.source), find(r.target)))
+            parent[y] = x
+    want = {i: find(i) for i in entities}
+    assert {i.split(":")[0] for i in want} > {"nation", "region", "supplier"}
+    assert {r.id: r.label for r in catalog.queries()["all_components"](spark, small).collect()} == want
+
+
+def test_resolution_reads_aliases(spark, small, tmp_path):
+    """An extracted name that is only an alias of a known entity is that entity."""
+    for name in os.listdir(small):
+        if name != "customer.parquet":
+            os.symlink(f"{small}/{name}", tmp_path / name)
+    rows = spark.createDataFrame([(1, "unknown#0BUILDING", "x"), (2, "Customer#2", "BUILDING")], "k long, name string, segment string")
+    customers = spark.read.parquet(f"{small}/customer.parquet").join(rows, F.col("c_custkey") == F.col("k"))
+    customers = customers.withColumn("c_name", F.col("name")).withColumn("c_mktsegment", F.col("segment")).drop("k", "name", "segment")
+    customers.write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.name: (r.decision, r.entity_id, r.score) for r in catalog.queries()["resolve_entities"](spark, str(tmp_path)).collect()}
+    assert got["unknown BUILDING"] == ("merge", "customer:1", 0.95)
+
+
 def test_merge_rewrites_both_endpoints(spark):
     f = spark.createDataFrame([("1", "a", "b"), ("2", "c", "a")], "id string, source string, target string")
     m = spark.createDataFrame([("a", "x")], "duplicate string, canonical string")
