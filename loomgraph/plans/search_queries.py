@@ -277,9 +277,12 @@ l{i} AS MATERIALIZED (SELECT n.id, coalesce(b.label, n.label) AS label, n.vote F
 LPA_ROUNDS = 4
 
 
-def labels(spark, sf_dir):
+FULL_ROUNDS = 10
+
+
+def labels(spark, sf_dir, rounds: int = LPA_ROUNDS):
     e, f, edges = graph(spark, sf_dir)
-    return e, f, edges, G.propagate_labels(e.filter(sees("acl", "security")).select("id"), edges, LPA_ROUNDS)
+    return e, f, edges, G.propagate_labels(e.filter(sees("acl", "security")).select("id"), edges, rounds)
 
 
 @query(with_model(lpa_sql(LPA_ROUNDS) + f" SELECT id, label FROM l{LPA_ROUNDS}"))
@@ -287,6 +290,12 @@ def lpa_sync(spark, sf_dir):
     return labels(spark, sf_dir)[3]
 
 
+@query(with_model(lpa_sql(FULL_ROUNDS) + f" SELECT id, label FROM l{FULL_ROUNDS}"))
+def lpa_full(spark, sf_dir):
+    """lpa_sync with all rounds of the operator and the reference."""
+    return labels(spark, sf_dir, FULL_ROUNDS)[3]
+
+
 @query(
     with_model(
         lpa_sql(LPA_ROUNDS)
@@ -296,7 +305,17 @@ LEFT JOIN (SELECT a.label, sum(l.confidence) AS x FROM links l JOIN c a ON a.id
     )
 )
 def community_salience(spark, sf_dir):
-    _, _, edges, found = labels(spark, sf_dir)
+    return salience(spark, sf_dir, LPA_ROUNDS)
+
+
+@query()
+def community_salience_full(spark, sf_dir):
+    """community_salience with all rounds of the operator and the reference."""
+    return salience(spark, sf_dir, FULL_ROUNDS)
+
+
+def salience(spark, sf_dir, rounds: int):
+    _, _, edges, found = labels(spark, sf_dir, rounds)
     one = edges.groupBy("fact_id").agg(F.min("src").alias("src"), F.max("src").alias("x"), F.max("dst").alias("y"), F.max("weight").alias("weight"))
     flat = one.select("src", F.greatest("x", "y").alias("dst"), "weight")
     return G.communities(found, flat).withColumn("salience", F.round("salience", 5))

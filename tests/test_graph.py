@@ -1,7 +1,9 @@
 """Graph kernels: properties on small graphs."""
 
+import math
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +95,16 @@ def test_resolution_reads_aliases(spark, small, tmp_path):
     assert got["unknown BUILDING"] == ("merge", "customer:1", 0.95)
 
 
+def test_full_salience_matches_brute_force(spark, small):
+    label = {r.id: r.label for r in catalog.queries()["lpa_full"](spark, small).collect()}
+    size, inside = Counter(label.values()), Counter()
+    for r in bridge.facts(spark, small).filter("invalid_at is null").filter(bridge.sees("acl", "security")).select("source", "target", "confidence").collect():
+        if r.source in label and label[r.source] == label.get(r.target):
+            inside[label[r.source]] += r.confidence
+    want = {x: (n, pytest.approx(math.log1p(n) + math.log1p(inside[x]), abs=2e-5)) for x, n in size.items() if n > 1}
+    assert {r.label: (r.size, r.salience) for r in catalog.queries()["community_salience_full"](spark, small).collect()} == want
+
+
 def test_merge_rewrites_both_endpoints(spark):
     f = spark.createDataFrame([("1", "a", "b"), ("2", "c", "a")], "id string, source string, target string")
     m = spark.createDataFrame([("a", "x")], "duplicate string, canonical string")
