@@ -62,9 +62,12 @@ def _url() -> str:
 NEAR = f"""
 WITH RECURSIVE d AS (SELECT doc_id, text, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL),
 n AS (SELECT min(doc_id) AS id, coalesce(text, '') AS text, any_value(ws) AS ws FROM d GROUP BY coalesce(text, '')),
-s AS (SELECT DISTINCT id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM n WHERE len(ws) > 0)),
-z AS (SELECT id, count(*) AS c FROM s GROUP BY id),
-e AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.g = b.g AND a.id < b.id JOIN z x ON x.id = a.id JOIN z y ON y.id = b.id GROUP BY a.id, b.id, x.c, y.c HAVING count(*) >= 0.8 * (x.c + y.c - count(*)) - 1e-9),
+s AS (SELECT id, g, 1 + ln(count(*)) AS x FROM (SELECT id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM n WHERE len(ws) > 0)) GROUP BY id, g),
+z AS (SELECT id, sum(x) AS total FROM s GROUP BY id),
+o AS (SELECT a.id AS a, b.id AS b, any_value(za.total) AS ta, any_value(zb.total) AS tb, sum(a.x) AS sa, sum(b.x) AS sb FROM s a JOIN s b ON a.g = b.g AND a.id < b.id JOIN z za ON za.id = a.id JOIN z zb ON zb.id = b.id
+  GROUP BY a.id, b.id HAVING sum(least(a.x / za.total, b.x / zb.total)) >= 0.8 - 1e-9),
+v AS (SELECT o.*, p.x AS x, q.x AS y, sum(p.x) OVER w AS cx, sum(q.x) OVER w AS cy FROM o JOIN s p ON p.id = o.a JOIN s q ON q.id = o.b AND q.g = p.g WINDOW w AS (PARTITION BY o.a, o.b ORDER BY q.x / p.x)),
+e AS (SELECT a, b FROM v GROUP BY a, b HAVING sum(1 / ((ta - sa + cx) / x + (tb - cy) / y)) >= 0.8 - 1e-9),
 both AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach(id, c) AS (SELECT id, id FROM n UNION SELECT both.b, reach.c FROM reach JOIN both ON both.a = reach.id),
 k AS (SELECT id, min(c) AS class_id FROM reach GROUP BY id)

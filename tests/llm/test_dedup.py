@@ -1,14 +1,16 @@
 """Substring dedup and near-duplicates against brute force."""
 
 import itertools
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm.probminhash import near_duplicates, one_of_each, registers
+from loomgraph.llm.probminhash import FAN, near_duplicates, one_of_each, probability_jaccard, registers
 from loomgraph.llm.rlz import dedup_substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,27 +67,43 @@ def test_empty_tables(spark):
     assert near_duplicates(empty).collect() == []
 
 
-def shingle_set(text):
+def weighted(text):
     w = WORD.findall(text or "")
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else ([tuple(w)] if w else [])
+    return {g: 1 + math.log(n) for g, n in Counter(grams).items()}
+
+
+def similarity(x, y):
+    """Sum over shared elements of 1 / sum of max(x'/x, y'/y), straight from the definition."""
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in {*x, *y}) for i in x if i in y)
 
 
 def brute_classes(rows, least=0.8):
-    parent = {i: i for i, _ in rows}
+    """Smallest id of its class for each row; rows are documents, equal texts one node."""
+    nodes = {}
+    for i, t in rows:
+        nodes[t or ""] = min(i, nodes.get(t or "", i))
+    parent = {t: t for t in nodes}
+
+    def find(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
+    sets = {t: weighted(t) for t in nodes}
+    for a, b in itertools.combinations(parent, 2):
+        overlap = len(sets[a].keys() & sets[b].keys())
+        if overlap and similarity(sets[a], sets[b]) >= least - 1e-9:
+            parent[find(a)] = find(b)
+    smallest = {}
+    for t, i in nodes.items():
+        smallest[find(t)] = min(i, smallest.get(find(t), i))
+    return [smallest[find(t or "")] for _, t in rows]
 
-    sets = {i: shingle_set(t) for i, t in rows}
-    text = {i: t or "" for i, t in rows}
-    for a, b in itertools.combinations(sorted(parent), 2):
-        union = len(sets[a] | sets[b])
-        if text[a] == text[b] or (union and len(sets[a] & sets[b]) >= least * union - 1e-9):
-            x, y = find(a), find(b)
-            parent[max(x, y)] = min(x, y)
-    return {i: find(i) for i in parent}
+
+def classes_of(spark, rows, **more):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.monotonically_increasing_id()).repartition(4)
+    return docs, sorted((r.doc_id, r.class_id) for r in near_duplicates(docs, **more).collect())
 
 
 def test_near_duplicates_match_brute_force(spark):
@@ -101,28 +119,65 @@ def test_near_duplicates_match_brute_force(spark):
             rows.append((number, " ".join(copy)))
             number += 1
     rows += [(900, None), (901, ""), (902, "one two"), (903, "one  two"), (904, "one two three"), (905, "a b c d e"), (906, "a b c d e")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", F.lit("clash")).repartition(4)
-    got = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
-    assert got == brute_classes(rows)
-    kept = {r.doc_id for r in one_of_each(docs).collect()}
-    assert kept == set(brute_classes(rows).values())
+    want = brute_classes(rows)
+    docs, got = classes_of(spark, rows)
+    assert got == sorted((i, c) for (i, _), c in zip(rows, want, strict=True))
+    assert {r.doc_id for r in one_of_each(docs).collect()} == set(want)
+    assert one_of_each(docs).columns == docs.columns
 
 
 def test_passages_that_repeat_unequally_often(spark):
-    """What is linked is the Jaccard of shingle sets, so how often a text repeats a passage must not hide a pair."""
-    rows, number = [], 0
-    for family in range(8):
-        base = [f"b{family}_{i}" for i in range(84)]
-        passage = [f"p{family}_{i}" for i in range(20 if family % 2 else 100)]
-        for times in (1, 1000):
+    """Bands, sketch and verification follow one measure: texts that repeat passages get the classes of its definition."""
+    rows, number, rng = [], 0, random.Random(8)
+    for family in range(10):
+        base = [f"b{family}_{i}" for i in range(rng.choice([20, 60, 300]))]
+        passage = [f"p{family}_{i}" for i in range(rng.choice([8, 30, 90]))]
+        for times in (1, 2, 3, 20, 200):
             rows.append((number, " ".join([*base, *passage * times, f"tail{number}"])))
             number += 1
-        rows.append((number, " ".join(base[: 40 + family])))
-        number += 1
     want = brute_classes(rows)
-    assert len(set(want.values())) == 16
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert {r.doc_id: r.class_id for r in near_duplicates(docs).collect()} == want
+    assert 10 < len(set(want)) < len(rows)
+    assert classes_of(spark, rows)[1] == sorted((i, c) for (i, _), c in zip(rows, want, strict=True))
+
+
+def test_probability_jaccard_is_exact():
+    rng = np.random.default_rng(4)
+    sets = [[{int(k): float(rng.uniform(0.5, 4)) for k in rng.integers(1, 30, rng.integers(0, 25))} for _ in range(2)] for _ in range(40)]
+    sides = [tuple(np.array([v for n, pair in enumerate(sets) for v in ((n, k, w)[part] for k, w in pair[side].items())], [np.int64, np.uint64, float][part]) for part in range(3)) for side in (0, 1)]
+    assert np.allclose(probability_jaccard(*sides, len(sets)), [similarity(*pair) for pair in sets])
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    """40 pairs at exactly 0.8, no more: all of them must be linked."""
+    rows = []
+    for n in range(40):
+        words = [f"w{n}_{i}" for i in range(94)]  # 90 shingles
+        rows += [(2 * n, " ".join(words[:85])), (2 * n + 1, " ".join(words[9:]))]  # 81 each, 72 shared of 90
+    assert similarity(weighted(rows[0][1]), weighted(rows[1][1])) == pytest.approx(0.8)
+    assert classes_of(spark, rows)[1] == [(i, i - i % 2) for i in range(80)]
+
+
+def test_one_id_on_several_rows(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    rows = [(10, x), (20, x), (20, y), (30, y), (30, y), (40, "other words")]
+    docs, got = classes_of(spark, rows)
+    assert got == [(10, 10), (20, 10), (20, 20), (30, 20), (30, 20), (40, 40)]
+    assert sorted((r.doc_id, r.text) for r in one_of_each(docs).collect()) == [(10, x), (20, y), (40, "other words")]
+
+
+def test_repeated_rows_make_no_more_links(spark):
+    text = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(text))] * 5 + [(2, " ".join([*text, "more"]))] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.class_id, r.n_links) for r in near_duplicates(docs).collect()} == {(1, 1, 1), (2, 1, 1)}
+    assert one_of_each(docs).count() == 1
+
+
+def test_a_text_with_very_many_pairs(spark):
+    """More near copies of one text than are verified under one key."""
+    text = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*text, f"end{i}"])) for i in range(2 * FAN + 300)]
+    assert {c for _, c in classes_of(spark, rows)[1]} == {0}
 
 
 def test_null_ids_are_never_compared(spark):
