@@ -25,8 +25,8 @@ PIECE_MODEL = os.environ.get("LOOMGRAPH_PIECE_MODEL", "/opt/tokenizers/piece_bpe
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per page: its main text and the text's length."""
-    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+    """Per page: its main text, the text's length, and the lines that page differencing deleted."""
+    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars", "n_shared")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """HTML, quality, pieces, language and chat against brute force."""
 
 import hashlib
+import os
 import random
+import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -17,8 +20,7 @@ from loomgraph.llm.queries import PIECE_MODEL
 
 
 def text_of(html):
-    blocks, inside = htmltext.blocks_of(html)
-    return [b for b, i in zip(blocks, inside) if i or not any(inside)]
+    return [text for text, state in htmltext.lines_of(html) if state != htmltext.GONE]
 
 
 def test_markup_that_goes_and_stays():
@@ -31,11 +33,47 @@ def test_markup_that_goes_and_stays():
     assert text_of(html) == ["Head & more", "One twothree four <x>", "unclosed", "next"]
 
 
+def test_names_that_only_hold_a_marking_word():
+    assert text_of('<div class="content no-sidebar"><p>Main text</p></div>') == ["Main text"]
+    assert text_of('<article><div class="entry-content social"><p>Body of it</p></div><div class="social">Share</div></article>') == ["Body of it"]
+    assert text_of('<main><section id="related-work">A</section><div class="social-science">B</div><div class="related">C</div><p>A longer line</p></main>') == ["A", "B", "A longer line"]
+    assert text_of('<div class="sidebar"><article>Whole text</article></div>') == ["Whole text"]
+
+
+def test_menus_that_never_end():
+    assert text_of("<nav><ul><li>Home<li>More</ul><article><p>x</p></article><footer>F</footer>") == ["x"]
+    assert text_of("<body><header>Site<main><h1>T</h1><p>Text</p></main>") == ["T", "Text"]
+    assert text_of("<aside><article>Teaser</article></aside><article><p>The long text of the article</p></article>") == ["The long text of the article"]
+
+
+def test_many_comments_are_still_comments():
+    html = "<article><p>Short</p><div id='comments'>" + "<p>a reader said much</p>" * 50 + "</div></article><article class='comment'>me too</article>"
+    assert text_of(html) == ["Short"]
+
+
 def test_odd_markup():
     assert text_of(None) == [] == text_of("") == text_of("<script>x")
     assert text_of("a < b <i title='>'>c</i> &am &amp") == ["a < b c &am &"]
     assert text_of("<p>x" * 3 + "<td>y<td>z") == ["x", "x", "x", "y", "z"]
     assert len(text_of("<div>" * 3000 + "deep")) == 1
+    assert text_of("a<button>no</button>b <span class='ad'>A</span>c") == ["ab c"]
+    assert text_of("kept<a href='never ends") == ["kept"]
+
+
+@pytest.mark.parametrize("part", ["<script", "<", "<x", "<a '> '", '<a b="', "<div>", "<b>", "</i>", "<li>", "<p><b>", "&", "x ", "<!--", "<a =\"", "<svg>", "<nav class=ad>", "<li></li><b>"])
+def test_damaged_pages_are_read_in_linear_time(part):
+    for page in (part * (1_000_000 // len(part)), "<li><div>" + "<b>" * 100_000 + part * (600_000 // len(part)), part * (900_000 // len(part)) + ">"):
+        began = time.process_time()
+        htmltext.lines_of(page)
+        assert time.process_time() - began < 6  # under two seconds on an idle machine
+
+
+def test_long_pages_are_aligned():
+    a = [i % 7 if i % 3 else i for i in range(12_000)]
+    began = time.process_time()
+    left, right = htmltext.shared_lines(a, a[5:6000] + a[6100:] + [1] * 500)
+    assert len(left) >= 11_800 and [a[i] for i in left] == [(a[5:6000] + a[6100:] + [1] * 500)[j] for j in right]
+    assert time.process_time() - began < 10
 
 
 def test_longest_common_subsequence():
@@ -51,14 +89,59 @@ def test_longest_common_subsequence():
         assert left == sorted(set(left)) and right == sorted(set(right))
 
 
+def brute_main_text(rows):
+    """The texts of pages straight from the definition."""
+    split = lambda url: re.search(r"://([^/?#]*)([^?#]*)", url or "")
+    lines = {i: htmltext.lines_of(html) for i, _, html in rows}
+    place = {i: ((m := split(url)) and m[1].lower() or "", m and m[2] or "") for i, url, _ in rows}
+    known = {}
+    for i, _, _ in rows:
+        if lines[i]:
+            key = (place[i][0], tuple(t for t, _ in lines[i]))
+            known[key] = min(place[i][1], known.get(key, place[i][1]))
+    out = {}
+    for i, _, _ in rows:
+        own, shared = tuple(t for t, _ in lines[i]), []
+        order = sorted((path, digest(ts), ts) for (host, ts), path in known.items() if host == place[i][0])
+        at = next((n for n, x in enumerate(order) if x[2] == own), None)
+        if at is not None:
+            near = [(len(os.path.commonprefix([order[at][0], order[n][0]])), n < at, order[n][2]) for n in (at - 1, at + 1) if 0 <= n < len(order)]
+            if near:
+                _, before, other = max(near)
+                shared = htmltext.shared_lines(own, other)[0] if not before else htmltext.shared_lines(other, own)[1]
+        out[i] = "\n\n".join(t for n, (t, s) in enumerate(lines[i]) if s == htmltext.STAYS or (s == htmltext.OPEN and n not in shared))
+    return out
+
+
+def digest(texts):
+    return hashlib.blake2b(b"".join(htmltext._line_hash(t).to_bytes(8, "little", signed=True) for t in texts), digest_size=16).hexdigest()
+
+
+def test_main_text_matches_brute_force(spark, small):
+    rng = random.Random(6)
+    rows = []
+    for i in range(150):
+        menu = "".join(f"<div>Menu {j}</div>" for j in range(rng.randint(1, 6)))
+        body = "".join(f"<p>{rng.choice(['Own ' + str(i), 'Seen everywhere', 'Line ' + str(rng.randrange(9))])}</p>" for _ in range(rng.randrange(6)))
+        body = rng.choice(["{}", "<article>{}</article>", "<main>{}", "<div class='social'>{}</div>"]).format(body)
+        rows.append((i, rng.choice(["http://A.com", "https://b.org", "http://c.net"]) + f"/x/{rng.randrange(40)}" + rng.choice(["", "?q=1"]), menu + body + "<div>Legal</div>"))
+    rows += [(200, None, "<p>x"), (201, "no scheme", "<p>x"), (202, "http://a.com/x/3", None), (203, "http://a.com/x/3", ""), (204, "http://one.org/", "<div>alone</div>")]
+    rows += [(1000 + r.page_id, r.url, r.html) for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"n_chars": F.lit("clash"), "host": F.lit(1), "line": F.lit(2)})
+    got = {r.page_id: r.text for r in htmltext.main_text(pages.repartition(6)).collect()}
+    assert got == brute_main_text(rows)
+
+
 def test_shared_lines_of_neighbours_go(spark):
     page = lambda i: f"<div>Menu</div><div>Own {i} text</div><div>Legal</div>"
     rows = [(i, f"http://H.com/x/{i}?q", page(i)) for i in range(20)] + [(50, "http://h.com/x/3", page(3)), (51, None, page(7)), (52, "http://other/x", page(1)), (53, "http://h.com/x/9", None)]
-    rows += [(60, "http://h.com/z/1", "<p>Menu</p><article><p>Menu</p><p>A</p></article>")]
-    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    rows += [(54, "http://h.com/y/copy", page(3).replace("<div>", "<div id=1>")), (60, "http://h.com/z/1", "<p>Menu</p><article><p>Menu</p><p>A</p></article>"), (61, "http://h.com/z/1", "<article><p>teaser</p></article><div>Menu<p>Body of it</p></div>")]
+    out = htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()
+    got = {r.page_id: r.text for r in out}
     assert all(got[i] == f"Own {i} text" for i in range(20))
-    assert got[50] == "Own 3 text" and got[53] == "" and got[60] == "Menu\n\nA"
+    assert got[50] == got[54] == "Own 3 text" and got[53] == "" and got[60] == "Menu\n\nA" and got[61] == "teaser\n\nBody of it"
     assert got[51] == "Menu\n\nOwn 7 text\n\nLegal" == got[52].replace("Own 1", "Own 7")
+    assert {r.n_shared for r in out if r.page_id < 20} == {2}
 
 
 def test_no_pages(spark):
