@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -51,6 +52,13 @@ def removed(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unreferenced(spark: SparkSession) -> None:
+    """Frees the disk of shuffles that no DataFrame refers to any longer: Spark deletes their files once the driver has
+    collected the references, which by itself happens every half hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,29 +7,58 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm import rlz
 from loomgraph.llm.probminhash import FAN, near_duplicates, one_of_each, probability_jaccard, registers
 from loomgraph.llm.rlz import dedup_substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def order_of(rows):
+    """Each row with its place in the order of documents: the id (of a null id, a hash of its text), then a digest of the text."""
+    session = SparkSession.getActiveSession()
+    frame = session.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, k long, text string")
+    found = frame.select("n", F.coalesce("k", F.xxhash64(F.lit(1), "text")), F.hash("text").bitwiseAND(F.lit(0xFFFFFFFF)), "k", "text").collect()
+    return sorted(tuple(r)[1:] for r in found)
+
+
 def brute_substrings(rows, window=20):
-    seen, out = set(), {}
-    for number, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+    """Words, removed words and the rest for each row; and the first place of each window."""
+    seen, out = {}, []
+    for k, t, number, text in order_of(rows):
         w = WORD.findall(text or "")
         cover = [False] * len(w)
         for s in range(len(w) - window + 1):
             key = tuple(w[s : s + window])
-            if key in seen:
+            if seen.setdefault(key, (k, t, s)) != (k, t, s):
                 cover[s : s + window] = [True] * window
-            seen.add(key)
-        out[number] = (len(w), sum(cover), " ".join(x for x, c in zip(w, cover) if not c))
+        out.append((number, len(w), sum(cover), " ".join(x for x, c in zip(w, cover) if not c)))
     return out
 
 
+def check_factors(rows):
+    """Factors hold a window at least, equal their sources word by word, start after them, and make up the spans."""
+    words = {}
+    for r in rows:
+        words.setdefault(r.doc_id, []).append(WORD.findall(r.original or ""))
+    for r in rows:
+        w, covered = WORD.findall(r.original or ""), set()
+        for f in r.factors:
+            assert f.length >= 20
+            covered |= set(range(f.start, f.start + f.length))
+            if f.block not in words:
+                continue  # a document without an id
+            assert any(x[f.position : f.position + f.length] == w[f.start : f.start + f.length] for x in words[f.block])
+            assert f.block < r.doc_id or (f.block == r.doc_id and (f.position < f.start or len(words[f.block]) > 1))
+        assert covered == {i for s in r.dup_spans for i in range(s.start, s.start + s.length)} and len(covered) == r.n_removed
+        assert all(a.start + a.length < b.start for a, b in itertools.pairwise(r.dup_spans))
+
+
 def corpus(seed):
     rng = random.Random(seed)
     vocabulary = [f"w{i}é" if i % 9 == 0 else f"w{i}" for i in range(60)]
@@ -47,9 +76,36 @@ def corpus(seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_substrings_match_brute_force(spark, seed):
     rows = corpus(seed)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("p", F.lit(7)).repartition(5)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in dedup_substrings(docs).collect()}
-    assert got == brute_substrings(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"p": F.lit(7), "k": F.lit("clash"), "original": F.col("text")}).repartition(5)
+    got = dedup_substrings(docs).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == Counter(brute_substrings(rows))
+    check_factors([r for r in got if r.doc_id is not None])
+
+
+def test_one_id_on_rows_with_several_texts(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(3, one), (5, f"{one} {two}"), (5, f"{two} {one}"), (7, two), (None, f"{three} x"), (None, three), (None, three), (9, f"{three} y"), (9, f"{three} y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in dedup_substrings(docs).collect())
+    assert got == Counter(brute_substrings(rows))
+    kept = " ".join(t for _, _, _, t in got)
+    assert all(x in kept for x in (one, two, three))
+
+
+@pytest.mark.parametrize("buffer", [1, 50])
+def test_buffers_and_slices_of_any_size(spark, buffer):
+    """Rows that leave a task's buffer early, and batches that cut groups, give the same result."""
+    rows = [r for r in corpus(3) if r[0] is not None]
+    table = pa.table({"text": [t for _, t in rows], "__rlz_k": [i for i, _ in rows], "__rlz_t": pa.array([0] * len(rows), pa.int32())})
+    saved, rlz.BUFFER = rlz.BUFFER, buffer
+    try:
+        sent = pa.Table.from_batches(rlz._index_rows(20, "text")(iter(table.to_batches(max_chunksize=7)))).to_pandas()
+    finally:
+        rlz.BUFFER = saved
+    sent = pa.Table.from_pandas(sent.sort_values(["h", "e", "k", "place"]), preserve_index=False)
+    whole = [pa.Table.from_batches(rlz._repeats(True)(iter(sent.to_batches(max_chunksize=size)))).to_pandas() for size in (1, 3, 1 << 20)]
+    keys = [set(map(tuple, x.values.tolist())) for x in whole]
+    assert keys[0] == keys[1] == keys[2] and len(keys[0]) == len(whole[0])
 
 
 def test_spans_and_clashing_columns(spark):
@@ -58,6 +114,7 @@ def test_spans_and_clashing_columns(spark):
     rows = dedup_substrings(docs).orderBy("doc_id").collect()
     assert rows[0].dup_spans == [] and rows[0].text == text
     assert [(s.start, s.length) for s in rows[1].dup_spans] == [(1, 30)]
+    assert [tuple(f) for f in rows[1].factors] == [(1, 30, 1, 0)]
     assert rows[1].text == rows[2].text == "x"
 
 
