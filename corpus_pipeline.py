@@ -1,7 +1,13 @@
 """The corpus pipeline: five stages, each over the documents that the one before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of documents.
+last return the columns of documents, whatever other columns docs has and however
+they are named.
+
+Defined results, for each stage as for its operator: a document with a null or
+letterless text goes (language ID); null ids, sources and languages stay null;
+repeated rows are exact copies, of which one stays; texts of any length are
+worked on whole; empty documents make an empty result.
 """
 
 from __future__ import annotations
@@ -15,10 +21,12 @@ from loomgraph.llm.pieces import round_trip
 from loomgraph.llm.probminhash import one_of_each
 from loomgraph.llm.queries import PIECE_MODEL
 from loomgraph.llm.rlz import dedup_substrings
-from loomgraph.llm.shared import written
+from loomgraph.llm.shared import removed, written
 
 #: A document goes if its language can't be told (`und`) or the machines are less sure than this.
 LEAST_SCORE = 0.05
+#: Columns that substring dedup adds.
+REMOVAL = ("n_words", "n_removed", "factors", "dup_spans")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,16 +39,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near copies."""
+    """Keeps the document with the smallest id of each class of near copies; rows without an id stay."""
     return one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes words of repeated 20-word windows; a document that loses all of its words goes."""
-    named = docs.withColumnsRenamed({c: f"__own_{c}" for c in ("n_words", "n_removed", "dup_spans") if c in docs.columns})
+    named = docs.withColumnsRenamed({c: f"__own_{c}" for c in REMOVAL if c in docs.columns})
     kept = dedup_substrings(named).filter((F.col("n_words") == 0) | (F.col("n_removed") < F.col("n_words")))
-    kept = kept.withColumn("n_chars", F.length("text").cast("long")).drop("n_words", "n_removed", "dup_spans")
-    return kept.withColumnsRenamed({f"__own_{c}": c for c in ("n_words", "n_removed", "dup_spans")}).select(*docs.columns)
+    kept = kept.withColumn("n_chars", F.length("text").cast("long")).drop(*REMOVAL)
+    return kept.withColumnsRenamed({f"__own_{c}": c for c in REMOVAL}).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +75,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.split()[0].lower())
+        if before is not None:
+            removed(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
