@@ -8,7 +8,8 @@ the template.  Markup settles two kinds of lines beside that: a line that stands
 in an article or main element is the article's and stays, shared or not (a
 sentence that two articles quote is no template), and a line of an element that
 names itself a menu, header, footer, sidebar, notice, advert, form or comment
-goes, shared or not.  Every other line stays if it isn't shared.
+goes, shared or not.  Every other line stays if it isn't shared.  A page without
+such lines needn't wait for its neighbours, but its lines count in theirs.
 
 Names of elements count as whole class or id tokens, whose parts must all be
 known (cookie-notice, left-sidebar; not no-sidebar or social-science), and never
@@ -46,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import written
+from .shared import slices, written
 
 #: Elements by kind.
 DROPPED = set("head script style noscript template iframe object svg canvas math nav aside footer form button select textarea dialog menu datalist audio video map".split())
@@ -303,16 +304,22 @@ BLOCK_TYPE = T.ArrayType(T.StructType().add("line", "integer").add("stays", "boo
 
 
 def _parsed(html: str, names: list[str]):
+    """Pages with their lines; and either their text, where markup settles every line, or their blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            old = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            for at in range(batch.num_rows):  # a page may be long: a row at a time
-                lines = lines_of(old[html][at].as_py())
-                hashes = [_line_hash(text) for text, _ in lines]
-                digest = hashlib.blake2b(b"".join(h.to_bytes(8, "little", signed=True) for h in hashes), digest_size=16).hexdigest()
-                blocks = [{"line": i, "stays": state == STAYS, "text": text} for i, (text, state) in enumerate(lines) if state]
-                new = {"__diff_sig": pa.array([digest]), "__diff_lines": pa.array([hashes], pa.list_(pa.int64())), "__diff_blocks": pa.array([blocks], BLOCK)}
-                yield pa.RecordBatch.from_arrays([new[f] if f in new else old[f].slice(at, 1) for f in names], names=names)
+            for part in slices(batch, html):
+                old = {n: part.column(i) for i, n in enumerate(part.schema.names)}
+                lines, digests, blocks, texts = [], [], [], []
+                for page in old[html]:
+                    found = lines_of(page.as_py())
+                    lines.append([_line_hash(text) for text, _ in found])
+                    digests.append(hashlib.blake2b(b"".join(h.to_bytes(8, "little", signed=True) for h in lines[-1]), digest_size=16).hexdigest())
+                    loose = any(state == OPEN for _, state in found)
+                    blocks.append([{"line": i, "stays": state == STAYS, "text": text} for i, (text, state) in enumerate(found) if state] if loose else None)
+                    texts.append(None if loose else "\n\n".join(text for text, state in found if state))
+                new = {"__diff_sig": pa.array(digests, pa.string()), "__diff_lines": pa.array(lines, pa.list_(pa.int64())), "__diff_blocks": pa.array(blocks, BLOCK), "__diff_text": pa.array(texts, pa.string())}
+                yield pa.RecordBatch.from_arrays([new[f] if f in new else old[f] for f in names], names=names)
 
     return run
 
@@ -331,11 +338,10 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.list_(pa.int32())]
     for batch in batches:
         for host, path, sig, lines, host2, path2, sig2, lines2 in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if host == host2:
-                near = len(commonprefix([path, path2]))
-                left, right = shared_lines(lines, lines2)
-                columns = [host, host2], [sig, sig2], [near, near], [False, True], [left, right]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "sig", "near", "before", "shared"])
+            near = len(commonprefix([path, path2]))
+            left, right = shared_lines(lines, lines2)
+            columns = [host, host2], [sig, sig2], [near, near], [False, True], [left, right]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "sig", "near", "before", "shared"])
 
 
 def _assembled(names: list[str]):
@@ -364,19 +370,22 @@ def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url") ->
     keyed = pages.withColumns({"__diff_host": F.lower(F.regexp_extract(url, "://([^/?#]*)", 1)), "__diff_path": F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1)})
     kept = [f for f in keyed.schema.fields if f.name != html_col]
     own = [f for f in kept if not f.name.startswith("__diff_") and f.name not in ("text", "n_chars", "n_shared")]
-    schema = T.StructType(kept).add("__diff_sig", "string").add("__diff_lines", T.ArrayType(T.LongType())).add("__diff_blocks", BLOCK_TYPE)
+    schema = T.StructType(kept).add("__diff_sig", "string").add("__diff_lines", T.ArrayType(T.LongType())).add("__diff_blocks", BLOCK_TYPE).add("__diff_text", "string")
     parsed = written(keyed.mapInArrow(_parsed(html_col, schema.names), schema), "pages")
     light = parsed.filter(F.size("__diff_lines") > 0).groupBy(F.col("__diff_host").alias("host"), F.col("__diff_sig").alias("sig"))
-    light = light.agg(F.min("__diff_path").alias("path"), F.first("__diff_lines").alias("lines")).select("host", "path", "sig", "lines")
+    light = light.agg(F.min("__diff_path").alias("path"), F.max(F.col("__diff_blocks").isNotNull()).alias("loose"), F.first("__diff_lines").alias("lines"))
+    light = light.select("host", "path", "sig", "loose", "lines")
     order = light.repartitionByRange("host", "path", "sig").sortWithinPartitions("host", "path", "sig")
-    order = written(order.mapInArrow(_numbered, "part int, n long, host string, path string, sig string, lines array<long>"), "order")
+    order = written(order.mapInArrow(_numbered, "part int, n long, host string, path string, sig string, loose boolean, lines array<long>"), "order")
     sizes = order.groupBy("part").agg(F.count("*").alias("rows"))
     starts = sizes.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("start"))  # a row for each partition
-    placed = order.join(starts, "part").select((F.col("start") + F.col("n")).alias("g"), "host", "path", "sig", "lines")
-    nexts = placed.select((F.col("g") - 1).alias("g"), *[F.col(c).alias(f"{c}2") for c in ("host", "path", "sig", "lines")])
-    pairs = placed.join(nexts, "g").drop("g").mapInArrow(_differences, "host string, sig string, near int, before boolean, shared array<int>")
+    placed = order.join(starts, "part").select((F.col("start") + F.col("n")).alias("g"), "host", "path", "sig", "loose", "lines")
+    nexts = placed.select((F.col("g") - 1).alias("g"), *[F.col(c).alias(f"{c}2") for c in ("host", "path", "sig", "loose", "lines")])
+    pairs = placed.join(nexts, "g").filter("host = host2 and (loose or loose2)").drop("g", "loose", "loose2").mapInArrow(_differences, "host string, sig string, near int, before boolean, shared array<int>")
     nearest = pairs.groupBy(F.col("host").alias("__diff_host"), F.col("sig").alias("__diff_sig")).agg(F.max(F.struct("near", "before", "shared")).alias("__diff_best"))
-    joined = parsed.drop("__diff_lines").join(nearest, ["__diff_host", "__diff_sig"], "left").select(*[F.col(f"`{f.name}`") for f in own], "__diff_blocks", F.col("__diff_best.shared").alias("__diff_shared"))
+    names = [F.col(f"`{f.name}`") for f in own]
+    joined = parsed.filter("__diff_blocks is not null").join(nearest, ["__diff_host", "__diff_sig"], "left").select(*names, "__diff_blocks", F.col("__diff_best.shared").alias("__diff_shared"))
     out = T.StructType(own).add("text", "string").add("n_shared", "long")
-    texts = joined.mapInArrow(_assembled(out.names), out)
-    return texts.select(*[F.col(f"`{f.name}`") for f in own], "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
+    settled = parsed.filter("__diff_blocks is null").select(*names, F.col("__diff_text").alias("text"), F.lit(0).cast("long").alias("n_shared"))
+    texts = settled.unionByName(joined.mapInArrow(_assembled(out.names), out))
+    return texts.select(*names, "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
