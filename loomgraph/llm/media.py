@@ -5,14 +5,17 @@ all executors share: a member is a small header and the compressed media bytes,
 and an archive ends with the table of its members.  The data source `loom_media`
 plans byte ranges over the folder's archives; a task reads the members that begin
 in its range, streams them as Arrow batches of a bounded size, and retries each
-member by its own offset.  An archive is written under a temporary name and moved
-into place, named after its partition and contents, so that a task that runs
-again replaces what it wrote.
+member by its own offset.  Archives have names of their own for each attempt of a
+task; those that count are in the manifest, a Parquet table beside them to which
+Spark commits one attempt of each task.  The reader plans by the manifest alone,
+so that archives of lost, repeated or speculative attempts are never read.
 
 The stored form of a text is a WAV file of 8-bit mono samples: its UTF-8 bytes,
 filled with zeros to a positive multiple of 64.  Defined results: a null text is
-empty (64 zeros); a null id is kept; equal texts have equal stored forms; an
-empty table makes no archive and reads as no rows; other columns play no part.
+empty (64 zeros); a null id is kept; equal texts have equal stored forms, and
+repeated rows are members of their own; a text of any length is one member, held
+whole by the task that writes or reads it; an empty table makes no archive and
+reads as no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -37,6 +40,7 @@ UNIT, RATE = 64, 8000
 HEADER = "<qBIIIQ"  # id, has an id, stored bytes, media bytes, crc of the stored bytes, unpadded bytes
 FOOTER = "<QI4s"  # place of the table, its entries, mark
 MARK = b"LMA1"
+MANIFEST = "manifest"
 ARCHIVE_BYTES, BATCH_BYTES, RANGE_BYTES, TRIES = 64 << 20, 8 << 20, 8 << 20, 3
 SCHEMA = "doc_id long, n_bytes long, media binary, archive string, offset long"
 
@@ -64,55 +68,50 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 class _Writer:
     def __init__(self, folder: str):
         self.files, self.root = fs.FileSystem.from_uri(folder)
-        self.temporary, self.stream, self.table = "", None, []
-        self.digest = hashlib.sha256()
+        self.name, self.stream, self.table = "", None, []
 
     def add(self, number: int | None, text: str | None) -> bool:
         """Appends a member; true if the archive is full."""
         if self.stream is None:
-            self.temporary = f"{self.root}/.{uuid.uuid4().hex}"
-            self.stream, self.table, self.digest = self.files.open_output_stream(self.temporary), [], hashlib.sha256()
+            self.name = f"{uuid.uuid4().hex}.lma"
+            self.stream, self.table = self.files.open_output_stream(f"{self.root}/{self.name}"), []
         payload, own = payload_of(text)
         media = wav(payload)
         stored = pa.compress(media, "zstd", asbytes=True)
         self.table.append(self.stream.tell())
-        head = struct.pack(HEADER, number or 0, number is not None, len(stored), len(media), zlib.crc32(stored), own)
-        self.digest.update(head)
-        self.stream.write(head)
+        self.stream.write(struct.pack(HEADER, number or 0, number is not None, len(stored), len(media), zlib.crc32(stored), own))
         self.stream.write(stored)
         return self.stream.tell() >= ARCHIVE_BYTES
 
-    def close(self, partition: int) -> tuple[str, int]:
+    def close(self) -> tuple[str, int, int]:
+        """Ends an archive: its name, members and bytes."""
         at = self.stream.tell()
         self.stream.write(np.array(self.table, np.int64).tobytes())
         self.stream.write(struct.pack(FOOTER, at, len(self.table), MARK))
+        size = self.stream.tell()
         self.stream.close()
-        name = f"{self.root}/{partition:06d}-{self.digest.hexdigest()[:24]}.lma"
-        self.files.move(self.temporary, name)
         self.stream = None
-        return name, len(self.table)
+        return self.name, len(self.table), size
 
 
 def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> int:
-    """Packs the texts into archives in a shared folder; the number of members."""
+    """Packs the texts into archives in a shared folder, with their manifest; the number of members."""
     files, root = fs.FileSystem.from_uri(folder)
     files.create_dir(root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        partition, writer = TaskContext.get().partitionId(), _Writer(folder)
-        done = []
+        writer, done = _Writer(folder), []
         for batch in batches:
             for number, text in zip(batch.column(0), batch.column(1), strict=True):
                 if writer.add(number.as_py(), text.as_py()):
-                    done.append(writer.close(partition))
+                    done.append(writer.close())
         if writer.stream is not None:
-            done.append(writer.close(partition))
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([m for _, m in done], pa.int64())], names=["archive", "members"])
+            done.append(writer.close())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["archive", "members", "bytes"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, "archive string, members long")
-    return rows.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    rows = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
+    rows.mapInArrow(run, "archive string, members long, bytes long").write.parquet(f"{folder}/{MANIFEST}")
+    return docs.sparkSession.read.parquet(f"{folder}/{MANIFEST}").agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
 
 
 @dataclass
@@ -128,7 +127,8 @@ class MediaReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         files, root = fs.FileSystem.from_uri(self.folder)
-        found = sorted((x.path, x.size) for x in files.get_file_info(fs.FileSelector(root)) if x.path.endswith(".lma"))
+        manifest = dataset.dataset(f"{root}/{MANIFEST}", filesystem=files, format="parquet", exclude_invalid_files=False).to_table(columns=["archive", "bytes"])
+        found = sorted((f"{root}/{name}", size) for name, size in zip(*(c.to_pylist() for c in manifest.columns), strict=True))
         return [ByteRange(path, at, min(at + self.range_bytes, size)) for path, size in found for at in range(0, size, self.range_bytes)] or [ByteRange("", 0, 0)]
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
