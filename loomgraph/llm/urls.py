@@ -1,9 +1,11 @@
 """URL filters on a sorted digest array.
 
-All list entries (rules host/path, and blocked hosts) go into one index: their
-64-bit xxhash digests, sorted, and the full strings in the same order.  The index
-is checked against MAX_BYTES, shipped once to each executor as plain files, and
-memory-mapped there.  A batch's candidate strings (every parent domain of the
+All list entries (rules host/path, and blocked hosts; small ones from Python, any
+size as DataFrames) go into one index: their 64-bit xxhash digests, sorted, and
+the full strings in the same order.  Spark sorts the entries by digest, and each
+range of digests becomes files in the shared folder.  The index is checked against
+MAX_BYTES; each executor maps the files into memory, or a copy of them where the
+folder isn't mounted.  A batch's candidate strings (every parent domain of the
 host, with every path prefix as long as some rule's path) are hashed and probed
 by one vectorised binary search; a hit counts only if the stored string is equal,
 so that colliding digests can't match.
@@ -12,8 +14,12 @@ The longest rule that fits decides; a URL without a rule is blocked if its host
 or a parent domain is a blocked host, else allowed.
 
 Defined results: a null URL or one without :// has an empty host and path and is
-allowed; repeated rows are judged alike; other columns pass through (a result
-column replaces one of that name).
+allowed; of rules of one length the last by code points wins (two that fit are
+then equal, so it is the same one); an entry on several rows counts once, a rule
+with several verdicts blocks; a null entry is none; repeated rows are judged
+alike; a URL of any length is judged whole; an empty table gives an empty result,
+an empty list allows all; other columns pass through (a result column replaces one
+of that name).
 """
 
 from __future__ import annotations
@@ -26,65 +32,112 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import shared_dir
+
 MAX_BYTES = 1 << 30
+RANGE_BYTES = 64 << 20
 
 #: The rules of the data contract, and the hosts that the default list blocks.
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 BLOCKED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com", "adult-x.example.net", "free-bets.example.com", "casino-win.example.org", "ads-track.example.org")
 
 
+def _local(folder: str, name: str) -> str:
+    """A file of a shared folder as a local path: its own where the folder is mounted, else a copy in this task's machine."""
+    files, root = fs.FileSystem.from_uri(folder)
+    if isinstance(files, fs.LocalFileSystem):
+        return f"{root}/{name}"
+    own = Path(tempfile.gettempdir(), f"loomgraph-{uuid.uuid5(uuid.NAMESPACE_URL, folder + name).hex}")
+    if not own.exists():
+        part = own.with_suffix(f".{uuid.uuid4().hex}")
+        with files.open_input_stream(f"{root}/{name}") as source, part.open("wb") as target:
+            while piece := source.read(8 << 20):
+                target.write(piece)
+        part.rename(own)
+    return str(own)
+
+
+def _write_index(folder: str):
+    """Rows (digest, entry, tag) of one range, in order: their files, and a row with the range's name and first digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(folder)
+        table = pa.Table.from_batches(batches, pa.schema([("digest", pa.int64()), ("entry", pa.string()), ("tag", pa.int64())]))
+        if table.num_rows:
+            stem = uuid.uuid4().hex
+            strings = [x.encode() for x in table.column("entry").to_pylist()]
+            digests = np.asarray(table.column("digest")).view(np.uint64) ^ np.uint64(1 << 63)
+            for kind, raw in (("digests", digests.tobytes()), ("offsets", np.cumsum([0, *map(len, strings)]).astype(np.int64).tobytes()), ("strings", b"".join(strings)), ("tags", np.asarray(table.column("tag")).tobytes())):
+                with files.open_output_stream(f"{root}/{stem}-{kind}") as out:
+                    out.write(raw)
+            yield pa.RecordBatch.from_arrays([pa.array([stem]), table.column("digest").combine_chunks().slice(0, 1)], names=["stem", "first"])
+
+    return run
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of each entry, in signed order."""
+    for batch in batches:
+        keys = np.array([xxhash.xxh64_intdigest(x.encode()) for x in batch.column(0).to_pylist()], np.uint64) ^ np.uint64(1 << 63)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *batch.columns], names=["digest", "entry", "tag"])
+
+
+def build_index(entries: DataFrame) -> tuple[str, list[str]]:
+    """Writes the index of entries (entry string, tag long; one row for each entry): its folder, and its ranges in order."""
+    spark = entries.sparkSession
+    total = entries.agg(F.sum(F.octet_length("entry") + 24)).first()[0] or 0
+    if total > MAX_BYTES:
+        raise ValueError(f"the list takes {total} bytes; at most {MAX_BYTES} can be mapped by each executor")
+    folder = f"{shared_dir(spark)}/urls-{uuid.uuid4().hex}"
+    files, root = fs.FileSystem.from_uri(folder)
+    files.create_dir(root)
+    ranges = max(1, -(-total // RANGE_BYTES))
+    ordered = entries.mapInArrow(_hashed, "digest long, entry string, tag long").repartitionByRange(ranges, "digest").sortWithinPartitions("digest", "entry")
+    return folder, [r.stem for r in sorted(ordered.mapInArrow(_write_index(folder), "stem string, first long").collect(), key=lambda r: r.first)]
+
+
 class DigestIndex:
-    """Sorted digests, and the strings and tags in the same order, as memory-mapped files."""
-
-    def __init__(self, folder: str, names: tuple[str, str, str, str]):
-        digests, offsets, strings, tags = (Path(folder, n) for n in names)
-        self.digests, self.offsets, self.tags = (np.load(x, mmap_mode="r") for x in (digests, offsets, tags))
-        self.strings = np.memmap(strings, np.uint8, "r") if strings.stat().st_size else np.zeros(0, np.uint8)
-
-    @staticmethod
-    def build(entries: dict[str, int], folder: str) -> tuple[str, str, str, str]:
-        """Writes the index of strings with tags; the names of its files."""
-        total = sum(len(s.encode()) + 17 for s in entries)
-        if total > MAX_BYTES:
-            raise ValueError(f"the list takes {total} bytes; at most {MAX_BYTES} can be shipped to each executor")
-        rows = sorted((xxhash.xxh64_intdigest(s.encode()), s.encode(), tag) for s, tag in entries.items())
-        stem = uuid.uuid4().hex
-        names = tuple(f"{stem}-{x}" for x in ("digests.npy", "offsets.npy", "strings.bin", "tags.npy"))
-        np.save(Path(folder, names[0]), np.array([d for d, _, _ in rows], np.uint64))
-        np.save(Path(folder, names[1]), np.concatenate([[0], np.cumsum([len(s) for _, s, _ in rows])]).astype(np.int64))
-        Path(folder, names[2]).write_bytes(b"".join(s for _, s, _ in rows))
-        np.save(Path(folder, names[3]), np.array([t for _, _, t in rows], np.int64))
-        return names
+    """Sorted digests, and the strings and tags in the same order, as memory-mapped files of one range each."""
+
+    def __init__(self, folder: str, stems: list[str]):
+        self.ranges = []
+        for stem in stems:
+            mapped = lambda kind, of: np.memmap(p, of, "r") if Path(p := _local(folder, f"{stem}-{kind}")).stat().st_size else np.zeros(0, of)  # noqa: B023, E731
+            self.ranges.append((mapped("digests", np.uint64), mapped("offsets", np.int64), mapped("strings", np.uint8), mapped("tags", np.int64)))
 
     def find(self, texts: list[bytes]) -> np.ndarray:
         """The tag of each string; -1: not in the index."""
         keys = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64)
-        at = np.searchsorted(self.digests, keys)
         out = np.full(len(texts), -1, np.int64)
-        live = np.arange(len(texts))
-        while len(live):
-            live = live[at[live] < len(self.digests)]
-            live = live[self.digests[at[live]] == keys[live]]
-            same = np.array([self.strings[self.offsets[at[i]] : self.offsets[at[i] + 1]].tobytes() == texts[i] for i in live], bool)
-            out[live[same]] = self.tags[at[live[same]]]
-            live = live[~same]
-            at[live] += 1
+        for digests, offsets, strings, tags in self.ranges:
+            at = np.searchsorted(digests, keys)
+            live = np.flatnonzero(out < 0)
+            while len(live):
+                live = live[at[live] < len(digests)]
+                live = live[digests[at[live]] == keys[live]]
+                same = np.array([strings[offsets[at[i]] : offsets[at[i] + 1]].tobytes() == texts[i] for i in live], bool)
+                out[live[same]] = tags[at[live[same]]]
+                live = live[~same]
+                at[live] += 1
         return out
 
 
-def _judge(names: tuple, rules: list[tuple[str, str]], widths: list[int], fields: list[str]):
-    def decide(index: DigestIndex, host: str, path: str) -> list[bytes]:
+ALLOW, BLOCK, HOST = 0, 1, 2  # tags of entries
+
+
+def _judge(folder: str, stems: list[str], widths: list[int], fields: list[str]):
+    def candidates(host: str, path: str) -> list[bytes]:
         labels = host.split(".")
         parents = [".".join(labels[i:]) for i in range(len(labels))] if host else []
         return [(p + path[:w]).encode() for p in parents for w in widths if len(path) >= w] + [b"\0" + p.encode() for p in parents]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = DigestIndex(SparkFiles.getRootDirectory(), names)
+        index = DigestIndex(folder, stems)
         known: dict[tuple[str, str], tuple[str | None, str]] = {}
         reach = max(widths, default=0)
         for batch in batches:
@@ -93,34 +146,38 @@ def _judge(names: tuple, rules: list[tuple[str, str]], widths: list[int], fields
             if len(known) > 200_000:
                 known.clear()
             fresh = [k for k in dict.fromkeys(keys) if k not in known]
-            groups = [decide(index, *k) for k in fresh]
+            groups = [candidates(*k) for k in fresh]
             tags = index.find([t for g in groups for t in g])
             done = 0
             for k, g in zip(fresh, groups, strict=True):
-                own = tags[done : done + len(g)]
+                own = tags[done : done + len(g)].tolist()
                 done += len(g)
-                fits = [rules[t] for t in own if 0 <= t < len(rules)]
+                fits = [(x.decode(), tag) for x, tag in zip(g, own, strict=True) if tag in (ALLOW, BLOCK)]
                 rule = max(fits, key=lambda r: (len(r[0]), r[0]), default=None)
-                known[k] = rule if rule else (None, "block" if (own == len(rules)).any() else "allow")
+                known[k] = (rule[0], ("allow", "block")[rule[1]]) if rule else (None, "block" if HOST in own else "allow")
             new = {"rule": pa.array([known[k][0] for k in keys], pa.string()), "verdict": pa.array([known[k][1] for k in keys], pa.string())}
             yield pa.RecordBatch.from_arrays([new.get(f, old.get(f)) for f in fields], names=fields)
 
     return run
 
 
-def filter_urls(pages: DataFrame, url_col: str = "url", rules: dict[str, str] = RULES, blocked_hosts: tuple[str, ...] = BLOCKED_HOSTS) -> DataFrame:
-    """pages with host, path, rule (the longest that fits, or null) and verdict (allow or block)."""
-    listed = sorted(rules.items())
-    entries = {r: i for i, (r, _) in enumerate(listed)} | {"\0" + h: len(listed) for h in blocked_hosts}
-    folder = tempfile.mkdtemp(prefix="loomgraph-urls-")
-    names = DigestIndex.build(entries, folder)
-    for name in names:
-        pages.sparkSession.sparkContext.addFile(str(Path(folder, name)))
-    widths = sorted({len(r) - r.index("/") for r, _ in listed})
+def filter_urls(pages: DataFrame, url_col: str = "url", rules: dict[str, str] | DataFrame = RULES, blocked_hosts: tuple[str, ...] | DataFrame = BLOCKED_HOSTS) -> DataFrame:
+    """pages with host, path, rule (the longest that fits, or null) and verdict (allow or block).
+
+    rules: {host/path: verdict}, or a DataFrame (rule, verdict); blocked_hosts: names, or a DataFrame (host)."""
+    spark: SparkSession = pages.sparkSession
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list(rules.items()), "rule string, verdict string")
+    if not isinstance(blocked_hosts, DataFrame):
+        blocked_hosts = spark.createDataFrame([(h,) for h in blocked_hosts], "host string")
+    of_rules = rules.filter("rule is not null and instr(rule, '/') > 0").select(F.col("rule").alias("entry"), F.when(F.col("verdict") == "allow", ALLOW).otherwise(BLOCK).alias("tag"))
+    of_hosts = blocked_hosts.filter("host is not null").select(F.concat(F.lit("\0"), F.col("host")).alias("entry"), F.lit(HOST).alias("tag"))
+    folder, stems = build_index(of_rules.unionByName(of_hosts).groupBy("entry").agg(F.max("tag").cast("long").alias("tag")))
+    widths = [r[0] for r in of_rules.select((F.length("entry") - F.instr("entry", "/") + 1).alias("w")).distinct().orderBy("w").collect()]
     url = F.coalesce(F.col(f"`{url_col}`"), F.lit(""))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     parts = {"host": F.translate(F.regexp_extract(url, "://([^/?#]*)", 1), upper, lower), "path": F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1)}
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     split = pages.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(n) for n, c in parts.items()])
     schema = T.StructType([*split.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
-    return split.mapInArrow(_judge(names, listed, widths, schema.names), schema)
+    return split.mapInArrow(_judge(folder, stems, widths, schema.names), schema)
