@@ -7,14 +7,19 @@ covers alone may be an unknown one (ten below the worst score), written as byte
 pieces.  The scores are those of the given model file, whatever its kind.
 
 No piece holds a space after another character, so the best split of a text is
-the best splits of its space-led chunks, one after the other.  Each batch's
-distinct chunks go through the automaton side by side, as numpy arrays; very
-long chunks go alone.  The automaton is built once from the model file (its size
+the best splits of its space-led chunks, one after the other.  Long chunks (text
+without spaces) are cut further between two characters that stand side by side in
+no piece, where no piece can cross.  Each batch's distinct chunks, confirmed byte
+by byte, go through the automaton side by side, as numpy arrays; chunks that are
+still very long go alone.  The automaton is built once from the model file (its size
 is bounded by MAX_BYTES) and broadcast.
 
 Defined results: a null or empty text has no ids, and no ids decode to an empty
 text.  Decoding gives back every text exactly, a literal U+2581 included (it is
-written as bytes, and never stands for a space).  Other columns pass through.
+written as bytes, and never stands for a space).  Of splits with equal scores the
+one whose last piece is longer wins; repeated rows have equal ids; a text of any
+length is encoded whole; an empty table gives an empty result.  Other columns pass
+through, but for result columns of the same name.
 """
 
 from __future__ import annotations
@@ -73,6 +78,8 @@ class Automaton:
                 queue.append(child)
         self.first = np.where(self.piece >= 0, np.arange(n), self.link).astype(np.int32)
         self.unknown = min(s for _, _, s in pieces) - 10.0
+        chars = [p.decode() for p, _, _ in pieces]
+        self.pairs = np.unique(np.array([ord(x) << 32 | ord(y) for p in chars for x, y in zip(p, p[1:])], np.uint64))
         self.byte_ids = np.array(byte_ids, np.int32)
         text = {number: piece for piece, number, _ in pieces} | {number: bytes([b]) for b, number in enumerate(byte_ids)}
         parts = [text.get(i, b"") for i in range(n_ids)]
@@ -205,6 +212,15 @@ def _ragged(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return values[np.arange(int(size.sum())) + np.repeat(at - out, size)]
 
 
+def _cuts(a: Automaton, raw: np.ndarray) -> np.ndarray:
+    """First bytes of the characters of a chunk that no piece joins with the character before."""
+    text = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    pair = text[:-1] << np.uint64(32) | text[1:]
+    near = np.searchsorted(a.pairs, pair)
+    joined = a.pairs[np.minimum(near, len(a.pairs) - 1)] == pair if len(a.pairs) else np.zeros(len(pair), bool)
+    return np.flatnonzero((raw & 0xC0) != 0x80)[1:][~joined]
+
+
 def encode_column(a: Automaton, column: pa.Array) -> pa.Array:
     """Ids of each text."""
     raw, offsets = text_bytes(column)
@@ -226,12 +242,24 @@ def encode_column(a: Automaton, column: pa.Array) -> pa.Array:
     at = np.flatnonzero(head)
     if not len(at):
         return list_array(np.zeros(0, np.int32), np.zeros(n, np.int64), pa.int32())
+    ends = np.sort(np.concatenate([at, empty, [len(led)]]))
+    size = ends[np.searchsorted(ends, at, side="right")] - at
+    more = [at[i] + _cuts(a, led[at[i] : at[i] + size[i]]) for i in np.flatnonzero(size > LONG)]
+    at = np.sort(np.concatenate([at, *more]))
     edge = np.sort(np.concatenate([at, empty, [len(led)]]))
     size = edge[np.searchsorted(edge, at, side="right")] - at
     place = np.arange(len(led)) - np.repeat(edge[:-1] if edge[0] == 0 else np.concatenate([[0], edge[:-1]]), np.diff(edge if edge[0] == 0 else np.concatenate([[0], edge])))
     value = mix(led.astype(np.uint64) + np.uint64(1)) * powers(0x5851F42D4C957F2D, int(place.max()) + 1)[place]
     key = mix(np.add.reduceat(value, edge[:-1])[np.searchsorted(edge, at)] + size.astype(np.uint64))
     _, which, twin = np.unique(key, return_index=True, return_inverse=True)
+    other = np.flatnonzero(size != size[which[twin]])
+    same = np.flatnonzero(size == size[which[twin]])
+    unlike = _ragged(led, at[same], size[same]) != _ragged(led, at[which[twin[same]]], size[same])
+    if len(other) or unlike.any():  # equal hashes of different chunks: those stand for themselves
+        begin_same = np.cumsum(size[same]) - size[same]
+        other = np.union1d(other, same[np.add.reduceat(unlike, begin_same) > 0])
+        twin[other] = len(which) + np.arange(len(other))
+        which = np.concatenate([which, other])
     ids, count = _split(a, led, at[which], size[which])
     begin_ids = np.cumsum(count) - count
     out = _ragged(ids, begin_ids[twin], count[twin])
