@@ -2,15 +2,18 @@
 
 Each assistant turn becomes an example of its own: all turns before it as
 context, and only that reply under the loss mask.  Turns after the last reply
-(or a conversation without one) make a last example with an empty mask, so that
-the output holds every turn.  A turn is written <turn>role<text>text</turn> and a
+(or a conversation without one) make a last example with an empty mask and
+trainable false, so that the output holds every turn and a trainer can leave such
+rows out.  A turn is written <turn>role<text>text</turn> and a
 line end; inside, a backslash is written \\b and < is written \\l, so that no text
 can hold a control string.  All of it is built-in expressions on one row for each
 conversation; the examples are exploded from there without another shuffle.
 
 Defined results: a null text or role is empty; turns with one number are ordered
 by role and text, null turns come first; a null conversation id is one
-conversation; an empty table gives no examples; other columns play no part.
+conversation; repeated rows are turns of their own; a conversation of any length
+is one row, and its examples repeat its turns; an empty table gives no examples;
+other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ def unescaped(x: Column) -> Column:
 
 def chat_examples(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row for each example: conv_id, n (its number of turns), formatted, loss_start and loss_length (code points of the
-    trainable reply in formatted; a length of 0 and a start of -1 without one)."""
+    trainable reply in formatted; a length of 0 and a start of -1 without one), and trainable (whether there is one)."""
     turn = F.struct(F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     talks = rows.groupBy(F.col(f"`{conv_col}`").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     head = lambda t: F.concat(F.lit("<turn>"), escaped(t["role"]), F.lit("<text>"))
@@ -47,6 +50,7 @@ def chat_examples(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.array_join(F.slice("written", F.lit(1), F.col("n")), "").alias("formatted"),
         F.when(last["reply"], before + last["head"]).otherwise(-1).cast("long").alias("loss_start"),
         F.when(last["reply"], last["text"]).otherwise(0).cast("long").alias("loss_length"),
+        last["reply"].alias("trainable"),
     )
 
 

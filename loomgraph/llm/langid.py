@@ -10,7 +10,11 @@ prediction runs over all documents in Arrow batches, without a shuffle.
 Defined results: a null text or one without a letter is `und` with score 0, as
 is every text when there was nothing to learn from; with one learned language
 every text with a letter has it, with score 1; rows without an id are never
-learned from and aren't held out; other columns pass through.
+learned from and aren't held out; repeated rows are predicted alike (and may all
+be learned from); of languages with equal votes the first by code wins, as does
+the first family of equal margins; a text of any length is read whole; an empty
+table gives an empty result, and nothing to learn from; other columns pass
+through, but for result columns of the same name.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ FAMILIES = {
 FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 
 DIMS = 2048
+LEAST_ROWS = 10
 LETTER = r"\p{L}"
 
 
@@ -136,10 +141,14 @@ def bucket(id_col: str):
 
 
 def learn(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 4000) -> Model | None:
-    """A model from at most max_rows of the labelled rows; None if there are none.  Languages share the bound equally."""
+    """A model from at most max_rows of the labelled rows; None if there are none.  Languages share the bound equally; each
+    needs LEAST_ROWS of it, so that more than max_rows / LEAST_ROWS languages are an error, not cut."""
     rows = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.filter("lang is not null and id is not null").filter(F.coalesce(F.col("text").rlike(LETTER), F.lit(False)))
-    counts = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_rows // 10).collect())
+    per_lang = rows.groupBy("lang").count()
+    if (n_langs := per_lang.count()) > max_rows // LEAST_ROWS:
+        raise ValueError(f"{n_langs} languages need max_rows of {n_langs * LEAST_ROWS} at least")
+    counts = dict(per_lang.collect())
     if not counts:
         return None
     each = max_rows // len(counts)

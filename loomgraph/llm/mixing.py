@@ -2,15 +2,19 @@
 
 A block is a fixed number of words.  Blocks go to sources by highest quotients
 target / (2 seats + 1); each source's blocks go to its shards in the same way.
-A shard is a bounded part of a source (by a seeded hash of the id), so that a
-source with a third of all rows is many shards.  In a shard the documents stand
+A shard is a bounded part of a source (by a seeded hash of id and text, so that
+rows without an id spread too), so that a source with a third of all rows is many
+shards.  In a shard the documents stand
 in a seeded order and form one stream of words; the shard's quota is taken from
 its start and around again, at most twice.  Only sizes are gathered: one row for
 each source and for each shard.
 
 Defined results: a null text has size 0; a null source is a source, the last
 one; rows are single documents, whatever their ids (equal rows may swap what is
-taken from them); no words at all: nothing is taken; other columns pass through.
+taken from them); of equal quotients the earlier source or shard has the block;
+a text of any length is counted whole, and may be taken in part; no words at all:
+nothing is taken; an empty table gives an empty result; other columns pass
+through, but for result columns of the same name.
 """
 
 from __future__ import annotations
@@ -75,7 +79,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     most times its source's size.  texts: all columns pass through, and the text too; else only id and source.
     """
     key = F.when(F.col(f"`{source_col}`").isNull(), F.lit("n")).otherwise(F.concat(F.lit("k"), F.col(f"`{source_col}`"))).alias("__mix_key")
-    chance = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("string")).alias("__mix_chance")
+    chance = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")).alias("__mix_chance")
     size = word_count(F.col(f"`{text_col}`")).alias("__mix_size")
     kept = [F.col(f"`{c}`") for c in (docs.columns if texts else [id_col, source_col])]
     light = written(docs.select(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), key, chance, size), "sizes")

@@ -2,19 +2,23 @@
 
 import hashlib
 import heapq
+import io
+import math
 import random
+import wave
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomgraph.llm import media
+from loomgraph.llm import media, urls
 from loomgraph.llm.mixing import mix, mixed_texts, sainte_lague, shares
 from loomgraph.llm.queries import ORACLES, QUERIES
-from loomgraph.llm.urls import DigestIndex, filter_urls
+from loomgraph.llm.urls import DigestIndex, build_index, filter_urls
 
 
 def test_sainte_lague_matches_highest_quotients():
@@ -71,15 +75,26 @@ def test_nothing_to_mix(spark):
     assert [(r.size, r.taken) for r in mix(blank).collect()] == [(0, 0), (0, 0)]
 
 
-def test_digest_index_confirms_strings(tmp_path, monkeypatch):
+def test_digest_index_confirms_strings(spark, monkeypatch):
+    table = spark.createDataFrame([("a", 0), ("b", 1), ("", 2)], "entry string, tag long")
+    assert DigestIndex(*build_index(table)).find([b"a", b"b", b"", b"c"]).tolist() == [0, 1, 2, -1]
+    monkeypatch.setattr(urls, "RANGE_BYTES", 30)
+    many = [(f"e{i}", i) for i in range(50)]
+    folder, stems = build_index(spark.createDataFrame(many, "entry string, tag long"))
+    assert len(stems) > 3 and DigestIndex(folder, stems).find([f"e{i}".encode() for i in range(51)]).tolist() == [*range(50), -1]
+    assert DigestIndex(*build_index(table.limit(0))).find([b"a"]).tolist() == [-1]
+    monkeypatch.setattr(urls, "MAX_BYTES", 20)
+    with pytest.raises(ValueError, match="bytes"):
+        build_index(table)
+
+
+def test_equal_digests_of_other_strings_do_not_match(tmp_path, monkeypatch):
     import xxhash
 
-    names = DigestIndex.build({"a": 0, "b": 1, "": 2}, str(tmp_path))
-    index = DigestIndex(str(tmp_path), names)
-    assert index.find([b"a", b"b", b"", b"c"]).tolist() == [0, 1, 2, -1]
     monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda x: 7)  # all digests collide
-    names = DigestIndex.build({"a": 0, "b": 1, "c": 2}, str(tmp_path))
-    assert DigestIndex(str(tmp_path), names).find([b"c", b"a", b"x", b"b"]).tolist() == [2, 0, -1, 1]
+    batch = next(urls._hashed(iter([pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array([0, 1, 2], pa.int64())], names=["entry", "tag"])])))
+    stems = [b.column(0)[0].as_py() for b in urls._write_index(f"file://{tmp_path}")(iter([batch]))]
+    assert DigestIndex(f"file://{tmp_path}", stems).find([b"c", b"a", b"x", b"b"]).tolist() == [2, 0, -1, 1]
 
 
 def test_url_rules(spark):
@@ -97,6 +112,39 @@ def test_url_rules(spark):
     assert got[11][2:] == (None, "block") == got[12][2:] and got[12][1] == "" and got[13][:2] == ("É.net", "")
 
 
+def test_url_lists_from_tables(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x/1"), (2, "http://b.a.org/y"), (3, "http://c.com/")], "page_id long, url string")
+    rules = spark.createDataFrame([("a.org/x/", "block"), ("a.org/x/", "allow"), ("a.org/", "allow"), (None, "block"), ("no path", "block")], "rule string, verdict string")
+    hosts = spark.createDataFrame([("c.com",), ("c.com",), (None,)], "host string")
+    got = {r.page_id: (r.rule, r.verdict) for r in filter_urls(pages, rules=rules, blocked_hosts=hosts).collect()}
+    assert got == {1: ("a.org/x/", "block"), 2: ("a.org/", "allow"), 3: (None, "block")}
+    assert filter_urls(pages.limit(0)).collect() == []
+    assert {r.verdict for r in filter_urls(pages, rules={}, blocked_hosts=()).collect()} == {"allow"}
+
+
+def plain_media(text):
+    """The stored form, digests and features of a text, from the contract and the WAV format alone."""
+    raw = (text or "").encode()
+    payload = raw.ljust(max(64, (len(raw) + 63) // 64 * 64), b"\0")
+    stream = io.BytesIO()
+    with wave.open(stream, "wb") as out:
+        out.setnchannels(1)
+        out.setsampwidth(1)
+        out.setframerate(8000)
+        out.writeframes(payload)
+    x = [b - 128 for b in payload]
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+    feature = f"mean={sum(x) / len(x):.6f};rms={math.sqrt(sum(v * v for v in x) / len(x)):.6f};crossings={crossings};peak={max(map(abs, x))}"
+    media_bytes = stream.getvalue()
+    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media_bytes), hashlib.sha256(media_bytes).hexdigest(), feature
+
+
+def test_media_query_matches_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    want = sorted((r.doc_id, *plain_media(r.text)) for r in docs)
+    assert sorted(tuple(r) for r in QUERIES["op8_media_columns"](spark, small).collect()) == want
+
+
 def test_media_round_trip_by_ranges(spark, tmp_path):
     rows = [(i, "é" * i) for i in range(200)] + [(None, None), (7, "dup"), (8, "dup"), (300, "long " * 200_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -113,7 +161,7 @@ def test_media_round_trip_by_ranges(spark, tmp_path):
     assert len(twins) == 1
 
 
-def test_media_retries_and_damage(spark, tmp_path):
+def test_media_damage(spark, tmp_path):
     folder = f"file://{tmp_path}/b"
     media.write_archives(spark.createDataFrame([(1, "abc"), (2, "def")], "doc_id long, text string").coalesce(1), folder)
     archive = next((tmp_path / "b").glob("*.lma"))
@@ -125,6 +173,35 @@ def test_media_retries_and_damage(spark, tmp_path):
         list(reader.read(reader.partitions()[0]))
 
 
+@pytest.mark.parametrize("failures", [1, 2])
+def test_media_member_recovers(spark, tmp_path, monkeypatch, failures):
+    """A member that fails once or twice is read again by its offset; the others are read once."""
+    folder = f"file://{tmp_path}/d"
+    media.write_archives(spark.createDataFrame([(1, "abc"), (2, "def"), (3, "ghi")], "doc_id long, text string").coalesce(1), folder)
+    reader, real, seen = media.MediaReader({"path": folder}), zlib.crc32, []
+
+    def shaky(data):
+        seen.append(data)
+        return real(data) ^ (1 if 1 < len(seen) <= 1 + failures else 0)
+
+    monkeypatch.setattr(media.zlib, "crc32", shaky)
+    rows = [r for batch in reader.read(reader.partitions()[0]) for r in batch.to_pylist()]
+    assert [r["doc_id"] for r in rows] == [1, 2, 3] and len(seen) == 3 + failures
+    assert [media.samples(r["media"]).rstrip(b"\0") for r in rows] == [b"abc", b"def", b"ghi"]
+
+
+def test_archives_of_other_attempts_are_not_read(spark, tmp_path):
+    folder = f"file://{tmp_path}/e"
+    media.write_archives(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), folder)
+    stray = media._Writer(folder)
+    stray.add(1, "abc from an attempt that was lost")
+    stray.close()
+    half = media._Writer(folder)
+    half.add(2, "an archive without its end")
+    half.stream.close()
+    assert [r.doc_id for r in media.read_archives(spark, folder).collect()] == [1]
+
+
 def test_no_media(spark, tmp_path):
     folder = f"file://{tmp_path}/c"
     assert media.write_archives(spark.createDataFrame([], "doc_id long, text string"), folder) == 0

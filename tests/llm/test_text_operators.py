@@ -1,11 +1,15 @@
 """HTML, quality, pieces, language and chat against brute force."""
 
 import hashlib
+import math
 import os
 import random
 import re
 import time
+import zlib
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -164,6 +168,11 @@ def test_quality_counts_match_brute_force(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_no_texts_to_judge(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, kept string")
+    assert quality(empty).collect() == []
+
+
 def test_rules_decide(spark):
     good = " ".join(f"the word{i}" for i in range(30))
     docs = spark.createDataFrame([(1, good), (2, good.replace("the", "zzz")), (3, good.replace("the", "the###"))], "doc_id long, text string")
@@ -217,9 +226,92 @@ def test_pieces_query_is_lossless(spark, small):
     assert out.count() == spark.read.parquet(f"{small}/documents.parquet").count()
 
 
+def test_long_texts_without_spaces(automaton):
+    """Cut where no piece crosses, they get the split of the byte-by-byte search, in a fraction of its time."""
+    rng = random.Random(9)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(400)), "日本語の文章" * 120, "x" * 700 + "人大" * 90, "é▁" * 300 + "ab"]
+    got = pieces.encode_column(automaton, pa.array(texts)).to_pylist()
+    for text, ids in zip(texts, got, strict=True):
+        raw = np.frombuffer(b" " + text.encode(), np.uint8)
+        own, at = pieces._one(automaton, raw, pieces._char_lengths(raw))
+        ends = [*at[1:].tolist(), len(raw)]
+        assert ids == [x for i, a, e in zip(own.tolist(), at.tolist(), ends, strict=True) for x in ([i] if i >= 0 else automaton.byte_ids[raw[a:e]].tolist())]
+    long = "".join(chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(200_000))
+    began = time.process_time()
+    assert pieces.decode_column(automaton, pieces.encode_column(automaton, pa.array([long]))).to_pylist() == [long]
+    assert time.process_time() - began < 8
+
+
+def test_equal_chunk_hashes_are_confirmed(automaton, monkeypatch):
+    texts = ["the cat", "the dog  the cat", "a b c", None, "catcat  dog"]
+    want = pieces.encode_column(automaton, pa.array(texts)).to_pylist()
+    monkeypatch.setattr(pieces, "mix", lambda x: np.zeros(len(x), np.uint64))  # all hashes collide
+    assert pieces.encode_column(automaton, pa.array(texts)).to_pylist() == want
+
+
+def test_pieces_with_clashing_columns_and_no_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", "old", 3.0), (1, "a b", "old", 3.0)], "doc_id long, text string, ids string, decoded double")
+    out = pieces.decode(pieces.encode(docs, PIECE_MODEL), PIECE_MODEL)
+    assert out.columns == ["doc_id", "text", "ids", "decoded"] and [r.decoded for r in out.collect()] == ["a b", "a b"]
+    assert pieces.round_trip(docs.limit(0), PIECE_MODEL).collect() == []
+
+
 # ---------------------------------------------------------------- language
 
 
+def plain_features(text):
+    """Shares of hashed byte bigrams and trigrams of letters, square-rooted, one by one."""
+    code = [b if b >= 128 or 97 <= b <= 122 else 0 for b in text.lower().encode()]
+    counts = Counter()
+    for size, factor in ((2, 0x9E3779B1), (3, 0x85EBCA6B)):
+        for i in range(len(code) - size + 1):
+            value = 0
+            for c in code[i : i + size]:
+                value = (value * 257 + c) % 2**32
+            if value:
+                counts[value * factor % 2**32 >> 21] += 1
+    total = sum(counts.values())
+    return {place: math.sqrt(n / total) for place, n in counts.items()}
+
+
+def plain_prediction(model, text):
+    x = plain_features(text)
+    margin = lambda w: sum(v * float(w[place]) for place, v in x.items()) + float(w[-1])
+    sure = lambda m: 1 / (1 + math.exp(-4 * m))
+    score, family = 1.0, model.families[0]
+    if len(model.families) > 1:
+        score, family = max((sure(margin(w)), f) for w, f in zip(model.family_w, model.families, strict=True))
+    names = model.members[family]
+    wins, least = Counter({n: 0 for n in names}), {n: 1.0 for n in names}
+    for (a, b), w in model.pairs.items():
+        if a in names:
+            p = sure(margin(w))
+            wins[a] += (p >= 0.5) + 0.01 * p
+            wins[b] += (p < 0.5) + 0.01 * (1 - p)
+            least[a], least[b] = min(least[a], p), min(least[b], 1 - p)
+    best = max(names, key=lambda n: wins[n])
+    return best, score * least[best]
+
+
+def test_language_query_matches_brute_force(spark, small):
+    """Features, margins of families and pairs, and votes, written out one by one, give the query's rows."""
+    from loomgraph.llm.queries import op9_language_id
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.learn(docs.filter(langid.bucket("doc_id") != 1))
+    got = {r.doc_id: r for r in op9_language_id(spark, small).collect()}
+    for r in docs.collect():
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        want = ("und", 0.0) if not any(c.isalpha() for c in r.text or "") else plain_prediction(model, r.text)
+        assert got[r.doc_id].lang_pred == want[0] and got[r.doc_id].score == pytest.approx(want[1], abs=1e-3)
+
+
+def test_more_languages_than_the_sample_can_hold(spark):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("lang"))
+    with pytest.raises(ValueError, match="60 languages"):
+        langid.learn(docs, max_rows=500)
+
+
 def test_language_on_held_out_documents(spark, small):
     from loomgraph.llm.queries import op9_language_id
 
@@ -255,6 +347,12 @@ def test_chat_round_trip(spark):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_no_chats_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, 0, "assistant", "x", "y"), (1, 1, "user", "z", "y")], "conv_id long, turn long, role string, text string, turns string")
+    assert [(r.n, r.trainable, r.loss_length) for r in chat_examples(rows).orderBy("n").collect()] == [(1, True, 1), (2, False, 0)]
+    assert chat_examples(rows.limit(0)).collect() == [] == read_back(chat_examples(rows.limit(0))).collect()
+
+
 def test_chat_examples_hold_the_turns_before(spark):
     rows = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "first"), (1, 3, "user", "v"), (1, 4, "assistant", "second")], "conv_id long, turn long, role string, text string")
     out = chat_examples(rows).orderBy("n").collect()
