@@ -123,8 +123,11 @@ def clause_terms(clauses: list[Clause]) -> list[str]:
     return list(dict.fromkeys(t for c in clauses if not c.negated for p in c.phrases for t in p))
 
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-MENTION = r"@([A-Za-z0-9_]+)"
+#: Addresses, and handles of a letter and 1 to 38 more characters.  A word ends where ASCII letters, digits and
+#: underscores do.
+EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+EMAIL = EDGE + r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}" + EDGE
+MENTION = "@([A-Za-z][A-Za-z0-9_-]{1,38})" + EDGE
 
 
 def emails(x: Column) -> Column:
@@ -136,6 +139,15 @@ def mentions(x: Column, outside_emails: bool = False) -> Column:
     return F.regexp_extract_all(F.regexp_replace(x, EMAIL, " ") if outside_emails else x, F.lit(MENTION), 1)
 
 
+def people(x: Column) -> Column:
+    """The people that a text names by address (0.7) or handle (0.6), each once, as array of (name, entity_type, confidence,
+    value): an address's name is its local part with blanks for dots, dashes and underscores."""
+    row = lambda name, sure, v: F.struct(name.alias("name"), F.lit("person").alias("entity_type"), F.lit(sure).alias("confidence"), v.alias("value"))
+    first = lambda values: F.filter(values, lambda v, i: F.array_position(F.transform(values, F.lower), F.lower(v)) == i + 1)
+    mails = F.transform(first(emails(x)), lambda v: row(F.regexp_replace(F.substring_index(v, "@", 1), "[._-]", " "), 0.7, v))
+    return F.concat(mails, F.transform(first(mentions(x)), lambda v: row(v, 0.6, v)))
+
+
 def extraction_confidence(n_words: Column, n_entities: Column, mean_confidence: Column) -> Column:
     """How far a text's entities can be trusted, from its length and their number."""
     density = n_entities / F.greatest(n_words / 100, F.lit(1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import first_n
 from .temporal import is_current, moment
 
 
@@ -36,18 +37,24 @@ def top_patterns(log: DataFrame, column: str = "input_text", width: int = 100, l
 
 def suggest_types(extracted: DataFrame, least: int = 3, examples: int = 5) -> DataFrame:
     """Types found often enough among extracted (entity_type, name) rows, with the first names."""
-    return (
-        extracted.groupBy("entity_type")
-        .agg(F.count("*").alias("n"), F.concat_ws("|", F.slice(F.array_sort(F.collect_set("name")), 1, examples)).alias("examples"))
-        .filter(F.col("n") >= least)
-    )
+    counts = extracted.groupBy("entity_type").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    names = extracted.filter("name is not null").select("entity_type", "name").distinct()
+    some = first_n(names, ["entity_type"], examples, "name").groupBy("entity_type").agg(F.concat_ws("|", F.array_sort(F.collect_list("name"))).alias("examples"))
+    return counts.join(some, "entity_type", "left").select("entity_type", "n", F.coalesce("examples", F.lit("")).alias("examples"))
+
+
+def sure_and_newest(log: DataFrame, least: float = 0.7, limit: int = 500) -> DataFrame:
+    """The newest model-made rows of an extraction log that are surer than that, whose types suggest_types looks at."""
+    return log.filter((F.col("method") == "llm") & (F.col("confidence") > least)).orderBy(F.desc("created_at"), "id").limit(limit)
 
 
 def improvement_proposals(extracted: DataFrame, reviews: DataFrame) -> DataFrame:
     """Proposals with the confidence that their number of cases gives."""
     by_type = extracted.groupBy(F.col("entity_type").alias("subject")).agg(F.count("*").alias("n")).select(F.lit("extraction").alias("kind"), "subject", "n", F.least(F.lit(0.9), 0.5 + F.col("n") / 20).alias("confidence"))
-    by_reason = reviews.groupBy(F.concat_ws(":", "type", "reason").alias("subject")).agg(F.count("*").alias("n")).select(F.lit("review").alias("kind"), "subject", "n", F.least(F.lit(0.85), 0.45 + F.col("n") / 20).alias("confidence"))
-    return by_type.unionByName(by_reason)
+    by_review = lambda kind, rows, step: rows.select(F.lit(kind).alias("kind"), "subject", "n", F.least(F.lit(0.85), 0.45 + F.col("n") / step).alias("confidence"))
+    by_reason = reviews.groupBy(F.concat_ws(":", "type", "reason").alias("subject")).agg(F.count("*").alias("n"))
+    by_kind = reviews.groupBy(F.col("type").alias("subject")).agg(F.count("*").alias("n"))
+    return by_type.unionByName(by_review("review", by_reason, 20)).unionByName(by_review("policy", by_kind, 25))
 
 
 def graph_nodes(entities: DataFrame, facts: DataFrame) -> DataFrame:

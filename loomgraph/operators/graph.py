@@ -7,7 +7,7 @@ short and lost executors cost one round at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..security import Access, visible_rows
@@ -142,17 +142,18 @@ def communities(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 def community_summaries(labels: DataFrame, entities: DataFrame, facts: DataFrame) -> DataFrame:
     """A sentence for each community: its size, its first members by name, and its three surest facts."""
-    members = labels.join(entities.select("id", "name"), "id").groupBy("label").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("name")).alias("names")).filter("size > 1")
+    named = labels.join(entities.select("id", "name"), "id")
+    some = first_n(named, ["label"], 5, "name", "id").groupBy("label").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    members = named.groupBy("label").agg(F.count("*").alias("size")).filter("size > 1").join(some, "label")
     a, b = labels.select(F.col("id").alias("source"), "label"), labels.select(F.col("id").alias("target"), F.col("label").alias("other"))
     inside = facts.join(a, "source").join(b, "target").filter("label = other")
     top = first_n(inside, ["label"], 3, F.desc("confidence"), "id").groupBy("label").agg(F.concat_ws("; ", F.transform(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "id", "fact_text"))), lambda s: s["fact_text"])).alias("facts"))
-    said = F.concat(F.lit("This community consists of "), F.col("size"), F.lit(" entities: "), F.concat_ws(", ", F.slice("names", 1, 5)), F.lit(". Key relationships include: "), F.coalesce("facts", F.lit("")), F.lit("."))
+    said = F.concat(F.lit("This community consists of "), F.col("size"), F.lit(" entities: "), F.concat_ws(", ", "names"), F.lit(". Key relationships include: "), F.coalesce("facts", F.lit("")), F.lit("."))
     return members.join(top, "label", "left").select("label", "size", said.alias("summary"))
 
 
 def first_n(df: DataFrame, keys: list[str], n: int, *order) -> DataFrame:
-    from pyspark.sql import Window
-
+    """The first n rows of each key; all but n of a task's rows stay out of the shuffle."""
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__rank") <= n).drop("__rank")
 
 

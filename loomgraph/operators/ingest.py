@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..storage import first_per_key
+from .graph import first_n
+from .temporal import cardinality_key, is_current
+
+LEAD = 4  # first words of a known name by which texts and names meet
+NEWEST = 10  # current facts under one key that a new fact is held against
 
 
 def transcript(turns: DataFrame, key: str, order: str, speaker: str, text: str) -> DataFrame:
@@ -37,25 +42,25 @@ def deduplicated(episodes: DataFrame, *order) -> DataFrame:
 def known_names(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
     """Documents with the known names (alias, in analyzed words) that they hold, as whole words.
 
-    Word runs of the lengths that occur among the names are joined with the names by equality: no product of all
-    texts and names.  Only runs that begin with some name's first word are made.
+    The word runs of a text are joined with the names' first words (LEAD at most) by equality, so that there is no
+    product of all texts and names; the rest of a longer name is then looked up at that place.
     """
-    sizes = [r[0] for r in names.select(F.size(F.split("alias", " ")).alias("n")).distinct().orderBy("n").collect()]
-    if not sizes:
-        return docs.select(key, F.lit("").alias("alias")).limit(0)
-    words = docs.select(key, X.words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    runs = F.array(*[F.lit(n) for n in sizes])
-    made = F.flatten(F.transform(runs, lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.concat_ws(" ", F.slice("w", i, n)))).otherwise(F.array().cast("array<string>"))))
-    found = words.select(key, F.explode(F.array_distinct(made)).alias("alias"))
-    return found.join(names.select("alias").distinct(), "alias").select(key, "alias")
+    led = names.select("alias").distinct().withColumn("all", F.split("alias", " ")).withColumn("led", F.concat_ws(" ", F.slice("all", 1, LEAD)))
+    words = docs.select(key, X.words(F.coalesce(F.col(text), F.lit(""))).alias("w")).filter(F.size("w") > 0)
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(F.concat_ws(" ", F.slice("w", i, n)).alias("led"), i.alias("at")))
+    none = F.array().cast("array<struct<led:string,at:int>>")
+    made = F.flatten(F.array(*[F.when(F.size("w") >= n, runs(F.lit(n))).otherwise(none) for n in range(1, LEAD + 1)]))
+    found = words.withColumn("run", F.explode(made)).select(key, "w", "run.*").join(led, "led")
+    return found.filter(F.slice("w", F.col("at"), F.size("all")) == F.col("all")).select(key, "alias").distinct()
 
 
 def resolve_entities(extracted: DataFrame, entities: DataFrame, aliases: DataFrame, least: float = 0.3) -> DataFrame:
     """Extracted (name, entity_type) rows with the known entity that they are.
 
     An alias or name that is equal (any case) and of the same type resolves at 0.95.  Else the best trigram similarity
-    over entities of the type that share a trigram decides: 0.90 and above is a merge, 0.75 and above ambiguous (a new
-    entity), below it a new one.
+    over entities of the type decides: 0.90 and above is a merge, 0.75 and above ambiguous (a new entity), below it a new
+    one.  Trigrams stand in the order of how many names hold them; names that are alike enough share one of their first
+    size - ceil(least * size) + 1, so names meet by their rare trigrams only.
     """
     rows = extracted.select("name", "entity_type").distinct()
     named = entities.select("id", "entity_type", F.lower("name").alias("key"))
@@ -64,9 +69,19 @@ def resolve_entities(extracted: DataFrame, entities: DataFrame, aliases: DataFra
     rows = rows.withColumn("key", F.lower("name")).join(known, ["entity_type", "key"], "left")
     open_ = rows.filter("exact is null").select("name", "entity_type", X.trigrams(F.col("name")).alias("g"))
     distinct = entities.groupBy("entity_type", "name").agg(F.min("id").alias("id")).withColumn("h", X.trigrams(F.col("name")))
-    left, right = open_.select("name", "entity_type", "g", F.explode("g").alias("t")), distinct.select("id", "entity_type", "h", F.explode("h").alias("t"))
-    pairs = left.join(right, ["entity_type", "t"]).groupBy("name", "entity_type", "id").agg(F.count("*").alias("shared"), F.first(F.size("g")).alias("a"), F.first(F.size("h")).alias("b"))
-    scored = pairs.withColumn("score", F.col("shared") / (F.col("a") + F.col("b") - F.col("shared"))).filter(F.col("score") > least)
+    rare = distinct.select("entity_type", F.explode("h").alias("t")).groupBy("entity_type", "t").agg(F.count("*").alias("n"))
+
+    def heads(rows: DataFrame, keys: list[str], grams: str) -> DataFrame:
+        """Rows once for each trigram of their prefix."""
+        counted = rows.select(*keys, F.explode(grams).alias("t")).join(rare, ["entity_type", "t"], "left").select(*keys, F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t").alias("o"))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("o.n", "o.t"))
+        size = F.count("*").over(Window.partitionBy(*keys))
+        return counted.withColumns({"place": place, "size": size}).filter(F.col("place") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1).select(*keys, F.col("o.t").alias("t"))
+
+    left, right = heads(open_, ["name", "entity_type"], "g"), heads(distinct, ["id", "entity_type"], "h")
+    pairs = left.join(right, ["entity_type", "t"]).select("name", "entity_type", "id").distinct()
+    pairs = pairs.join(open_, ["name", "entity_type"]).join(distinct.select("id", "h"), "id")
+    scored = pairs.select("name", "entity_type", "id", X.set_similarity(F.col("g"), F.col("h")).alias("score")).filter(F.col("score") > least)
     best = first_per_key(scored, ["name", "entity_type"], F.desc("score"), "id").select("name", "entity_type", F.col("id").alias("near"), "score")
     out = rows.join(best, ["name", "entity_type"], "left")
     score = F.when(F.col("exact").isNotNull(), 0.95).otherwise(F.coalesce("score", F.lit(0.0)))
@@ -77,20 +92,20 @@ def resolve_entities(extracted: DataFrame, entities: DataFrame, aliases: DataFra
 def resolve_facts(new: DataFrame, facts: DataFrame, relations: DataFrame) -> DataFrame:
     """New facts (id, source, relation, target, fact_text) with what happens to each: skip, create or invalidate_existing.
 
-    In this order: an unresolved endpoint skips; no current fact under the relation's key creates; the same text skips; a
-    relation that never invalidates creates; one that always does ends the current facts of the key; others create.
+    In this order: an unresolved endpoint skips; no current fact under the relation's key creates; the same text as one of
+    the newest of them skips; a relation that never invalidates creates; one that always does ends the newest current facts
+    of the key (NEWEST at most); others create.
     """
-    from .temporal import cardinality_key, is_current
-
     policy = relations.select(F.col("id").alias("relation"), "cardinality", "invalidation_policy")
     keyed = lambda df: df.join(policy, "relation", "left").withColumn("key", cardinality_key())
     text = F.lower(F.trim("fact_text"))
-    current = keyed(facts.filter(is_current())).groupBy("relation", "key").agg(F.count("*").alias("n"), F.collect_set(text).alias("texts"))
-    rows = keyed(new).join(current, ["relation", "key"], "left")
+    newest = first_n(keyed(facts.filter(is_current())), ["relation", "key"], NEWEST, F.desc("valid_at"), "id").select("relation", "key", text.alias("text"))
+    rows = keyed(new).join(newest.groupBy("relation", "key").agg(F.count("*").alias("n")), ["relation", "key"], "left")
+    rows = rows.withColumn("text", text).join(newest.distinct().withColumn("same", F.lit(True)), ["relation", "key", "text"], "left")
     action = (
         F.when(F.col("source").isNull() | F.col("target").isNull(), "skip")
         .when(F.col("n").isNull(), "create")
-        .when(F.array_contains("texts", text), "skip")
+        .when(F.col("same"), "skip")
         .when(F.col("invalidation_policy") == "never", "create")
         .when(F.col("invalidation_policy") == "always", "invalidate_existing")
         .otherwise("create")
@@ -100,8 +115,6 @@ def resolve_facts(new: DataFrame, facts: DataFrame, relations: DataFrame) -> Dat
 
 def summary_lines(facts: DataFrame, most: int = 2000) -> DataFrame:
     """Per source entity, its distinct fact texts from the newest on, as far as they fit into so many characters."""
-    from pyspark.sql import Window
-
     one = facts.groupBy("source", "fact_text").agg(F.max("valid_at").alias("at"))
     size = F.sum(F.length("fact_text") + 1).over(Window.partitionBy("source").orderBy(F.desc("at"), "fact_text").rowsBetween(Window.unboundedPreceding, 0))
     kept = one.withColumn("size", size).filter(F.col("size") <= most + 1)

@@ -80,27 +80,49 @@ def entity_timeline(facts: DataFrame, entities: DataFrame, entity_id: str, acces
 
 
 def contradictions(facts: DataFrame, entities: DataFrame, access: Access | None, since=None, limit: int | None = 50) -> DataFrame:
-    """Pairs of an invalidated fact and a later one with the same source, relation and target."""
-    return _pairs(with_endpoints(facts, entities, access), ["source", "relation", "target"], since, limit)
+    """Pairs of an invalidated fact and a later one with the same source, relation and target, the latest invalidated first.
+
+    With a limit only so many old facts, each with a later one, meet the others; without one all pairs are the result."""
+    rows, keys = with_endpoints(facts, entities, access), ["source", "relation", "target"]
+    old = _old(rows, since)
+    if limit:
+        last = rows.groupBy(*keys).agg(F.max("valid_at").alias("__last"))
+        ties = rows.groupBy(*keys, "valid_at").agg(F.count("*").alias("__ties"))
+        old = old.join(last, keys).join(ties, [*keys, "valid_at"]).filter((F.col("__last") > F.col("valid_at")) | (F.col("__ties") > 1))
+        old = old.orderBy(F.desc("invalid_at"), "id").limit(limit)
+    a, b = _sides(old, rows, keys)
+    return _newest_pairs(a.join(b, keys).filter((F.col("new_id") != F.col("old_id")) & (F.col("new_valid_at") >= F.col("old_valid_at"))), limit)
+
+
+def contradiction_counts(facts: DataFrame, entities: DataFrame, access: Access | None, since=None) -> DataFrame:
+    """Every invalidated fact with the number of later facts of the same source, relation and target, and the next of them."""
+    keys = ["source", "relation", "target"]
+    later = Window.partitionBy(*keys).orderBy("valid_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy("valid_at", "id")
+    rows = with_endpoints(facts, entities, access).withColumns({"later": F.count("*").over(later) - 1, "next_id": F.lead("id").over(after)})
+    return _old(rows, since).select("id", "relation", "invalid_at", "later", "next_id")
 
 
 def contradictions_by_cardinality(facts: DataFrame, entities: DataFrame, relations: DataFrame, access: Access | None, since=None, limit: int | None = 50) -> DataFrame:
     """Pairs of an invalidated fact and the one that took its place under the relation's cardinality."""
     keyed = with_endpoints(facts, entities, access).join(relations.select(F.col("id").alias("relation"), "cardinality"), "relation")
-    return _pairs(keyed.withColumn("key", cardinality_key()), ["relation", "key"], since, limit, meets=True)
+    rows, keys = keyed.withColumn("key", cardinality_key()), ["relation", "key"]
+    a, b = _sides(_old(rows, since), rows, keys)
+    met = a.withColumn("new_valid_at", F.col("old_invalid_at")).join(b, [*keys, "new_valid_at"])
+    return _newest_pairs(met.filter((F.col("new_id") != F.col("old_id")) & (F.col("new_valid_at") >= F.col("old_valid_at"))), limit)
 
 
-def _pairs(rows: DataFrame, keys: list[str], since, limit: int | None, meets: bool = False) -> DataFrame:
+def _old(rows: DataFrame, since) -> DataFrame:
     old = rows.filter(F.col("invalid_at").isNotNull())
-    if since is not None:
-        old = old.filter(F.col("invalid_at") >= moment(since))
-    fields = ["id", "target", "valid_at", "invalid_at"]
-    a = old.select(*keys, *[F.col(c).alias(f"old_{c}") for c in fields])
-    b = rows.select(*keys, *[F.col(c).alias(f"new_{c}") for c in fields])
-    later = (F.col("new_id") != F.col("old_id")) & (F.col("new_valid_at") >= F.col("old_valid_at"))
-    if meets:
-        later &= F.col("new_valid_at") == F.col("old_invalid_at")
-    out = a.join(b, keys).filter(later).select("old_id", "new_id", "relation", F.col("old_invalid_at").alias("invalidated_at"), "old_valid_at", "new_valid_at")
+    return old if since is None else old.filter(F.col("invalid_at") >= moment(since))
+
+
+def _sides(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    return old.select(*keys, *[F.col(c).alias(f"old_{c}") for c in ("id", "valid_at", "invalid_at")]), new.select(*keys, *[F.col(c).alias(f"new_{c}") for c in ("id", "valid_at")])
+
+
+def _newest_pairs(pairs: DataFrame, limit: int | None) -> DataFrame:
+    out = pairs.select("old_id", "new_id", "relation", F.col("old_invalid_at").alias("invalidated_at"), "old_valid_at", "new_valid_at")
     return out.orderBy(F.desc("invalidated_at"), "old_id", "new_id").limit(limit) if limit else out
 
 
@@ -138,14 +160,17 @@ def get_facts(facts: DataFrame, access: Access | None, source: str | None = None
 def as_of_join(events: DataFrame, facts: DataFrame, left_key: str, ts: str, value: str = "target") -> DataFrame:
     """Each event with the value of its key's fact that held at the event's time (null: none).
 
-    One sort of both sides by key and time, and the last fact before each event: no join on ranges.
+    One sort of both sides by key and time, and the last fact before each event: no join on ranges.  Events without a key or
+    a time stay out of it.
     """
     said = facts.select(F.col("source").alias(left_key), F.col("valid_at").alias("__at"), F.struct(F.col(value).alias("v"), F.col("invalid_at").alias("end")).alias("__fact"), F.lit(0).alias("__side"))
-    asked = events.withColumn("__at", F.col(ts)).withColumn("__side", F.lit(1))
+    known = F.col(left_key).isNotNull() & F.col(ts).isNotNull()
+    asked = events.filter(known).withColumn("__at", F.col(ts)).withColumn("__side", F.lit(1))
     both = asked.unionByName(said, allowMissingColumns=True)
     last = F.last("__fact", ignorenulls=True).over(Window.partitionBy(left_key).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0))
     held = F.when(last["end"].isNull() | (last["end"] > F.col("__at")), last["v"])
-    return both.withColumn(value, held).filter("__side = 1").drop("__at", "__fact", "__side")
+    out = both.withColumn(value, held).filter("__side = 1").drop("__at", "__fact", "__side")
+    return out.unionByName(events.filter(~known), allowMissingColumns=True)
 
 
 def cleanup_candidates(episodes: DataFrame, facts: DataFrame, memory: DataFrame, now, days: int = 30, limit: int | None = 1000) -> DataFrame:

@@ -51,7 +51,7 @@ def answer(corpus: R.Corpus, memory: DataFrame, request: R.Request, relevant: Ca
     found = R.search(corpus, request)
     lists.append(found.select(F.lit(1).alias("list_no"), "type", "id", "score", "content"))
     if "episode_id" in corpus.facts.columns:
-        source = R.expand_sources(found.select("id", "score"), corpus.facts.select("id", "episode_id"), corpus.episodes, request.access)
+        source = R.expand_sources(found.select("id", "score", "content"), corpus.facts.select("id", "episode_id"), corpus.episodes, request.access)
         lists.append(source.select(F.lit(2).alias("list_no"), F.lit("episode").alias("type"), "id", "score", "content"))
     rows = lists[0]
     for more in lists[1:]:

@@ -45,7 +45,7 @@ def ranked_lists(spark, sf_dir):
     text = lambda c: F.concat(F.lit("supplier:"), F.col(c).cast("string")).alias("id")
     rich = table(spark, sf_dir, "supplier").select(text("s_suppkey"), F.col("s_acctbal").alias("score"))
     busy = table(spark, sf_dir, "lineitem").groupBy(text("l_suppkey")).agg(F.count("*").cast("double").alias("score"))
-    return [R.as_list(R.block(x, "entity", F.col("score"), F.col("score"), F.col("id"), None)) for x in (rich, busy)]
+    return [R.as_long_list(R.block(x, "entity", F.col("score"), F.col("score"), F.col("id"), None)) for x in (rich, busy)]
 
 
 @query(LISTS_SQL + ", r AS (SELECT id, sum(1.0::DOUBLE / (60 + pos)) AS raw FROM ranked GROUP BY id) SELECT 'entity' AS type, id, round(raw / greatest((SELECT max(raw) FROM r), 0.001), 7) AS score FROM r")
@@ -117,19 +117,35 @@ def answer_evidence(spark, sf_dir):
     return R.evidence(rows).select("type", "id", F.round("score", 6).alias("score"))
 
 
-@query(EVIDENCE_SQL + ", c AS (SELECT left(content, 80) AS content, base, row_number() OVER (ORDER BY round(base, 6) DESC, type, id) AS n FROM e WHERE type <> 'entity') SELECT string_agg(content || ' [C' || n || ']', ' ' ORDER BY n) AS answer, round(least(1, avg(base)), 3) AS confidence FROM c WHERE n <= 5")
+@query(EVIDENCE_SQL + ", c AS (SELECT content, base, row_number() OVER (ORDER BY round(base, 6) DESC, type, id) AS n FROM e WHERE type <> 'entity') SELECT string_agg(content || ' [C' || n || ']', ' ' ORDER BY n) AS answer, round(least(1, avg(base)), 3) AS confidence FROM c WHERE n <= 5")
 def extractive_answer(spark, sf_dir):
-    rows = evidence_rows(spark, sf_dir).filter("list_no < 5").withColumn("score", F.round("score", 6)).withColumn("content", F.substring("content", 1, 80))
+    rows = evidence_rows(spark, sf_dir).filter("list_no < 5").withColumn("score", F.round("score", 6))
     return R.extractive_answer(R.citations(rows))
 
 
-@query(with_model(f" SELECT e.id, round(max(d.quality * 0.5 + (d.doc_id % 10) / 20.0) + 0.35, 6) AS score FROM episodes e JOIN (SELECT *, 'doc:' || (doc_id - doc_id % 5) AS episode_id FROM labels) d ON d.episode_id = e.id WHERE {sees('e.acl', 'security')} GROUP BY e.id", "episodes"))
+@query(
+    with_model(
+        f""", c AS (SELECT *, 'doc:' || (doc_id - doc_id % 5) AS episode_id, quality * 0.5 + (doc_id % 10) / 20.0 AS s FROM labels),
+d AS (SELECT e.id, e.content, c.doc_id, c.s, CASE WHEN c.doc_id % 2 = 0 THEN substring(e.content, 1 + c.doc_id % 7 * 300, 40) ELSE 'nowhere at all' END AS snippet
+  FROM episodes e JOIN c ON c.episode_id = e.id WHERE {sees('e.acl', 'security')}),
+p AS (SELECT *, CASE WHEN trim(snippet) <> '' THEN position(lower(snippet) IN lower(content)) ELSE 0 END AS place FROM d),
+w AS (SELECT id, s, doc_id, trim(substring(content, greatest(place - 1200, 1), place + length(snippet) + 1200 - greatest(place - 1200, 1))) AS win FROM p WHERE place > 0),
+u AS (SELECT id, win, row_number() OVER (PARTITION BY id ORDER BY min(-s), min(CAST(doc_id AS VARCHAR))) AS i FROM w GROUP BY id, win),
+x AS (SELECT id, string_agg('Source context window ' || i || ':' || chr(10) || win, chr(10) || chr(10) ORDER BY i) AS shown FROM u GROUP BY id)
+SELECT d.id, round(max(d.s) + 0.35, 6) AS score, md5(coalesce(any_value(x.shown), left(any_value(d.content), 2400))) AS context FROM d LEFT JOIN x ON x.id = d.id GROUP BY d.id""",
+        "episodes",
+    )
+)
 def source_context(spark, sf_dir):
+    """Hits whose contents are cut out of their source, or not found there: the windows around them, or the beginning."""
     k = F.col("doc_id")
     lab = table(spark, sf_dir, "labels")
-    hits = lab.select(k.cast("string").alias("id"), (F.col("quality") * 0.5 + (k % 10) / 20).alias("score"))
+    source = table(spark, sf_dir, "documents").select(k.alias("source"), "text")
+    hits = lab.join(source, k - k % 5 == F.col("source"))
+    snippet = F.when(k % 2 == 0, F.substring("text", (1 + k % 7 * 300).cast("int"), F.lit(40))).otherwise("nowhere at all")
+    hits = hits.select(k.cast("string").alias("id"), (F.col("quality") * 0.5 + (k % 10) / 20).alias("score"), snippet.alias("content"))
     children = lab.select(k.cast("string").alias("id"), F.concat(F.lit("doc:"), (k - k % 5).cast("string")).alias("episode_id"))
-    return R.expand_sources(hits, children, bridge.episodes(spark, sf_dir), SECURITY).select("id", F.round("score", 6).alias("score"))
+    return R.expand_sources(hits, children, bridge.episodes(spark, sf_dir), SECURITY).select("id", F.round("score", 6).alias("score"), F.md5("content").alias("context"))
 
 
 # ------------------------------------------------------------------ ingest
@@ -168,7 +184,7 @@ def resolve_entities(spark, sf_dir):
 NEW_FACTS_SQL = """, new AS (
   SELECT 'n' || o_orderkey AS id, 'customer:' || o_custkey AS source, 'has_priority' AS relation, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 'priority:' || o_orderpriority END AS target FROM orders
   UNION ALL SELECT 's' || p_partkey, 'supplier:' || (p_partkey % 100 + 1), 'supplies', 'part:' || p_partkey FROM part),
-cur AS (SELECT relation, CASE WHEN relation = 'supplies' THEN source || '|' || target ELSE source END AS key, count(*) AS n, list(lower(fact_text)) AS texts FROM facts WHERE invalid_at IS NULL GROUP BY ALL),
+cur AS (SELECT relation, CASE WHEN relation = 'supplies' THEN source || '|' || target ELSE source END AS key, count(*) AS n, list(lower(fact_text)) AS texts FROM (SELECT * FROM facts WHERE invalid_at IS NULL QUALIFY row_number() OVER (PARTITION BY relation, CASE WHEN relation = 'supplies' THEN source || '|' || target ELSE source END ORDER BY valid_at DESC, id) <= 10) GROUP BY ALL),
 r AS (SELECT new.*, n, texts, new.source || ' ' || new.relation || ' ' || new.target AS fact_text FROM new LEFT JOIN cur ON cur.relation = new.relation AND cur.key = CASE WHEN new.relation = 'supplies' THEN new.source || '|' || coalesce(new.target, '') ELSE new.source END),
 a AS (SELECT id, n, CASE WHEN source IS NULL OR target IS NULL THEN 'skip' WHEN n IS NULL THEN 'create' WHEN list_contains(texts, lower(fact_text)) THEN 'skip' WHEN relation = 'supplies' THEN 'create' ELSE 'invalidate_existing' END AS action FROM r)
 SELECT id, action, CASE WHEN action = 'invalidate_existing' THEN n ELSE 0 END AS n_invalidated FROM a"""
@@ -185,12 +201,12 @@ def resolve_facts(spark, sf_dir):
 
 
 @query(
-    with_model(""", one AS (SELECT source, fact_text, max(valid_at) AS seen_at FROM facts WHERE relation <> 'supplies' GROUP BY ALL),
+    with_model(""", one AS (SELECT source, fact_text, max(valid_at) AS seen_at FROM facts GROUP BY ALL),
 s AS (SELECT *, sum(length(fact_text) + 1) OVER (PARTITION BY source ORDER BY seen_at DESC, fact_text ROWS UNBOUNDED PRECEDING) AS size FROM one)
 SELECT source AS id, count(*) AS lines, string_agg(fact_text, chr(10) ORDER BY seen_at, fact_text) AS summary FROM s WHERE size <= 101 GROUP BY source""", "facts")
 )
 def entity_summary_lines(spark, sf_dir):
-    return I.summary_lines(bridge.facts(spark, sf_dir).filter("relation <> 'supplies'"), 100)
+    return I.summary_lines(bridge.facts(spark, sf_dir), 100)
 
 
 @query("""
@@ -205,7 +221,7 @@ def triage_chunks(spark, sf_dir):
     return I.triage(rows, "conv_id").withColumn("ttl_days", F.coalesce("ttl_days", F.lit(0)))
 
 
-@query(f"SELECT doc_id, round(CASE WHEN len(w) < 50 AND n >= 1 THEN 0.9 WHEN len(w) > 200 AND n < 2 THEN 0.3 ELSE least(0.95, n / greatest(len(w) / 100, 1) * 0.3 + 0.7 * 0.7) END, 6) AS confidence FROM (SELECT doc_id, string_split_regex(trim(text), '\\s+') AS w, len(regexp_extract_all(text, '{X.EMAIL}')) AS n FROM documents)")
+@query(f"SELECT doc_id, round(CASE WHEN len(w) < 50 AND n >= 1 THEN 0.9 WHEN len(w) > 200 AND n < 2 THEN 0.3 ELSE least(0.95, n / greatest(len(w) / 100, 1) * 0.3 + 0.7 * 0.7) END, 6) AS confidence FROM (SELECT doc_id, string_split_regex(trim(text), '\\s+') AS w, len(regexp_extract_all(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\b')) AS n FROM documents)")
 def extraction_confidence(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split(F.trim("text"), r"\s+")).alias("w"), F.size(X.emails(F.col("text"))).alias("n"))
     return d.select("doc_id", F.round(X.extraction_confidence(F.col("w"), F.col("n"), F.lit(0.7)), 6).alias("confidence"))
@@ -254,7 +270,7 @@ def triage_accuracy(spark, sf_dir):
     return M.triage_accuracy(rows.select(F.when(F.col("quality") == 1, "durable").otherwise("drop").alias("expected"), F.when(F.length("text") > 200, "durable").otherwise("drop").alias("actual")))
 
 
-@query("SELECT * FROM (SELECT 'extraction' AS kind, event_type AS subject, count(*) AS n, CAST(least(0.9, 0.5 + count(*) / 20) AS DOUBLE) AS confidence FROM events GROUP BY event_type) UNION ALL SELECT 'review', lang || ':' || source, count(*), CAST(least(0.85, 0.45 + count(*) / 20) AS DOUBLE) FROM documents GROUP BY lang, source")
+@query("SELECT * FROM (SELECT 'extraction' AS kind, event_type AS subject, count(*) AS n, CAST(least(0.9, 0.5 + count(*) / 20) AS DOUBLE) AS confidence FROM events GROUP BY event_type) UNION ALL SELECT 'review', lang || ':' || source, count(*), CAST(least(0.85, 0.45 + count(*) / 20) AS DOUBLE) FROM documents GROUP BY lang, source UNION ALL SELECT 'policy', lang, count(*), CAST(least(0.85, 0.45 + count(*) / 25) AS DOUBLE) FROM documents GROUP BY lang")
 def improvement_proposals(spark, sf_dir):
     extracted = table(spark, sf_dir, "events").select(F.col("event_type").alias("entity_type"), F.col("user_id").cast("string").alias("name"))
     reviews = table(spark, sf_dir, "documents").select(F.col("lang").alias("type"), F.col("source").alias("reason"))

@@ -17,7 +17,7 @@ from ..functions.vector import cosine, nearest
 from ..operators import graph as G
 from ..operators import temporal as T
 from ..security import Access, visible_rows
-from ..storage import first_per_key
+from ..storage import first_per_key, written
 
 COLUMNS = ["type", "id", "pos", "score", "content", "valid_at", "invalid_at"]
 K = 60
@@ -52,13 +52,27 @@ def as_list(*blocks: DataFrame) -> DataFrame:
     return out.withColumn("pos", pos).select(COLUMNS)
 
 
+def ranked(rows: DataFrame, *order) -> DataFrame:
+    """A long list: places from 0 over ranges of the order, numbered side by side."""
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = written(parts.withColumns({"__part": F.spark_partition_id(), "__n": F.monotonically_increasing_id() % (1 << 33)}), "ranked")
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("rows"))
+    starts = sizes.select("__part", (F.sum("rows").over(Window.orderBy("__part")) - F.col("rows")).alias("start"))  # a row for each partition
+    return parts.join(starts, "__part").withColumn("pos", F.col("start") + F.col("__n"))
+
+
+def as_long_list(rows: DataFrame) -> DataFrame:
+    """One block without a limit, with places from 0."""
+    return ranked(rows, F.desc("__order"), "id").select(COLUMNS)
+
+
 def fuse(lists: list[DataFrame]) -> DataFrame:
     """Reciprocal rank fusion: sum of 1 / (60 + pos) by type and id, over the largest; the first list's fields."""
     both = None
     for n, rows in enumerate(lists):
         rows = rows.withColumn("__list", F.lit(n))
         both = rows if both is None else both.unionByName(rows)
-    fields = F.min_by(F.struct("content", "valid_at", "invalid_at"), F.col("__list") * 1_000_000 + F.col("pos"))
+    fields = F.min_by(F.struct("content", "valid_at", "invalid_at"), F.struct("__list", "pos"))
     fused = both.groupBy("type", "id").agg(F.sum(1.0 / (K + F.col("pos"))).alias("raw"), fields.alias("f"))
     most = fused.agg(F.max("raw").alias("most")).withColumn("__one", F.lit(1))  # one row
     return fused.withColumn("__one", F.lit(1)).join(F.broadcast(most), "__one").select("type", "id", (F.col("raw") / F.greatest("most", F.lit(0.001))).alias("score"), "f.*")
@@ -173,7 +187,7 @@ def pagerank_search(c: Corpus, r: Request) -> DataFrame:
     found = G.pagerank_results(scores, _facts(c, r), 2 * r.limit)
     rows = found.join(c.facts.select(F.lit("fact").alias("type"), "id", "fact_text", "valid_at", "invalid_at"), ["type", "id"], "left")
     rows = rows.withColumn("__order", F.col("score")).withColumn("content", F.coalesce("fact_text", "id"))
-    return as_list(rows.select("type", "id", "__order", "score", "content", "valid_at", "invalid_at"))
+    return as_long_list(rows.select("type", "id", "__order", "score", "content", "valid_at", "invalid_at"))
 
 
 def temporal_search(c: Corpus, r: Request, window_days: int = 30) -> DataFrame:
@@ -240,11 +254,32 @@ def run_plan(parts: list[SubQuery], ask, limit: int = 10, context_chars: int = 5
     return first_per_key(out, ["type", "id"], "__part").drop("__part").orderBy(F.desc("score"), "type", "id").limit(limit)
 
 
-def expand_sources(hits: DataFrame, children: DataFrame, episodes: DataFrame, access: Access | None, cut: int = 2400) -> DataFrame:
-    """Source episodes of hits (id, score), by children (id, episode_id): the best child's score and 0.35."""
-    best = hits.join(children, "id").groupBy("episode_id").agg(F.max("score").alias("best"))
-    rows = visible_rows(episodes, access).join(best, F.col("id") == F.col("episode_id"))
-    return rows.select("id", (F.col("best") + 0.35).alias("score"), F.substring("content", 1, cut).alias("content"))
+#: How source context is cut: windows around snippets, their reach, and what is shown where none is found.
+WINDOWS, REACH, LEAD = 8, 1200, 2400
+
+
+def snippet_window(content: Column, snippet: Column) -> Column:
+    """The part of content around a snippet (any case; else around its first eight longer words side by side); null: not there."""
+    low, said = F.lower(content), F.lower(snippet)
+    longer = F.concat_ws(" ", F.slice(F.filter(F.split(said, r"\s+"), lambda w: F.length(w) > 3), 1, 8))
+    at = F.when(F.trim(snippet) != "", F.position(said, low))
+    at = F.when(at > 0, at).otherwise(F.when(longer != "", F.position(longer, low)))
+    start = F.greatest(at - REACH, F.lit(1))
+    return F.when(at > 0, F.trim(content.substr(start, at + F.length(snippet) + REACH - start)))
+
+
+def expand_sources(hits: DataFrame, children: DataFrame, episodes: DataFrame, access: Access | None) -> DataFrame:
+    """Source episodes of hits (id, score, and content if there is one), by children (id, episode_id): the best child's score
+    and 0.35, and the windows around the contents of the best hits; the beginning where none of them is found."""
+    said = F.col("content") if "content" in hits.columns else F.lit(None).cast("string")
+    own = hits.select("id", "score", said.alias("snippet")).join(children, "id")
+    best = own.groupBy("episode_id").agg(F.max("score").alias("best"))
+    top = G.first_n(own.filter("snippet is not null"), ["episode_id"], WINDOWS, F.desc("score"), "id")
+    snippets = top.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "snippet"))).alias("snippets"))
+    rows = visible_rows(episodes, access).join(best.join(snippets, "episode_id", "left"), F.col("id") == F.col("episode_id"))
+    parts = F.array_distinct(F.filter(F.transform("snippets", lambda s: snippet_window(F.col("content"), s["snippet"])), lambda w: w.isNotNull()))
+    shown = F.array_join(F.transform(parts, lambda w, i: F.concat(F.lit("Source context window "), i + 1, F.lit(":\n"), w)), "\n\n")
+    return rows.select("id", (F.col("best") + 0.35).alias("score"), F.when(F.size(parts) > 0, shown).otherwise(F.substring("content", 1, LEAD)).alias("content"))
 
 
 #: What a kind of evidence adds to its score.

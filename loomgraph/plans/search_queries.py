@@ -100,9 +100,9 @@ def keyword_episodes(spark, sf_dir):
 
 
 @query(
-    rf"""
-SELECT doc_id, 'email' AS kind, lower(x) AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{X.EMAIL}')) AS x FROM documents)
-UNION ALL SELECT doc_id, 'mention', lower(x) FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{X.MENTION}', 1)) AS x FROM documents)"""
+    r"""
+SELECT doc_id, 'email' AS kind, lower(x) AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b', 0, 'i')) AS x FROM documents)
+UNION ALL SELECT doc_id, 'mention', lower(x) FROM (SELECT doc_id, unnest(regexp_extract_all(text, '@([a-z][a-z0-9_-]{1,38})\b', 1, 'i')) AS x FROM documents)"""
 )
 def extract_emails_mentions(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -110,16 +110,26 @@ def extract_emails_mentions(spark, sf_dir):
     return found("email", X.emails(F.col("text"))).unionByName(found("mention", X.mentions(F.col("text"))))
 
 
+@query(
+    r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b', 0, 'i')) AS x FROM documents),
+h AS (SELECT doc_id, unnest(regexp_extract_all(text, '@([a-z][a-z0-9_-]{1,38})\b', 1, 'i')) AS x FROM documents)
+SELECT doc_id, lower(regexp_replace(split_part(x, '@', 1), '[._-]', ' ', 'g')) AS name, 'person' AS entity_type, CAST(0.7 AS DOUBLE) AS confidence, lower(x) AS value FROM m GROUP BY ALL
+UNION ALL SELECT doc_id, lower(x), 'person', 0.6, lower(x) FROM h GROUP BY ALL"""
+)
+def extract_people(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.explode(X.people(F.col("text"))).alias("p")).select("doc_id", F.lower("p.name").alias("name"), "p.entity_type", "p.confidence", F.lower("p.value").alias("value"))
+
+
 def phrase_sql(x: str) -> str:
     return f"' ' || array_to_string({words_sql(x)}, ' ') || ' '"
 
 
-@query(f"WITH names AS (SELECT DISTINCT array_to_string(list_slice({words_sql('text')}, 1, 5), ' ') AS alias FROM benchmark WHERE len({words_sql('text')}) >= 5), d AS (SELECT doc_id, {phrase_sql('text')} AS line FROM documents) SELECT doc_id, alias FROM d JOIN names ON contains(line, ' ' || alias || ' ')")
+@query(f"WITH names AS (SELECT DISTINCT array_to_string({words_sql('text')}, ' ') AS alias FROM benchmark WHERE len({words_sql('text')}) > 0), d AS (SELECT doc_id, {phrase_sql('text')} AS line FROM documents) SELECT doc_id, alias FROM d JOIN names ON contains(line, ' ' || alias || ' ')")
 def known_entity_match(spark, sf_dir):
     from ..operators.ingest import known_names
 
-    first = F.concat_ws(" ", F.slice(X.words(F.col("text")), 1, 5))
-    names = table(spark, sf_dir, "benchmark").filter(F.size(X.words(F.col("text"))) >= 5).select(first.alias("alias")).distinct()
+    names = table(spark, sf_dir, "benchmark").select(F.concat_ws(" ", X.words(F.col("text"))).alias("alias")).filter("alias <> ''").distinct()
     return known_names(table(spark, sf_dir, "documents").select("doc_id", "text"), names, "doc_id", "text")
 
 

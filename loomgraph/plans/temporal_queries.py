@@ -9,7 +9,7 @@ from .. import bridge
 from ..bridge import sees, with_model
 from ..operators import aggregates as A
 from ..operators import temporal as T
-from ..schema import broken_rows, relation_types
+from ..schema import VISIBILITY, broken_rows, relation_types
 from ..security import Access, simulate, visible_rows, warning
 from ..storage import table, upsert
 
@@ -113,13 +113,26 @@ PAIR = "o.id AS old_id, n.id AS new_id, o.relation, o.invalid_at AS invalidated_
 
 
 @query(
-    with_model(f""", seen AS ({joined("security", "TRUE")})
-SELECT {PAIR} FROM seen o JOIN seen n ON o.source = n.source AND o.relation = n.relation AND o.target = n.target
-WHERE n.id <> o.id AND n.valid_at >= o.valid_at AND o.invalid_at IS NOT NULL AND o.invalid_at >= TIMESTAMP '2000-01-01' AND o.relation IS NOT NULL""")
+    with_model(f""", seen AS ({joined("security", "TRUE")}),
+counted AS (SELECT *, count(*) OVER (PARTITION BY source, relation, target ORDER BY valid_at RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 1 AS later FROM seen),
+o AS (SELECT * FROM counted WHERE later > 0 AND invalid_at >= TIMESTAMP '2000-01-01' ORDER BY invalid_at DESC, id LIMIT 50)
+SELECT {PAIR} FROM o JOIN seen n ON o.source = n.source AND o.relation = n.relation AND o.target = n.target
+WHERE n.id <> o.id AND n.valid_at >= o.valid_at ORDER BY o.invalid_at DESC, o.id, n.id LIMIT 50""")
 )
 def recent_contradictions(spark, sf_dir):
+    """The report of the newest 50; contradiction_counts looks at all."""
+    e, f = model(spark, sf_dir)
+    return T.contradictions(f, e, SECURITY, since="2000-01-01")
+
+
+@query(
+    with_model(f""", seen AS ({joined("security", "TRUE")}),
+counted AS (SELECT *, count(*) OVER (PARTITION BY source, relation, target ORDER BY valid_at RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 1 AS later, lead(id) OVER (PARTITION BY source, relation, target ORDER BY valid_at, id) AS next_id FROM seen)
+SELECT id, relation, invalid_at, later, next_id FROM counted WHERE invalid_at IS NOT NULL""")
+)
+def contradiction_counts(spark, sf_dir):
     e, f = model(spark, sf_dir)
-    return T.contradictions(f, e, SECURITY, since="2000-01-01", limit=None)
+    return T.contradiction_counts(f, e, SECURITY)
 
 
 @query(
@@ -237,6 +250,31 @@ def permission_matrix(spark, sf_dir):
     return out.groupBy("who", "s.allowed", "s.reason").agg(F.count("*").alias("n"))
 
 
+@query(
+    with_model(
+        """, p AS (SELECT id, CAST(regexp_extract(id, '[0-9]+$') AS BIGINT) AS k FROM entities WHERE entity_type = 'customer')
+SELECT id, k % 2 = 0 AND k % 3 <> 0 AS allowed, CASE WHEN k % 3 = 0 THEN 'denied' WHEN k % 2 = 0 THEN 'allowed' ELSE 'no_match' END AS reason,
+  CASE WHEN k % 3 = 0 THEN 'slack:user:U2' ELSE '' END AS denied_by, CASE WHEN k % 2 = 0 THEN 'slack:channel:C1' ELSE '' END AS allowed_by FROM p""",
+        "entities",
+    )
+)
+def permission_deny_first(spark, sf_dir):
+    """Policies with an allow list and, for some, a deny entry of the same person: the deny is the reason."""
+    e = bridge.entities(spark, sf_dir).filter("entity_type = 'customer'")
+    k = F.regexp_extract("id", "[0-9]+$", 0).cast("long")
+    entry = lambda kind, i, access: F.struct(F.lit("slack").alias("provider"), i.alias("id"), F.lit(kind).alias("type"), F.lit(access).alias("access"), F.lit(None).cast("string").alias("name"))
+    allow = F.array(entry("channel", F.when(k % 2 == 0, "C1").otherwise("C9"), "allow"))
+    acl = F.concat(allow, F.when(k % 3 == 0, F.array(entry("user", F.lit("U2"), "deny"))).otherwise(F.array().cast(allow_type())))
+    s = simulate(F.col("visibility").withField("sourceAcl", acl), Access(groups=("slack:channel:C1",), source_accounts={"slack": "U2"}))
+    # the bridge's own lists are left out: they are the subject of permission_matrix
+    e = e.withColumn("visibility", bridge.policy_of(F.lit(3)))
+    return e.select("id", s.alias("s")).select("id", "s.allowed", "s.reason", F.concat_ws(",", "s.denied_by").alias("denied_by"), F.concat_ws(",", "s.allowed_by").alias("allowed_by"))
+
+
+def allow_type():
+    return VISIBILITY["sourceAcl"].dataType
+
+
 @query(with_model(" SELECT id, 'classification ''' || 'security-only' || ''' has no access list' AS warning FROM entities WHERE acl IN (3, 4) AND entity_type = 'customer'", "entities"))
 def visibility_warnings(spark, sf_dir):
     e = bridge.entities(spark, sf_dir).withColumn("visibility", F.col("visibility").withField("classification", F.when(F.col("entity_type") == "customer", "security-only")))

@@ -65,22 +65,40 @@ def _entry_matches(e: Column, who: Access) -> Column:
     return F.when(e["type"].isin("user", "account"), user).when(e["type"].isin("group", "channel", "workspace"), named).when(e["type"] == "role", role).otherwise(F.lit(False))
 
 
+def _public(p: Column) -> Column:
+    """All lists are empty, deny lists included."""
+    lists = [_list(p, n) for n in ("allowedPrincipals", "deniedPrincipals", "allowedGroups", "deniedGroups")]
+    empty = F.coalesce(F.size(p["sourceAcl"]), F.lit(0)) <= 0
+    for values in lists:
+        empty = empty & (F.size(values) == 0)
+    return empty
+
+
+def _open(p: Column) -> Column:
+    """No list allows anyone in particular."""
+    return (F.size(_list(p, "allowedPrincipals")) == 0) & (F.size(_list(p, "allowedGroups")) == 0) & (F.size(_entries(p, "allow")) == 0)
+
+
+def matched(p: Column, access: Access, kind: str) -> Column:
+    """What of a policy's lists of a kind (allow or deny) names the one who asks."""
+    own = "allowed" if kind == "allow" else "denied"
+    key = lambda e: F.concat_ws(":", e["provider"], e["type"], e["id"])
+    named = F.transform(F.filter(_entries(p, kind), lambda e: _entry_matches(e, access)), key)
+    return F.concat(F.array_intersect(_list(p, f"{own}Principals"), _texts(access.principals())), F.array_intersect(_list(p, f"{own}Groups"), _texts(list(access.groups))), named)
+
+
 def visible(p: Column | str, access: Access | None) -> Column:
     """True where the policy lets access see the row; a null policy is public."""
     p = F.col(p) if isinstance(p, str) else p
     if access is not None and access.bypass:
         return F.lit(True)
-    lists = [_list(p, n) for n in ("allowedPrincipals", "deniedPrincipals", "allowedGroups", "deniedGroups")]
-    acl = F.coalesce(F.size(p["sourceAcl"]), F.lit(0))
-    empty = (acl <= 0) & (F.size(lists[0]) == 0) & (F.size(lists[1]) == 0) & (F.size(lists[2]) == 0) & (F.size(lists[3]) == 0)
     if access is None:
-        return empty
+        return _public(p)
     principals, groups = _texts(access.principals()), _texts(list(access.groups))
     hit = lambda entries: F.exists(entries, lambda e: _entry_matches(e, access))
-    denied = F.arrays_overlap(lists[1], principals) | F.arrays_overlap(lists[3], groups) | hit(_entries(p, "deny"))
-    allow = F.arrays_overlap(lists[0], principals) | F.arrays_overlap(lists[2], groups) | hit(_entries(p, "allow"))
-    open_ = (F.size(lists[0]) == 0) & (F.size(lists[2]) == 0) & (F.size(_entries(p, "allow")) == 0)
-    return ~denied & (open_ | allow)
+    denied = F.arrays_overlap(_list(p, "deniedPrincipals"), principals) | F.arrays_overlap(_list(p, "deniedGroups"), groups) | hit(_entries(p, "deny"))
+    allow = F.arrays_overlap(_list(p, "allowedPrincipals"), principals) | F.arrays_overlap(_list(p, "allowedGroups"), groups) | hit(_entries(p, "allow"))
+    return ~denied & (_open(p) | allow)
 
 
 def visible_rows(df: DataFrame, access: Access | None, column: str = "visibility") -> DataFrame:
@@ -88,16 +106,17 @@ def visible_rows(df: DataFrame, access: Access | None, column: str = "visibility
 
 
 def simulate(p: Column | str, access: Access | None) -> Column:
-    """allowed, and the reason: bypass, public, no_context, denied, no_allow_list, allowed or no_match."""
+    """allowed, the reason (bypass, public, no_context, denied, no_allow_list, allowed or no_match), and the matched entries of
+    the deny and allow lists.  A matched deny is the reason whatever else matches."""
     p = F.col(p) if isinstance(p, str) else p
-    seen = visible(p, access)
-    if access is not None and access.bypass:
-        return F.struct(seen.alias("allowed"), F.lit("bypass").alias("reason"))
-    if access is None:
-        return F.struct(seen.alias("allowed"), F.when(seen, "public").otherwise("no_context").alias("reason"))
-    open_ = (F.size(_list(p, "allowedPrincipals")) == 0) & (F.size(_list(p, "allowedGroups")) == 0) & (F.size(_entries(p, "allow")) == 0)
-    reason = F.when(seen & open_, "no_allow_list").when(seen, "allowed").when(open_, "denied").otherwise("no_match")
-    return F.struct(seen.alias("allowed"), reason.alias("reason"))
+    none = _texts([])
+    if access is None or access.bypass:
+        seen = visible(p, access)
+        reason = F.lit("bypass") if access is not None else F.when(seen, "public").otherwise("no_context")
+        return F.struct(seen.alias("allowed"), reason.alias("reason"), none.alias("denied_by"), none.alias("allowed_by"))
+    deny, allow = matched(p, access, "deny"), matched(p, access, "allow")
+    reason = F.when(F.size(deny) > 0, "denied").when(_open(p), "no_allow_list").when(F.size(allow) > 0, "allowed").otherwise("no_match")
+    return F.struct(reason.isin("no_allow_list", "allowed").alias("allowed"), reason.alias("reason"), deny.alias("denied_by"), allow.alias("allowed_by"))
 
 
 def warning(p: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ def text_files(spark: SparkSession, folder: str, since: str | None = None, exten
     if since:
         reader = reader.option("modifiedAfter", since)
     root = folder.rstrip("/").removeprefix("file://")
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + root + "/", "")
+    rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(root) + "/", "")
     rows = reader.load(folder).withColumn("rel", rel).withColumn("content", F.decode("content", "UTF-8"))
     rows = rows.filter(~F.col("rel").rlike(r"(^|/)(\.|node_modules(/|$))")).filter(F.trim("content") != "")
     return rows.select(
