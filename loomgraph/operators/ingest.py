@@ -21,18 +21,6 @@ def transcript(turns: DataFrame, key: str, order: str, speaker: str, text: str)
     return turns.groupBy(key).agg(F.concat_ws("\n", F.transform(lines, lambda s: s["line"])).alias("content"), F.count("*").alias("turns"))
 
 
-def normalized(source_type: Column, metadata: Column, content: Column) -> Column:
-    """Content with what its source's metadata adds, by kind of source (in this order: chat, call, analytics, record)."""
-    get = lambda p: F.get_json_object(metadata, p)
-    kind = F.lower(source_type)
-    has = lambda *words: F.greatest(*[kind.contains(w).cast("int") for w in words], F.lit(0)) > 0
-    slack = F.concat_ws("\n", F.concat(F.lit("Channel: "), get("$.channel")), F.concat(F.lit("Author: "), get("$.userName")), content)
-    call = F.concat_ws("\n", F.concat(F.lit("Title: "), F.coalesce(get("$.title"), get("$.meetingTitle"))), F.concat(F.lit("Participants: "), get("$.participants")), content)
-    event = F.concat_ws("\n", F.concat(F.lit("Event: "), F.coalesce(get("$.event"), get("$.name"))), F.concat(F.lit("Actor: "), F.coalesce(get("$.actor"), get("$.userId"))), F.concat(F.lit("Value: "), get("$.value")), content)
-    record = F.concat_ws("\n", F.concat(F.lit("Record: "), F.coalesce(get("$.recordType"), get("$.objectType"))), F.concat(F.lit("Stage: "), F.coalesce(get("$.stage"), get("$.status"))), content)
-    return F.when(has("slack"), slack).when(has("call", "meeting", "transcript"), call).when(has("analytics", "event", "metric"), event).when(has("crm", "record"), record).otherwise(content)
-
-
 def deduplicated(episodes: DataFrame, *order) -> DataFrame:
     """The first episode of each source key; those without a source id all stay."""
     keyed = episodes.filter("source_id is not null")
