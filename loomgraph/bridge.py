@@ -66,6 +66,11 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("visibility", policy_of(F.col("acl")))
 
 
+def tenanted(df: DataFrame) -> DataFrame:
+    """Rows of the model as those of two tenants, by their acl number."""
+    return df.withColumn("group_id", F.when(F.col("acl") < 3, "north").otherwise("south"))
+
+
 ENTITIES_SQL = """
 entities AS (
   SELECT 'customer:' || c_custkey AS id, 'customer' AS entity_type, c_name AS name, c_mktsegment AS summary, CAST(c_custkey % 5 AS INTEGER) AS acl FROM customer

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import flow_queries, search_queries, temporal_queries
+from .plans import build_queries, flow_queries, search_queries, temporal_queries
 
-MODULES = [temporal_queries, search_queries, flow_queries]
+MODULES = [temporal_queries, search_queries, flow_queries, build_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

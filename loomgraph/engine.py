@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import aggregates as A
+from .operators import clusters as C
+from .operators import extraction as E
 from .operators import graph as G
 from .operators import memory as M
 from .operators import temporal as T
 from .plans import answers, retrieval as R
 from .security import Access, simulate, visible_rows
-from .storage import insert_if_absent, upsert, written
+from .storage import insert_if_absent, of_group, upsert, written
 
 
 @dataclass(frozen=True)
@@ -28,13 +30,19 @@ class Engine:
     aliases: DataFrame
     relations: DataFrame
     access: Access | None = None
+    group_id: str | None = None
+
+    def for_group(self, group_id: str) -> Engine:
+        """The same tables with the rows of one tenant only; the relations of the default group are shared."""
+        own = {n: of_group(getattr(self, n), group_id, n == "relations") for n in ("entities", "facts", "episodes", "memory", "aliases", "relations")}
+        return replace(self, group_id=group_id, **own)
 
     def seen_by(self, access: Access | None) -> Engine:
         return replace(self, access=access)
 
     @property
     def corpus(self) -> R.Corpus:
-        return R.Corpus(self.entities, self.facts, self.episodes)
+        return R.Corpus(self.entities, self.facts, self.episodes, self.aliases)
 
     # reads
 
@@ -81,6 +89,16 @@ class Engine:
     def simulate_permission(self, access: Access | None) -> DataFrame:
         return self.entities.select("id", simulate("visibility", access).alias("s")).select("id", "s.*")
 
+    def entity_clusters(self, least: float = 0.82) -> DataFrame:
+        return C.entity_clusters(visible_rows(self.entities, self.access), self.aliases, least)
+
+    def relation_clusters(self, least: float = 0.78) -> DataFrame:
+        return C.relation_clusters(visible_rows(self.facts, self.access), least)
+
+    def expired_episodes(self, now, **options) -> DataFrame:
+        """Ephemeral episodes past their time that nothing rests on."""
+        return T.cleanup_candidates(self.episodes, self.facts, self.memory, now, **options)
+
     def canonical_clusters(self, least: float = 0.82) -> DataFrame:
         """Entities of one type with equal or like names: id, the cluster's canonical id, and the band of its weakest pair."""
         names = visible_rows(self.entities, self.access).select("id", "entity_type", "name")
@@ -91,8 +109,35 @@ class Engine:
         weakest = pairs.join(found, F.col("a") == F.col("id")).groupBy("label").agg(F.min("score").alias("score"))
         return found.join(weakest, "label").select("id", F.col("label").alias("canonical"), G.canonical_band(F.col("score")).alias("band"))
 
+    # reports over a log of extractions, reviews and evaluations
+
+    @staticmethod
+    def extraction_stats(log: DataFrame, since) -> DataFrame:
+        return A.extraction_stats(log, since)
+
+    @staticmethod
+    def suggested_patterns(log: DataFrame, **options) -> DataFrame:
+        return A.top_patterns(log, **options)
+
+    @staticmethod
+    def improvement_proposals(extracted: DataFrame, reviews: DataFrame) -> DataFrame:
+        return A.improvement_proposals(extracted, reviews)
+
+    @staticmethod
+    def run_evals(answers_: DataFrame, **options) -> DataFrame:
+        return M.eval_scores(answers_, **options)
+
     # writes
 
+    def ingest_batch(self, episodes: DataFrame, entities: DataFrame, facts: DataFrame) -> E.Batch:
+        """What a batch of episodes and their extractions adds to the tables."""
+        stored = {"episodes": self.episodes, "entities": self.entities, "aliases": self.aliases, "facts": self.facts}
+        return E.ingest_batch(stored, episodes, entities, facts, self.relations)
+
+    def delete_expired(self, now, **options) -> Engine:
+        gone = self.expired_episodes(now, **options).select("id")
+        return replace(self, episodes=self.episodes.join(gone, "id", "left_anti"))
+
     def ingest(self, episodes: DataFrame) -> Engine:
         return replace(self, episodes=insert_if_absent(self.episodes, episodes, ["source_type", "source_id"], "valid_at"))
 

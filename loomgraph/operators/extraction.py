@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import first_per_key, insert_if_absent
+from ..storage import first_per_key, written
 from . import ingest as I
 from .graph import first_n
 from .normalize import normalize
@@ -110,14 +110,13 @@ def ingest_batch(stored: dict[str, DataFrame], episodes: DataFrame, entities: Da
     the stored ones under their relations' policies.  Episodes that are stored already bring nothing.
     """
     clean = normalize(episodes)
-    fresh = insert_if_absent(stored["episodes"].select("source_type", "source_id").limit(0), clean.select("source_type", "source_id"), ["source_type", "source_id"], "source_id")
-    fresh = fresh.join(stored["episodes"].select("source_type", "source_id"), ["source_type", "source_id"], "left_anti")
-    new_episodes = first_per_key(clean.join(fresh, ["source_type", "source_id"], "left_semi"), ["source_type", "source_id"], "valid_at", "id")
+    fresh = clean.select("source_type", "source_id").distinct().join(stored["episodes"].select("source_type", "source_id"), ["source_type", "source_id"], "left_anti")
+    new_episodes = written(first_per_key(clean.join(fresh, ["source_type", "source_id"], "left_semi"), ["source_type", "source_id"], "valid_at", "id"), "episodes")
     of_new = lambda df: df.join(new_episodes.select(F.col("id").alias("episode_id")), "episode_id", "left_semi")
     said = of_new(facts)
     ends = said.select(F.col("source_name").alias("name"), F.col("source_type").alias("entity_type")).unionByName(said.select(F.col("target_name").alias("name"), F.col("target_type").alias("entity_type")))
     names = of_new(entities).select("name", "entity_type").unionByName(ends).filter("name is not null and entity_type is not null").distinct()
-    found = resolved_names(names, stored["entities"], stored["aliases"])
+    found = written(resolved_names(names, stored["entities"], stored["aliases"]), "names")
     rows = found.filter("decision <> 'merge'").select("id", "entity_type", "name")
     new_entities = first_per_key(rows, ["id"], "name")
     also = rows.join(new_entities.select("id", F.col("name").alias("first")), "id").filter("name <> first").select(F.col("id").alias("entity_id"), F.col("name").alias("alias"))
@@ -126,8 +125,8 @@ def ingest_batch(stored: dict[str, DataFrame], episodes: DataFrame, entities: Da
         said = said.join(ids, [f"{side}_name", f"{side}_type"], "left")
     said = fact_times(said, new_episodes)
     said = said.withColumn("id", F.concat(F.lit("fact:"), F.md5(F.concat_ws("|", "source", "relation", "target", F.lower(F.trim("fact_text"))))))
-    one = first_per_key(said, ["id"], "valid_at", "episode_id")
-    decided = I.resolve_facts(one, stored["facts"], relations)
+    one = written(first_per_key(said, ["id"], "valid_at", "episode_id"), "said")
+    decided = written(I.resolve_facts(one, stored["facts"], relations), "decided")
     kept = one.join(decided.filter("action <> 'skip'").select("id"), "id", "left_semi")
     columns = ["id", "source", "relation", "target", "fact_text", "valid_at", "confidence", "episode_id"]
     placed = supersede(stored["facts"].select("id", "source", "relation", "target", "valid_at", "invalid_at").unionByName(kept.select("id", "source", "relation", "target", "valid_at").withColumn("invalid_at", F.lit(None).cast("timestamp_ntz"))), relations)

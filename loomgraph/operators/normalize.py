@@ -109,10 +109,12 @@ def source_policy(source_type: Column, metadata: Column) -> Column:
     inherited = F.coalesce(*[F.when(kind == k, m.get(*names)) for k, (_, _, names) in PROVIDERS.items()])
     label = F.coalesce(m.get("classification"), F.when(kind == "event", "analytics"))
     none = F.array().cast("array<string>")
-    entries = []
-    for names, what, access in ((("visibleUserIds", "allowedUserIds"), "user", "allow"), (("visibleGroupIds", "allowedGroupIds"), "group", "allow"), (("deniedUserIds",), "user", "deny"), (("deniedGroupIds",), "group", "deny")):
+
+    def entries_of(names: tuple[str, ...], what: str, access: str) -> Column:
         ids = F.filter(F.coalesce(m.items(*names), none), lambda x: x != "")
-        entries.append(F.transform(ids, lambda i, w=what, a=access: F.struct(provider.alias("provider"), i.alias("id"), F.lit(w).alias("type"), F.lit(a).alias("access"), F.lit(None).cast("string").alias("name"))))
+        return F.transform(ids, lambda i: F.struct(provider.alias("provider"), i.alias("id"), F.lit(what).alias("type"), F.lit(access).alias("access"), F.lit(None).cast("string").alias("name")))
+
+    entries = [entries_of(("visibleUserIds", "allowedUserIds"), "user", "allow"), entries_of(("visibleGroupIds", "allowedGroupIds"), "group", "allow"), entries_of(("deniedUserIds",), "user", "deny"), entries_of(("deniedGroupIds",), "group", "deny")]
     only = lambda c: F.when(kind.isNotNull(), c)
     lists = [none.alias(n) for n in ("allowedPrincipals", "deniedPrincipals", "allowedGroups", "deniedGroups")]
     acl = F.when(kind.isNotNull(), F.concat(*entries)).otherwise(F.array().cast(VISIBILITY["sourceAcl"].dataType))

@@ -6,11 +6,10 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS
-from ..functions.vector import cosine
 from ..operators import memory as M
 from . import retrieval as R
 
@@ -28,13 +27,17 @@ def bound(rows: DataFrame, question: str, share: float = 0.6) -> DataFrame:
     named = subjects(question)
     if not named:
         return rows
-    low, hit = F.lower("content"), F.lit(False)
+    hit = F.lit(False)
     for s in named:
-        words = s.split()
-        hit = hit | (sum((low.contains(w).cast("int") for w in words), F.lit(0)) >= max(1, round(share * len(words))))
+        hit = hit | _names(F.lower("content"), s, share)
     return rows.filter(hit)
 
 
+def _names(low: Column, subject: str, share: float = 0.6) -> Column:
+    words = subject.split()
+    return sum((low.contains(w).cast("int") for w in words), F.lit(0)) >= max(1, round(share * len(words)))
+
+
 @dataclass
 class Answer:
     """One row with the answer and its confidence, and the citations that it rests on."""
@@ -43,9 +46,25 @@ class Answer:
     citations: DataFrame
 
 
-def answer(corpus: R.Corpus, memory: DataFrame, request: R.Request, relevant: Callable[[DataFrame], DataFrame] | None = None, limit: int = 12) -> Answer:
+def unanswerable(rows: DataFrame, question: str, coverage: tuple[str, ...] = ()) -> DataFrame:
+    """What evidence (content) lacks, one row each (missing): subjects of the question that no row names, and, if no row holds any
+    of the words of coverage, these."""
+    low = F.lower("content")
+    named = subjects(question)
+    parts = [F.when(F.count_if(_names(low, s)) == 0, F.lit(s)) for s in named]
+    if coverage:
+        some = F.lit(False)
+        for word in coverage:
+            some = some | low.contains(word.lower())
+        parts.append(F.when(F.count_if(some) == 0, F.lit(", ".join(coverage))))
+    return rows.agg(F.array_compact(F.array(*parts) if parts else F.array().cast("array<string>")).alias("m")).select(F.explode("m").alias("missing"))
+
+
+def answer(corpus: R.Corpus, memory: DataFrame, request: R.Request, relevant: Callable[[DataFrame], DataFrame] | None = None, coverage: tuple[str, ...] = (), limit: int = 12) -> Answer:
     """Memory objects and search results, with the source episodes of facts, as one evidence list; only evidence that names the
-    question's subject, and that an injected judge lets through, is cited.  Without any the answer is empty."""
+    question's subjects is cited, and none where one of them is named nowhere, or nothing holds a word of the asked coverage.
+    A question that names no subject and asks no coverage has no such proof: there a judge must be injected that lets evidence
+    through; without one the gate is closed and nothing is cited.  Without citations the answer is empty."""
     said = M.memory_search(memory, request.query, request.access, 8).join(memory.select("id", F.col("summary").alias("content")), "id")
     lists = [said.select(F.lit(0).alias("list_no"), F.lit("memory").alias("type"), "id", "score", "content")]
     found = R.search(corpus, request)
@@ -56,14 +75,12 @@ def answer(corpus: R.Corpus, memory: DataFrame, request: R.Request, relevant: Ca
     rows = lists[0]
     for more in lists[1:]:
         rows = rows.unionByName(more)
-    kept = bound(R.evidence(rows.withColumn("pos", -F.col("score")), limit), request.query)
-    cited = R.citations(relevant(kept) if relevant else kept, limit)
+    found_rows = R.evidence(rows.withColumn("pos", -F.col("score")), limit)
+    kept = bound(found_rows, request.query)
+    if subjects(request.query) or coverage:
+        gate = unanswerable(found_rows, request.query, coverage).agg((F.count("*") == 0).alias("open")).filter("open").withColumn("__one", F.lit(1))  # a row or none
+        kept = kept.withColumn("__one", F.lit(1)).join(F.broadcast(gate), "__one", "left_semi").drop("__one")
+    else:
+        kept = relevant(kept) if relevant else kept.limit(0)
+    cited = R.citations(kept, limit)
     return Answer(R.extractive_answer(cited), cited)
-
-
-def community_search(communities: DataFrame, vector: list[float], limit: int = 10, least: float = 0.12) -> DataFrame:
-    """Communities (label, salience, embedding) nearest to a vector: 0.9 of the cosine and 0.1 of the salience over the largest."""
-    most = communities.agg(F.max("salience").alias("most")).withColumn("__one", F.lit(1))  # one row
-    rows = communities.filter("embedding is not null").withColumn("__one", F.lit(1)).join(F.broadcast(most), "__one").withColumn("cos", cosine(F.col("embedding"), vector)).filter((F.col("cos") >= least) & ~F.isnan("cos"))
-    score = 0.9 * F.col("cos") + F.when(F.col("most") > 0, 0.1 * F.col("salience") / F.col("most")).otherwise(0.0)
-    return rows.select("label", score.alias("score")).orderBy(F.desc("score"), "label").limit(limit)

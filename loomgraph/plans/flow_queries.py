@@ -314,7 +314,7 @@ def stream_dedup(spark, sf_dir):
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling_events(spark, sf_dir):
-    return flows.run(flows.tumbling(flows.stream_of(spark, sf_dir, "events")), "tumbling", "complete")
+    return flows.run(flows.tumbling(flows.stream_of(spark, sf_dir, "events")), "tumbling", ["start", "event_type"])
 
 
 @query("""
@@ -322,7 +322,17 @@ WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, g""")
 def session_events(spark, sf_dir):
-    return flows.run(flows.sessions(flows.stream_of(spark, sf_dir, "events")), "sessions", "complete")
+    """All sessions of a finite replay, open ones too; closed_sessions is the endless form."""
+    return flows.run(flows.sessions(flows.stream_of(spark, sf_dir, "events")), "sessions", complete=True)
+
+
+@query("""
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, g HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def closed_sessions(spark, sf_dir):
+    """Sessions that the watermark has passed, each written once; their state is dropped."""
+    return flows.run(flows.sessions(flows.stream_of(spark, sf_dir, "events")), "sessions")
 
 
 @query("SELECT user_id, event_id, event_type, ts AS valid_at, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS invalid_at FROM events QUALIFY invalid_at IS NOT NULL")

@@ -98,6 +98,8 @@ class Corpus:
     entities: DataFrame
     facts: DataFrame
     episodes: DataFrame
+    aliases: DataFrame | None = None
+    communities: DataFrame | None = None
 
 
 @dataclass
@@ -158,6 +160,9 @@ def find_seeds(c: Corpus, r: Request, limit: int = 10) -> DataFrame:
     """Entities that a query names: by vector, by trigrams of the whole query, or by words; the best signal counts."""
     e = visible_rows(c.entities, r.access)
     parts = [e.select("id", X.similarity(F.col("name"), F.lit(r.query)).alias("s")).filter("s > 0.2").select("id", (0.9 * F.col("s")).alias("score"))]
+    if c.aliases is not None:
+        also = c.aliases.join(e.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+        parts.append(also.select(F.col("entity_id").alias("id"), X.similarity(F.col("alias"), F.lit(r.query)).alias("s")).filter("s > 0.2").select("id", (0.9 * F.col("s")).alias("score")))
     words = X.broad_terms(r.query, 1000)
     if words:
         a = X.terms(F.concat_ws(" ", "name", "summary"))
@@ -202,7 +207,25 @@ def temporal_search(c: Corpus, r: Request, window_days: int = 30) -> DataFrame:
     return as_list(block(rows, "fact", F.col("changed_at").cast("timestamp").cast("double"), F.col("score"), F.col("fact_text"), None, F.col("valid_at"), F.col("invalid_at")))
 
 
-METHODS = {"keyword": keyword_search, "semantic": semantic_search, "graph": graph_search, "pagerank": pagerank_search, "temporal": temporal_search}
+def community_search(communities: DataFrame, vector: list[float], limit: int = 10, least: float = 0.12) -> DataFrame:
+    """Communities (label, salience, embedding) nearest to a vector: 0.9 of the cosine and 0.1 of the salience over the largest."""
+    most = communities.agg(F.max("salience").alias("most")).withColumn("__one", F.lit(1))  # one row
+    rows = communities.filter("embedding is not null").withColumn("__one", F.lit(1)).join(F.broadcast(most), "__one").withColumn("cos", cosine(F.col("embedding"), vector)).filter((F.col("cos") >= least) & ~F.isnan("cos"))
+    score = 0.9 * F.col("cos") + F.when(F.col("most") > 0, 0.1 * F.col("salience") / F.col("most")).otherwise(0.0)
+    return rows.withColumn("score", score).orderBy(F.desc("score"), "label").limit(limit)
+
+
+def community_list(c: Corpus, r: Request) -> DataFrame:
+    """Communities as a list of entities; empty without communities or a vector."""
+    rows = c.communities if c.communities is not None and r.vector is not None else None
+    if rows is None:
+        return as_list(block(c.entities.limit(0), "entity", F.lit(0.0), F.lit(0.0), F.col("name"), None))
+    near = community_search(rows, r.vector, r.limit)
+    text = F.col("summary") if "summary" in rows.columns else F.col("label")
+    return as_list(block(near.withColumn("id", F.concat(F.lit("community:"), "label")), "entity", F.col("score"), F.col("score"), text, None))
+
+
+METHODS = {"keyword": keyword_search, "semantic": semantic_search, "graph": graph_search, "pagerank": pagerank_search, "temporal": temporal_search, "community": community_list}
 
 
 def search(c: Corpus, r: Request) -> DataFrame:

@@ -58,6 +58,22 @@ def removed(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def of_group(df: DataFrame, group_id: str | None, also_default: bool = False) -> DataFrame:
+    """The rows of one tenant (None: of all); also_default: with those of the default group."""
+    if group_id is None or "group_id" not in df.columns:
+        return df
+    return df.filter(F.col("group_id").isin(group_id, "default") if also_default else F.col("group_id") == group_id)
+
+
+def append_rows(df: DataFrame, folder: str) -> None:
+    """Appends rows to a stored table, a folder for each tenant, so that a tenant's reads open its own files only."""
+    df.write.mode("append").partitionBy("group_id").parquet(folder)
+
+
+def stored_rows(spark: SparkSession, folder: str, schema, group_id: str | None = None) -> DataFrame:
+    return of_group(spark.read.schema(schema).parquet(folder), group_id)
+
+
 def first_per_key(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key in the given order."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -12,9 +12,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..storage import shared_dir
+from ..storage import first_per_key, shared_dir
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,17 +25,45 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")  # a pattern: the table may be one file
 
 
-def run(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Runs a stream until what is there is done; its rows as table.  In complete mode the last result counts."""
+def run(stream: DataFrame, label: str, keys: list[str] | None = None, base: str | None = None, complete: bool = False) -> DataFrame:
+    """Runs a stream until what is there is done; its rows as table.  A base folder of an earlier run is continued.
+
+    With keys the stream's rows are updates: each batch writes those that changed, the state of what is older than the
+    watermark is dropped, and the last row of each key counts.  complete is for finite replays: the state holds all.
+    """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start()
-    else:
+    base = base or f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if complete:
         keep = lambda df, n: df.write.mode("overwrite").parquet(f"{base}/rows")
-        query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    if not keys:
+        query = stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    query = each_batch(stream, lambda df, n: df.withColumn("__batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/rows/batch={n}"), f"{base}/state")
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("__batch", T.LongType())])).option("recursiveFileLookup", "true").parquet(f"{base}/rows")
+    return first_per_key(rows, keys, F.desc("__batch")).drop("__batch")
+
+
+def each_batch(stream: DataFrame, write, state: str) -> StreamingQuery:
+    """Hands each batch to write(batch, number), once more with the same number after a failure, so writes must replace."""
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", state).outputMode("update").trigger(availableNow=True).start()
+
+
+def ingest(stream: DataFrame, folder: str, prepare) -> StreamingQuery:
+    """Episodes of a stream into a stored table: prepared as a batch, those stored before left out, each batch in its own folder,
+    which a repeated batch replaces."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, rows = batch.sparkSession, prepare(batch)
+        stored = spark.read.schema(rows.schema).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").parquet(f"{folder}/rows") if number else rows.limit(0)
+        known = stored.select("source_type", "source_id").filter("source_id is not null").distinct()
+        fresh = first_per_key(rows.filter("source_id is not null"), ["source_type", "source_id"], "valid_at").join(known, ["source_type", "source_id"], "left_anti").select(*rows.columns)
+        fresh.unionByName(rows.filter("source_id is null")).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    return each_batch(stream, write, f"{folder}/state")
 
 
 def timed(stream: DataFrame, delay: str, ts: str = "ts") -> DataFrame:

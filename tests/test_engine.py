@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loomgraph import bridge
 from loomgraph.engine import Engine
-from loomgraph.plans.answers import bound, community_search, subjects
+from loomgraph.plans.answers import bound, subjects
+from loomgraph.plans.retrieval import community_search
 from loomgraph.schema import relation_types
 from loomgraph.security import Access
 
