@@ -9,6 +9,7 @@ from ..bridge import sees, with_model
 from ..functions import text as X
 from ..functions import vector as V
 from ..operators import graph as G
+from ..security import visible
 from ..storage import table
 from .temporal_queries import SECURITY, joined, model
 
@@ -51,7 +52,7 @@ NAME = "supplier 12"
 
 @query(with_model(f", t AS (SELECT id, name, {trigrams_sql('name')} AS g, {trigrams_sql(repr(NAME))} AS q FROM entities WHERE {sees('acl', 'security')}) SELECT id, name, round({jaccard_sql('g', 'q')}, 6) AS similarity FROM t WHERE {jaccard_sql('g', 'q')} > 0.2", "entities"))
 def trigram_find_entity(spark, sf_dir):
-    e = bridge.entities(spark, sf_dir).filter(sees("acl", "security"))
+    e = bridge.entities(spark, sf_dir).filter(visible("visibility", SECURITY))
     return e.select("id", "name", X.similarity(F.col("name"), F.lit(NAME)).alias("s")).filter("s > 0.2").select("id", "name", F.round("s", 6).alias("similarity"))
 
 
@@ -72,7 +73,7 @@ ENTITY_QUERY = "building or machinery"
 @query(with_model(f", t AS (SELECT id, name, {terms_sql(chr(110) + 'ame || ' + repr(' ') + ' || summary')} AS a FROM entities WHERE {sees('acl', 'security')}) SELECT id, name, round({rank_sql('a', ['building', 'machinery'])}, 6) AS score FROM t WHERE list_contains(a, 'building') OR list_contains(a, 'machinery')", "entities"))
 def keyword_entities(spark, sf_dir):
     clauses = X.websearch(ENTITY_QUERY)
-    e = bridge.entities(spark, sf_dir).filter(sees("acl", "security")).withColumn("a", X.terms(F.concat_ws(" ", "name", "summary")))
+    e = bridge.entities(spark, sf_dir).filter(visible("visibility", SECURITY)).withColumn("a", X.terms(F.concat_ws(" ", "name", "summary")))
     return e.filter(X.matches(F.col("a"), clauses)).select("id", "name", F.round(X.rank_any(F.col("a"), X.clause_terms(clauses)), 6).alias("score"))
 
 
@@ -87,7 +88,7 @@ SELECT id, round(greatest(strict, 0.65 * broad) * confidence, 6) AS score FROM r
 def keyword_facts(spark, sf_dir):
     from .retrieval import keyword_rank
 
-    f = bridge.facts(spark, sf_dir).filter("invalid_at is null").filter(sees("acl", "security"))
+    f = bridge.facts(spark, sf_dir).filter("invalid_at is null").filter(visible("visibility", SECURITY))
     f = keyword_rank(f, F.col("fact_text"), FACT_QUERY)
     return f.select("id", F.round(F.col("rank") * F.col("confidence"), 6).alias("score"))
 
@@ -95,7 +96,7 @@ def keyword_facts(spark, sf_dir):
 @query(with_model(f", t AS (SELECT id, {terms_sql('content')} AS a FROM episodes WHERE {sees('acl', 'security')}) SELECT id, round(0.7 * {rank_sql('a', ['worthless', 'then'])}, 6) AS score FROM t WHERE list_contains(a, 'worthless') AND list_contains(a, 'then') AND NOT list_contains(a, 'pathetic')", "episodes"))
 def keyword_episodes(spark, sf_dir):
     clauses = X.websearch("worthless then -pathetic")
-    d = bridge.episodes(spark, sf_dir).filter(sees("acl", "security")).withColumn("a", X.terms(F.col("content")))
+    d = bridge.episodes(spark, sf_dir).filter(visible("visibility", SECURITY)).withColumn("a", X.terms(F.col("content")))
     return d.filter(X.matches(F.col("a"), clauses)).select("id", F.round(0.7 * X.rank_any(F.col("a"), X.clause_terms(clauses)), 6).alias("score"))
 
 
@@ -186,9 +187,33 @@ def vector_weighted_mean(spark, sf_dir):
     return means.select("label", F.posexplode("mean").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("mean"))
 
 
-@query()
+DISTANCE = 1.05
+
+
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < {DISTANCE}")
 def lsh_candidates(spark, sf_dir):
-    return V.lsh_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.8)
+    pairs = V.lsh_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", DISTANCE)
+    return pairs.select("a", "b", F.round("distance", 5).alias("distance"))
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS c FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0)
+SELECT query, vec_id, round(c, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, vec_id) AS n FROM s) WHERE n <= 10""")
+def vector_neighbours(spark, sf_dir):
+    """The ten nearest of all rows for each row whose id 100 divides."""
+    rows = table(spark, sf_dir, "embeddings")
+    return V.nearest_to_each(rows.filter("vec_id % 100 = 0"), rows, "vec_id", "embedding").select("query", "vec_id", F.round("similarity", 5).alias("similarity"))
+
+
+@query(f"SELECT e.vec_id, round(greatest(t, 0.4 * t + 0.6 * coalesce({COS}, t)), 5) AS score FROM (SELECT *, (vec_id % 10) / 10.0 AS t FROM embeddings) e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q")
+def name_and_vector_score(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select("vec_id", F.round(V.match_score(F.col("vec_id") % 10 / 10, V.cosine(F.col("embedding"), probe(spark, sf_dir))), 5).alias("score"))
+
+
+@query("SELECT doc_id, CAST(i AS INTEGER) AS i, md5(substring(text, i * 4500 + 1, 5000)) AS chunk FROM (SELECT doc_id, text, unnest(range(0, CAST(greatest(floor((length(text) - 500 - 1) / 4500) + 1, 1) AS BIGINT))) AS i FROM documents)")
+def text_chunks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(V.chunked(F.col("text"), 5000, 500)).alias("i", "chunk")).select("doc_id", "i", F.md5("chunk").alias("chunk"))
 
 
 # ------------------------------------------------------------------ graph
@@ -229,6 +254,21 @@ def bfs_relation_filter(spark, sf_dir):
     return G.traverse(f, edges, seeds(spark), 3, limit=None).withColumn("score", F.round("score", 6))
 
 
+@query(
+    with_model(
+        f""", v AS (SELECT f.relation, s.entity_type AS st, t.entity_type AS tt, f.fact_text, f.confidence, f.id FROM facts f JOIN entities s ON s.id = f.source JOIN entities t ON t.id = f.target WHERE f.invalid_at IS NULL),
+n AS (SELECT e.entity_type AS label, e.id, e.name FROM entities e),
+top AS (SELECT label, array_to_string(list_slice(list(name ORDER BY name, id), 1, 5), ', ') AS names, count(*) AS size FROM n GROUP BY label HAVING count(*) > 1),
+inner_ AS (SELECT st AS label, array_to_string(list_slice(list(fact_text ORDER BY confidence DESC, id), 1, 3), '; ') AS said FROM v WHERE st = tt GROUP BY st)
+SELECT top.label, size, 'This community consists of ' || size || ' entities: ' || names || '. Key relationships include: ' || coalesce(said, '') || '.' AS summary FROM top LEFT JOIN inner_ ON inner_.label = top.label"""
+    )
+)
+def community_sentences(spark, sf_dir):
+    """Sentences for communities; here the entities of one type are one."""
+    e, f = model(spark, sf_dir)
+    return G.community_summaries(e.select("id", F.col("entity_type").alias("label")), e, f.filter("invalid_at is null"))
+
+
 @query(with_model(f"{EDGES_SQL} SELECT DISTINCT dst AS id FROM edges WHERE src = 'nation:3' AND dst <> 'nation:3'"))
 def related_entities(spark, sf_dir):
     _, _, edges = graph(spark, sf_dir)
@@ -247,7 +287,7 @@ x{i} AS MATERIALIZED (SELECT n.id, n.s, 0.15 * n.s + 0.85 * coalesce(f.flow, 0)
 
 def scores(spark, sf_dir):
     e, f, edges = graph(spark, sf_dir)
-    nodes = e.filter(sees("acl", "security")).select("id")
+    nodes = e.filter(visible("visibility", SECURITY)).select("id")
     return e, f, G.pagerank(nodes, G.weighted(edges), seeds(spark), tolerance=None)
 
 
@@ -266,8 +306,8 @@ SELECT 'fact', l.id, round(max(t.score) * any_value(l.confidence), 7) FROM links
 )
 def ppr_results(spark, sf_dir):
     e, f, x = scores(spark, sf_dir)
-    links = f.filter("invalid_at is null").filter(sees("acl", "security"))
-    seen = e.filter(sees("acl", "security")).select("id")
+    links = f.filter("invalid_at is null").filter(visible("visibility", SECURITY))
+    seen = e.filter(visible("visibility", SECURITY)).select("id")
     for side in ("source", "target"):
         links = links.join(seen.withColumnRenamed("id", side), side, "left_semi")
     return G.pagerank_results(x, links).withColumn("score", F.round("score", 7))
@@ -292,7 +332,7 @@ FULL_ROUNDS = 10
 
 def labels(spark, sf_dir, rounds: int = LPA_ROUNDS):
     e, f, edges = graph(spark, sf_dir)
-    return e, f, edges, G.propagate_labels(e.filter(sees("acl", "security")).select("id"), edges, rounds)
+    return e, f, edges, G.propagate_labels(e.filter(visible("visibility", SECURITY)).select("id"), edges, rounds)
 
 
 @query(with_model(lpa_sql(LPA_ROUNDS) + f" SELECT id, label FROM l{LPA_ROUNDS}"))
@@ -334,7 +374,7 @@ def salience(spark, sf_dir, rounds: int):
 @query(with_model(f"{EDGES_SQL}, reach(id, label) AS (SELECT id, id FROM entities WHERE {sees('acl', 'security')} AND entity_type IN ('nation', 'region', 'supplier') UNION SELECT e.dst, r.label FROM reach r JOIN edges e ON e.src = r.id JOIN facts f ON f.id = e.fact_id WHERE f.relation IN ('located_in', 'part_of') AND f.id NOT LIKE 'located_in:c%') SELECT id, min(label) AS label FROM reach GROUP BY id"))
 def components(spark, sf_dir):
     e, f, edges = graph(spark, sf_dir, relations=["located_in", "part_of"])
-    nodes = e.filter(sees("acl", "security")).filter("entity_type in ('nation', 'region', 'supplier')").select("id")
+    nodes = e.filter(visible("visibility", SECURITY)).filter("entity_type in ('nation', 'region', 'supplier')").select("id")
     return G.components(nodes, edges.filter("fact_id not like 'located_in:c%'"))
 
 
@@ -342,7 +382,7 @@ def components(spark, sf_dir):
 def all_components(spark, sf_dir):
     """components over all visible entities and current facts; without an SQL twin, held against union-find in the tests."""
     e, _, edges = graph(spark, sf_dir)
-    return G.components(e.filter(sees("acl", "security")).select("id"), edges)
+    return G.components(e.filter(visible("visibility", SECURITY)).select("id"), edges)
 
 
 @query(with_model(", m AS (SELECT 'part:' || p_partkey AS duplicate, 'part:' || min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS canonical FROM part) SELECT f.id, f.source, coalesce(m.canonical, f.target) AS target FROM facts f LEFT JOIN m ON m.duplicate = f.target", "facts"))
