@@ -119,6 +119,39 @@ def rank_any(analyzed: Column, query_terms: list[str]) -> Column:
     return total / len(query_terms)
 
 
+#: The most places of a word that count, and how the closeness of two places is weighed.
+PLACES, FAR = 256, 100
+
+
+def places(all_words: Column, term: str) -> Column:
+    """Where a word stands among all words of a text, stop words included, from 1."""
+    return F.slice(F.array_compact(F.transform(all_words, lambda w, i: F.when(w == term, i + 1))), 1, PLACES)
+
+
+def _pairs(a: Column, b: Column, of) -> Column:
+    """of(x, y) for all x of a and y of b."""
+    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: of(x, y))))
+
+
+def rank_all(all_words: Column, query_terms: list[str]) -> Column:
+    """Rank of the form in which all terms must occur: 1 - product of (1 - w) over all pairs of places of different terms, where w
+    falls with their distance; one term alone ranks as an alternative."""
+    if len(query_terms) < 2:
+        return rank_any(all_words, query_terms)
+
+    def near(a: Column, b: Column) -> Column:
+        d = F.abs(a - b)
+        return 0.1 * F.sqrt(F.when(d > FAR, 1e-30).otherwise(1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2))))
+
+    at = {t: places(all_words, t) for t in query_terms}
+    left, every = F.lit(1.0), F.lit(True)
+    for n, a in enumerate(query_terms):
+        every = every & (F.size(at[a]) > 0)
+        for b in query_terms[n + 1 :]:
+            left = left * F.aggregate(_pairs(at[a], at[b], near), F.lit(1.0), lambda s, w: s * (1 - w))
+    return F.when(every, 1 - left).otherwise(0.0)
+
+
 def clause_terms(clauses: list[Clause]) -> list[str]:
     return list(dict.fromkeys(t for c in clauses if not c.negated for p in c.phrases for t in p))
 

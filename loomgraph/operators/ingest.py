@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +111,15 @@ def summary_lines(facts: DataFrame, most: int = 2000) -> DataFrame:
     return kept.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("lines"), F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("at", "fact_text"))), lambda s: s["fact_text"])).alias("summary"))
 
 
+def triaged(chunks: DataFrame, enabled: bool = True, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Chunks with retention, score, ttl_days and signal: all durable where triage is off, ephemeral where no judge is injected,
+    else what the judge says; what it doesn't know is dropped."""
+    if enabled and judge is not None:
+        return judge(chunks).withColumn("retention", F.when(F.col("retention").isin("durable", "ephemeral", "drop"), F.col("retention")).otherwise("drop"))
+    kept = F.lit("ephemeral" if enabled else "durable")
+    return chunks.withColumns({"retention": kept, "score": F.lit(0.5 if enabled else 1.0), "ttl_days": F.lit(30 if enabled else None).cast("int"), "signal": F.lit("no judge" if enabled else "triage is off")})
+
+
 def triage(scored: DataFrame, key: str) -> DataFrame:
     """Chunk decisions (retention, score, ttl_days, signal) as one for each episode: any durable chunk makes it durable, else
     any ephemeral one ephemeral, else it is dropped."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS
 from ..operators import memory as M
+from ..security import visible_rows
 from . import retrieval as R
 
 
@@ -60,6 +61,13 @@ def unanswerable(rows: DataFrame, question: str, coverage: tuple[str, ...] = ())
     return rows.agg(F.array_compact(F.array(*parts) if parts else F.array().cast("array<string>")).alias("m")).select(F.explode("m").alias("missing"))
 
 
+def trace(corpus: R.Corpus, memory: DataFrame, request: R.Request) -> dict[str, DataFrame]:
+    """What an answer could rest on: the newest visible episodes, facts and memory objects, and each method's list."""
+    newest = lambda rows, n: visible_rows(rows, request.access).orderBy(F.desc("valid_at"), "id").limit(n)
+    lists = {m: R.METHODS[m](corpus, request) for m in R.METHODS if m in request.methods and (m != "semantic" or request.vector is not None)}
+    return {"episodes": newest(corpus.episodes, 40), "facts": newest(corpus.facts, 60), "memory": newest(memory, 60)} | lists
+
+
 def answer(corpus: R.Corpus, memory: DataFrame, request: R.Request, relevant: Callable[[DataFrame], DataFrame] | None = None, coverage: tuple[str, ...] = (), limit: int = 12) -> Answer:
     """Memory objects and search results, with the source episodes of facts, as one evidence list; only evidence that names the
     question's subjects is cited, and none where one of them is named nowhere, or nothing holds a word of the asked coverage.

@@ -241,6 +241,21 @@ def memory_search(spark, sf_dir):
     return M.memory_search(bridge.memory(spark, sf_dir), "worthless src3", SECURITY, limit=None).withColumn("score", F.round("score", 6))
 
 
+@query(
+    with_model(
+        f""", m AS (SELECT memory.*, embedding, {terms_sql(chr(111) + 'wner || ' + repr(' ') + ' || subject || ' + repr(' ') + ' || summary')} AS a FROM memory LEFT JOIN embeddings ON 'mem:' || vec_id = id WHERE {sees('acl', 'security')}),
+n AS (SELECT id, kind, status, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM m WHERE embedding IS NOT NULL ORDER BY score DESC, id LIMIT 20),
+b AS (SELECT id, kind, status, {rank_sql('a', ['worthless', 'src3'])} AS score FROM m WHERE list_contains(a, 'worthless') AND list_contains(a, 'src3') UNION ALL SELECT * FROM n)
+SELECT id, kind, status, round(max(score), 5) AS score FROM b GROUP BY ALL ORDER BY max(score) DESC, id LIMIT 20""",
+        "memory",
+    )
+)
+def memory_search_vector(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("mem:"), F.col("vec_id").cast("string")).alias("id"), "embedding")
+    rows = bridge.memory(spark, sf_dir).join(vectors, "id", "left")
+    return M.memory_search(rows, "worthless src3", SECURITY, limit=20, vector=probe(spark, sf_dir)).withColumn("score", F.round("score", 5))
+
+
 SKILLS = [("lookup", 10, ["this is", "the of"]), ("timeline", 5, ["was by", "from that"]), ("review", 1, ["worthless", "and the to in"])]
 
 

@@ -158,6 +158,20 @@ def token_set_members(spark, sf_dir):
     return G.name_members(part_names(spark, sf_dir))
 
 
+@query(
+    f"""WITH d AS (SELECT doc_id, {words_sql("text")} AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d),
+q AS (SELECT doc_id, t, i FROM p WHERE t IN ('the', 'worthless', 'then') QUALIFY row_number() OVER (PARTITION BY doc_id, t ORDER BY i) <= 256)
+SELECT a.doc_id, round(1 - product(1 - 0.1 * sqrt(CASE WHEN abs(a.i - b.i) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(a.i - b.i) / 1.5 - 2)) END)), 6) AS score
+FROM q a JOIN q b ON a.doc_id = b.doc_id AND a.t < b.t GROUP BY a.doc_id HAVING count(DISTINCT a.t) + count(DISTINCT b.t) = 4 AND count(DISTINCT a.t || b.t) = 3"""
+)
+def keyword_all(spark, sf_dir):
+    """Documents that hold all three words, by how near to each other these stand."""
+    words = ["the", "worthless", "then"]
+    d = table(spark, sf_dir, "documents").select("doc_id", X.words(F.coalesce("text", F.lit(""))).alias("w"))
+    return d.select("doc_id", F.round(X.rank_all(F.col("w"), words), 6).alias("score"), F.forall(F.array(*[F.lit(w) for w in words]), lambda t: F.array_contains("w", t)).alias("all")).filter("all").drop("all")
+
+
 # ------------------------------------------------------------------ vectors
 
 COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
