@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomgraph.llm import media, urls
+from loomgraph.llm import langid, media, urls
 from loomgraph.llm.mixing import mix, mixed_texts, sainte_lague, shares
 from loomgraph.llm.queries import ORACLES, QUERIES
 from loomgraph.llm.urls import DigestIndex, build_index, filter_urls
@@ -243,6 +243,43 @@ def test_pipeline_stages(spark, small):
     assert out.filter("not lossless").count() == 0 and out.count() == sizes[-1]
 
 
+def test_pipeline_matches_brute_force(spark, small):
+    """Every stage against a plain version, each on what the stage before it kept; nothing of a kept class or text is lost."""
+    from test_dedup import brute_classes, brute_substrings
+    from test_text_operators import plain_prediction
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    model = langid.learn(docs.filter(langid.bucket("doc_id") != 1))
+    kept = []
+    for r in docs.collect():
+        if any(c.isalpha() for c in r.text or ""):
+            lang, score = plain_prediction(model, r.text)
+            if score >= corpus_pipeline.LEAST_SCORE:
+                kept.append((r.doc_id, r.text, lang))
+    one = corpus_pipeline.written(stages["language ID"](spark, docs, small), "test")
+    assert sorted((r.doc_id, r.text, r.lang) for r in one.collect()) == sorted(kept)
+    rows = [(i, t) for i, t, _ in kept]
+    classes = brute_classes(rows)
+    kept = [row for row, c in zip(rows, classes, strict=True) if row[0] == c]
+    two = corpus_pipeline.written(stages["MinHash near-dedup"](spark, one, small), "test")
+    assert sorted((r.doc_id, r.text) for r in two.collect()) == sorted(kept)
+    cut = [(i, t) for i, n, gone, t in brute_substrings(kept) if n == 0 or gone < n]
+    three = corpus_pipeline.written(stages["substring dedup"](spark, two, small), "test")
+    assert sorted((r.doc_id, r.text) for r in three.collect()) == sorted(cut)
+    whole, target, taken = dict(cut), {}, defaultdict(int)
+    sources = {r.doc_id: r.source for r in three.collect()}
+    for r in mix(three).collect():
+        target[r.source] = r.target
+    four = corpus_pipeline.written(stages["mixing sources"](spark, three, small), "test")
+    for r in four.collect():
+        assert r.source == sources[r.doc_id] and (r.text == whole[r.doc_id] or whole[r.doc_id].split()[: len(r.text.split())] == r.text.split())
+        taken[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - t) <= 0.02 * t + 128 for s, t in target.items())
+    five = stages["SentencePiece encoding"](spark, four, small).collect()
+    assert len(five) == four.count() and all(r.lossless and r.n_tokens == len(r.ids) for r in five)
+
+
 def test_pipeline_takes_hard_rows(spark, small):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "le chien et la rue", "fr", None, 18), (4, "the dog and the road of the town", "en", "a", 9), (4, "the dog and the road of the town", "en", "a", 9), (5, "the dog", None, "b", 7)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
