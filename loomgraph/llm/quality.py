@@ -3,8 +3,9 @@
 Every count and ratio is a built-in expression on the text, so the whole table
 is one projection without user functions, shuffles or joins.  Defined results:
 a null, empty or blank text has no words, fails the base rule and isn't kept;
-repeated rows are judged alike; other columns pass through (a result column
-replaces one of that name); an empty table gives an empty result.
+repeated rows are judged alike; a measure at a limit passes; a text of any length
+is measured whole; other columns pass through (a result column replaces one of
+that name); an empty table gives an empty result.
 """
 
 from __future__ import annotations
