@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -49,8 +50,11 @@ class Engine:
     def search(self, query: str, **options) -> DataFrame:
         return R.search(self.corpus, R.Request(query, access=self.access, **options))
 
-    def answer(self, query: str, **options) -> answers.Answer:
-        return answers.answer(self.corpus, self.memory, R.Request(query, access=self.access, **options))
+    def answer(self, query: str, relevant: Callable[[DataFrame], DataFrame] | None = None, coverage: tuple[str, ...] = (), **options) -> answers.Answer:
+        return answers.answer(self.corpus, self.memory, R.Request(query, access=self.access, **options), relevant, coverage)
+
+    def trace(self, query: str, **options) -> dict[str, DataFrame]:
+        return answers.trace(self.corpus, self.memory, R.Request(query, access=self.access, **options))
 
     def search_memory(self, query: str, **options) -> DataFrame:
         return M.memory_search(self.memory, query, self.access, **options)

@@ -44,7 +44,9 @@ def test_clusters_hold_equal_names(spark, engine):
 
 
 def test_answers_cite_what_they_say(engine):
-    got = engine.answer("worthless", methods=("keyword",), now="2001-01-01")
+    closed = engine.answer("worthless", methods=("keyword",), now="2001-01-01")
+    assert closed.citations.count() == 0 and closed.answer.first().answer == ""  # no subject and no judge
+    got = engine.answer("worthless", lambda rows: rows, methods=("keyword",), now="2001-01-01")
     cited, said = got.citations.collect(), got.answer.first()
     assert cited and any("worthless" in r.content.lower() for r in cited) and "[C1]" in said.answer
     nothing = engine.answer("Zanzibar worthless", methods=("keyword",), now="2001-01-01")
