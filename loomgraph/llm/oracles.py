@@ -73,7 +73,52 @@ reach(id, c) AS (SELECT id, id FROM n UNION SELECT both.b, reach.c FROM reach JO
 k AS (SELECT id, min(c) AS class_id FROM reach GROUP BY id)
 SELECT d.doc_id, k.class_id, d.doc_id = k.class_id AS kept FROM d JOIN n ON n.text = coalesce(d.text, '') JOIN k ON k.id = n.id""".replace("both", "links")
 
+def _crc32(number: str) -> str:
+    """CRC-32 of a number's decimal digits, bit by bit."""
+    byte = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))"
+    codes = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda a, b: {byte}), 4294967295)"
+
+
+TRIE = f"""
+WITH conv AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, {_crc32("conv_id")} % 4 AS h, conv_id - conv_id % 20 AS head FROM (SELECT DISTINCT conv_id FROM conv)),
+r AS (SELECT i.conv_id, 0 AS own, c.pos, role, text FROM ids i JOIN conv c ON c.conv_id = i.head AND c.pos <= h UNION ALL SELECT conv_id, 1, pos, role, text FROM ids JOIN conv USING (conv_id) WHERE pos > h),
+t AS (SELECT conv_id, row_number() OVER w AS d, text, string_agg(md5(role) || md5(text), '') OVER w AS k FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT conv_id, d, k, len({WORDS}) AS words FROM t UNION ALL SELECT conv_id, 0, '', 0 FROM ids),
+n AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM m GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, left(k, len(k) - 64) AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (d, k)),
+below AS (SELECT a.d, a.k, count(*) FILTER (WHERE x.n_children = 0) AS n_leaves, sum((x.n_convs - 1) * x.words) AS saved_tokens FROM x JOIN m a ON a.conv_id = x.conv_id AND a.d <= x.d GROUP BY a.d, a.k),
+ends AS (SELECT d, k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max(d) AS d, arg_max(k, d) AS k FROM m GROUP BY conv_id) GROUP BY d, k)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM x JOIN below USING (d, k) LEFT JOIN ends USING (d, k) LEFT JOIN n p ON p.d = x.d - 1 AND p.k = left(x.k, len(x.k) - 64)"""
+
+
+def _leaf(text: str) -> str:
+    part = "coalesce(CAST(octet_length(encode({0})) AS VARCHAR) || ':' || {0}, '-')"
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(part.format(f) for f in fields) + ")"
+
+
+MERKLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source AS s, {_leaf("text")} AS leaf, {_leaf(f"CASE WHEN {_crc32('doc_id')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS got FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf, got) - 1 AS i, count(*) OVER (PARTITION BY s) AS n FROM d),
+up(s, v, i, n, h) AS (SELECT s, 0, i, n, leaf FROM l UNION ALL SELECT s, v + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY s, v, i // 3, n),
+runs AS (SELECT s, v, i // 3 AS p, array_agg(h ORDER BY i) AS hs FROM up WHERE n > 1 GROUP BY s, v, i // 3),
+sub AS (SELECT s, h, row_number() OVER (ORDER BY s NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top(v, i, n, h) AS (SELECT 0, i, n, h FROM sub UNION ALL SELECT v + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY v, i // 3, n),
+over AS (SELECT v, i // 3 AS p, array_agg(h ORDER BY i) AS hs FROM top WHERE n > 1 GROUP BY v, i // 3),
+a(s, k, v, i, n, f, proof) AS (SELECT s, i, 0, i, n, got, '' FROM l UNION ALL SELECT a.s, k, a.v + 1, i // 3, (n + 2) // 3,
+  sha256(array_to_string(hs[1:i % 3] || [f] || hs[i % 3 + 2:], '')), proof || array_to_string(hs[1:i % 3] || hs[i % 3 + 2:], '') FROM a JOIN runs r ON r.s IS NOT DISTINCT FROM a.s AND r.v = a.v AND r.p = a.i // 3 WHERE a.n > 1),
+b(s, k, v, i, n, f, proof) AS (SELECT a.s, k, 0, sub.i, sub.n, f, proof FROM a JOIN sub ON sub.s IS NOT DISTINCT FROM a.s WHERE a.n = 1 UNION ALL SELECT b.s, k, b.v + 1, i // 3, (n + 2) // 3,
+  sha256(array_to_string(hs[1:i % 3] || [f] || hs[i % 3 + 2:], '')), proof || array_to_string(hs[1:i % 3] || hs[i % 3 + 2:], '') FROM b JOIN over o ON o.v = b.v AND o.p = b.i // 3 WHERE b.n > 1)
+SELECT doc_id, leaf, sub.h AS subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified
+FROM l JOIN b ON b.s IS NOT DISTINCT FROM l.s AND b.k = l.i AND b.n = 1 JOIN sub ON sub.s IS NOT DISTINCT FROM l.s, (SELECT h AS root FROM top WHERE n = 1)"""
+
 ORACLES = {
+    "op11_prefix_trie": TRIE,
+    "op13_merkle_manifest": MERKLE,
     "op2_substring_dedup": SUBSTRINGS,
     "op3_quality_rules": QUALITY,
     "op6_chat_formatting": CHAT,

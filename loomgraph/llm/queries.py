@@ -11,13 +11,16 @@ from .chat import chat_examples, read_back
 from .htmltext import main_text
 from .langid import bucket, identify, learn
 from .media import media_features, new_folder, read_archives, write_archives
+from .merkle import manifest
 from .mixing import mix
 from .oracles import ORACLES  # noqa: F401
 from .pieces import round_trip
 from .probminhash import near_duplicates
 from .quality import quality
+from .ring import sharded
 from .rlz import dedup_substrings
 from .shared import table
+from .trie import prefix_trie
 from .urls import filter_urls
 
 #: A public tokenizer's model file; a parameter of the queries that need one.
@@ -84,6 +87,27 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per node of the trie of rebuilt conversations: its members, children, leaves, savings, and the digest of those that end there."""
+    c = F.col("conv_id")
+    return prefix_trie(table(spark, sf_dir, "conversations"), F.crc32(c.cast("string")) % 4, c - c % 20)
+
+
+def op12_consistent_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its size, its shard of 24 and its slot there; shards differ by one row at most."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    out = sharded(docs, "doc_id", 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its leaf, roots and proof, and whether what a receiver holds (some texts without line ends) proves right."""
+    held = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    out = manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", {"text": held})
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_substring_dedup": op2_substring_dedup,
@@ -95,4 +119,7 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_consistent_sharding": op12_consistent_sharding,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }

@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +54,44 @@ def written(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if (open_ := _OPEN.get()) is not None:
+        open_.append(out)
     return out
 
 
+#: Tables written in the run that is under way; None outside of one.
+_OPEN: ContextVar[list[DataFrame] | None] = ContextVar("open", default=None)
+
+
+@contextmanager
+def run_of_tables() -> Iterator[None]:
+    """Tables written inside are deleted at the end, also after an error."""
+    token = _OPEN.set([])
+    try:
+        yield
+    finally:
+        made = _OPEN.get()
+        _OPEN.reset(token)
+        removed(*made)
+
+
+def leaves_one_table(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f with its result written, and every other table that it wrote deleted."""
+
+    @wraps(f)
+    def run(*a, **b):
+        around = _OPEN.get()
+        with run_of_tables():
+            out = f(*a, **b)
+            inner = _OPEN.set(around)
+            try:
+                return written(out, f.__name__)
+            finally:
+                _OPEN.reset(inner)
+
+    return run
+
+
 def removed(*tables: DataFrame) -> None:
     """Deletes written tables that nothing will read again."""
     for df in tables:
