@@ -179,7 +179,7 @@ def _proofs(groups: int):
         root, paths = over[-1][1][0], proofs_above(levels, proofs_above(over, [])[tree])
         roots = [root if r == d else folded(folded(r, i, levels), tree, over) for i, d, r in zip(ids, own, received, strict=True)]
         rows = leaves.num_rows
-        columns = {"leaf": own, "subroot": [subroot] * rows, "root": [root] * rows, "proof": [paths[i] for i in ids], "folded_root": roots}
+        columns = {"leaf": own, "subroot": [subroot] * rows, "root": [root] * rows, "proof": pa.array([paths[i] for i in ids], pa.list_(pa.string())), "folded_root": roots}
         return pa.table({"group": leaves.column("group"), "order": leaves.column("order"), **columns})
 
     return run
