@@ -184,7 +184,7 @@ episodes AS (
 MEMORY_SQL = f"""
 memory AS (
   SELECT 'mem:' || d.doc_id AS id, CASE WHEN toxic = 1 THEN 'risk' WHEN quality = 1 THEN 'decision' ELSE 'task' END AS kind,
-         CASE WHEN quality = 1 THEN 'active' ELSE 'superseded' END AS status, source AS owner, lang AS subject, text AS summary,
+         CASE WHEN quality = 1 THEN 'decided' ELSE 'parked' END AS status, source AS owner, lang AS subject, text AS summary,
          {_START} + to_days(CAST(d.doc_id % 2000 AS INTEGER)) AS valid_at, CASE WHEN quality = 1 THEN 0.9 ELSE 0.7 END AS confidence,
          CAST(d.doc_id % 5 AS INTEGER) AS acl
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id
@@ -197,7 +197,7 @@ def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         F.concat(F.lit("mem:"), key.cast("string")).alias("id"),
         F.when(F.col("toxic") == 1, "risk").when(F.col("quality") == 1, "decision").otherwise("task").alias("kind"),
-        F.when(F.col("quality") == 1, "active").otherwise("superseded").alias("status"),
+        F.when(F.col("quality") == 1, "decided").otherwise("parked").alias("status"),
         F.col("source").alias("owner"),
         F.col("lang").alias("subject"),
         F.col("text").alias("summary"),

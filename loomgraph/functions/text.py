@@ -1,7 +1,7 @@
 """Text search and fuzzy matching as built-in expressions.
 
-The analyzer lower-cases, splits at everything but letters and digits, and drops
-stop words; it is the specification that ranks and matches rest on.
+The analyzer lower-cases, splits at everything but letters and digits of any script,
+and drops stop words; it is the specification that ranks and matches rest on.
 """
 
 from __future__ import annotations
@@ -23,13 +23,18 @@ def words(x: Column) -> Column:
     return F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def all_words(x: Column) -> Column:
+    """Runs of letters and digits of any script, lower-cased."""
+    return F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def terms(x: Column) -> Column:
-    return F.filter(words(F.coalesce(x, F.lit(""))), lambda w: ~w.isin(STOP_WORDS))
+    return F.filter(all_words(F.coalesce(x, F.lit(""))), lambda w: ~w.isin(STOP_WORDS))
 
 
 def trigrams(x: Column) -> Column:
     """The distinct trigrams of all words, each padded with two blanks in front and one behind."""
-    padded = F.transform(words(x), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    padded = F.transform(all_words(x), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     return F.array_distinct(F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3))))))
 
 
@@ -61,7 +66,7 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 def broad_terms(query: str, most: int = 12) -> list[str]:
     """The query's words over two characters, in order, at most so many."""
-    found = [w for w in re.split(r"[^a-z0-9]+", query.lower()) if len(w) > 2]
+    found = [w for w in re.split(r"[\W_]+", query.lower()) if len(w) > 2]
     return list(dict.fromkeys(found))[:most]
 
 
@@ -83,7 +88,7 @@ def websearch(query: str) -> list[Clause]:
             either = bool(clauses)
             continue
         negated = part.startswith("-") and len(part) > 1
-        phrase = tuple(w for w in re.split(r"[^a-z0-9]+", part.strip('-"')) if w and w not in STOP_WORDS)
+        phrase = tuple(w for w in re.split(r"[\W_]+", part.strip('-"')) if w and w not in STOP_WORDS)
         if not phrase:
             continue
         if either and not negated and not clauses[-1].negated:

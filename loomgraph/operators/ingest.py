@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..security import visible_rows
 from ..storage import first_per_key
 from .graph import first_n
 from .temporal import cardinality_key, is_current
@@ -104,29 +105,68 @@ def resolve_facts(new: DataFrame, facts: DataFrame, relations: DataFrame) -> Dat
 
 
 def summary_lines(facts: DataFrame, most: int = 2000) -> DataFrame:
-    """Per source entity, its distinct fact texts from the newest on, as far as they fit into so many characters."""
-    one = facts.groupBy("source", "fact_text").agg(F.max("valid_at").alias("at"))
-    size = F.sum(F.length("fact_text") + 1).over(Window.partitionBy("source").orderBy(F.desc("at"), "fact_text").rowsBetween(Window.unboundedPreceding, 0))
-    kept = one.withColumn("size", size).filter(F.col("size") <= most + 1)
-    return kept.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("lines"), F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("at", "fact_text"))), lambda s: s["fact_text"])).alias("summary"))
+    """Per source entity, the texts of its facts as lines, the oldest first: the newest ones that fit into so many characters, and the
+    newest one always.  A summary is read by whoever sees the entity, so only facts that anybody may see count.  Texts that
+    differ in case or outer blanks only are one line, where it was said first."""
+    rows = visible_rows(facts, None).filter(F.trim("fact_text") != "").withColumn("__key", F.lower(F.trim("fact_text")))
+    one = rows.groupBy("source", "__key").agg(F.min(F.struct("valid_at", "id", "fact_text")).alias("first")).select("source", F.col("first.valid_at").alias("at"), F.col("first.id").alias("n"), F.col("first.fact_text").alias("line"))
+    newest = [F.desc("at"), F.desc("n")]
+    some = first_n(one, ["source"], most // 2 + 1, *newest)  # a line and its end have two characters at least
+    along = Window.partitionBy("source").orderBy(*newest)
+    size = F.sum(F.length("line") + 1).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    kept = some.withColumns({"size": size, "place": F.row_number().over(along)}).filter((F.col("size") <= most + 1) | (F.col("place") == 1))
+    return kept.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("lines"), F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("at", "n", "line"))), lambda s: s["line"])).alias("summary"))
+
+
+#: Days that an ephemeral text stays, the most signals and reasons of a decision, and those of a chunk that count.
+TTL_DAYS, SIGNALS, REASONS, CHUNK_REASONS = 14, 20, 10, 2
 
 
 def triaged(chunks: DataFrame, enabled: bool = True, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Chunks with retention, score, ttl_days and signal: all durable where triage is off, ephemeral where no judge is injected,
-    else what the judge says; what it doesn't know is dropped."""
+    """Chunks with retention, score, ttl_days, signals and reasons: all durable where triage is off, ephemeral where no judge is
+    injected, else what the judge says; what it doesn't know is dropped."""
     if enabled and judge is not None:
         return judge(chunks).withColumn("retention", F.when(F.col("retention").isin("durable", "ephemeral", "drop"), F.col("retention")).otherwise("drop"))
-    kept = F.lit("ephemeral" if enabled else "durable")
-    return chunks.withColumns({"retention": kept, "score": F.lit(0.5 if enabled else 1.0), "ttl_days": F.lit(30 if enabled else None).cast("int"), "signal": F.lit("no judge" if enabled else "triage is off")})
+    kept, score, days, signal, reason = ("ephemeral", 0.0, TTL_DAYS, "llm_required", "No LLM configured for triage.") if enabled else ("durable", 1.0, None, "triage_disabled", "Triage disabled by configuration.")
+    return chunks.withColumns({"retention": F.lit(kept), "score": F.lit(score), "ttl_days": F.lit(days).cast("int"), "signals": F.array(F.lit(signal)), "reasons": F.array(F.lit(reason))})
 
 
-def triage(scored: DataFrame, key: str) -> DataFrame:
-    """Chunk decisions (retention, score, ttl_days, signal) as one for each episode: any durable chunk makes it durable, else
-    any ephemeral one ephemeral, else it is dropped."""
+def triage(scored: DataFrame, key: str, chars: str | None = None) -> DataFrame:
+    """Chunk decisions (chunk, retention, score, ttl_days, signals, reasons) as one for each episode: any durable chunk makes it
+    durable, else any ephemeral one ephemeral, else it is dropped; the score is the highest among the chunks that decide, the
+    days the most of ephemeral ones.  Signals are those of all chunks as they come, after two fixed ones; reasons are two fixed
+    ones and the first two of each chunk.  chars: a column with the episode's length, which a reason names (else it is the
+    greatest that chunks give as their own: 0)."""
     durable, ephemeral = F.col("retention") == "durable", F.col("retention") == "ephemeral"
-    return scored.groupBy(key).agg(
+    length = F.max(chars) if chars else F.lit(0)
+    some = lambda kind: F.max(F.when(kind, F.col("score")))
+    out = scored.groupBy(key).agg(
         F.when(F.bool_or(durable), "durable").when(F.bool_or(ephemeral), "ephemeral").otherwise("drop").alias("retention"),
-        F.round(F.coalesce(F.max(F.when(durable, F.col("score"))), F.max("score")), 3).alias("score"),
-        F.when(~F.bool_or(durable), F.max(F.when(ephemeral, F.col("ttl_days")))).alias("ttl_days"),
-        F.concat_ws(",", F.slice(F.array_sort(F.collect_set("signal")), 1, 20)).alias("signals"),
+        F.coalesce(some(durable), some(ephemeral), F.greatest(F.max("score"), F.lit(0.0))).alias("score"),
+        F.max(F.when(ephemeral, F.coalesce("ttl_days", F.lit(TTL_DAYS)))).alias("ttl_days"),
+        F.count("*").alias("__chunks"), F.count_if(durable).alias("__durable"), F.count_if(ephemeral).alias("__ephemeral"), length.alias("__chars"),
+    )
+    said = F.when(F.col("retention") == "durable", "durable_chunk_found").when(F.col("retention") == "ephemeral", "ephemeral_chunk_found").otherwise("all_chunks_drop")
+    base = ["triage_chunked", "durable_chunk_found", "ephemeral_chunk_found", "all_chunks_drop"]
+    signals = scored.select(key, "chunk", F.posexplode("signals").alias("i", "signal")).groupBy(key, "signal").agg(F.min(F.struct("chunk", "i")).alias("at"))
+    signals = first_n(signals, [key], SIGNALS, "at", "signal").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "signal"))).alias("__signals"))
+    each = scored.select(key, "chunk", "retention", F.posexplode(F.slice("reasons", 1, CHUNK_REASONS)).alias("i", "reason"))
+    each = first_n(each, [key], REASONS - 2, "chunk", "i").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk", "i", F.concat(F.lit("Chunk "), F.col("chunk"), F.lit(" "), F.col("retention"), F.lit(": "), F.col("reason")).alias("line")))).alias("__reasons"))
+    n = lambda c: F.col(c).cast("string")
+    whole = F.concat(F.lit("Large interaction ("), n("__chars"), F.lit(" chars) was triaged in "), n("__chunks"), F.lit(" connected chunks."))
+    why = (
+        F.when(F.col("retention") == "durable", F.concat(n("__durable"), F.lit(" chunk(s) contained durable organizational memory, so the full source is eligible for extraction.")))
+        .when(F.col("retention") == "ephemeral", F.concat(n("__ephemeral"), F.lit(" chunk(s) contained short-lived context, but no chunk justified durable memory.")))
+        .otherwise("All chunks were classified as low-value noise.")
+    )
+    none = F.array().cast("array<string>")
+    own = F.filter(F.coalesce(F.transform("__signals", lambda s: s["signal"]), none), lambda s: ~((s == base[0]) | (s == said)))
+    out = out.join(signals, key, "left").join(each, key, "left")
+    return out.select(
+        key,
+        "retention",
+        "score",
+        F.when(F.col("retention") == "ephemeral", F.col("ttl_days")).alias("ttl_days"),
+        F.slice(F.concat(F.array(F.lit(base[0]), said), own), 1, SIGNALS).alias("signals"),
+        F.slice(F.concat(F.array(whole, why), F.coalesce(F.transform("__reasons", lambda s: s["line"]), none)), 1, REASONS).alias("reasons"),
     )

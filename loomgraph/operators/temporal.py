@@ -173,7 +173,7 @@ def as_of_join(events: DataFrame, facts: DataFrame, left_key: str, ts: str, valu
     return out.unionByName(events.filter(~known), allowMissingColumns=True)
 
 
-def cleanup_candidates(episodes: DataFrame, facts: DataFrame, memory: DataFrame, now, days: int = 30, limit: int | None = 1000) -> DataFrame:
+def cleanup_candidates(episodes: DataFrame, facts: DataFrame, memory: DataFrame, now, days: int = 14, limit: int | None = 1000) -> DataFrame:
     """Ephemeral episodes (metadata.triage.retention) older than their ttl that no fact and no memory object rests on."""
     retention = F.get_json_object("metadata", "$.triage.retention")
     ttl = F.coalesce(F.get_json_object("metadata", "$.triage.ttlDays").cast("int"), F.lit(days))

@@ -73,13 +73,17 @@ def answer(corpus: R.Corpus, memory: DataFrame, request: R.Request, relevant: Ca
     question's subjects is cited, and none where one of them is named nowhere, or nothing holds a word of the asked coverage.
     A question that names no subject and asks no coverage has no such proof: there a judge must be injected that lets evidence
     through; without one the gate is closed and nothing is cited.  Without citations the answer is empty."""
-    said = M.memory_search(memory, request.query, request.access, 8).join(memory.select("id", F.col("summary").alias("content")), "id")
-    lists = [said.select(F.lit(0).alias("list_no"), F.lit("memory").alias("type"), "id", "score", "content")]
+    none = {"confidence": F.lit(None).cast("double"), "quote": F.lit(None).cast("string")}
+    own = lambda rows: [rows[c] if c in rows.columns else none[c].alias(c) for c in none]
+    columns = ["type", "id", "score", "content", *none]
+    said = M.memory_search(memory, request.query, request.access, 8).join(memory.select("id", F.col("summary").alias("content"), *own(memory)), "id")
+    lists = [said.withColumns({"type": F.lit("memory"), "list_no": F.lit(0)}).select("list_no", *columns)]
     found = R.search(corpus, request)
-    lists.append(found.select(F.lit(1).alias("list_no"), "type", "id", "score", "content"))
+    sure = corpus.facts.select(F.lit("fact").alias("type"), "id", *own(corpus.facts))
+    lists.append(found.join(sure, ["type", "id"], "left").withColumn("list_no", F.lit(1)).select("list_no", *columns))
     if "episode_id" in corpus.facts.columns:
         source = R.expand_sources(found.select("id", "score", "content"), corpus.facts.select("id", "episode_id"), corpus.episodes, request.access)
-        lists.append(source.select(F.lit(2).alias("list_no"), F.lit("episode").alias("type"), "id", "score", "content"))
+        lists.append(source.withColumns({"type": F.lit("episode"), "list_no": F.lit(2)} | none).select("list_no", *columns))
     rows = lists[0]
     for more in lists[1:]:
         rows = rows.unionByName(more)

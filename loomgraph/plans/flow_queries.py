@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import bridge
@@ -15,7 +16,7 @@ from ..sources import rest, sync
 from ..storage import table
 from ..streaming import flows
 from . import retrieval as R
-from .search_queries import phrase_sql, probe, rank_sql, terms_sql, trigrams_sql
+from .search_queries import probe, rank_sql, terms_sql, trigrams_sql
 from .temporal_queries import SECURITY, model
 
 QUERIES: dict = {}
@@ -111,16 +112,19 @@ def evidence_rows(spark, sf_dir):
     return out.unionByName(out.withColumn("list_no", F.lit(5)).withColumn("score", F.lit(9.0)))
 
 
-@query(EVIDENCE_SQL + "SELECT type, id, round(base + boost, 6) AS score FROM e ORDER BY round(base + boost, 6) DESC, type, id LIMIT 12")
+@query(EVIDENCE_SQL + "SELECT type, id, round(base, 6) AS score FROM e ORDER BY round(base, 6) + boost DESC, type, id LIMIT 12")
 def answer_evidence(spark, sf_dir):
     rows = evidence_rows(spark, sf_dir).withColumn("score", F.round("score", 6))
     return R.evidence(rows).select("type", "id", F.round("score", 6).alias("score"))
 
 
-@query(EVIDENCE_SQL + ", c AS (SELECT content, base, row_number() OVER (ORDER BY round(base, 6) DESC, type, id) AS n FROM e WHERE type <> 'entity') SELECT string_agg(content || ' [C' || n || ']', ' ' ORDER BY n) AS answer, round(least(1, avg(base)), 3) AS confidence FROM c WHERE n <= 5")
+@query(EVIDENCE_SQL + ", c AS (SELECT content, base, type, row_number() OVER (ORDER BY round(base, 6) + boost DESC, type, id) AS n FROM (SELECT * FROM e ORDER BY round(base, 6) + boost DESC, type, id LIMIT 12) WHERE type <> 'entity') SELECT string_agg(CASE WHEN type = 'memory' THEN content[1:80] ELSE content END || ' [C' || n || ']', ' ' ORDER BY n) AS answer, round(avg(CASE WHEN type = 'memory' THEN 0.9 ELSE round(base, 6) END), 3) AS confidence FROM c WHERE n <= 5")
 def extractive_answer(spark, sf_dir):
+    """Memory objects bring their confidence and a quote, episodes their score and content."""
     rows = evidence_rows(spark, sf_dir).filter("list_no < 5").withColumn("score", F.round("score", 6))
-    return R.extractive_answer(R.citations(rows))
+    own = F.col("type") == "memory"
+    rows = rows.withColumns({"confidence": F.when(own, 0.9), "quote": F.when(own, F.substring("content", 1, 80))})
+    return R.extractive_answer(R.citations(R.evidence(rows)))
 
 
 @query(
@@ -201,24 +205,36 @@ def resolve_facts(spark, sf_dir):
 
 
 @query(
-    with_model(""", one AS (SELECT source, fact_text, max(valid_at) AS seen_at FROM facts GROUP BY ALL),
-s AS (SELECT *, sum(length(fact_text) + 1) OVER (PARTITION BY source ORDER BY seen_at DESC, fact_text ROWS UNBOUNDED PRECEDING) AS size FROM one)
-SELECT source AS id, count(*) AS lines, string_agg(fact_text, chr(10) ORDER BY seen_at, fact_text) AS summary FROM s WHERE size <= 101 GROUP BY source""", "facts")
+    with_model(f""", one AS (SELECT source, lower(trim(fact_text)) AS k, min(valid_at) AS seen_at, arg_min(id, (valid_at, id)) AS n, arg_min(fact_text, (valid_at, id)) AS line FROM facts WHERE {sees("acl", None)} GROUP BY ALL),
+s AS (SELECT *, sum(length(line) + 1) OVER w AS size, row_number() OVER w AS place FROM one WINDOW w AS (PARTITION BY source ORDER BY seen_at DESC, n DESC ROWS UNBOUNDED PRECEDING))
+SELECT source AS id, count(*) AS lines, string_agg(line, chr(10) ORDER BY seen_at, n) AS summary FROM s WHERE size <= 101 OR place = 1 GROUP BY source""", "facts")
 )
 def entity_summary_lines(spark, sf_dir):
     return I.summary_lines(bridge.facts(spark, sf_dir), 100)
 
 
 @query("""
-WITH c AS (SELECT conv_id, length(text) % 100 / 100.0 AS score, length(text) % 30 AS ttl, role AS signal, CASE WHEN length(text) % 5 = 0 THEN 'durable' WHEN length(text) % 3 = 0 THEN 'ephemeral' ELSE 'drop' END AS r FROM conversations)
-SELECT conv_id, CASE WHEN bool_or(r = 'durable') THEN 'durable' WHEN bool_or(r = 'ephemeral') THEN 'ephemeral' ELSE 'drop' END AS retention,
-round(coalesce(max(score) FILTER (WHERE r = 'durable'), max(score)), 3) AS score, CASE WHEN NOT bool_or(r = 'durable') THEN coalesce(max(ttl) FILTER (WHERE r = 'ephemeral'), 0) ELSE 0 END AS ttl_days,
-array_to_string(list_sort(list(DISTINCT signal)), ',') AS signals FROM c GROUP BY conv_id""")
+WITH c AS (SELECT conv_id, turn, length(text) AS n, length(text) % 100 / 100.0 AS score, CASE WHEN length(text) % 7 > 0 THEN length(text) % 30 END AS ttl, role, CASE WHEN length(text) % 5 = 0 THEN 'durable' WHEN length(text) % 3 = 0 THEN 'ephemeral' ELSE 'drop' END AS r FROM conversations),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS chunk FROM c),
+d AS (SELECT conv_id, count(*) AS chunks, count(*) FILTER (WHERE r = 'durable') AS nd, count(*) FILTER (WHERE r = 'ephemeral') AS ne, sum(n) AS chars, max(score) AS top, max(score) FILTER (WHERE r = 'durable') AS sd, max(score) FILTER (WHERE r = 'ephemeral') AS se, max(coalesce(ttl, 14)) FILTER (WHERE r = 'ephemeral') AS days FROM k GROUP BY conv_id),
+x AS (SELECT conv_id, role AS signal, min(chunk) AS since FROM k GROUP BY ALL),
+y AS (SELECT conv_id, array_agg(signal ORDER BY since, signal) AS own FROM x GROUP BY conv_id),
+z AS (SELECT conv_id, 'Chunk ' || chunk || ' ' || r || ': ' || why AS line, row_number() OVER (PARTITION BY conv_id ORDER BY chunk, i) AS place FROM (SELECT conv_id, chunk, r, unnest(['n=' || n, role]) AS why, generate_subscripts(['n', 'r'], 1) AS i FROM k)),
+w AS (SELECT conv_id, array_agg(line ORDER BY place) AS lines FROM z WHERE place <= 8 GROUP BY conv_id),
+v AS (SELECT *, CASE WHEN nd > 0 THEN 'durable' WHEN ne > 0 THEN 'ephemeral' ELSE 'drop' END AS retention FROM d)
+SELECT conv_id, retention, round(coalesce(sd, se, top), 3) AS score, CASE WHEN retention = 'ephemeral' THEN days END AS ttl_days,
+array_to_string(list_slice(['triage_chunked', CASE retention WHEN 'durable' THEN 'durable_chunk_found' WHEN 'ephemeral' THEN 'ephemeral_chunk_found' ELSE 'all_chunks_drop' END] || own, 1, 20), ',') AS signals,
+array_to_string(['Large interaction (' || chars || ' chars) was triaged in ' || chunks || ' connected chunks.', CASE retention WHEN 'durable' THEN nd || ' chunk(s) contained durable organizational memory, so the full source is eligible for extraction.' WHEN 'ephemeral' THEN ne || ' chunk(s) contained short-lived context, but no chunk justified durable memory.' ELSE 'All chunks were classified as low-value noise.' END] || lines, '|') AS reasons
+FROM v JOIN y USING (conv_id) JOIN w USING (conv_id)""")
 def triage_chunks(spark, sf_dir):
+    """Turns as a conversation's chunks, each with a verdict made up from its length."""
     n = F.length("text")
     kind = F.when(n % 5 == 0, "durable").when(n % 3 == 0, "ephemeral").otherwise("drop")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", (n % 100 / 100).alias("score"), (n % 30).cast("long").alias("ttl_days"), F.col("role").alias("signal"), kind.alias("retention"))
-    return I.triage(rows, "conv_id").withColumn("ttl_days", F.coalesce("ttl_days", F.lit(0)))
+    turns = table(spark, sf_dir, "conversations")
+    own = Window.partitionBy("conv_id")
+    rows = turns.select("conv_id", F.row_number().over(own.orderBy("turn")).alias("chunk"), (n % 100 / 100).alias("score"), F.when(n % 7 > 0, n % 30).cast("long").alias("ttl_days"), kind.alias("retention"), F.array("role").alias("signals"), F.array(F.concat(F.lit("n="), n.cast("string")), "role", F.lit("unsaid")).alias("reasons"), F.sum(n).over(own).alias("chars"))
+    out = I.triage(rows, "conv_id", "chars")
+    return out.select("conv_id", "retention", F.round("score", 3).alias("score"), "ttl_days", F.array_join("signals", ",").alias("signals"), F.array_join("reasons", "|").alias("reasons"))
 
 
 @query(f"SELECT doc_id, round(CASE WHEN len(w) < 50 AND n >= 1 THEN 0.9 WHEN len(w) > 200 AND n < 2 THEN 0.3 ELSE least(0.95, n / greatest(len(w) / 100, 1) * 0.3 + 0.7 * 0.7) END, 6) AS confidence FROM (SELECT doc_id, string_split_regex(trim(text), '\\s+') AS w, len(regexp_extract_all(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\b')) AS n FROM documents)")
@@ -230,9 +246,9 @@ def extraction_confidence(spark, sf_dir):
 # ------------------------------------------------------------------ memory, skills, evals
 
 
-@query(with_model(f" SELECT id, kind, status, owner, valid_at FROM memory WHERE {sees('acl', 'security')} AND kind IN ('risk', 'decision') AND status = 'active'", "memory"))
+@query(with_model(f" SELECT id, kind, status, owner, valid_at FROM memory WHERE {sees('acl', 'security')} AND kind IN ('risk', 'decision') AND status = 'decided'", "memory"))
 def memory_list(spark, sf_dir):
-    rows = M.memory_list(bridge.memory(spark, sf_dir), SECURITY, ["risk", "decision"], ["active"], limit=None)
+    rows = M.memory_list(bridge.memory(spark, sf_dir), SECURITY, ["risk", "decision"], ["decided"], limit=None)
     return rows.select("id", "kind", "status", "owner", "valid_at")
 
 
@@ -256,13 +272,28 @@ def memory_search_vector(spark, sf_dir):
     return M.memory_search(rows, "worthless src3", SECURITY, limit=20, vector=probe(spark, sf_dir)).withColumn("score", F.round("score", 5))
 
 
-SKILLS = [("lookup", 10, ["this is", "the of"]), ("timeline", 5, ["was by", "from that"]), ("review", 1, ["worthless", "and the to in"])]
+@query("""
+WITH p AS (SELECT doc_id % 50 AS episode_id, doc_id AS n, CASE doc_id % 3 WHEN 0 THEN 'decision' WHEN 1 THEN 'risk' ELSE 'gossip' END AS kind, text AS summary, CASE doc_id % 4 WHEN 0 THEN 'decided' WHEN 1 THEN 'active' WHEN 2 THEN 'done' END AS status, CASE WHEN doc_id % 5 > 0 THEN doc_id % 13 / 10.0 END AS sure FROM documents),
+k AS (SELECT *, left(trim(regexp_replace(lower(summary), '[^a-z0-9]+', ' ', 'g')), 240) AS key FROM p WHERE kind <> 'gossip'),
+f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY episode_id, kind, key ORDER BY n) = 1)
+SELECT episode_id, n, kind, CASE WHEN status IN ('decided', 'done') THEN status ELSE 'observed' END AS status, CAST(greatest(0, least(1, coalesce(sure, 0.7))) AS DOUBLE) AS confidence FROM f QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY n) <= 32""")
+def memory_derive(spark, sf_dir):
+    """Objects proposed for an episode; here documents, 50 episodes' worth of them."""
+    k = F.col("doc_id")
+    status = F.when(k % 4 == 0, "decided").when(k % 4 == 1, "active").when(k % 4 == 2, "done")
+    kind = F.when(k % 3 == 0, "decision").when(k % 3 == 1, "risk").otherwise("gossip")
+    rows = table(spark, sf_dir, "documents").select((k % 50).alias("episode_id"), k.alias("n"), kind.alias("kind"), F.col("text").alias("summary"), status.alias("status"), F.when(k % 5 > 0, k % 13 / 10).alias("confidence"))
+    return M.derive(rows, ("decision", "risk")).select("episode_id", "n", "kind", "status", "confidence")
+
+
+SKILLS = [("lookup", 10, ["this is", "the of"]), ("timeline", 5, ["was by", "from that", "hea"]), ("review", 1, ["worthless", "And the to in", "thanedble anea erin"])]
 
 
 def _skill_sql() -> str:
-    rows = ", ".join(f"('{s}', {p}, '{t}')" for s, p, ts in SKILLS for t in ts)
-    return f"""WITH s(skill, priority, g) AS (VALUES {rows}), i AS (SELECT item_id AS id, trim({phrase_sql("text")}) AS t FROM benchmark),
-m AS (SELECT id, skill, priority, CASE WHEN t = g THEN 1.0 WHEN contains(' ' || t || ' ', ' ' || g || ' ') THEN least(0.95, 0.8 + 0.2 * length(g) / length(t)) ELSE 0.7 * len(list_filter(string_split(g, ' '), lambda w: contains(' ' || t || ' ', ' ' || w || ' '))) / len(string_split(g, ' ')) END AS c FROM i, s)
+    rows = ", ".join(f"('{s}', {p}, '{t.lower()}')" for s, p, ts in SKILLS for t in ts)
+    return f"""WITH s(skill, priority, g) AS (VALUES {rows}), i AS (SELECT item_id AS id, lower(trim(text)) AS t FROM benchmark),
+m AS (SELECT id, skill, priority, CASE WHEN t = g THEN 1.0 WHEN contains(t, g) THEN least(0.95, 0.8 + 0.2 * length(g) / length(t))
+  ELSE CAST(len(list_filter(string_split(g, ' '), lambda w: len(list_filter(string_split_regex(t, '\\s+'), lambda v: contains(v, w) OR contains(w, v))) > 0)) AS DOUBLE) / len(string_split(g, ' ')) * CAST(0.7 AS DOUBLE) END AS c FROM i, s)
 SELECT id, skill, round(c, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, priority DESC, skill) AS n FROM m WHERE c >= 0.3) WHERE n = 1"""
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vector import cosine, nearest
+from ..indexes.postings import TextIndex
 from ..operators import graph as G
 from ..operators import temporal as T
 from ..security import Access, visible_rows
@@ -100,6 +101,8 @@ class Corpus:
     episodes: DataFrame
     aliases: DataFrame | None = None
     communities: DataFrame | None = None
+    #: Stored postings of entities, facts and episodes; tables without one are read whole.
+    indexes: dict[str, TextIndex] = field(default_factory=dict)
 
 
 @dataclass
@@ -135,9 +138,15 @@ def _entities(c: Corpus, r: Request) -> DataFrame:
 
 def keyword_search(c: Corpus, r: Request) -> DataFrame:
     n = 2 * r.limit
-    e = keyword_rank(_entities(c, r), F.concat_ws(" ", "name", "summary"), r.query, broad=False)
-    f = keyword_rank(_facts(c, r), F.col("fact_text"), r.query)
-    d = keyword_rank(visible_rows(c.episodes, r.access), F.col("content"), r.query)
+
+    def ranks(rows: DataFrame, table: str, text: Column, most: int, broad: bool = True) -> DataFrame:
+        if table not in c.indexes:
+            return keyword_rank(rows, text, r.query, broad)
+        return rows.join(c.indexes[table].search(r.query, broad, most, rows.select("id")), "id")
+
+    e = ranks(_entities(c, r), "entities", F.concat_ws(" ", "name", "summary"), n, broad=False)
+    f = ranks(_facts(c, r), "facts", F.col("fact_text"), n)
+    d = ranks(visible_rows(c.episodes, r.access), "episodes", F.col("content"), min(n, 5))
     return as_list(
         block(e, "entity", F.col("rank"), F.col("rank"), F.concat_ws(": ", "name", "summary"), n),
         block(f, "fact", F.col("rank"), F.col("rank") * F.col("confidence"), F.col("fact_text"), n, F.col("valid_at"), F.col("invalid_at")),
@@ -309,20 +318,28 @@ def expand_sources(hits: DataFrame, children: DataFrame, episodes: DataFrame, ac
 EVIDENCE = {"memory": 0.2, "episode": 0.28, "fact": 0.08, "entity": 0.0}
 
 
+def worth(rows: DataFrame) -> Column:
+    """What evidence is sorted by: its score and what its kind adds."""
+    return F.col("score") + F.coalesce(*[F.when(F.col("type") == t, b) for t, b in EVIDENCE.items()], F.lit(0.0))
+
+
 def evidence(rows: DataFrame, limit: int = 12) -> DataFrame:
-    """The best evidence, by score and kind; rows (list_no, pos, type, id, score, content) count once, at their first place."""
-    boost = F.coalesce(*[F.when(F.col("type") == t, b) for t, b in EVIDENCE.items()], F.lit(0.0))
-    return first_per_key(rows, ["type", "id"], "list_no", "pos").withColumn("score", F.col("score") + boost).orderBy(F.desc("score"), "type", "id").limit(limit)
+    """The best evidence, by score and kind (worth); rows (list_no, pos, type, id, score, content) count once, at their first place."""
+    return first_per_key(rows, ["type", "id"], "list_no", "pos").withColumn("worth", worth(rows)).orderBy(F.desc("worth"), "type", "id").limit(limit)
 
 
 def citations(rows: DataFrame, limit: int = 12) -> DataFrame:
-    """Citations C1, C2, ... of facts, episodes and memory objects."""
-    top = rows.filter(F.col("type").isin("fact", "episode", "memory")).orderBy(F.desc("score"), "type", "id").limit(limit)
-    return top.withColumn("citation", F.concat(F.lit("C"), F.row_number().over(Window.orderBy(F.desc("score"), "type", "id"))))
+    """Citations C1, C2, ... of facts, episodes and memory objects, in the order of their worth (else of their score)."""
+    by = [F.desc("worth" if "worth" in rows.columns else "score"), F.col("type"), F.col("id")]
+    top = rows.filter(F.col("type").isin("fact", "episode", "memory")).orderBy(*by).limit(limit)
+    return top.withColumn("citation", F.concat(F.lit("C"), F.row_number().over(Window.orderBy(*by))))  # limit rows at most
 
 
 def extractive_answer(cited: DataFrame, quotes: int = 5) -> DataFrame:
-    """One row: the first quotes with their citations, and the mean score."""
+    """One row: the first citations' quotes (their contents where they have none) with their names, and the mean of their own
+    confidence, or else of their score; one without either counts half."""
+    has = lambda c: F.col(c) if c in cited.columns else F.lit(None)
     first = cited.withColumn("n", F.substring("citation", 2, 9).cast("int")).filter(F.col("n") <= quotes)
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("n", "content", "citation"))), lambda s: F.concat(s["content"], F.lit(" ["), s["citation"], F.lit("]")))
-    return first.agg(F.concat_ws(" ", lines).alias("answer"), F.round(F.least(F.lit(1.0), F.avg("score")), 3).alias("confidence"))
+    first = first.withColumns({"said": F.coalesce(F.nullif(has("quote").cast("string"), F.lit("")), "content"), "sure": F.coalesce(has("confidence").cast("double"), "score", F.lit(0.5))})
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("n", "said", "citation"))), lambda s: F.concat(s["said"], F.lit(" ["), s["citation"], F.lit("]")))
+    return first.agg(F.concat_ws(" ", lines).alias("answer"), F.round(F.avg("sure"), 3).alias("confidence"))

@@ -34,13 +34,17 @@ def words_sql(x: str) -> str:
     return f"list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: w <> '')"
 
 
+def all_words_sql(x: str) -> str:
+    return f"list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
 def terms_sql(x: str) -> str:
     stops = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
-    return f"list_filter({words_sql(x)}, lambda w: NOT list_contains([{stops}], w))"
+    return f"list_filter({all_words_sql(x)}, lambda w: NOT list_contains([{stops}], w))"
 
 
 def trigrams_sql(x: str) -> str:
-    return f"list_distinct(flatten(list_transform({words_sql(x)}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+    return f"list_distinct(flatten(list_transform({all_words_sql(x)}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
 
 
 def jaccard_sql(a: str, b: str) -> str:

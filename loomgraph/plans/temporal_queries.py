@@ -292,7 +292,7 @@ EPHEMERAL_SQL = """
 eph AS (SELECT 'doc:' || doc_id AS id, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 90 AS INTEGER)) AS valid_at FROM documents WHERE doc_id % 2 = 0)"""
 
 
-@query("WITH" + EPHEMERAL_SQL + " SELECT id, valid_at FROM eph WHERE valid_at < TIMESTAMP '2024-03-01' - to_days(30) AND id NOT IN (SELECT 'doc:' || event_id FROM events WHERE user_id % 3 = 0) AND id NOT IN (SELECT 'doc:' || doc_id FROM labels)")
+@query("WITH" + EPHEMERAL_SQL + " SELECT id, valid_at FROM eph WHERE valid_at < TIMESTAMP '2024-03-01' - to_days(14) AND id NOT IN (SELECT 'doc:' || event_id FROM events WHERE user_id % 3 = 0) AND id NOT IN (SELECT 'doc:' || doc_id FROM labels)")
 def ephemeral_ttl(spark, sf_dir):
     k = F.col("doc_id")
     text = F.concat(F.lit("doc:"), k.cast("string"))

@@ -35,7 +35,7 @@ MEMORY = _rows("group_id string, id string, episode_id string, kind string, titl
 #: Allowed kinds of the data model.
 CARDINALITIES = ("many", "one_per_source", "one_per_target", "one_between_pair")
 INVALIDATION = ("never", "always", "llm")
-MEMORY_STATUSES = ("active", "proposed", "resolved", "superseded", "archived")
+MEMORY_STATUSES = ("observed", "proposed", "decided", "rejected", "parked", "open", "in_progress", "done", "blocked", "unknown")
 
 #: The relations of the bridge: cardinality and what a new fact does to older ones.
 RELATIONS = [

@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,11 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Folders made in the run that is under way; None outside of one.
+_OPEN: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("open", default=None)
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A name in the shared folder; a run that is under way deletes what is there at its end."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if (open_ := _OPEN.get()) is not None:
+        open_.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: the lineage is cut, lost executors don't matter, and the disk of the
     shuffles that made it is freed."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -50,12 +66,47 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def removed(*tables: DataFrame) -> None:
     """Deletes written tables that nothing will read again."""
     for df in tables:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(df.sparkSession, df.written_to)
+
+
+@contextmanager
+def run_of_tables() -> Iterator[None]:
+    """Folders made inside are deleted at the end, also after an error."""
+    token = _OPEN.set([])
+    try:
+        yield
+    finally:
+        made = _OPEN.get()
+        _OPEN.reset(token)
+        for spark, path in made:
+            delete_folder(spark, path)
+
+
+def leaves_one_table(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f with its result written, and everything else that it wrote deleted; f as it is where it writes nothing."""
+
+    @wraps(f)
+    def run(*a, **b):
+        around = _OPEN.get()
+        with run_of_tables():
+            out = f(*a, **b)
+            if not _OPEN.get():
+                return out
+            inner = _OPEN.set(around)
+            try:
+                return written(out, f.__name__)
+            finally:
+                _OPEN.reset(inner)
+
+    return run
 
 
 def of_group(df: DataFrame, group_id: str | None, also_default: bool = False) -> DataFrame:

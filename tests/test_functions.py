@@ -1,11 +1,13 @@
 """Text and vector functions, fusion, sources and skills."""
 
+import datetime
 import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.bridge import policy_of
 from loomgraph.functions import text as X
 from loomgraph.functions import vector as V
 from loomgraph.operators import ingest as I
@@ -102,13 +104,48 @@ def test_skills(spark):
     skills = spark.createDataFrame([("query", 1, ["what do we know about"]), ("enrich", 2, ["enrich this person"])], "skill string, priority int, triggers array<string>")
     inputs = spark.createDataFrame([(1, "What do we know about Acme"), (2, "enrich this person"), (3, "nothing fits")], "id long, text string")
     got = {r.id: (r.skill, r.confidence) for r in M.resolve_skills(inputs, skills).collect()}
+    deploy = spark.createDataFrame([("ship", 3, ["Deploy", "", None]), ("none", 9, ["x-ray the  thing"])], "skill string, priority int, triggers array<string>")
+    inside = {r.id: (r.skill, r.confidence) for r in M.resolve_skills(spark.createDataFrame([(1, "we are deploying now"), (2, "redep"), (3, None), (4, "")], "id long, text string"), deploy).collect()}
+    assert inside == {1: ("ship", pytest.approx(0.8 + 0.2 * 6 / 20))}
     assert got[1][0] == "query" and 0.8 < got[1][1] <= 0.95 and got[2] == ("enrich", 1.0) and 3 not in got
 
 
 def test_memory_derivation(spark):
-    rows = [("e", "decision", "Use  Kafka", None, 1.7), ("e", "decision", "use kafka!", "active", 0.2), ("e", "gossip", "x", None, 0.5), ("e", "risk", "y", None, None)]
-    out = M.derive(spark.createDataFrame(rows, "episode_id string, kind string, summary string, status string, confidence double"), ("decision", "risk")).collect()
-    assert sorted((r.kind, r.confidence, r.status) for r in out) == [("decision", 1.0, "active"), ("risk", 0.7, "active")]
+    rows = [("e", 1, "decision", "Use  Kafka", None, 1.7), ("e", 2, "decision", "use kafka!", "decided", 2.2), ("e", 3, "gossip", "x", None, 0.5), ("e", 4, "risk", "y", "active", None), ("e", 5, "risk", "z" * 300, "open", -1.0), ("e", 6, "risk", "z" * 299, "done", 0.1)]
+    rows = spark.createDataFrame(rows, "episode_id string, n int, kind string, summary string, status string, confidence double")
+    out = M.derive(rows, ("decision", "risk")).collect()
+    assert sorted((r.n, r.kind, r.confidence, r.status) for r in out) == [(1, "decision", 1.0, "observed"), (4, "risk", 0.7, "observed"), (5, "risk", 0.0, "open")]
+    assert sorted(r.n for r in M.derive(rows, ("decision", "risk"), most=3, key_chars=None).collect()) == [1, 4, 5]
+    assert [r.title for r in M.derive(rows.withColumn("title", F.lit("")), ("decision",)).collect()] == ["decision"]
+
+
+def test_summaries_hold_public_facts_only(spark):
+    at = lambda d: datetime.datetime(2024, 1, d)
+    rows = [("1", "e", "Secret plan", at(1), 0), ("2", "e", "Likes tea", at(2), 3), ("3", "e", " likes TEA ", at(3), 3), ("4", "e", "x" * 50, at(4), 3), ("5", "f", "y" * 90, at(1), 3), ("6", "g", "hidden", at(1), 1)]
+    facts = spark.createDataFrame(rows, "id string, source string, fact_text string, valid_at timestamp_ntz, acl int").withColumn("visibility", policy_of(F.col("acl")))
+    assert {r.id: r.summary for r in I.summary_lines(facts, 60).collect()} == {"e": "Likes tea\n" + "x" * 50, "f": "y" * 90}
+    assert {r.id: r.summary for r in I.summary_lines(facts, 59).collect()} == {"e": "x" * 50, "f": "y" * 90}
+
+
+def test_triage_of_chunks(spark):
+    rows = [(1, c, "drop", 0.1, None, ["a", "b"], ["no", "no", "no"]) for c in range(1, 9)] + [(1, 9, "durable", 0.8, None, ["b", "c"], ["yes"]), (2, 1, "ephemeral", 0.4, None, [], []), (2, 2, "ephemeral", 0.6, 9, ["ephemeral_chunk_found"], ["soon"]), (2, 3, "drop", 0.9, 99, ["x"], []), (3, 1, "drop", 0.2, None, [f"s{i:02}" for i in range(30)], ["noise"])]
+    chunks = spark.createDataFrame(rows, "id long, chunk int, retention string, score double, ttl_days int, signals array<string>, reasons array<string>").withColumn("chars", F.lit(900))
+    got = {r.id: r for r in I.triage(chunks, "id", "chars").collect()}
+    assert (got[1].retention, got[1].score, got[1].ttl_days, got[1].signals) == ("durable", 0.8, None, ["triage_chunked", "durable_chunk_found", "a", "b", "c"])
+    assert got[1].reasons[:3] == ["Large interaction (900 chars) was triaged in 9 connected chunks.", "1 chunk(s) contained durable organizational memory, so the full source is eligible for extraction.", "Chunk 1 drop: no"] and len(got[1].reasons) == 10
+    assert (got[2].retention, got[2].score, got[2].ttl_days, got[2].signals) == ("ephemeral", 0.6, 14, ["triage_chunked", "ephemeral_chunk_found", "x"])
+    assert got[2].reasons[1:] == ["2 chunk(s) contained short-lived context, but no chunk justified durable memory.", "Chunk 2 ephemeral: soon"]
+    assert (got[3].retention, got[3].score, len(got[3].signals), got[3].signals[1]) == ("drop", 0.2, 20, "all_chunks_drop")
+    held = I.triaged(chunks.select("id", "chunk")).first()
+    assert (held.retention, held.score, held.ttl_days, held.signals) == ("ephemeral", 0.0, 14, ["llm_required"]) and I.triaged(chunks, enabled=False).first().score == 1.0
+
+
+def test_answers_cite_quotes_and_average_confidence(spark):
+    rows = spark.createDataFrame([(0, 0, "memory", "m", 0.5, "said m", 0.9, "quote m"), (1, 0, "fact", "f", 0.6, "said f", 0.7, None), (1, 1, "episode", "e", 0.5, "said e", None, None), (1, 2, "entity", "n", 9.0, "x", None, None), (2, 0, "fact", "f", 9.0, "again", 0.1, "q")], "list_no int, pos int, type string, id string, score double, content string, confidence double, quote string")
+    top = R.evidence(rows)
+    assert [(r.id, r.score) for r in top.collect()] == [("n", 9.0), ("e", 0.5), ("m", 0.5), ("f", 0.6)]
+    one = R.extractive_answer(R.citations(top)).first()
+    assert (one.answer, one.confidence) == ("said e [C1] quote m [C2] said f [C3]", 0.7)
 
 
 def test_file_source(spark, tmp_path):
