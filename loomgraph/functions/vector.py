@@ -8,6 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type as _arrow
+
+from ..storage import written
 
 Vector = Column | list[float]
 
@@ -51,15 +55,20 @@ def match_score(trigram: Column, cos: Column) -> Column:
 
 
 BLOCK_BYTES = 64 << 20  # of queries that are held at once
+PRODUCTS = 4 << 20  # similarities that are held at once: 32 MB
 
 
-def nearest_to_each(queries: DataFrame, rows: DataFrame, key: str, column: str, k: int = 10) -> DataFrame:
-    """For every query vector its k nearest rows by cosine: query, key, similarity.  Exact: blocks of queries of a bounded size go
-    to all tasks, each task keeps its k best for each query, and the best of those stay."""
+def nearest_to_each(queries: DataFrame, rows: DataFrame, key: str, column: str, k: int = 10, group: str | None = None) -> DataFrame:
+    """For every query vector its k nearest rows by cosine (of its own group only, where one is named): query, key, similarity.
+    Exact: blocks of queries of a bounded size go to all tasks, one after the other, each task keeps its k best for each query,
+    and the best of those stay.  Zero vectors are near to nothing."""
     spark, kept = rows.sparkSession, None
-    asked = queries.filter(F.col(column).isNotNull()).select(F.col(key).cast("long").alias("query"), F.col(column).cast("array<float>").alias("v"))
+    own = F.lit(0).cast("long") if group is None else F.xxhash64(group)
+    asked = queries.filter(F.col(column).isNotNull()).select(F.col(key).alias("query"), F.col(column).cast("array<float>").alias("v"), own.alias("g"))
     size = asked.agg(F.coalesce(F.sum(4 * F.size("v")), F.lit(0))).first()[0]
     blocks = -(-size // BLOCK_BYTES)
+    kind = rows.schema[key].dataType
+    found = T.StructType([T.StructField("query", queries.schema[key].dataType), T.StructField(key, kind), T.StructField("similarity", T.DoubleType())])
 
     def matrix(values: pa.ListArray) -> np.ndarray:
         x = np.asarray(values.flatten(), np.float64).reshape(len(values), -1)
@@ -68,29 +77,39 @@ def nearest_to_each(queries: DataFrame, rows: DataFrame, key: str, column: str,
 
     def best_of(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
+            ids, q, groups = shared.value
             top = np.full((len(ids), 0), -np.inf)
-            who = np.zeros((len(ids), 0), np.int64)
+            names = np.zeros((len(ids), 0), np.asarray(pa.nulls(0, _arrow(kind)).to_numpy(zero_copy_only=False)).dtype)
+            step = max(1, PRODUCTS // max(1, len(ids)))
             for batch in batches:
-                near = np.nan_to_num(q @ matrix(batch.column(1)).T, nan=-np.inf)
-                top, who = np.hstack([top, near]), np.hstack([who, np.broadcast_to(np.asarray(batch.column(0)), near.shape)])
-                order = np.lexsort((who, -top), axis=1)[:, :k]
-                top, who = np.take_along_axis(top, order, 1), np.take_along_axis(who, order, 1)
+                for start in range(0, batch.num_rows, step):
+                    part = batch.slice(start, step)
+                    near = np.nan_to_num(q @ matrix(part.column(1)).T, nan=-np.inf)
+                    near[groups[:, None] != np.asarray(part.column(2))[None, :]] = -np.inf
+                    who = part.column(0).to_numpy(zero_copy_only=False)
+                    top, names = np.hstack([top, near]), np.hstack([names, np.broadcast_to(who, near.shape)])
+                    order = np.argsort(names, axis=1, kind="stable")
+                    top, names = np.take_along_axis(top, order, 1), np.take_along_axis(names, order, 1)
+                    order = np.argsort(-top, axis=1, kind="stable")[:, :k]
+                    top, names = np.take_along_axis(top, order, 1), np.take_along_axis(names, order, 1)
             some = np.isfinite(top)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, some.sum(axis=1))), pa.array(who[some]), pa.array(top[some])], names=["query", key, "similarity"])
+            asked_by = pa.array(np.repeat(np.arange(len(ids)), some.sum(axis=1)))
+            yield pa.RecordBatch.from_arrays([ids.take(asked_by), pa.array(names[some], _arrow(kind)), pa.array(top[some])], names=["query", key, "similarity"])
 
         return run
 
     for n in range(blocks):
         block = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n).toArrow()
         if block.num_rows:
-            shared = spark.sparkContext.broadcast((np.asarray(block.column("query")), matrix(block.column("v").combine_chunks())))
-            part = rows.filter(F.col(column).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(column).cast("array<float>").alias("v")).mapInArrow(best_of(shared), f"query long, {key} long, similarity double")
+            shared = spark.sparkContext.broadcast((block.column("query").combine_chunks(), matrix(block.column("v").combine_chunks()), np.asarray(block.column("g"))))
+            part = rows.filter(F.col(column).isNotNull()).select(F.col(key), F.col(column).cast("array<float>").alias("v"), own.alias("g")).mapInArrow(best_of(shared), found)
+            place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))
+            part = part.withColumn("__n", place).filter(F.col("__n") <= k).drop("__n")
+            if blocks > 1:  # a block's queries leave the driver and the executors before the next one's come
+                part = written(part, "nearest")
+                shared.destroy()
             kept = part if kept is None else kept.unionByName(part)
-    if kept is None:
-        return asked.select("query", F.lit(None).cast("long").alias(key), F.lit(None).cast("double").alias("similarity")).limit(0)
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))
-    return kept.withColumn("__n", place).filter(F.col("__n") <= k).drop("__n")
+    return spark.createDataFrame([], found) if kept is None else kept
 
 
 def lsh_pairs(rows: DataFrame, key: str, column: str, distance: float, bucket: float = 2.0, tables: int = 12) -> DataFrame:

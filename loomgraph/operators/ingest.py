@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.vector import cosine, match_score, nearest_to_each
+from ..indexes.trigrams import build
 from ..security import visible_rows
-from ..storage import first_per_key
+from ..storage import first_per_key, new_folder, written
 from .graph import first_n
 from .temporal import cardinality_key, is_current
 
@@ -45,38 +47,42 @@ def known_names(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataF
     return found.filter(F.slice("w", F.col("at"), F.size("all")) == F.col("all")).select(key, "alias").distinct()
 
 
+#: Similarities from which a match is a merge, or worth a look; how names and vectors count together; nearest
+#: vectors that are looked at, and how near they must be without a likeness of the names; a fact that says the same.
+MERGE, AMBIGUOUS, NAME_SHARE, VECTORS, VECTOR_ALONE, SAME_FACT = 0.9, 0.75, 0.4, 5, 0.8, 0.92
+
+
 def resolve_entities(extracted: DataFrame, entities: DataFrame, aliases: DataFrame, least: float = 0.3) -> DataFrame:
     """Extracted (name, entity_type) rows with the known entity that they are.
 
-    An alias or name that is equal (any case) and of the same type resolves at 0.95.  Else the best trigram similarity
-    over entities of the type decides: 0.90 and above is a merge, 0.75 and above ambiguous (a new entity), below it a new
-    one.  Trigrams stand in the order of how many names hold them; names that are alike enough share one of their first
-    size - ceil(least * size) + 1, so names meet by their rare trigrams only.
+    An alias or name that is equal (any case) and of the same type resolves at 0.95.  Else the best candidate of the type
+    decides: 0.90 and above is a merge, 0.75 and above ambiguous (a new entity), below it a new one.  Candidates are the most
+    alike name, if its trigrams are more alike than least, and, where both sides have an embedding, the five nearest
+    entities: one whose name is more alike than least counts 0.4 of that and 0.6 of the cosine (if that is more), another
+    one its cosine from 0.8 on.  Names are looked up in a trigram index, so that they meet by rare trigrams only.
     """
+    vectors = "embedding" in extracted.columns and "embedding" in entities.columns
     rows = extracted.select("name", "entity_type").distinct()
     named = entities.select("id", "entity_type", F.lower("name").alias("key"))
     also = aliases.join(entities.select(F.col("id").alias("entity_id"), "entity_type"), "entity_id").select(F.col("entity_id").alias("id"), "entity_type", F.lower("alias").alias("key"))
     known = named.unionByName(also).groupBy("entity_type", "key").agg(F.min("id").alias("exact"))
-    rows = rows.withColumn("key", F.lower("name")).join(known, ["entity_type", "key"], "left")
-    open_ = rows.filter("exact is null").select("name", "entity_type", X.trigrams(F.col("name")).alias("g"))
-    distinct = entities.groupBy("entity_type", "name").agg(F.min("id").alias("id")).withColumn("h", X.trigrams(F.col("name")))
-    rare = distinct.select("entity_type", F.explode("h").alias("t")).groupBy("entity_type", "t").agg(F.count("*").alias("n"))
-
-    def heads(rows: DataFrame, keys: list[str], grams: str) -> DataFrame:
-        """Rows once for each trigram of their prefix."""
-        counted = rows.select(*keys, F.explode(grams).alias("t")).join(rare, ["entity_type", "t"], "left").select(*keys, F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t").alias("o"))
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy("o.n", "o.t"))
-        size = F.count("*").over(Window.partitionBy(*keys))
-        return counted.withColumns({"place": place, "size": size}).filter(F.col("place") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1).select(*keys, F.col("o.t").alias("t"))
-
-    left, right = heads(open_, ["name", "entity_type"], "g"), heads(distinct, ["id", "entity_type"], "h")
-    pairs = left.join(right, ["entity_type", "t"]).select("name", "entity_type", "id").distinct()
-    pairs = pairs.join(open_, ["name", "entity_type"]).join(distinct.select("id", "h"), "id")
-    scored = pairs.select("name", "entity_type", "id", X.set_similarity(F.col("g"), F.col("h")).alias("score")).filter(F.col("score") > least)
-    best = first_per_key(scored, ["name", "entity_type"], F.desc("score"), "id").select("name", "entity_type", F.col("id").alias("near"), "score")
+    rows = written(rows.withColumn("key", F.lower("name")).join(known, ["entity_type", "key"], "left"), "exact")
+    open_ = rows.filter("exact is null")
+    asked_kinds = F.broadcast(open_.select("entity_type").distinct())  # types of the ontology
+    index = build(entities.select("id", "name", "entity_type").join(asked_kinds, "entity_type", "left_semi"), "id", "name", new_folder(entities.sparkSession, "trigrams"), "entity_type")
+    found = index.best(open_, "name", least, "entity_type").select(F.col("kind").alias("entity_type"), "name", "id", "score")
+    if vectors:
+        asked = first_per_key(extracted.filter("embedding is not null").select("name", "entity_type", "embedding").join(open_.select("name", "entity_type"), ["name", "entity_type"], "left_semi"), ["name", "entity_type"], "embedding")
+        asked = asked.withColumn("id", F.to_json(F.struct("entity_type", "name")))
+        near = nearest_to_each(asked, entities.select("id", "entity_type", "embedding"), "id", "embedding", VECTORS, "entity_type")
+        near = near.join(asked.select(F.col("id").alias("query"), "entity_type", "name"), "query").join(entities.select("id", F.col("name").alias("known")), "id")
+        t = X.similarity(F.col("name"), F.col("known"))
+        both = near.withColumn("t", t).withColumn("score", F.when(F.col("t") > least, match_score(F.col("t"), F.col("similarity"))).when(F.col("similarity") >= VECTOR_ALONE, F.col("similarity")))
+        found = found.unionByName(both.filter("score is not null").select("entity_type", "name", "id", "score"))
+    best = first_per_key(found, ["name", "entity_type"], F.desc("score"), "id").select("name", "entity_type", F.col("id").alias("near"), "score")
     out = rows.join(best, ["name", "entity_type"], "left")
     score = F.when(F.col("exact").isNotNull(), 0.95).otherwise(F.coalesce("score", F.lit(0.0)))
-    decision = F.when(F.col("exact").isNotNull() | (F.col("score") >= 0.9), "merge").when(F.col("score") >= 0.75, "ambiguous").otherwise("new")
+    decision = F.when(F.col("exact").isNotNull() | (F.col("score") >= MERGE), "merge").when(F.col("score") >= AMBIGUOUS, "ambiguous").otherwise("new")
     return out.select("name", "entity_type", decision.alias("decision"), F.when(decision != "new", F.coalesce("exact", "near")).alias("entity_id"), score.alias("score"))
 
 
@@ -84,19 +90,27 @@ def resolve_facts(new: DataFrame, facts: DataFrame, relations: DataFrame) -> Dat
     """New facts (id, source, relation, target, fact_text) with what happens to each: skip, create or invalidate_existing.
 
     In this order: an unresolved endpoint skips; no current fact under the relation's key creates; the same text as one of
-    the newest of them skips; a relation that never invalidates creates; one that always does ends the newest current facts
-    of the key (NEWEST at most); others create.
+    the newest of them skips, and so does an embedding, where both sides have one, nearer than 0.92; a relation that never
+    invalidates creates; one that always does ends the newest current facts of the key (NEWEST at most); others create.
     """
+    vectors = "embedding" in new.columns and "embedding" in facts.columns
     policy = relations.select(F.col("id").alias("relation"), "cardinality", "invalidation_policy")
     keyed = lambda df: df.join(policy, "relation", "left").withColumn("key", cardinality_key())
     text = F.lower(F.trim("fact_text"))
-    newest = first_n(keyed(facts.filter(is_current())), ["relation", "key"], NEWEST, F.desc("valid_at"), "id").select("relation", "key", text.alias("text"))
+    current = first_n(keyed(facts.filter(is_current())), ["relation", "key"], NEWEST, F.desc("valid_at"), "id")
+    newest = current.select("relation", "key", text.alias("text"))
     rows = keyed(new).join(newest.groupBy("relation", "key").agg(F.count("*").alias("n")), ["relation", "key"], "left")
     rows = rows.withColumn("text", text).join(newest.distinct().withColumn("same", F.lit(True)), ["relation", "key", "text"], "left")
+    said = F.col("same").isNotNull()
+    if vectors:
+        held = current.filter("embedding is not null").groupBy("relation", "key").agg(F.collect_list(F.col("embedding").cast("array<double>")).alias("held"))  # NEWEST at most
+        rows = rows.join(held, ["relation", "key"], "left")
+        near = F.exists("held", lambda v: cosine(F.col("embedding"), v) > SAME_FACT)
+        said = said | F.coalesce(near & F.col("embedding").isNotNull(), F.lit(False))
     action = (
         F.when(F.col("source").isNull() | F.col("target").isNull(), "skip")
         .when(F.col("n").isNull(), "create")
-        .when(F.col("same"), "skip")
+        .when(said, "skip")
         .when(F.col("invalidation_policy") == "never", "create")
         .when(F.col("invalidation_policy") == "always", "invalidate_existing")
         .otherwise("create")

@@ -194,14 +194,18 @@ a AS (SELECT id, n, CASE WHEN source IS NULL OR target IS NULL THEN 'skip' WHEN
 SELECT id, action, CASE WHEN action = 'invalidate_existing' THEN n ELSE 0 END AS n_invalidated FROM a"""
 
 
-@query(with_model(NEW_FACTS_SQL, "facts"))
-def resolve_facts(spark, sf_dir):
+def new_facts(spark, sf_dir):
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     o, p = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
     new = o.select(text("n", F.col("o_orderkey")).alias("id"), text("customer:", F.col("o_custkey")).alias("source"), F.lit("has_priority").alias("relation"), F.when(F.col("o_orderkey") % 11 != 0, F.concat(F.lit("priority:"), "o_orderpriority")).alias("target"))
     new = new.unionByName(p.select(text("s", F.col("p_partkey")).alias("id"), text("supplier:", F.col("p_partkey") % 100 + 1).alias("source"), F.lit("supplies").alias("relation"), text("part:", F.col("p_partkey")).alias("target")))
     new = new.withColumn("fact_text", F.concat_ws(" ", "source", "relation", "target"))
-    return I.resolve_facts(new, bridge.facts(spark, sf_dir), relation_types(spark))
+    return new
+
+
+@query(with_model(NEW_FACTS_SQL, "facts"))
+def resolve_facts(spark, sf_dir):
+    return I.resolve_facts(new_facts(spark, sf_dir), bridge.facts(spark, sf_dir), relation_types(spark))
 
 
 @query(

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from .. import bridge
 from ..bridge import sees, with_model
 from ..indexes import postings as P
+from ..indexes import trigrams as G
+from ..operators import ingest as I
+from ..schema import relation_types
 from ..security import visible
 from ..storage import new_folder, table
-from .search_queries import FACT_QUERY, rank_sql, terms_sql
+from .flow_queries import EXTRACTED_SQL, NEW_FACTS_SQL, new_facts
+from .search_queries import FACT_QUERY, NAME, rank_sql, terms_sql, trigrams_sql
 from .search_queries import ORACLES as SEARCH_SQL
 from .temporal_queries import SECURITY
 
@@ -91,3 +95,57 @@ def postings_english(spark, sf_dir):
     """Facts by stems: priorities finds has_priority, supplying finds supplies."""
     index = P.build(bridge.facts(spark, sf_dir), "id", F.col("fact_text"), new_folder(spark, "postings"), analyzer="english")
     return index.search(STEMMED).select("id", F.round("rank", 6).alias("score"))
+
+
+# ------------------------------------------------------------------ trigrams, and vectors in resolution
+
+
+@query(SEARCH_SQL["trigram_find_entity"])
+def trigram_index_entity(spark, sf_dir):
+    """trigram_find_entity from stored trigram postings."""
+    e = bridge.entities(spark, sf_dir)
+    index = G.build(e, "id", "name", new_folder(spark, "trigrams"))
+    found = index.alike(spark.createDataFrame([(NAME,)], "q string"), "q", 0.2)
+    seen = e.filter(visible("visibility", SECURITY)).select("id", F.col("name").alias("n"))
+    return found.join(seen, "id").select("id", F.col("n").alias("name"), F.round("score", 6).alias("similarity"))
+
+
+@query(
+    f"""WITH {EXTRACTED_SQL}, known AS (SELECT 'customer:' || c_custkey AS id, c_name, {trigrams_sql("c_name")} AS h, embedding::DOUBLE[] AS v FROM customer LEFT JOIN embeddings ON vec_id = c_custkey),
+own AS (SELECT name, min(c_custkey) AS k FROM extracted JOIN customer ON name IN (upper(c_name), c_name || ' inc', 'unknown ' || c_mktsegment) AND name = CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) WHEN c_custkey % 3 = 1 THEN c_name || ' inc' ELSE 'unknown ' || c_mktsegment END GROUP BY name),
+x AS (SELECT e.name, {trigrams_sql("e.name")} AS g, embedding::DOUBLE[] AS v, (SELECT min(id) FROM known k WHERE lower(k.c_name) = lower(e.name)) AS exact FROM extracted e JOIN own USING (name) LEFT JOIN embeddings ON vec_id = own.k),
+p AS (SELECT x.name, k.id, len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) AS t, list_cosine_similarity(x.v, k.v) AS c FROM x JOIN known k ON x.exact IS NULL),
+n AS (SELECT name, id FROM p WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY round(c, 9) DESC, id) <= 5),
+s AS (SELECT name, id, t AS s FROM p WHERE t > 0.3 UNION ALL SELECT name, id, CASE WHEN t > 0.3 THEN greatest(t, 0.4 * t + 0.6 * c) ELSE c END FROM p JOIN n USING (name, id) WHERE t > 0.3 OR c >= 0.8),
+b AS (SELECT name, id, s FROM s QUALIFY row_number() OVER (PARTITION BY name ORDER BY round(s, 9) DESC, id) = 1)
+SELECT x.name, CASE WHEN exact IS NOT NULL OR s >= 0.9 THEN 'merge' WHEN s >= 0.75 THEN 'ambiguous' ELSE 'new' END AS decision, CASE WHEN exact IS NOT NULL THEN exact WHEN s >= 0.75 THEN id END AS entity_id,
+round(CASE WHEN exact IS NOT NULL THEN 0.95 ELSE coalesce(s, 0) END, 5) AS score FROM x LEFT JOIN b ON b.name = x.name"""
+)
+def resolve_entities_vectors(spark, sf_dir):
+    """Extracted customers against all entities, by names and vectors: a customer has the vector of its number, and an extracted
+    name that of the first customer it stands for."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), "embedding")
+    c = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey"))
+    k = F.col("k")
+    name = F.when(k % 3 == 0, F.upper("c_name")).when(k % 3 == 1, F.concat("c_name", F.lit(" inc"))).otherwise(F.concat(F.lit("unknown "), "c_mktsegment"))
+    extracted = c.groupBy(name.alias("name")).agg(F.min("k").alias("k")).join(vectors, "k", "left").withColumn("entity_type", F.lit("customer")).drop("k")
+    known = bridge.entities(spark, sf_dir).withColumn("k", F.when(F.col("entity_type") == "customer", F.substring_index("id", ":", -1).cast("long"))).join(vectors, "k", "left")
+    return I.resolve_entities(extracted, known, bridge.aliases(spark, sf_dir)).select("name", "decision", "entity_id", F.round("score", 5).alias("score"))
+
+
+@query(
+    with_model(
+        NEW_FACTS_SQL.split("cur AS (")[0]
+        + """vec AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+held AS (SELECT f.*, v FROM facts f LEFT JOIN vec ON vec_id = length(f.id) * 7 % 50 WHERE invalid_at IS NULL),
+cur AS (SELECT relation, CASE WHEN relation = 'supplies' THEN source || '|' || target ELSE source END AS key, count(*) AS n, list(lower(fact_text)) AS texts, list(v) FILTER (WHERE v IS NOT NULL) AS vs FROM (SELECT * FROM held QUALIFY row_number() OVER (PARTITION BY relation, CASE WHEN relation = 'supplies' THEN source || '|' || target ELSE source END ORDER BY valid_at DESC, id) <= 10) GROUP BY ALL),
+r AS (SELECT new.*, n, texts, vs, v, new.source || ' ' || new.relation || ' ' || new.target AS fact_text FROM new LEFT JOIN vec ON vec_id = length(new.id) * 9 % 50 LEFT JOIN cur ON cur.relation = new.relation AND cur.key = CASE WHEN new.relation = 'supplies' THEN new.source || '|' || coalesce(new.target, '') ELSE new.source END),
+a AS (SELECT id, n, CASE WHEN source IS NULL OR target IS NULL THEN 'skip' WHEN n IS NULL THEN 'create' WHEN list_contains(texts, lower(fact_text)) THEN 'skip' WHEN len(list_filter(vs, lambda w: list_cosine_similarity(w, v) > 0.92)) > 0 THEN 'skip' WHEN relation = 'supplies' THEN 'create' ELSE 'invalidate_existing' END AS action FROM r)
+SELECT id, action, CASE WHEN action = 'invalidate_existing' THEN n ELSE 0 END AS n_invalidated FROM a"""
+    )
+)
+def resolve_facts_vectors(spark, sf_dir):
+    """resolve_facts with vectors (here by the length of a fact's id), of which near ones say the same."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), "embedding")
+    with_vector = lambda rows, times: rows.withColumn("k", (F.length("id") * times % 50).cast("long")).join(vectors, "k", "left").drop("k")
+    return I.resolve_facts(with_vector(new_facts(spark, sf_dir), 9), with_vector(bridge.facts(spark, sf_dir), 7), relation_types(spark))

@@ -11,6 +11,8 @@ from loomgraph.bridge import policy_of
 from loomgraph.functions import text as X
 from loomgraph.functions.stem import with_stems
 from loomgraph.indexes import postings as P
+from loomgraph.indexes import trigrams as T
+from loomgraph.operators import ingest as I
 from loomgraph.plans import retrieval as R
 from loomgraph.storage import leaves_one_table, new_folder, run_of_tables, shared_dir, written
 
@@ -223,6 +225,64 @@ def test_an_index_of_no_rows(spark, corpus):
         P.build(rows, "id", F.col("text"), "x", "klingon")
 
 
+# ---------------------------------------------------------------- trigrams
+
+
+def grams(name):
+    return {f"  {w} "[i : i + 3] for w in re.split(r"[\W_]+", name.lower()) if w for i in range(len(w) + 1)}
+
+
+def alike(a, b):
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+@pytest.mark.parametrize("above", [0.2, 0.3, 0.62])
+def test_trigram_index_against_all_pairs(spark, above):
+    rng = random.Random(8)
+    base = ["Customer#000000%03d" % i for i in range(60)] + ["Acme Corp", "acme-corp", "ACME Corporation", "Zürich Bank", "zurich bank", "", "!!", "a", "x" * 900]
+    names = [(i, rng.choice(["k", "l", None]), n) for i, n in enumerate(base + base[:9])] + [(500, "k", None)]
+    asked = [("k", "customer#000000005 inc"), ("k", "Acme"), ("l", "zürich"), (None, "Customer#000000059"), ("k", "nothing like it"), ("k", ""), ("k", None), ("k", "x" * 899), ("z", "Acme Corp")]
+    rows = spark.createDataFrame(names, "key long, kind string, name string").withColumns({"first": F.lit(1), "grams": F.lit("clash")})
+    index = T.build(rows, "key", "name", new_folder(spark, "trigrams"), "kind")
+    q = spark.createDataFrame(asked, "kind string, q string")
+    want = {(k or "", n, i): alike(n, m) for k, n in asked if n for i, l, m in names if m is not None and k == l and alike(n, m) > above}
+    got = {(r.kind, r.name, r.id): r.score for r in index.alike(q, "q", above, "kind").collect()}
+    assert got == pytest.approx(want)
+    best = {}
+    for (k, n, i), s in want.items():
+        best[k, n] = min(best.get((k, n), (0, 0)), (-round(s, 9), i))
+    assert {(r.kind, r.name): (-round(r.score, 9), r.id) for r in index.best(q, "q", above, "kind").collect()} == best
+
+
+def test_trigram_index_of_no_names(spark):
+    none = spark.createDataFrame([], "id string, name string")
+    index = T.build(none, "id", "name", new_folder(spark, "trigrams"))
+    q = spark.createDataFrame([("x",)], "q string")
+    assert index.alike(q, "q", 0.2).collect() == [] and index.best(q, "q", 0.3).collect() == []
+    some = T.build(q, "q", "q", new_folder(spark, "trigrams"))
+    assert some.best(none, "name", 0.3).collect() == []
+
+
+def test_vectors_raise_and_find_matches(spark):
+    entities = spark.createDataFrame([("a", "org", "Acme Corporation", [1.0, 0.0]), ("b", "org", "Globex", [0.0, 1.0]), ("c", "org", "Initech", None), ("d", "person", "Acme Corp", [1.0, 0.0]), ("e", "org", "Zero", [0.0, 0.0])], "id string, entity_type string, name string, embedding array<float>")
+    aliases = spark.createDataFrame([("c", "IT")], "entity_id string, alias string")
+    asked = [("Acme Corp", "org", [1.0, 0.05]), ("The Globe Corporation of Springfield", "org", [0.1, 1.0]), ("it", "org", [1.0, 0.0]), ("Nobody", "org", [-1.0, -1.0]), ("Initec", "org", None)]
+    extracted = spark.createDataFrame(asked, "name string, entity_type string, embedding array<float>")
+    got = {r.name: (r.decision, r.entity_id, round(r.score, 3)) for r in I.resolve_entities(extracted, entities, aliases).collect()}
+    t = alike("Acme Corp", "Acme Corporation")
+    assert got["Acme Corp"] == ("ambiguous", "a", round(0.4 * t + 0.6 * 0.99875, 3)) and got["The Globe Corporation of Springfield"] == ("merge", "b", 0.995)
+    assert got["it"] == ("merge", "c", 0.95) and got["Nobody"] == ("new", None, 0.0) and got["Initec"][0] == "new" and got["Initec"][2] == round(alike("Initec", "Initech"), 3)
+
+
+def test_near_vectors_say_the_same_fact(spark):
+    columns = "id string, source string, relation string, target string, fact_text string, valid_at timestamp_ntz, invalid_at timestamp_ntz, embedding array<float>"
+    facts = spark.createDataFrame([("f", "s", "r", "t", "old", None, None, [1.0, 0.0])], columns)
+    new = spark.createDataFrame([("1", "s", "r", "u", "x", None, None, [1.0, 0.1]), ("2", "s", "r", "u", "y", None, None, [1.0, 0.6]), ("3", "s", "r", "u", "OLD ", None, None, None), ("4", "s", "r", "u", "z", None, None, None)], columns)
+    relations = spark.createDataFrame([("r", "one_per_source", "always")], "id string, cardinality string, invalidation_policy string")
+    assert {r.id: r.action for r in I.resolve_facts(new, facts, relations).collect()} == {"1": "skip", "2": "invalidate_existing", "3": "skip", "4": "invalidate_existing"}
+
+
 # ---------------------------------------------------------------- runs of tables
 
 
