@@ -14,10 +14,10 @@ from ..operators import memory as M
 from ..schema import relation_types
 from ..sources import rest, sync
 from ..storage import table
-from ..streaming import flows
+from ..streaming import flows, keyed
 from . import retrieval as R
 from .search_queries import probe, rank_sql, terms_sql, trigrams_sql
-from .temporal_queries import SECURITY, model
+from .temporal_queries import EPHEMERAL_SQL, SECURITY, model
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -357,14 +357,14 @@ def incremental_since(spark, sf_dir):
 
 @query("SELECT event_id, user_id FROM events")
 def stream_dedup(spark, sf_dir):
-    twice = flows.stream_of(spark, sf_dir, "events")
+    twice = flows.in_time_order(table(spark, sf_dir, "events"))
     twice = twice.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     return flows.run(flows.deduplicated(twice, ["event_id"]).select("event_id", "user_id"), "dedup")
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling_events(spark, sf_dir):
-    return flows.run(flows.tumbling(flows.stream_of(spark, sf_dir, "events")), "tumbling", ["start", "event_type"])
+    return flows.run(flows.tumbling(flows.in_time_order(table(spark, sf_dir, "events"))), "tumbling", ["start", "event_type"])
 
 
 @query("""
@@ -373,7 +373,7 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, g""")
 def session_events(spark, sf_dir):
     """All sessions of a finite replay, open ones too; closed_sessions is the endless form."""
-    return flows.run(flows.sessions(flows.stream_of(spark, sf_dir, "events")), "sessions", complete=True)
+    return flows.run(flows.sessions(flows.in_time_order(table(spark, sf_dir, "events"))), "sessions", complete=True)
 
 
 @query("""
@@ -382,9 +382,31 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, g HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
 def closed_sessions(spark, sf_dir):
     """Sessions that the watermark has passed, each written once; their state is dropped."""
-    return flows.run(flows.sessions(flows.stream_of(spark, sf_dir, "events")), "sessions")
+    return flows.run(flows.sessions(flows.in_time_order(table(spark, sf_dir, "events"))), "sessions")
 
 
 @query("SELECT user_id, event_id, event_type, ts AS valid_at, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS invalid_at FROM events QUALIFY invalid_at IS NOT NULL")
 def stream_supersede(spark, sf_dir):
-    return flows.run(flows.superseding(flows.stream_of(spark, sf_dir, "events")), "supersede")
+    return flows.run(flows.superseding(flows.in_time_order(table(spark, sf_dir, "events"))), "supersede")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, CAST(event_id AS VARCHAR) AS id, ts AS valid_at, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS invalid_at FROM events")
+def stream_late_facts(spark, sf_dir):
+    """Intervals from events that come in no order, in four batches: late ones split what was written before."""
+    events = table(spark, sf_dir, "events")
+    mixed = flows.pieces_of(events, F.pmod(F.xxhash64("event_id"), F.lit(4)).cast("int"), 4)
+    return flows.settled(keyed.intervals(mixed, "user_id", "ts", "event_id"), "intervals", ["key", "id"])
+
+
+@query("WITH" + EPHEMERAL_SQL + " SELECT id, valid_at + to_days(14) AS expired_at FROM eph WHERE valid_at < TIMESTAMP '2024-03-01' - to_days(14) AND id NOT IN (SELECT 'doc:' || event_id FROM events WHERE user_id % 3 = 0) AND id NOT IN (SELECT 'doc:' || doc_id FROM labels)")
+def stream_expiries(spark, sf_dir):
+    """ephemeral_ttl as a stream: what episodes rest on comes first, then the episodes, then a row that tells the time."""
+    k, none = F.col("doc_id"), F.lit(None)
+    doc = lambda c: F.concat(F.lit("doc:"), c.cast("string")).alias("id")
+    day = lambda c: (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(c.cast("int"))).alias("ts")
+    row = lambda df, i, ts, retention, rests, piece: df.select(doc(i), ts, retention.cast("string").alias("retention"), none.cast("int").alias("ttl_days"), F.lit(rests).alias("rests"), F.lit(piece).alias("piece"))
+    used = table(spark, sf_dir, "events").filter("user_id % 3 = 0").select("event_id").unionByName(table(spark, sf_dir, "labels").select(k.alias("event_id")))
+    rows = row(used, F.col("event_id"), day(F.lit(0)), none, True, 0)
+    rows = rows.unionByName(row(table(spark, sf_dir, "documents"), k, day(F.pmod(k, F.lit(90))), F.when(k % 2 == 0, "ephemeral").otherwise("durable"), False, 1).filter("ts < timestamp '2024-03-01'"))
+    rows = rows.unionByName(row(spark.range(1), F.lit("clock"), F.lit("2024-03-01").cast("timestamp").alias("ts"), none, False, 2))
+    return flows.run(keyed.expiries(flows.pieces_of(rows, F.col("piece"), 3)), "expiries")

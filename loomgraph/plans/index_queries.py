@@ -8,6 +8,7 @@ from .. import bridge
 from ..bridge import sees, with_model
 from ..indexes import postings as P
 from ..indexes import trigrams as G
+from ..indexes import vectors as V
 from ..operators import ingest as I
 from ..schema import relation_types
 from ..security import visible
@@ -149,3 +150,25 @@ def resolve_facts_vectors(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), "embedding")
     with_vector = lambda rows, times: rows.withColumn("k", (F.length("id") * times % 50).cast("long")).join(vectors, "k", "left").drop("k")
     return I.resolve_facts(with_vector(new_facts(spark, sf_dir), 9), with_vector(bridge.facts(spark, sf_dir), 7), relation_types(spark))
+
+
+# ------------------------------------------------------------------ vectors
+
+
+@query()
+def vector_index_neighbours(spark, sf_dir):
+    """vector_neighbours from inverted lists and product codes: approximate (the tests hold its recall against the exact query),
+    with exact similarities."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = V.build(rows, "vec_id", "embedding", new_folder(spark, "vectors"))
+    found = index.nearest(rows.filter("vec_id % 100 = 0"), "vec_id", "embedding")
+    return found.select("query", F.col("id").alias("vec_id"), F.round("similarity", 5).alias("similarity"))
+
+
+@query(SEARCH_SQL["vector_neighbours"])
+def vector_index_all_lists(spark, sf_dir):
+    """The same index with every list probed and every candidate compared, which is exact."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = V.build(rows, "vec_id", "embedding", new_folder(spark, "vectors"), lists=16)
+    found = index.nearest(rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", probes=16, rerank=rows.count())
+    return found.select("query", F.col("id").alias("vec_id"), F.round("similarity", 5).alias("similarity"))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.vector import cosine, nearest
 from ..indexes.postings import TextIndex
+from ..indexes.trigrams import TrigramIndex
+from ..indexes.vectors import VectorIndex
 from ..operators import graph as G
 from ..operators import temporal as T
 from ..security import Access, visible_rows
@@ -103,6 +105,9 @@ class Corpus:
     communities: DataFrame | None = None
     #: Stored postings of entities, facts and episodes; tables without one are read whole.
     indexes: dict[str, TextIndex] = field(default_factory=dict)
+    #: Stored vectors of entities, facts and episodes (approximate), and trigrams of entity names; tables without are read whole.
+    vectors: dict[str, VectorIndex] = field(default_factory=dict)
+    names: TrigramIndex | None = None
 
 
 @dataclass
@@ -159,7 +164,13 @@ def semantic_search(c: Corpus, r: Request) -> DataFrame:
     n, blocks = 2 * r.limit, []
     for rows, kind, least, factor, content, most in ((_entities(c, r), "entity", 0.3, F.lit(1.0), F.concat_ws(": ", "name", "summary"), n), (_facts(c, r), "fact", 0.3, F.col("confidence"), F.col("fact_text"), n), (visible_rows(c.episodes, r.access), "episode", 0.28, F.lit(0.8), F.substring("content", 1, 1200), min(n, 8))):
         if "embedding" in rows.columns:
-            near = nearest(rows, "embedding", r.vector, most, least)
+            stored = c.vectors.get({"entity": "entities", "fact": "facts", "episode": "episodes"}[kind])
+            if stored is None:
+                near = nearest(rows, "embedding", r.vector, most, least)
+            else:
+                asked = rows.sparkSession.createDataFrame([(0, r.vector)], "n int, v array<float>")
+                best = stored.nearest(asked, "n", "v", most, allowed=rows.select("id")).select("id", "similarity")
+                near = rows.join(best.filter(F.col("similarity") > least), "id")
             valid = F.col("valid_at") if "valid_at" in rows.columns else None
             blocks.append(block(near, kind, F.col("similarity"), F.col("similarity") * factor, content, None, valid))
     return as_list(*blocks)
@@ -168,7 +179,11 @@ def semantic_search(c: Corpus, r: Request) -> DataFrame:
 def find_seeds(c: Corpus, r: Request, limit: int = 10) -> DataFrame:
     """Entities that a query names: by vector, by trigrams of the whole query, or by words; the best signal counts."""
     e = visible_rows(c.entities, r.access)
-    parts = [e.select("id", X.similarity(F.col("name"), F.lit(r.query)).alias("s")).filter("s > 0.2").select("id", (0.9 * F.col("s")).alias("score"))]
+    if c.names is None:
+        parts = [e.select("id", X.similarity(F.col("name"), F.lit(r.query)).alias("s")).filter("s > 0.2").select("id", (0.9 * F.col("s")).alias("score"))]
+    else:
+        alike = c.names.alike(e.sparkSession.createDataFrame([(r.query,)], "q string"), "q", 0.2)
+        parts = [alike.join(e.select("id"), "id", "left_semi").select("id", (0.9 * F.col("score")).alias("score"))]
     if c.aliases is not None:
         also = c.aliases.join(e.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
         parts.append(also.select(F.col("entity_id").alias("id"), X.similarity(F.col("alias"), F.lit(r.query)).alias("s")).filter("s > 0.2").select("id", (0.9 * F.col("s")).alias("score")))

@@ -6,17 +6,16 @@ folder, and returns what it wrote as a table.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..storage import first_per_key, shared_dir
+from ..storage import first_per_key, new_folder, written
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +24,23 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")  # a pattern: the table may be one file
 
 
+def pieces_of(rows: DataFrame, piece: Column, pieces: int) -> DataFrame:
+    """rows as a stream of so many micro-batches, in the order of piece (0, 1, ...): each is written as files, one after the other,
+    and one is read at a time."""
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "pieces")
+    rows = written(rows.withColumn("__piece", piece), "pieces")
+    for n in range(pieces):
+        rows.filter(F.col("__piece") == n).drop("__piece").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.drop("__piece").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def in_time_order(rows: DataFrame, ts: str = "ts", pieces: int = 3) -> DataFrame:
+    """rows as a stream of micro-batches, each later than the one before."""
+    cuts = rows.select(F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).approxQuantile("t", [i / pieces for i in range(1, pieces)], 0.01)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    return pieces_of(rows, sum((F.when(at > c, 1).otherwise(0) for c in cuts), F.lit(0)), pieces)
+
+
 def run(stream: DataFrame, label: str, keys: list[str] | None = None, base: str | None = None, complete: bool = False) -> DataFrame:
     """Runs a stream until what is there is done; its rows as table.  A base folder of an earlier run is continued.
 
@@ -32,7 +48,7 @@ def run(stream: DataFrame, label: str, keys: list[str] | None = None, base: str
     watermark is dropped, and the last row of each key counts.  complete is for finite replays: the state holds all.
     """
     spark = stream.sparkSession
-    base = base or f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    base = base or new_folder(spark, label)
     if complete:
         keep = lambda df, n: df.write.mode("overwrite").parquet(f"{base}/rows")
         stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
@@ -47,9 +63,18 @@ def run(stream: DataFrame, label: str, keys: list[str] | None = None, base: str
     return first_per_key(rows, keys, F.desc("__batch")).drop("__batch")
 
 
-def each_batch(stream: DataFrame, write, state: str) -> StreamingQuery:
+def settled(changes: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Runs a stream of changes (change is - or +) until what is there is done: for each key the row that its last batch added, if
+    it added one."""
+    base = new_folder(changes.sparkSession, label)
+    each_batch(changes, lambda df, n: df.withColumn("__batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/rows/batch={n}"), f"{base}/state", "append").awaitTermination()
+    rows = changes.sparkSession.read.schema(T.StructType([*changes.schema.fields, T.StructField("__batch", T.LongType())])).option("recursiveFileLookup", "true").parquet(f"{base}/rows")
+    return first_per_key(rows, keys, F.desc("__batch"), "change").filter("change = '+'").drop("__batch", "change")
+
+
+def each_batch(stream: DataFrame, write, state: str, mode: str = "update") -> StreamingQuery:
     """Hands each batch to write(batch, number), once more with the same number after a failure, so writes must replace."""
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", state).outputMode("update").trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start()
 
 
 def ingest(stream: DataFrame, folder: str, prepare) -> StreamingQuery:

@@ -4,14 +4,17 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.bridge import policy_of
 from loomgraph.functions import text as X
 from loomgraph.functions.stem import with_stems
+from loomgraph.functions.vector import nearest_to_each
 from loomgraph.indexes import postings as P
 from loomgraph.indexes import trigrams as T
+from loomgraph.indexes import vectors as V
 from loomgraph.operators import ingest as I
 from loomgraph.plans import retrieval as R
 from loomgraph.storage import leaves_one_table, new_folder, run_of_tables, shared_dir, written
@@ -283,6 +286,70 @@ def test_near_vectors_say_the_same_fact(spark):
     assert {r.id: r.action for r in I.resolve_facts(new, facts, relations).collect()} == {"1": "skip", "2": "invalidate_existing", "3": "skip", "4": "invalidate_existing"}
 
 
+# ---------------------------------------------------------------- vectors
+
+
+def made_vectors(spark, n=1500, dims=16, clusters=20):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(clusters, dims))[rng.integers(0, clusters, n)] + 0.3 * rng.normal(size=(n, dims))
+    x[: n // 3] = x[0]  # a third of all vectors are one
+    rows = [(f"r{i}", [float(v) for v in x[i]], i) for i in range(n)] + [("null", None, -1), ("zero", [0.0] * dims, -2), ("nan", [float("nan")] * dims, -3)]
+    return spark.createDataFrame(rows, "id string, v array<float>, n long").withColumns({"list": F.lit("clash"), "code": F.lit(1)})
+
+
+def test_vector_index_finds_what_the_exact_search_finds(spark):
+    rows = made_vectors(spark)
+    index = V.build(rows, "id", "v", new_folder(spark, "vectors"), lists=25, parts=4)
+    asked = rows.filter("n % 50 = 0")
+    exact = {(r.query, r.id): r.similarity for r in nearest_to_each(asked, rows, "id", "v").collect()}
+    found = {(r.query, r.id): r.similarity for r in index.nearest(asked, "id", "v").collect()}
+    best = {q: sorted((-s for (p, _), s in exact.items() if p == q))[-1] for q, _ in exact}
+    right = sum(-s <= best[q] + 1e-6 for (q, _), s in found.items())  # equal vectors are as good as one another
+    assert index.probes < 25 and right >= 0.9 * len(exact) and len(found) == len(exact)
+    every = {(r.query, r.id): r.similarity for r in index.nearest(asked, "id", "v", probes=25, rerank=2000).collect()}
+    assert every.keys() == exact.keys() and all(every[k] == pytest.approx(exact[k], abs=1e-6) for k in exact)
+    some = rows.filter("n % 7 = 0").select("id")
+    own = {r.id for r in index.nearest(rows.filter("n = 0"), "id", "v", k=5, probes=25, allowed=some).collect()}
+    assert len(own) == 5 and all(int(i[1:]) % 7 == 0 for i in own)
+    assert index.nearest(rows.filter("n < 0"), "id", "v").collect() == []
+
+
+def test_vector_index_of_few_rows(spark):
+    rows = made_vectors(spark).filter("n in (1, 2, -1)")
+    index = V.build(rows, "id", "v", new_folder(spark, "vectors"), parts=4)
+    assert {r.id for r in index.nearest(rows, "id", "v").collect()} == {"r1", "r2"}
+    none = V.build(rows.limit(0), "id", "v", new_folder(spark, "vectors"), parts=4)
+    assert none.nearest(rows, "id", "v").collect() == []
+
+
+def test_semantic_search_and_seeds_over_indexes(spark):
+    none, policy = F.lit(None).cast("timestamp_ntz"), policy_of(F.lit(3))
+    rows = made_vectors(spark)
+    facts = rows.select("id", F.col("id").alias("fact_text"), F.lit(0.5).alias("confidence"), none.alias("valid_at"), none.alias("invalid_at"), F.col("v").alias("embedding"), policy.alias("visibility"))
+    entities = rows.select("id", F.col("id").alias("name"), F.lit("").alias("summary"), policy.alias("visibility"))
+    episodes = rows.limit(0).select("id", F.col("id").alias("content"), none.alias("valid_at"), policy.alias("visibility"))
+    asked = R.Request("r700 r71", vector=[float(x) for x in rows.filter("n = 700").first().v], limit=4)
+    plain = R.Corpus(entities, facts, episodes)
+    index = V.build(rows, "id", "v", new_folder(spark, "vectors"), lists=25, parts=4)
+    indexed = R.Corpus(entities, facts, episodes, vectors={"facts": index}, names=T.build(entities, "id", "name", new_folder(spark, "trigrams")))
+    assert [r.id for r in R.semantic_search(indexed, asked).collect()] == [r.id for r in R.semantic_search(plain, asked).collect()]
+    assert [tuple(r) for r in R.find_seeds(indexed, asked).collect()] == [tuple(r) for r in R.find_seeds(plain, asked).collect()]
+
+
+def test_exact_neighbours_of_groups_with_bounded_products(spark, monkeypatch):
+    from loomgraph.functions import vector
+
+    monkeypatch.setattr(vector, "PRODUCTS", 64)
+    monkeypatch.setattr(vector, "BLOCK_BYTES", 700)
+    rows = made_vectors(spark, 90, 8, 5).withColumn("g", F.col("n") % 3)
+    got = {(r.query, r.id): r.similarity for r in nearest_to_each(rows.filter("n % 9 = 0"), rows, "id", "v", 4, "g").collect()}
+    data = {r.id: (np.asarray(r.v, np.float32).astype(float), r.g) for r in rows.filter("n >= 0").collect()}
+    cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    for q in (i for i in data if int(i[1:]) % 9 == 0):
+        want = sorted(((-round(cos(data[q][0], v), 12), i) for i, (v, g) in data.items() if g == data[q][1]))[:4]
+        assert sorted(-s for (p, _), s in got.items() if p == q) == pytest.approx([s for s, _ in want])
+
+
 # ---------------------------------------------------------------- runs of tables
 
 
