@@ -36,10 +36,10 @@ def cosine(a: Vector, b: Vector) -> Column:
 
 
 def nearest(rows: DataFrame, column: str, query: Vector, limit: int, threshold: float | None = None, key: str = "id") -> DataFrame:
-    """The limit rows nearest to a vector, then only those above the threshold (the limit comes first)."""
+    """The limit rows nearest to a vector, then only those above the threshold (the limit comes first).  Zero vectors are the last."""
     out = rows.filter(F.col(column).isNotNull()).withColumn("similarity", cosine(F.col(column), query))
-    out = out.orderBy(F.desc("similarity"), key).limit(limit)
-    return out if threshold is None else out.filter(F.col("similarity") > threshold)
+    out = out.orderBy(F.desc(F.nanvl("similarity", F.lit(-2.0))), key).limit(limit)
+    return out if threshold is None else out.filter((F.col("similarity") > threshold) & ~F.isnan("similarity"))
 
 
 def weighted_mean(rows: DataFrame, key: str, column: str, weight: Column) -> DataFrame:
