@@ -15,6 +15,7 @@ from ..schema import relation_types
 from ..sources import rest, sync
 from ..storage import table
 from ..streaming import flows, keyed
+from . import coverage as V
 from . import retrieval as R
 from .search_queries import probe, rank_sql, terms_sql, trigrams_sql
 from .temporal_queries import EPHEMERAL_SQL, SECURITY, model
@@ -410,3 +411,31 @@ def stream_expiries(spark, sf_dir):
     rows = rows.unionByName(row(table(spark, sf_dir, "documents"), k, day(F.pmod(k, F.lit(90))), F.when(k % 2 == 0, "ephemeral").otherwise("durable"), False, 1).filter("ts < timestamp '2024-03-01'"))
     rows = rows.unionByName(row(spark.range(1), F.lit("clock"), F.lit("2024-03-01").cast("timestamp").alias("ts"), none, False, 2))
     return flows.run(keyed.expiries(flows.pieces_of(rows, F.col("piece"), 3)), "expiries")
+
+
+#: Questions of which each source has one, by its number.
+ASKED = ["What is the status of Thanedble Anea?", "Why did Attion Thanedble Erin flag it, and when?", "where is it stored", "Tell me more", "Is De La the owner of XQ7 now?"]
+
+
+@query("""
+WITH q AS (SELECT DISTINCT source AS id, CAST(replace(source, 'src', '') AS INTEGER) % 5 AS k FROM documents),
+d AS (SELECT source AS id, CAST(doc_id AS VARCHAR) AS citation, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[`"'']', '', 'g'), '[^a-z0-9_.$/\\s-]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
+h AS (SELECT q.id, k, citation,
+  CASE k WHEN 0 THEN contains(t, 'thanedble anea') OR (contains(t, 'thanedble') AND contains(t, 'anea')) WHEN 1 THEN contains(t, 'attion thanedble erin') OR CAST(contains(t, 'attion') AS INT) + CAST(contains(t, 'thanedble') AS INT) + CAST(contains(t, 'erin') AS INT) >= 2 WHEN 4 THEN contains(t, 'de la') OR contains(t, 'xq7') ELSE TRUE END AS own,
+  CASE k WHEN 0 THEN [regexp_matches(t, 'issue|incident|missing|blocked|affected|running|ongoing|current')] WHEN 1 THEN [regexp_matches(t, 'by|due|today|tomorrow|monday|friday|eod|pt'), regexp_matches(t, 'root cause|caused|because|suspected|confirmed|not established'), regexp_matches(t, 'risk|blocker|blocked|concern|weak|flag|issue')]
+   WHEN 2 THEN [regexp_matches(t, 'stored|lives at|path|location|1password|item')] WHEN 3 THEN [] ELSE [regexp_matches(t, 'owner|owns|responsible|assigned|next update|on-call|on call')] END AS c FROM q LEFT JOIN d USING (id)),
+g AS (SELECT id, k, count(citation) AS n, coalesce(bool_or(own) FILTER (WHERE citation IS NOT NULL), FALSE) AS named, list_sort(list(citation) FILTER (WHERE own AND citation IS NOT NULL)) AS supported,
+  [coalesce(bool_or(c[1]) FILTER (WHERE citation IS NOT NULL), FALSE), coalesce(bool_or(c[2]) FILTER (WHERE citation IS NOT NULL), FALSE), coalesce(bool_or(c[3]) FILTER (WHERE citation IS NOT NULL), FALSE)] AS cov FROM h GROUP BY id, k),
+s AS (SELECT *, CASE k WHEN 0 THEN ['status'] WHEN 1 THEN ['timeline', 'cause', 'risk'] WHEN 2 THEN ['location'] WHEN 3 THEN [] ELSE ['owner'] END AS slots, CASE k WHEN 0 THEN 'Thanedble Anea' WHEN 1 THEN 'Attion Thanedble Erin' WHEN 4 THEN 'De La' END AS subject FROM g),
+m AS (SELECT *, list_filter(slots, lambda x, i: NOT cov[i]) AS bare FROM s),
+a AS (SELECT *, CASE WHEN n = 0 AND subject IS NOT NULL THEN ['No supporting search results were returned for ' || subject || '.'] WHEN n > 0 AND subject IS NOT NULL AND NOT named THEN ['No returned citation is explicitly bound to ' || subject || ' or a clear alias.']
+  WHEN n > 0 AND len(slots) > 0 AND len(bare) = len(slots) THEN ['No returned citation supports the requested coverage: ' || array_to_string(slots, ', ') || '.'] END AS state FROM m)
+SELECT id, state IS NULL AS can_answer, array_to_string(coalesce(state, CASE WHEN n > 0 THEN list_transform(bare, lambda x: 'Evidence did not clearly cover requested slot: ' || x || '.') ELSE [] END), '|') AS missing, CASE WHEN state IS NULL THEN coalesce(array_to_string(supported, ','), '') ELSE '' END AS supported FROM a""")
+def answer_coverage(spark, sf_dir):
+    """Whether the documents labelled good answer a question that is put to their source."""
+    docs = table(spark, sf_dir, "documents")
+    number = F.regexp_replace("source", "src", "").cast("int") % len(ASKED)
+    questions = docs.select(F.col("source").alias("id")).distinct().withColumn("source", F.col("id")).select("id", F.element_at(F.array(*map(F.lit, ASKED)), number + 1).alias("question"))
+    good = docs.join(table(spark, sf_dir, "labels").filter("quality = 1"), "doc_id").select(F.col("source").alias("id"), F.col("doc_id").cast("string").alias("citation"), F.col("text").alias("content"))
+    out = V.assess(questions, good)
+    return out.select("id", "can_answer", F.array_join("missing", "|").alias("missing"), F.array_join("supported", ",").alias("supported"))
