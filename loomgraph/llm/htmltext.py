@@ -14,7 +14,9 @@ such lines needn't wait for its neighbours, but its lines count in theirs.
 Names of elements count as whole class or id tokens, whose parts must all be
 known (cookie-notice, left-sidebar; not no-sidebar or social-science), and never
 for an element that holds an article, or, but for comments, most of the text.  A
-menu that holds the article (it was never closed) ends where the article begins.
+menu that holds the article ends where the article begins; one that is never closed
+ends where text begins that is no link; a form around all of a page isn't dropped; a
+notice or an advert goes however long it is.
 
 Order and neighbours are found without gathering a host: small rows (path and
 line hashes) are sorted by range, numbered, and joined with the next number.
@@ -36,7 +38,8 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from math import isqrt
 from os.path import commonprefix
@@ -50,8 +53,8 @@ from pyspark.sql import types as T
 from .shared import slices, written
 
 #: Elements by kind.
-DROPPED = set("head script style noscript template iframe object svg canvas math nav aside footer form button select textarea dialog menu datalist audio video map".split())
-RAW = set("script style noscript template iframe textarea title svg math select object".split())
+DROPPED = set("head script style noscript template iframe object svg canvas nav aside footer form button select textarea dialog menu datalist audio video map".split())
+RAW = set("script style noscript template iframe textarea title svg select object".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -62,23 +65,41 @@ ROLES = set("navigation banner contentinfo complementary search dialog alertdial
 MARKS = set(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs masthead topbar toolbar footer sidebar aside widget cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations search pagination pager skip copyright".split()
 )
+#: Of these, the ones that never name an element around the article.
+NOTICES = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login".split())
 COMMENTS = set("comment comments commentlist respond reply replies disqus".split())
 BESIDE = set("site main top bottom left right primary secondary box container wrapper wrap block area bar list item items form link links button buttons header global sticky".split())
 
 GONE, OPEN, STAYS = 0, 1, 2
-DEEPEST = 5000  # elements nested deeper belong to the one around them
-PATIENCE = 50  # tags of a page whose quotes don't close, before quotes in tags are no longer looked at
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+QUOTED = re.compile(r"(?<![a-z])(?:pull-?_?quote|blockquote)s?(?![a-z])", re.I)
 NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+SPECIAL = re.compile("[>\"']")
 ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in RAW}
 
 
+class TagEnds:
+    """Where the tags of a damaged page end: for each > and quote, the > that ends a tag which is outside of quotes there (-1:
+    none).  One pass from the back."""
+
+    def __init__(self, html: str):
+        self.at = [m.start() for m in SPECIAL.finditer(html)]
+        self.end, same = [-1] * (len(self.at) + 1), {}
+        for i in range(len(self.at) - 1, -1, -1):
+            c = html[self.at[i]]
+            self.end[i] = self.at[i] if c == ">" else self.end[same[c] + 1] if c in same else -1
+            same[c] = i
+
+    def of(self, start: int) -> int:
+        return self.end[bisect_left(self.at, start)]
+
+
 def scanned(html: str) -> Iterator[tuple[str, str, str]]:
     """Parts of a page in order: (text, "", the text), (open, name, attributes), (close, name, ""), (raw, name, "")."""
-    at, bad, n = 0, 0, len(html)
+    at, ends_of, n = 0, None, len(html)
     while at < n:
         lt = html.find("<", at)
         if lt != at:
@@ -98,11 +119,13 @@ def scanned(html: str) -> Iterator[tuple[str, str, str]]:
             yield "text", "", "<"
             at = lt + 1
             continue
-        tag = TAG.match(html, lt) if bad < PATIENCE else None
-        end = tag.end() - 1 if tag else html.find(">", name.end())
+        tag = TAG.match(html, lt) if ends_of is None else None
+        if tag is None and ends_of is None:
+            ends_of = TagEnds(html)
+        end = tag.end() - 1 if tag else ends_of.of(name.end())
+        end = html.find(">", name.end()) if end < 0 else end
         if end < 0:
             return
-        bad += tag is None
         at, what = end + 1, name[0].lower()
         if following == "/":
             yield "close", what, ""
@@ -126,7 +149,7 @@ def _named(tokens: str, words: set[str]) -> bool:
 def _kind(name: str, rest: str, in_article: bool) -> str:
     """What an element says of itself: gone (it isn't the article's), comments, marked (by a name only), article, or nothing."""
     if name in DROPPED or (name == "header" and not in_article):
-        return "gone"
+        return "form" if name == "form" else "quote" if name == "aside" and in_article and QUOTED.search(rest) else "gone"
     if rest.strip(" /\t\r\n"):
         has = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(rest)}
         role = has.get("role", "").lower()
@@ -139,52 +162,54 @@ def _kind(name: str, rest: str, in_article: bool) -> str:
         if role == "main" or has.get("itemprop", "").lower() == "articlebody":
             return "article"
         if name not in ("html", "body", *ARTICLES) and (_named(names, MARKS) or (not in_article and names.split() == ["header"])):
-            return "marked"
+            return "notice" if _named(names, NOTICES) else "marked"
     return "article" if name in ARTICLES else ""
 
 
 class Page:
-    """Elements of a page as a tree (element 0 is the page), and its pieces of text: (line, element, text)."""
+    """Elements of a page as a tree (element 0 is the page), and its pieces of text: (line, element, text, in a link)."""
 
     def __init__(self, html: str):
         self.up, self.kind, self.pieces = [-1], [""], []
-        stack, names, open_, articles, line = [0], [""], Counter(), 0, 0
+        stack, names, articles, line, link = [0], [""], 0, 0, False
+        where, blocks = defaultdict(list), []  # depths of the open elements of each name, and of open blocks
         self.begin, self.closed = [0], [True]  # number of pieces before each element; whether its end tag is there
 
         def close(depth: int) -> None:
             nonlocal articles
             for name, e in zip(names[depth:], stack[depth:], strict=True):
-                open_[name] -= 1
+                where[name].pop()
                 articles -= self.kind[e] == "article"
+            while blocks and blocks[-1] >= depth:
+                blocks.pop()
             del stack[depth:], names[depth:]
 
         for what, name, rest in scanned(html):
             if what == "text" or what == "raw" or name == "br":
                 if name != "title":
-                    self.pieces.append((line, stack[-1], rest if what == "text" else " "))
+                    self.pieces.append((line, stack[-1], rest if what == "text" else " ", link))
                 continue
+            if name == "a":
+                link = what == "open"
             if name in BLOCKS:
                 line += 1
             if what == "close":
-                if open_[name]:
-                    depth = len(names) - 1 - names[::-1].index(name)
+                if where[name]:
+                    depth = where[name][-1]
                     self.closed[stack[depth]] = True
                     close(depth)
                 continue
             if name in VOID:
                 continue
-            if name in BLOCKS and (open_["p"] or open_["li"]):
-                for depth in range(len(stack) - 1, 0, -1):
-                    if names[depth] == "p" or (name == "li" and names[depth] == "li"):
-                        close(depth)
-                        break
-                    if names[depth] in BLOCKS:
-                        break
+            if name in BLOCKS and blocks and (names[blocks[-1]] == "p" or name == names[blocks[-1]] == "li"):
+                close(blocks[-1])
             kind = _kind(name, rest, articles > 0)
-            if (kind or name in BLOCKS) and len(stack) < DEEPEST:
+            if kind or name in BLOCKS:
+                where[name].append(len(stack))
+                if name in BLOCKS:
+                    blocks.append(len(stack))
                 stack.append(len(self.up))
                 names.append(name)
-                open_[name] += 1
                 articles += kind == "article"
                 self.up.append(stack[-2])
                 self.kind.append(kind)
@@ -193,32 +218,45 @@ class Page:
 
     def states(self) -> list[int]:
         """GONE, OPEN or STAYS for each piece."""
-        up, kind, n = self.up, self.kind, len(self.up)
-        chars, article, around = [0] * n, [0] * n, [0] * n
-        for _, e, text in self.pieces:
+        found = self._states(("gone", "form"))
+        if any(s and t.strip() for s, (_, _, t, _) in zip(found, self.pieces, strict=True)):
+            return found
+        return self._states(("gone",))  # a form around the whole page is no form of the article's
+
+    def _states(self, dropped: tuple[str, ...]) -> list[int]:
+        up, kind, n, last = self.up, self.kind, len(self.up), len(self.pieces)
+        chars, article, around, first = [0] * n, [0] * n, [0] * n, [last] * n
+        for i in range(last - 1, -1, -1):
+            _, e, text, link = self.pieces[i]
             chars[e] += len(text.strip())
-        for e in range(n - 1, 0, -1):  # article: the first article in an element; 0 for none
+            if text.strip() and not link:
+                first[e] = i
+        for e in range(n - 1, 0, -1):  # article: the first article in an element (0 for none); first: its first text outside of links
             if kind[e] == "article" and chars[e]:
                 article[e] = e
             chars[up[e]] += chars[e]
+            first[up[e]] = min(first[up[e]], first[e])
             if article[e]:
                 article[up[e]] = article[e]
         hidden = [False] * n
         for e in range(1, n):
-            hidden[e] = hidden[up[e]] or (kind[e] == "gone" and not article[e])
+            hidden[e] = hidden[up[e]] or (kind[e] in dropped and not article[e])
             around[e] = e if kind[e] == "article" else around[up[e]]
         shown = chars[0] - sum(chars[e] for e in range(1, n) if hidden[e] and not hidden[up[e]])
         upto = [0] * n  # pieces before this number are gone
         for e in range(1, n):
             most = 2 * chars[e] > (chars[around[e]] if around[e] else shown)
-            if kind[e] in ("gone", "comments") and article[e] and (most or not self.closed[e]):
+            gone = kind[e] in dropped or kind[e] == "comments"
+            if gone and article[e] and (most or not self.closed[e]):
                 own = self.begin[article[e]]
-            elif kind[e] in ("gone", "comments") or (kind[e] == "marked" and not article[e] and not (most and (around[e] or not article[0]))):
-                own = len(self.pieces)
+            elif gone and not self.closed[e] and kind[e] != "comments":
+                own = first[e]  # never closed: it ends where something else than links begins
+            elif gone or (kind[e] == "notice" and not article[e]) or (kind[e] == "marked" and not article[e] and not (most and (around[e] or not article[0]))):
+                own = last
             else:
                 own = 0
             upto[e] = max(upto[up[e]], own)
-        return [GONE if i < upto[e] else STAYS if around[e] else OPEN for i, (_, e, _) in enumerate(self.pieces)]
+        return [GONE if i < upto[e] else STAYS if around[e] else OPEN for i, (_, e, _, _) in enumerate(self.pieces)]
 
 
 def _clean(parts: list[str]) -> str:
@@ -238,7 +276,7 @@ def lines_of(html: str | None) -> list[tuple[str, int]]:
             out.append((text, state))
         parts.clear()
 
-    for (line, _, text), state in zip(page.pieces, page.states(), strict=True):
+    for (line, _, text, _), state in zip(page.pieces, page.states(), strict=True):
         if line != number:
             flush()
             number = line

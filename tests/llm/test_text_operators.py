@@ -361,3 +361,23 @@ def test_chat_examples_hold_the_turns_before(spark):
     assert out[1].formatted.startswith(out[0].formatted)
     one = spark.range(1).select(unescaped(escaped(F.lit("\\b<\\l"))).alias("x"), parsed(F.lit(out[0].formatted)).alias("t")).first()
     assert one.x == "\\b<\\l" and [(t.role, t.text) for t in one.t] == [("system", "s"), ("user", "u"), ("assistant", "first")]
+
+
+@pytest.mark.parametrize(
+    "html,lines",
+    [
+        ('<form id="aspnetForm"><div class="content"><p>Article para.</p><p>Second para.</p></div><button>Go</button></form>', ["Article para.", "Second para."]),
+        ("<body><form><label>Search</label><input></form><p>Real</p></body>", ["Real"]),
+        ("<nav><a>Home</a> <a>News</a><div><p>Article long para.</p><p>More", ["Article long para.", "More"]),
+        ("<nav><a>Home</a><p>Closed menus go whole</p></nav><p>Text</p>", ["Text"]),
+        ('<article><p>E is <math>E</math>.</p><aside class="pull-quote">Quoted</aside><aside>Side</aside><footer>By me</footer></article>', ["E is E.", "Quoted"]),
+        (f'<div class="cookie-notice">{"We use cookies. " * 50}</div><p>Short.</p>', ["Short."]),
+        ('<div class="main sidebar-right wrapper"><p>All of the page</p></div>', ["All of the page"]),
+        ('<div id="cookie-notice"><p>Only a notice</p></div>', []),
+        (f"<nav>{'<div>' * 5100}MENU{'</div>' * 5100}</nav><p>Text</p>", ["Text"]),
+        ('<p title="a>b">Quoted > sign</p><p title="open>Never <b>closed</b>', ["Quoted > sign", "Never closed"]),
+        (f'{"<i title=x\'>" * 60}<p title="a>b">Still read</p>', ["Still read"]),
+    ],
+)
+def test_articles_in_odd_pages(html, lines):
+    assert text_of(html) == lines
