@@ -85,7 +85,7 @@ def subjects_of(question: Column) -> Column:
 
 def _usable(groups: Column) -> Column:
     fits = lambda a: (F.length(normalized(a)) >= 2) & ~normalized(a).isin(NOT_SUBJECTS)
-    return F.slice(F.filter(F.transform(groups, lambda g: F.filter(F.transform(g, F.trim), fits)), lambda g: F.size(g) > 0), 1, GROUPS)
+    return F.slice(F.filter(F.transform(groups, lambda g: F.filter(F.transform(g, lambda a: F.trim(a)), fits)), lambda g: F.size(g) > 0), 1, GROUPS)
 
 
 def binds(text: Column, group: Column) -> Column:
