@@ -86,10 +86,8 @@ def contradictions(facts: DataFrame, entities: DataFrame, access: Access | None,
     rows, keys = with_endpoints(facts, entities, access), ["source", "relation", "target"]
     old = _old(rows, since)
     if limit:
-        last = rows.groupBy(*keys).agg(F.max("valid_at").alias("__last"))
-        ties = rows.groupBy(*keys, "valid_at").agg(F.count("*").alias("__ties"))
-        old = old.join(last, keys).join(ties, [*keys, "valid_at"]).filter((F.col("__last") > F.col("valid_at")) | (F.col("__ties") > 1))
-        old = old.orderBy(F.desc("invalid_at"), "id").limit(limit)
+        onwards = Window.partitionBy(*keys).orderBy("valid_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+        old = _old(rows.withColumn("__onwards", F.count("*").over(onwards)).filter("__onwards > 1"), since).orderBy(F.desc("invalid_at"), "id").limit(limit)
     a, b = _sides(old, rows, keys)
     return _newest_pairs(a.join(b, keys).filter((F.col("new_id") != F.col("old_id")) & (F.col("new_valid_at") >= F.col("old_valid_at"))), limit)
 

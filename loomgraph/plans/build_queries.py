@@ -6,15 +6,20 @@ from pyspark.sql import functions as F
 
 from .. import bridge
 from ..bridge import sees, with_model
+from ..functions import text as X
+from ..functions.tables import register
+from ..operators import aggregates as A
 from ..operators import clusters as C
 from ..operators import extraction as E
 from ..operators import graph as G
 from ..operators import normalize as N
 from ..operators import temporal as T
+from ..schema import own_or_default
 from ..security import Access, visible
 from ..sources import records
 from ..storage import of_group, table
 from . import retrieval as R
+from .search_queries import ORACLES as SEARCH_SQL
 from .search_queries import jaccard_sql, rank_sql, terms_sql, trigrams_sql, words_sql
 from .temporal_queries import DAY, HOLDS, RESULT, SECURITY, joined, model
 
@@ -251,3 +256,65 @@ def find_seeds(spark, sf_dir):
     e, f = model(spark, sf_dir)
     corpus = R.Corpus(e, f, bridge.episodes(spark, sf_dir), bridge.aliases(spark, sf_dir))
     return R.find_seeds(corpus, R.Request(ASKED, access=SECURITY)).select("id", F.round("score", 6).alias("score"))
+
+
+# ------------------------------------------------------------------ table functions and small parts
+
+
+@query(SEARCH_SQL["extract_people"])
+def people_lateral(spark, sf_dir):
+    """extract_people as a table function of SQL, joined LATERAL."""
+    register(spark)
+    sql = "select d.doc_id, lower(p.name) as name, p.entity_type, p.confidence, lower(p.value) as value from {docs} d, lateral extract_people(d.text) p"
+    return spark.sql(sql, docs=table(spark, sf_dir, "documents"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS number, text, position('der' IN lower(text)) AS pos FROM conversations)
+SELECT conv_id, turn, number, substring(text, pos, 160) AS quote FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY number) AS n FROM t WHERE pos > 0) WHERE n = 1""")
+def first_quotes(spark, sf_dir):
+    """For each conversation the first turn that holds a word, as a table function over partitions."""
+    register(spark)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("content"), F.lit("DER").alias("needle"))
+    return spark.sql("select conv_id, turn, number, quote from quotes(table(select * from {turns}) partition by conv_id order by (turn), 'content', 'needle')", turns=turns)
+
+
+@query("SELECT doc_id, CASE WHEN pos > 0 THEN substring(text, pos, 160) END AS quote, CASE WHEN pos > 0 THEN pos - 1 END AS \"start\" FROM (SELECT doc_id, text, CASE WHEN contains(lower(text), 'anea') THEN position('anea' IN lower(text)) ELSE position('ier' IN lower(text)) END AS pos FROM documents)")
+def evidence_quotes(spark, sf_dir):
+    """The evidence quote of each document for two needles, the first that it holds."""
+    q = X.evidence_quote(F.col("text"), F.lit("Anea"), F.lit("IER"))
+    return table(spark, sf_dir, "documents").select("doc_id", q.alias("q")).select("doc_id", "q.quote", F.col("q.start").cast("long").alias("start"))
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderdate AS TIMESTAMP) WHEN 1 THEN CAST(o_orderdate AS TIMESTAMP) WHEN 2 THEN CAST(o_orderdate AS TIMESTAMP) END AS valid_at FROM orders")
+def detected_dates(spark, sf_dir):
+    """Dates of JSON payloads: ISO text, seconds, milliseconds, or none."""
+    at, k = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 4
+    raw = F.when(k == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.unix_seconds(at).cast("string")).when(k == 2, F.unix_millis(at).cast("string")).otherwise("soon")
+    payload = F.to_json(F.struct(F.when(k == 0, raw).alias("date"), F.when(k != 0, raw).alias("timestamp")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), X.detect_date(payload).alias("valid_at"))
+
+
+@query("SELECT id, label, group_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN group_id = 'src3' THEN 0 ELSE 1 END) AS n FROM (SELECT DISTINCT lang AS id, lang || ' of ' || source AS label, CASE WHEN source = 'src3' THEN 'src3' ELSE 'default' END AS group_id FROM documents WHERE source IN ('src3', 'src4') UNION ALL SELECT DISTINCT event_type, event_type, 'default' FROM events)) WHERE n = 1")
+def ontology_of_group(spark, sf_dir):
+    """A tenant's ontology: its own rows, and the default ones where it has none."""
+    d = table(spark, sf_dir, "documents").filter("source in ('src3', 'src4')")
+    own = d.select(F.col("lang").alias("id"), F.concat_ws(" of ", "lang", "source").alias("label"), F.when(F.col("source") == "src3", "src3").otherwise("default").alias("group_id")).distinct()
+    shared = table(spark, sf_dir, "events").select(F.col("event_type").alias("id"), F.col("event_type").alias("label"), F.lit("default").alias("group_id")).distinct()
+    return own_or_default(own.unionByName(shared), "src3").select("id", "label", "group_id")
+
+
+@query("SELECT event_id AS id, event_type AS entity_type FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id) AS n FROM events WHERE user_id % 2 = 0 AND event_id % 10 / 10.0 > 0.7) WHERE n <= 500")
+def sure_and_newest(spark, sf_dir):
+    """The rows of an extraction log that suggest_types looks at; a report of the newest 500."""
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("entity_type"), F.when(F.col("user_id") % 2 == 0, "llm").otherwise("rules").alias("method"), (F.col("event_id") % 10 / 10).alias("confidence"), F.col("ts").alias("created_at"))
+    return A.sure_and_newest(log).select("id", "entity_type")
+
+
+@query("""WITH a AS (SELECT doc_id AS k, lang || ' relation ' || source AS relation, source || ' said' AS text FROM documents)
+SELECT k AS id, CASE WHEN relation LIKE 'en %' THEN 'english' ELSE relation END AS relation, CASE WHEN relation LIKE 'en %' THEN relation END AS relation_was FROM a""")
+def canonical_relations(spark, sf_dir):
+    """Facts with their relations' canonical labels, from a mapping."""
+    d = table(spark, sf_dir, "documents")
+    facts = d.select(F.col("doc_id").alias("id"), F.concat(F.col("lang"), F.lit(" relation "), F.col("source")).alias("relation"))
+    mapping = facts.filter("relation like 'en %'").select(F.col("relation").alias("duplicate"), F.lit("english").alias("canonical")).distinct()
+    return C.apply_relations(facts, mapping).select("id", "relation", "relation_was")

@@ -136,9 +136,8 @@ def contradiction_counts(spark, sf_dir):
 
 
 @query(
-    with_model(f""", seen AS ({joined("security", "TRUE")})
-SELECT {PAIR} FROM seen o JOIN seen n ON o.source = n.source AND o.relation = n.relation
-WHERE o.relation <> 'supplies' AND n.id <> o.id AND n.valid_at >= o.valid_at AND o.invalid_at IS NOT NULL AND n.valid_at = o.invalid_at""")
+    with_model(f""", seen AS MATERIALIZED ({joined("security", "TRUE")}), said AS MATERIALIZED (SELECT *, source || '|' || relation || '|' || epoch_us(valid_at) AS begins, source || '|' || relation || '|' || epoch_us(invalid_at) AS ends FROM seen WHERE relation <> 'supplies')
+SELECT {PAIR} FROM said o JOIN said n ON o.ends = n.begins WHERE n.id <> o.id""")
 )
 def contradictions_by_cardinality(spark, sf_dir):
     e, f = model(spark, sf_dir)
