@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import set_similarity, tokens
+from ..functions.text import tokens
 from ..storage import first_per_key, removed, written
 from .graph import canonical_band, first_n, merge_entities, similar_names
 
@@ -40,10 +40,14 @@ def alike_entities(entities: DataFrame, aliases: DataFrame, least: float = 0.82)
 def alike_relations(facts: DataFrame, least: float = 0.78) -> DataFrame:
     """Pairs (a, b, score) of relation labels with like words."""
     labels = facts.select(F.col("relation").alias("id"), F.lit("").alias("entity_type"), F.regexp_replace("relation", "_", " ").alias("name")).distinct()
-    rows = labels.select("id", tokens(F.col("name")).alias("t")).filter(F.size("t") > 0)
-    other = rows.select(F.col("id").alias("b"), F.col("t").alias("u"), F.explode("t").alias("word"))
-    met = rows.select(F.col("id").alias("a"), "t", F.explode("t").alias("word")).join(other, "word").filter("a < b").select("a", "b", "t", "u").distinct()
-    return met.select("a", "b", set_similarity(F.col("t"), F.col("u")).alias("score")).filter(F.col("score") >= least)
+    sets = labels.select("id", F.array_sort(tokens(F.col("name"))).alias("t")).filter(F.size("t") > 0)
+    first = sets.groupBy("t").agg(F.min("id").alias("head"))
+    members = written(sets.join(first, "t").select("id", "head"), "labels")
+    like = similar_names(labels, least)  # of one label for each set of words, which meet by their rare words only
+    both = like.unionByName(members.select(F.col("head").alias("a"), F.col("head").alias("b"), F.lit(1.0).alias("score")).distinct())
+    x, y = members.select(F.col("head").alias("a"), F.col("id").alias("x")), members.select(F.col("head").alias("b"), F.col("id").alias("y"))
+    pairs = both.join(x, "a").join(y, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+    return pairs.distinct()
 
 
 def stars(pairs: DataFrame) -> DataFrame:

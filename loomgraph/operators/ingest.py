@@ -39,12 +39,19 @@ def known_names(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataF
     product of all texts and names; the rest of a longer name is then looked up at that place.
     """
     led = names.select("alias").distinct().withColumn("all", F.split("alias", " ")).withColumn("led", F.concat_ws(" ", F.slice("all", 1, LEAD)))
+    longest = led.agg(F.coalesce(F.max(F.size("all")), F.lit(0))).first()[0]
     words = docs.select(key, X.words(F.coalesce(F.col(text), F.lit(""))).alias("w")).filter(F.size("w") > 0)
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(F.concat_ws(" ", F.slice("w", i, n)).alias("led"), i.alias("at")))
-    none = F.array().cast("array<struct<led:string,at:int>>")
-    made = F.flatten(F.array(*[F.when(F.size("w") >= n, runs(F.lit(n))).otherwise(none) for n in range(1, LEAD + 1)]))
-    found = words.withColumn("run", F.explode(made)).select(key, "w", "run.*").join(led, "led")
-    return found.filter(F.slice("w", F.col("at"), F.size("all")) == F.col("all")).select(key, "alias").distinct()
+    none = F.array().cast("array<string>")
+
+    def runs(n: int) -> Column:
+        """The text's runs of n words; only the longest ones, by which longer names are met, bring the words that may follow."""
+        rest = lambda i: F.slice("w", i, longest) if n == LEAD and longest > LEAD else none
+        return F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(F.concat_ws(" ", F.slice("w", i, n)).alias("led"), rest(i).alias("rest")))
+
+    empty = F.array().cast("array<struct<led:string,rest:array<string>>>")
+    made = F.flatten(F.array(*[F.when(F.size("w") >= n, runs(n)).otherwise(empty) for n in range(1, LEAD + 1)]))
+    found = words.select(key, F.explode(made).alias("run")).select(key, "run.*").join(led, "led")
+    return found.filter((F.size("all") <= LEAD) | (F.slice("rest", F.lit(1), F.size("all")) == F.col("all"))).select(key, "alias").distinct()
 
 
 #: Similarities from which a match is a merge, or worth a look; how names and vectors count together; nearest
