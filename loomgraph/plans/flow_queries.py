@@ -414,7 +414,7 @@ def stream_expiries(spark, sf_dir):
 
 
 #: Questions of which each source has one, by its number.
-ASKED = ["What is the status of Thanedble Anea?", "Why did Attion Thanedble Erin flag it, and when?", "where is it stored", "Tell me more", "Is De La the owner of XQ7 now?"]
+QUESTIONS = ["What is the status of Thanedble Anea?", "Why did Attion Thanedble Erin flag it, and when?", "where is it stored", "Tell me more", "Is De La the owner of XQ7 now?"]
 
 
 @query("""
@@ -434,8 +434,8 @@ SELECT id, state IS NULL AS can_answer, array_to_string(coalesce(state, CASE WHE
 def answer_coverage(spark, sf_dir):
     """Whether the documents labelled good answer a question that is put to their source."""
     docs = table(spark, sf_dir, "documents")
-    number = F.regexp_replace("source", "src", "").cast("int") % len(ASKED)
-    questions = docs.select(F.col("source").alias("id")).distinct().withColumn("source", F.col("id")).select("id", F.element_at(F.array(*map(F.lit, ASKED)), number + 1).alias("question"))
+    number = F.regexp_replace("source", "src", "").cast("int") % len(QUESTIONS)
+    questions = docs.select(F.col("source").alias("id")).distinct().withColumn("source", F.col("id")).select("id", F.element_at(F.array(*map(F.lit, QUESTIONS)), number + 1).alias("question"))
     good = docs.join(table(spark, sf_dir, "labels").filter("quality = 1"), "doc_id").select(F.col("source").alias("id"), F.col("doc_id").cast("string").alias("citation"), F.col("text").alias("content"))
     out = V.assess(questions, good)
     return out.select("id", "can_answer", F.array_join("missing", "|").alias("missing"), F.array_join("supported", ",").alias("supported"))
