@@ -226,8 +226,8 @@ def test_queries_match_sql(spark, small, name):
     assert rows_of(frame.select(columns).collect()) == rows_of(want.select(*[f'"{c}"' for c in columns]).fetchall())
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, small):
