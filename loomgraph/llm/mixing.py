@@ -4,15 +4,17 @@ A block is a fixed number of words.  Blocks go to sources by highest quotients
 target / (2 seats + 1); each source's blocks go to its shards in the same way.
 A shard is a bounded part of a source (by a seeded hash of id and text, so that
 rows without an id spread too), so that a source with a third of all rows is many
-shards.  In a shard the documents stand
-in a seeded order and form one stream of words; the shard's quota is taken from
-its start and around again, at most twice.  Only sizes are gathered: one row for
-each source and for each shard.
+shards.  In a shard the documents stand in a seeded order and form one stream of
+words, cut into blocks (the last one may be shorter).  A shard's quota takes every
+block whole rounds over, and for the rest blocks in a seeded shuffle of their
+numbers, the last of those in part (its first words).  A task looks at the numbers
+of one shard's blocks at a time; only sizes are gathered: one row for each source
+and for each shard.
 
 Defined results: a null text has size 0; a null source is a source, the last
 one; rows are single documents, whatever their ids (equal rows may swap what is
 taken from them); of equal quotients the earlier source or shard has the block;
-a text of any length is counted whole, and may be taken in part; no words at all:
+a text of any length is counted whole, and blocks of it may be taken; no words at all:
 nothing is taken; an empty table gives an empty result; other columns pass
 through, but for result columns of the same name.
 """
@@ -20,6 +22,7 @@ through, but for result columns of the same name.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -72,11 +75,68 @@ def shares(size: np.ndarray, weight: np.ndarray, total: float, most: float) -> n
     return target
 
 
+def block_takes(total: int, rest: int, block: int, chance: int) -> np.ndarray:
+    """Words that are taken (the first ones) of each block of a stream of total words: rest words, by blocks in a seeded shuffle."""
+    sizes = np.full(-(-total // block), block, np.int64)
+    sizes[-1] -= len(sizes) * block - total
+    order = np.random.default_rng(chance & (2**64 - 1)).permutation(len(sizes))
+    ends = np.cumsum(sizes[order])
+    out = np.empty_like(sizes)
+    out[order] = np.clip(rest - ends + sizes[order], 0, sizes[order])
+    return out
+
+
+def _shards(chance: pd.Series, total: pd.Series, rest: pd.Series, block: int):
+    """The rows of each shard in a batch, and what is taken of its blocks (with none after the last one)."""
+    for (seed, words, some), rows in pd.DataFrame({"c": chance, "t": total, "r": rest}).groupby(["c", "t", "r"]).indices.items():
+        if some > 0:
+            yield rows, np.append(block_takes(int(words), int(some), block, int(seed)), 0)
+
+
+def words_taken(block: int) -> Callable[..., Column]:
+    """Column function: words of a document (where its shard's stream has it) that lie in taken parts of blocks."""
+
+    @F.pandas_udf("long")
+    def count(start: pd.Series, size: pd.Series, total: pd.Series, rest: pd.Series, chance: pd.Series) -> pd.Series:
+        out = np.zeros(len(start), np.int64)
+        for rows, take in _shards(chance, total, rest, block):
+            before = np.cumsum(take) - take
+            upto = lambda x: before[x // block] + np.minimum(x % block, take[x // block])
+            at = start.to_numpy()[rows]
+            out[rows] = upto(at + size.to_numpy()[rows]) - upto(at)
+        return pd.Series(out)
+
+    return count
+
+
+def runs_taken(block: int) -> Callable[..., Column]:
+    """As words_taken, but the runs of taken words: the number of words before each run in the document, and its length."""
+
+    @F.pandas_udf("array<struct<at:int,n:int>>")
+    def runs(start: pd.Series, size: pd.Series, total: pd.Series, rest: pd.Series, chance: pd.Series) -> pd.Series:
+        out: list[list[dict]] = [[] for _ in range(len(start))]
+        for rows, take in _shards(chance, total, rest, block):
+            for i in rows:
+                first, end = int(start.iloc[i]), int(start.iloc[i] + size.iloc[i])
+                for b in range(first // block, -(-end // block)):
+                    low, high = max(first, b * block), min(end, b * block + int(take[b]))
+                    if low >= high:
+                        continue
+                    if out[i] and out[i][-1]["at"] + out[i][-1]["n"] == low - first:
+                        out[i][-1]["n"] += high - low
+                    else:
+                        out[i].append({"at": low - first, "n": high - low})
+        return pd.Series(out)
+
+    return runs
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64, shard_words: int = 1_000_000, seed: int = 17, texts: bool = False) -> DataFrame:
     """Rows of docs with size, source_size, target and taken (words the mix takes of it, repeats counted).
 
     The sources, by code point and null last, weigh as weights repeat, and share share times all words; a target stops at
-    most times its source's size.  texts: all columns pass through, and the text too; else only id and source.
+    most times its source's size.  texts: all columns pass through, and the text too; else only id and source.  With texts,
+    taken_runs (at, n) are the words taken beside whole copies.
     """
     key = F.when(F.col(f"`{source_col}`").isNull(), F.lit("n")).otherwise(F.concat(F.lit("k"), F.col(f"`{source_col}`"))).alias("__mix_key")
     chance = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")).alias("__mix_chance")
@@ -119,27 +179,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     quotas = written(in_shards.groupBy("__mix_key").applyInPandas(per_shard, "__mix_key string, __mix_shard long, words long, quota long"), "quotas")
     quotas = quotas.select("__mix_key", "__mix_shard", F.col("words").alias("__mix_in"), F.col("quota").alias("__mix_quota"))
     placed = joined(sharded(rows), quotas, ["__mix_key", "__mix_shard"])
-    stream = Window.partitionBy("__mix_key", "__mix_shard").orderBy("__mix_chance", F.col(f"`{id_col}`"), "__mix_size").rowsBetween(Window.unboundedPreceding, 0)
+    apart = F.when(F.col("__mix_size") == 0, F.col("__mix_chance"))  # rows without words take no place in the stream
+    stream = Window.partitionBy("__mix_key", "__mix_shard", apart).orderBy("__mix_chance", F.col(f"`{id_col}`"), "__mix_size").rowsBetween(Window.unboundedPreceding, 0)
     start = F.sum("__mix_size").over(stream) - F.col("__mix_size")
     want = F.least(F.col("__mix_quota") * block, F.floor(F.col("__mix_in") * most)).cast("long")
     placed = placed.withColumn("__mix_start", start).withColumn("__mix_want", want)
     rounds = F.when(F.col("__mix_in") > 0, F.floor(F.col("__mix_want") / F.col("__mix_in"))).otherwise(0)
     rest = F.col("__mix_want") - rounds * F.col("__mix_in")
-    once = F.greatest(F.lit(0), F.least(F.col("__mix_size"), rest - F.col("__mix_start")))
+    where = (F.col("__mix_start"), F.col("__mix_size"), F.col("__mix_in"), rest, F.xxhash64(F.lit(seed), "__mix_key", "__mix_shard"))
+    if texts:
+        placed = placed.withColumn("__mix_runs", runs_taken(block)(*where))
+        once = F.aggregate("__mix_runs", F.lit(0).cast("long"), lambda n, run: n + run["n"])
+    else:
+        once = words_taken(block)(*where)
     new = {"size": F.col("__mix_size"), "source_size": F.col("__mix_words"), "target": F.col("__mix_target"), "taken": (rounds * F.col("__mix_size") + once).cast("long")}
+    if texts:
+        new |= {"taken_runs": F.col("__mix_runs")}
     names = docs.columns if texts else [id_col, source_col]
     return placed.select(*[F.col(f"`{c}`") for c in names if c not in new], *[c.alias(n) for n, c in new.items()])
 
 
 def mixed_texts(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: a row for each whole copy that it takes of a document, and one for a part (its first words, joined by
-    one space); the columns of docs."""
-    marked = docs.withColumnsRenamed({c: f"__own_{c}" for c in ("size", "source_size", "target", "taken") if c in docs.columns})
+    """The mix itself: a row for each whole copy that it takes of a document, and one for the blocks that it takes beside
+    those (the words of a run joined by one space, runs by \\n); the columns of docs."""
+    added = ("size", "source_size", "target", "taken", "taken_runs")
+    marked = docs.withColumnsRenamed({c: f"__own_{c}" for c in added if c in docs.columns})
     out = mix(marked, text_col=text_col, texts=True, **options)
     text: Column = F.col(f"`{text_col}`")
+    part = F.aggregate("taken_runs", F.lit(0).cast("long"), lambda n, run: n + run["n"])
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    part = (F.col("taken") - copies * F.col("size")).cast("int")
-    pieces = F.concat(F.array_repeat(F.lit(-1), copies), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    out = out.withColumn("__mix_piece", F.explode(pieces))
-    out = out.withColumn(text_col, F.when(F.col("__mix_piece") < 0, text).otherwise(F.array_join(F.slice(words_of(text), F.lit(1), F.greatest(F.col("__mix_piece"), F.lit(0))), " ")))
+    pieces = F.concat(F.array_repeat(F.lit(True), copies), F.when((part > 0) & (part < F.col("size")), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
+    out = out.withColumn("__mix_whole", F.explode(pieces))
+    runs = F.transform(F.array(words_of(text)), lambda w: F.array_join(F.transform("taken_runs", lambda run: F.array_join(F.slice(w, run["at"] + 1, run["n"]), " ")), "\n"))
+    out = out.withColumn(text_col, F.when(F.col("__mix_whole"), text).otherwise(runs[0]))
     return out.select(*[F.col(f"`__own_{c}`").alias(c) if f"__own_{c}" in marked.columns else F.col(f"`{c}`") for c in docs.columns])

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from loomgraph.llm import langid, media, urls
 from loomgraph.llm.mixing import mix, mixed_texts, sainte_lague, shares
+from loomgraph.llm.shared import word_count
 from loomgraph.llm.queries import ORACLES, QUERIES
 from loomgraph.llm.urls import DigestIndex, build_index, filter_urls
 
@@ -68,6 +69,76 @@ def test_mix_of_a_skewed_corpus(spark):
     assert sum(len((r.text or "").split()) for r in texts.collect()) == sum(taken.values())
 
 
+def brute_mix(rows, chances, share=1.5, most=2, block=16, shard_words=2000, seed=17):
+    """The mix word by word: rows (id, words, source) with their chances, and a function of (source, shard) for a shard's seed."""
+    order = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    size = {s: sum(len(w) for _, w, t in rows if t == s) for s in order}
+    target, free, rest = {}, set(order), share * sum(size.values())
+    while free:
+        total = sum(weight[s] for s in free)
+        over = {s for s in free if rest * weight[s] / total > most * size[s]}
+        if not over:
+            target |= {s: rest * weight[s] / total for s in free}
+            break
+        target |= {s: float(most * size[s]) for s in over}
+        rest, free = rest - sum(target[s] for s in over), free - over
+
+    def highest(quota, seats, caps):
+        got = dict.fromkeys(quota, 0)
+        for _ in range(seats):
+            open_ = [k for k in quota if got[k] < caps[k] and quota[k] > 0]
+            if not open_:
+                break
+            got[max(open_, key=lambda k: quota[k] / (2 * got[k] + 1))] += 1
+        return got
+
+    up = lambda n: -(-most * n // block)
+    full = {s for s in order if target[s] >= most * size[s] * (1 - 1e-12)}
+    some = {s: target[s] for s in order if s not in full}
+    seats = highest(some, round(sum(some.values()) / block), {s: up(size[s]) for s in some}) | {s: up(size[s]) for s in full}
+    taken = {}
+    for s in order:
+        shards = max(1, -(-size[s] // shard_words))
+        streams = {k: [] for k in range(shards)}
+        for (i, words, t), (chance, _) in sorted(zip(rows, chances, strict=True), key=lambda x: (x[1][0], x[0][0], len(x[0][1]))):
+            if t == s:
+                taken.setdefault(i, 0)
+                streams[chance % shards] += [i] * len(words)
+        quota = highest({k: len(v) for k, v in streams.items()}, seats[s], {k: up(len(v)) for k, v in streams.items()})
+        for k, stream in streams.items():
+            left = min(quota[k] * block, most * len(stream))
+            while stream and left >= len(stream):
+                left -= len(stream)
+                for i in stream:
+                    taken[i] += 1
+            blocks = [stream[j : j + block] for j in range(0, len(stream), block)]
+            for j in np.random.default_rng(chances.seed_of(s, k) % 2**64).permutation(len(blocks)) if left else ():
+                for i in blocks[j][:left]:
+                    taken[i] += 1
+                left -= len(blocks[j][:left])
+    return taken
+
+
+def test_mix_matches_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(i, ["w"] * (rng.choice([0, 1, 5, 15, 16, 17, 90]) if i else 900), rng.choice(["big"] * 6 + ["a", "b", "tiny" if i % 40 == 0 else "a", None])) for i in range(500)]
+    docs = spark.createDataFrame([(i, " ".join(w) if w or i % 2 else None, s) for i, w, s in rows], "doc_id long, text string, source string")
+    chance = F.xxhash64(F.lit(17), F.col("doc_id").cast("string"), "text")
+
+    class Chances(list):
+        @staticmethod
+        def seed_of(source, shard):
+            row = spark.range(1).select(F.xxhash64(F.lit(17), F.lit("n" if source is None else "k" + source), F.lit(shard).cast("long")).alias("x"))
+            return row.first().x
+
+    by_id = {r.doc_id: r.c for r in docs.select("doc_id", chance.alias("c")).collect()}
+    expected = brute_mix(rows, Chances([(by_id[i], None) for i, _, _ in rows]))
+    assert {r.doc_id: r.taken for r in mix(docs, block=16, shard_words=2000).collect()} == expected
+    texts = mixed_texts(docs, block=16, shard_words=2000).select("doc_id", word_count(F.col("text")).alias("n"))
+    assert {r.doc_id: r.n for r in texts.groupBy("doc_id").agg(F.sum("n").alias("n")).collect() if r.n} == {i: n for i, n in expected.items() if n}
+
+
 def test_nothing_to_mix(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix(empty).collect() == [] == mixed_texts(empty).collect()
@@ -273,7 +344,8 @@ def test_pipeline_matches_brute_force(spark, small):
         target[r.source] = r.target
     four = corpus_pipeline.written(stages["mixing sources"](spark, three, small), "test")
     for r in four.collect():
-        assert r.source == sources[r.doc_id] and (r.text == whole[r.doc_id] or whole[r.doc_id].split()[: len(r.text.split())] == r.text.split())
+        runs, words = [r.text] if r.text == whole[r.doc_id] else r.text.split("\n"), f" {' '.join(whole[r.doc_id].split())} "
+        assert r.source == sources[r.doc_id] and (r.text == whole[r.doc_id] or all(f" {run} " in words for run in runs))
         taken[r.source] += len(r.text.split())
     assert all(abs(taken[s] - t) <= 0.02 * t + 128 for s, t in target.items())
     five = stages["SentencePiece encoding"](spark, four, small).collect()
