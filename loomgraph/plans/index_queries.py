@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from .. import bridge
 from ..bridge import sees, with_model
+from ..indexes import communities as C
 from ..indexes import postings as P
 from ..indexes import trigrams as G
 from ..indexes import vectors as V
@@ -14,7 +17,8 @@ from ..schema import relation_types
 from ..security import visible
 from ..storage import new_folder, table
 from .flow_queries import EXTRACTED_SQL, NEW_FACTS_SQL, new_facts
-from .search_queries import FACT_QUERY, NAME, rank_sql, terms_sql, trigrams_sql
+from .retrieval import community_search
+from .search_queries import FACT_QUERY, LPA_ROUNDS, NAME, lpa_sql, probe, rank_sql, terms_sql, trigrams_sql
 from .search_queries import ORACLES as SEARCH_SQL
 from .temporal_queries import SECURITY
 
@@ -172,3 +176,34 @@ def vector_index_all_lists(spark, sf_dir):
     index = V.build(rows, "vec_id", "embedding", new_folder(spark, "vectors"), lists=16)
     found = index.nearest(rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", probes=16, rerank=rows.count())
     return found.select("query", F.col("id").alias("vec_id"), F.round("similarity", 5).alias("similarity"))
+
+
+# ------------------------------------------------------------------ communities
+
+
+def entities_with_vectors(spark, sf_dir):
+    """Customers, suppliers and parts with the vectors of their numbers."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("k"), "embedding")
+    rows = bridge.entities(spark, sf_dir).withColumn("k", F.when(F.col("entity_type").isin("customer", "supplier", "part"), F.substring_index("id", ":", -1)))
+    return rows.join(vectors, "k", "left").drop("k")
+
+
+@query(
+    with_model(
+        lpa_sql(LPA_ROUNDS)
+        + f""", c AS (SELECT id, label FROM l{LPA_ROUNDS}),
+s AS (SELECT label, count(*) AS size FROM c GROUP BY label HAVING count(*) > 1),
+i AS (SELECT a.label, sum(l.confidence) AS x FROM links l JOIN c a ON a.id = l.source JOIN c b ON b.id = l.target WHERE a.label = b.label GROUP BY a.label),
+v AS (SELECT label, n, avg(x) AS x FROM (SELECT c.label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS n FROM c JOIN embeddings ON c.id IN ('customer:' || vec_id, 'supplier:' || vec_id, 'part:' || vec_id)) GROUP BY ALL),
+m AS (SELECT label, list(x ORDER BY n) AS v FROM v GROUP BY label),
+r AS (SELECT s.label, size, ln(1 + size) + ln(1 + coalesce(x, 0)) AS salience, list_cosine_similarity(m.v, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS cos FROM s LEFT JOIN i ON i.label = s.label LEFT JOIN m ON m.label = s.label)
+SELECT label, size, size AS n_members, round(0.9 * cos + 0.1 * salience / (SELECT max(salience) FROM r), 5) AS score FROM r WHERE cos >= 0.01"""
+    )
+)
+def stored_community_search(spark, sf_dir):
+    """All stored communities near a vector, as one access sees them, with the members that are stored for them."""
+    stored = C.StoredCommunities(spark, new_folder(spark, "communities"))
+    rows, members = stored.of(entities_with_vectors(spark, sf_dir), bridge.facts(spark, sf_dir), SECURITY, datetime(2001, 8, 1))
+    near = community_search(rows, probe(spark, sf_dir), limit=None, least=0.01)
+    counted = members.groupBy("label").agg(F.count("*").alias("n_members"))
+    return near.join(counted, "label").select("label", "size", "n_members", F.round("score", 5).alias("score"))

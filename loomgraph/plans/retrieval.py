@@ -231,12 +231,13 @@ def temporal_search(c: Corpus, r: Request, window_days: int = 30) -> DataFrame:
     return as_list(block(rows, "fact", F.col("changed_at").cast("timestamp").cast("double"), F.col("score"), F.col("fact_text"), None, F.col("valid_at"), F.col("invalid_at")))
 
 
-def community_search(communities: DataFrame, vector: list[float], limit: int = 10, least: float = 0.12) -> DataFrame:
+def community_search(communities: DataFrame, vector: list[float], limit: int | None = 10, least: float = 0.12) -> DataFrame:
     """Communities (label, salience, embedding) nearest to a vector: 0.9 of the cosine and 0.1 of the salience over the largest."""
     most = communities.agg(F.max("salience").alias("most")).withColumn("__one", F.lit(1))  # one row
     rows = communities.filter("embedding is not null").withColumn("__one", F.lit(1)).join(F.broadcast(most), "__one").withColumn("cos", cosine(F.col("embedding"), vector)).filter((F.col("cos") >= least) & ~F.isnan("cos"))
     score = 0.9 * F.col("cos") + F.when(F.col("most") > 0, 0.1 * F.col("salience") / F.col("most")).otherwise(0.0)
-    return rows.withColumn("score", score).orderBy(F.desc("score"), "label").limit(limit)
+    rows = rows.withColumn("score", score)
+    return rows.orderBy(F.desc("score"), "label").limit(limit) if limit else rows
 
 
 def community_list(c: Corpus, r: Request) -> DataFrame:
