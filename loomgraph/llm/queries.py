@@ -21,10 +21,12 @@ from .ring import sharded
 from .rlz import dedup_substrings
 from .shared import table
 from .trie import prefix_trie
-from .urls import filter_urls
+from .urls import BLOCKED_HOSTS, RULES, filter_urls, read_lists
 
 #: A public tokenizer's model file; a parameter of the queries that need one.
 PIECE_MODEL = os.environ.get("LOOMGRAPH_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+#: Text files of allowed and blocked URLs (urls.read_lists); unset: the lists of urls.py, which the SQL states.
+URL_LISTS = os.environ.get("LOOMGRAPH_URL_LISTS")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +63,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(chat_examples(rows.unionByName(probe)))
 
 
-def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per page: host, path, the longest rule that fits, and the verdict."""
-    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+def op7_url_filter(spark: SparkSession, sf_dir: str, lists: str | None = URL_LISTS) -> DataFrame:
+    """Per page: host, path, the longest rule that fits, and the verdict.  lists: text files in place of the default lists."""
+    rules, hosts = read_lists(spark, lists) if lists else (RULES, BLOCKED_HOSTS)
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules=rules, blocked_hosts=hosts).drop("url")
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,11 @@ All list entries (rules host/path, and blocked hosts; small ones from Python, an
 size as DataFrames) go into one index: their 64-bit xxhash digests, sorted, and
 the full strings in the same order.  Spark sorts the entries by digest, and each
 range of digests becomes files in the shared folder.  The index is checked against
-MAX_BYTES; each executor maps the files into memory, or a copy of them where the
-folder isn't mounted.  A batch's candidate strings (every parent domain of the
-host, with every path prefix as long as some rule's path) are hashed and probed
-by one vectorised binary search; a hit counts only if the stored string is equal,
-so that colliding digests can't match.
+MAX_BYTES; each executor maps the files into memory, or, where the folder isn't
+mounted, holds OPEN_RANGES ranges at most.  A batch's candidate strings (every parent
+domain of the host, with every path prefix as long as some rule's path) are hashed,
+sent to the range of their digest, and probed there by one vectorised binary search; a
+hit counts only if the stored string is equal, so that colliding digests can't match.
 
 The longest rule that fits decides; a URL without a rule is blocked if its host
 or a parent domain is a blocked host, else allowed.
@@ -24,10 +24,8 @@ of that name).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -41,41 +39,37 @@ from .shared import shared_dir
 
 MAX_BYTES = 1 << 30
 RANGE_BYTES = 64 << 20
+OPEN_RANGES = 4  # held at once by a task that can't map them
 
 #: The rules of the data contract, and the hosts that the default list blocks.
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 BLOCKED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com", "adult-x.example.net", "free-bets.example.com", "casino-win.example.org", "ads-track.example.org")
 
 
-def _local(folder: str, name: str) -> str:
-    """A file of a shared folder as a local path: its own where the folder is mounted, else a copy in this task's machine."""
-    files, root = fs.FileSystem.from_uri(folder)
-    if isinstance(files, fs.LocalFileSystem):
-        return f"{root}/{name}"
-    own = Path(tempfile.gettempdir(), f"loomgraph-{uuid.uuid5(uuid.NAMESPACE_URL, folder + name).hex}")
-    if not own.exists():
-        part = own.with_suffix(f".{uuid.uuid4().hex}")
-        with files.open_input_stream(f"{root}/{name}") as source, part.open("wb") as target:
-            while piece := source.read(8 << 20):
-                target.write(piece)
-        part.rename(own)
-    return str(own)
+def read_lists(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rules (rule, verdict) and blocked hosts (host) from text files of any size.  A line is `allow host/path`, `block host/path`
+    or `block host`; blank lines, those that begin with # and those of another form are none."""
+    line = r"^\s*(allow|block)\s+(\S+)\s*$"
+    rows = spark.read.text(path).select(F.regexp_extract("value", line, 1).alias("verdict"), F.regexp_extract("value", line, 2).alias("entry")).filter("verdict <> ''")
+    rules = rows.filter("instr(entry, '/') > 0").select(F.col("entry").alias("rule"), "verdict")
+    return rules, rows.filter("instr(entry, '/') = 0 and verdict = 'block'").select(F.col("entry").alias("host"))
 
 
 def _write_index(folder: str):
-    """Rows (digest, entry, tag) of one range, in order: their files, and a row with the range's name and first digest."""
+    """Rows (digest, entry, tag) of one range, in order: their files, and a row with the range's name, which begins with its
+    first digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(folder)
         table = pa.Table.from_batches(batches, pa.schema([("digest", pa.int64()), ("entry", pa.string()), ("tag", pa.int64())]))
         if table.num_rows:
-            stem = uuid.uuid4().hex
             strings = [x.encode() for x in table.column("entry").to_pylist()]
             digests = np.asarray(table.column("digest")).view(np.uint64) ^ np.uint64(1 << 63)
+            stem = f"{int(digests[0]):016x}-{uuid.uuid4().hex}"
             for kind, raw in (("digests", digests.tobytes()), ("offsets", np.cumsum([0, *map(len, strings)]).astype(np.int64).tobytes()), ("strings", b"".join(strings)), ("tags", np.asarray(table.column("tag")).tobytes())):
                 with files.open_output_stream(f"{root}/{stem}-{kind}") as out:
                     out.write(raw)
-            yield pa.RecordBatch.from_arrays([pa.array([stem]), table.column("digest").combine_chunks().slice(0, 1)], names=["stem", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array([stem])], names=["stem"])
 
     return run
 
@@ -98,30 +92,51 @@ def build_index(entries: DataFrame) -> tuple[str, list[str]]:
     files.create_dir(root)
     ranges = max(1, -(-total // RANGE_BYTES))
     ordered = entries.mapInArrow(_hashed, "digest long, entry string, tag long").repartitionByRange(ranges, "digest").sortWithinPartitions("digest", "entry")
-    return folder, [r.stem for r in sorted(ordered.mapInArrow(_write_index(folder), "stem string, first long").collect(), key=lambda r: r.first)]
+    return folder, sorted(r.stem for r in ordered.mapInArrow(_write_index(folder), "stem string").collect())
 
 
 class DigestIndex:
-    """Sorted digests, and the strings and tags in the same order, as memory-mapped files of one range each."""
+    """Sorted digests, and the strings and tags in the same order, in ranges: files that are mapped where the folder is mounted,
+    and else read when a key falls into their range."""
 
     def __init__(self, folder: str, stems: list[str]):
-        self.ranges = []
-        for stem in stems:
-            mapped = lambda kind, of: np.memmap(p, of, "r") if Path(p := _local(folder, f"{stem}-{kind}")).stat().st_size else np.zeros(0, of)  # noqa: B023, E731
-            self.ranges.append((mapped("digests", np.uint64), mapped("offsets", np.int64), mapped("strings", np.uint8), mapped("tags", np.int64)))
+        self.files, self.root = fs.FileSystem.from_uri(folder)
+        self.mounted = isinstance(self.files, fs.LocalFileSystem)
+        self.stems, self.open = stems, {}
+        self.firsts = np.array([int(s[:16], 16) for s in stems], np.uint64)
+
+    def _column(self, stem: str, kind: str, of: type) -> np.ndarray:
+        path = f"{self.root}/{stem}-{kind}"
+        if not self.files.get_file_info(path).size:
+            return np.zeros(0, of)
+        if self.mounted:
+            return np.memmap(path, of, "r")
+        with self.files.open_input_file(path) as source:
+            return np.frombuffer(source.read(), of)
+
+    def _range(self, i: int) -> list[np.ndarray]:
+        if i not in self.open:
+            while not self.mounted and len(self.open) >= OPEN_RANGES:
+                del self.open[next(iter(self.open))]
+            self.open[i] = [self._column(self.stems[i], kind, of) for kind, of in (("digests", np.uint64), ("offsets", np.int64), ("strings", np.uint8), ("tags", np.int64))]
+        return self.open[i]
 
     def find(self, texts: list[bytes]) -> np.ndarray:
         """The tag of each string; -1: not in the index."""
         keys = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64)
         out = np.full(len(texts), -1, np.int64)
-        for digests, offsets, strings, tags in self.ranges:
-            at = np.searchsorted(digests, keys)
-            live = np.flatnonzero(out < 0)
+        home = np.searchsorted(self.firsts, keys, "right") - 1  # equal digests are of one range
+        order = np.argsort(home, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+            if not len(own) or home[own[0]] < 0:
+                continue
+            digests, offsets, strings, tags = self._range(int(home[own[0]]))
+            at, live = np.searchsorted(digests, keys[own]), np.arange(len(own))
             while len(live):
                 live = live[at[live] < len(digests)]
-                live = live[digests[at[live]] == keys[live]]
-                same = np.array([strings[offsets[at[i]] : offsets[at[i] + 1]].tobytes() == texts[i] for i in live], bool)
-                out[live[same]] = tags[at[live[same]]]
+                live = live[digests[at[live]] == keys[own[live]]]
+                same = np.array([strings[offsets[at[i]] : offsets[at[i] + 1]].tobytes() == texts[own[i]] for i in live], bool)
+                out[own[live[same]]] = tags[at[live[same]]]
                 live = live[~same]
                 at[live] += 1
         return out

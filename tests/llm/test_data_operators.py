@@ -193,6 +193,28 @@ def test_url_lists_from_tables(spark):
     assert {r.verdict for r in filter_urls(pages, rules={}, blocked_hosts=()).collect()} == {"allow"}
 
 
+def test_url_lists_from_files(spark, small, tmp_path, monkeypatch):
+    (tmp_path / "list.txt").write_text("# hosts\nblock c.com\n\n  block a.org/x/ \nallow a.org/\nallow b.com\nodd line here\nblock example.com\n")
+    rules, hosts = urls.read_lists(spark, f"file://{tmp_path}/list.txt")
+    assert sorted(map(tuple, rules.collect())) == [("a.org/", "allow"), ("a.org/x/", "block")] and sorted(r.host for r in hosts.collect()) == ["c.com", "example.com"]
+    for r in QUERIES["op7_url_filter"](spark, small, lists=f"file://{tmp_path}/list.txt").collect():
+        assert r.rule is None and r.verdict == ("block" if f".{r.host}".endswith(".example.com") else "allow")
+
+
+def test_index_of_a_million_entries(spark, monkeypatch):
+    monkeypatch.setattr(urls, "RANGE_BYTES", 4 << 20)
+    entry = lambda i: f"host-{i}.example/{i % 7}/"
+    rows = spark.range(1_000_000).select(F.format_string("host-%d.example/%d/", "id", F.col("id") % 7).alias("entry"), "id")
+    folder, stems = build_index(rows)
+    assert len(stems) > 8
+    asked = [*range(0, 1_000_000, 997), *range(1_000_000, 1_000_500)]
+    mapped, read = DigestIndex(folder, stems), DigestIndex(folder, stems)
+    read.mounted = False  # as in a folder that isn't mounted
+    for index in (mapped, read):
+        assert index.find([entry(i).encode() for i in asked]).tolist() == [i if i < 1_000_000 else -1 for i in asked]
+    assert len(read.open) == urls.OPEN_RANGES and index.find([]).tolist() == []
+
+
 def plain_media(text):
     """The stored form, digests and features of a text, from the contract and the WAV format alone."""
     raw = (text or "").encode()
