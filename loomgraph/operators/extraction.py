@@ -16,16 +16,34 @@ from .temporal import is_current, supersede
 SURE, AMBIGUOUS = 0.9, 0.75
 
 
+def _parts(rows: DataFrame, needles: DataFrame) -> DataFrame:
+    """rows (episode_id, low) with each different part of low that is as long as a needle (episode_id, low) of the episode: part."""
+    lengths = needles.groupBy("episode_id").agg(F.collect_set(F.length("low")).alias("lengths"))  # as many as the longest name has characters
+    each = rows.join(lengths, "episode_id").select(*rows.columns, F.explode("lengths").alias("n")).filter("n <= length(low)")
+    cut = F.transform(F.sequence(F.lit(1), F.length("low") - F.col("n") + 1), lambda i: F.substring("low", i, F.col("n")))
+    return each.select(*rows.columns, F.explode(F.array_distinct(cut)).alias("part"))
+
+
+def _first_fit(model: DataFrame, found: DataFrame) -> DataFrame:
+    """For found names (episode_id, low) the first name of the model (episode_id, low, name, entity_type) that holds them or that they
+    hold: best.  A name's parts are met by equality, so that the work grows with the names, not with their pairs."""
+    needle = lambda df: df.withColumnRenamed("low", "part")
+    first = F.min(F.struct("name", "entity_type")).alias("best")
+    known = model.groupBy("episode_id", "low").agg(first).select("episode_id", "low", "best.*")
+    inside = _parts(known, found).join(needle(found), ["episode_id", "part"]).select("episode_id", F.col("part").alias("low"), "name", "entity_type")
+    around = _parts(found, known).join(needle(known), ["episode_id", "part"]).select("episode_id", "low", "name", "entity_type")
+    return inside.unionByName(around).groupBy("episode_id", "low").agg(first)
+
+
 def merge_entities(model: DataFrame, found: DataFrame) -> DataFrame:
     """Entities (episode_id, name, entity_type, attributes map) of a model, and those that patterns found: one whose name holds
     the other's, in the same episode, gives its attributes to it; others are added unless the model has that name."""
-    m = model.withColumn("__n", F.monotonically_increasing_id())
     low = lambda c: F.lower(F.col(c))
-    f = found.select("episode_id", F.col("name").alias("f_name"), F.col("entity_type").alias("f_type"), F.col("attributes").alias("f_attributes"))
-    met = f.join(m.select("episode_id", "name", "entity_type", "__n"), "episode_id", "left")
-    met = met.withColumn("fits", F.coalesce(low("name").contains(low("f_name")) | low("f_name").contains(low("name")), F.lit(False)))
-    one = Window.partitionBy("episode_id", "f_name").orderBy(F.desc("fits"), "name", "entity_type")
-    best = met.withColumn("__r", F.row_number().over(one)).filter("__r = 1")
+    f = found.select("episode_id", F.col("name").alias("f_name"), F.col("entity_type").alias("f_type"), F.col("attributes").alias("f_attributes"), low("name").alias("low"))
+    f = first_per_key(f, ["episode_id", "f_name"], "f_type", F.array_sort(F.map_entries("f_attributes")))
+    m = model.select("episode_id", "name", "entity_type", low("name").alias("low")).filter("low is not null")
+    fits = _first_fit(m, f.select("episode_id", "low").filter("low is not null").distinct())
+    best = f.join(fits, ["episode_id", "low"], "left").withColumns({"fits": F.col("best").isNotNull(), "name": F.col("best.name"), "entity_type": F.col("best.entity_type")}).drop("low", "best")
     gives = F.col("fits") & F.col("f_attributes").isNotNull()
     entries = best.filter(gives).select("episode_id", "name", "entity_type", F.col("f_name"), F.explode("f_attributes").alias("k", "v"))
     given = first_per_key(entries, ["episode_id", "name", "entity_type", "k"], F.desc("f_name")).groupBy("episode_id", "name", "entity_type").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("more"))

@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,29 @@ def test_extracted_lists_and_types(spark):
     assert sorted(tuple(r) for r in facts.collect()) == [(1, "A", "r", "B"), (2, "A", "r", "B")]
 
 
+def test_merged_names_against_all_pairs(spark):
+    """Names in either direction, empty ones, and 3,000 of an episode, whose pairs are never made."""
+    draw = random.Random(5)
+    name = lambda n: "".join(draw.choice("aBc") for _ in range(draw.randint(0, n)))
+    kind = "episode_id int, name string, entity_type string, attributes map<string,string>"
+    m = [(e, x, "m", {"a": "1"}) for e in (1, 2) for x in dict.fromkeys(name(6) for _ in range(12))] + [(3, None, "m", None)]
+    d = [(e, x, "d", {"b": x}) for e in (1, 2, 3) for x in dict.fromkeys(name(8) for _ in range(30))]
+    want = {(e, x): dict(a or {}) for e, x, _, a in m}
+    for e, x, _, a in sorted(d, key=lambda r: r[1]):
+        hits = [y for i, y, _, _ in m if i == e and y is not None and (x.lower() in y.lower() or y.lower() in x.lower())]
+        if hits:
+            want[e, min(hits)] |= a
+        else:
+            want[e, x] = a
+    got = E.merge_entities(spark.createDataFrame(m, kind), spark.createDataFrame(d, kind)).collect()
+    assert {(r.episode_id, r.name): r.attributes or {} for r in got} == want and len(got) == len(want)
+    many = spark.range(3000).select(F.floor(F.col("id") / 3000).cast("int").alias("episode_id"), F.format_string("n%05d", "id").alias("name"), F.lit("t").alias("entity_type"), F.create_map(F.lit("k"), F.col("id").cast("string")).alias("attributes"))
+    out = E.merge_entities(many, many.withColumn("name", F.substring("name", 2, 5)))
+    assert out.count() == 3000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "contains(lower" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 @pytest.fixture(scope="module")
 def stored(spark, small):
     return {"episodes": bridge.episodes(spark, small), "entities": bridge.entities(spark, small), "aliases": bridge.aliases(spark, small), "facts": bridge.facts(spark, small)}
