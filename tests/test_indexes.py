@@ -258,6 +258,25 @@ def test_trigram_index_against_all_pairs(spark, above):
     assert {(r.kind, r.name): (-round(r.score, 9), r.id) for r in index.best(q, "q", above, "kind").collect()} == best
 
 
+@pytest.mark.parametrize("least", [0.45, 0.6, 0.75, 0.9])
+def test_names_meet_by_several_trigrams_at_once(spark, least):
+    """Numbered names all share their common trigrams, and many one rare one: those that meet are about as many as those alike."""
+    rng = random.Random(9)
+    known = sorted({f"Customer#{rng.randrange(10**6):09d}" for _ in range(1500)} | {"ab", "a b", "abc", "b", "Ab c", "x y z w"} | {"".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(60)})
+    asked = [n + " inc" for n in known[::40]] + ["abc", "a", "B a", "ab c d", "cab", known[5].replace("C", "K")]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(known)], "id long, n string")
+    index = T.build(rows, "id", "n", new_folder(spark, "trigrams"))
+    sets, want = [grams(n) for n in known], {}
+    for n in asked:
+        g = grams(n)
+        want |= {(n, i): len(g & h) / len(g | h) for i, h in enumerate(sets) if len(g & h) / len(g | h) > least}
+    q = spark.createDataFrame([(n,) for n in asked], "q string")
+    assert {(r.name, r.id): r.score for r in index.alike(q, "q", least).collect()} == pytest.approx(want)
+    if least == 0.75:
+        assert all(T._at_once(s, least) == 3 for s in range(5, 24)) and T._at_once(2, least) < 3
+        assert index._met(index._asked(q, "q", None), least).count() < 2 * len(want) + 100  # 2,000 and more by one trigram
+
+
 def test_trigram_index_of_no_names(spark):
     none = spark.createDataFrame([], "id string, name string")
     index = T.build(none, "id", "name", new_folder(spark, "trigrams"))
