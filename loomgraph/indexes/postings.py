@@ -41,7 +41,8 @@ def build(rows: DataFrame, key: str, text: Column, folder: str, analyzer: str =
     order = [F.desc("n"), F.col("id")]
     number = F.monotonically_increasing_id()
     placed = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("block", F.shiftleft(F.shiftright(number, 33), 32) + F.floor(number % (1 << 33) / block))
-    words = placed.select("block", "id", F.posexplode("terms").alias("pos", "term")).groupBy("block", "id", "term").agg(F.collect_list("pos").alias("at"))
+    # n and id, by which the rows lie in ranges, are keys too, so that a document's words are gathered where it lies
+    words = placed.select("n", "block", "id", F.posexplode("terms").alias("pos", "term")).groupBy("n", "id", "block", "term").agg(F.collect_list("pos").alias("at")).drop("n")
     if analyzer == "english":
         words = written(words, "words")
         stems = with_stems(words.select("term").distinct())
@@ -49,9 +50,10 @@ def build(rows: DataFrame, key: str, text: Column, folder: str, analyzer: str =
         own = own.groupBy("block", "id", "term").agg(F.flatten(F.collect_list("at")).alias("at"))
     else:
         own = words
-    grouped = own.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(F.size("at")).alias("most"), F.sort_array(F.collect_list(F.struct("id", F.sort_array("at").alias("at")))).alias("docs"))
     shelves = shelves or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = grouped.repartitionByRange(shelves, "term", "block").sortWithinPartitions("term", "block").withColumn("shelf", F.spark_partition_id())
+    dealt = own.repartitionByRange(shelves, "term", "block")  # ranges of as many documents each, not of as many blocks
+    grouped = dealt.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(F.size("at")).alias("most"), F.sort_array(F.collect_list(F.struct("id", F.sort_array("at").alias("at")))).alias("docs"))
+    sorted_ = grouped.sortWithinPartitions("term", "block").withColumn("shelf", F.spark_partition_id())
     sorted_.write.partitionBy("shelf").mode("overwrite").parquet(f"{folder}/postings")
     stored = spark.read.schema(ROWS).parquet(f"{folder}/postings")
     stored.groupBy("shelf").agg(F.min("term").alias("low"), F.max("term").alias("high")).repartition(1).write.mode("overwrite").parquet(f"{folder}/shelves")  # a row for each shelf

@@ -228,6 +228,14 @@ def test_an_index_of_no_rows(spark, corpus):
         P.build(rows, "id", F.col("text"), "x", "klingon")
 
 
+def test_shelves_hold_as_many_documents_each(spark):
+    """A word of every document fills as much of a shelf as a thousand rare words, not as much as one."""
+    rows = spark.range(4000).select("id", F.concat(F.lit("has every w"), "id").alias("text"))
+    index = P.build(rows, "id", F.col("text"), new_folder(spark, "postings"), shelves=6, block=64)
+    held = [r.n for r in spark.read.schema(P.ROWS).parquet(f"{index.folder}/postings").groupBy("shelf").agg(F.sum("n").alias("n")).collect()]
+    assert sum(held) == 12000 and max(held) < 4000
+
+
 # ---------------------------------------------------------------- trigrams
 
 
