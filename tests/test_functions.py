@@ -4,6 +4,7 @@ import datetime
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,21 @@ def ranked(spark, *ids, kind="fact"):
     return spark.createDataFrame([(kind, i, n, 1.0, f"c{i}") for n, i in enumerate(ids)], "type string, id string, pos long, score double, content string").withColumns({c: F.lit(None).cast("timestamp_ntz") for c in ("valid_at", "invalid_at")})
 
 
+def test_close_pairs_are_exact_over_many_groups(spark, monkeypatch):
+    """Copies, zero vectors and long ones too; no pair is left to chance, whatever the number of groups."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 8))
+    x[:90] /= np.linalg.norm(x[:90], axis=1, keepdims=True)
+    x[5], x[6], x[100] = x[4], 0, 1000 * x[100]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, None)], "k long, v array<double>")
+    want = {(i, j): pytest.approx(d) for i in range(120) for j in range(i + 1, 120) if (d := float(np.linalg.norm(x[i] - x[j]))) < 1.05}
+    assert (4, 5) in want and len(want) > 100
+    for cell in (V.CELL, 10):
+        monkeypatch.setattr(V, "CELL", cell)
+        got = V.close_pairs(rows, "k", "v", 1.05).collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.distance for r in got} == want
+
+
 def test_fusion(spark):
     got = {r.id: r.score for r in R.fuse([ranked(spark, "a", "b"), ranked(spark, "b", "c")]).collect()}
     assert got["b"] == 1.0 and got["a"] == pytest.approx((1 / 60) / (1 / 61 + 1 / 60)) and got["c"] < got["a"]
