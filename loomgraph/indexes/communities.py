@@ -85,8 +85,7 @@ class StoredCommunities:
             held = written(visible_rows(of_group(facts, group_id).filter(is_current()), access), "held")
             edges = written(G.edges_of(held, seen, access), "edges")
             labels = G.propagate_labels(seen.select("id"), edges)
-            once = edges.groupBy("fact_id").agg(F.min(F.struct("src", "dst", "weight")).alias("e")).select("e.*")  # each fact from its smaller end
-            found = written(G.communities(labels, once), "communities")
+            found = written(G.communities(labels, edges), "communities")
             members = labels.join(found.select("label"), "label", "left_semi").join(seen, "id")
             members.select("label", "id", "name").write.parquet(f"{self.folder}/data/{name}/members")
             rows = found.join(G.community_summaries(labels, seen, held).select("label", "summary"), "label", "left")

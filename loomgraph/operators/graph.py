@@ -1,12 +1,13 @@
 """Graph operators on entities and facts, as rounds of joins and aggregates.
 
 Facts become edges in both directions once; every operator joins them by equal
-keys.  Rounds end in tables written to the shared folder, so that lineage stays
-short and lost executors cost one round at most.
+keys.  Rounds work on nodes' numbers; they end in tables written to the shared
+folder, so that lineage stays short and lost executors cost one round at most.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,30 @@ def weighted(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
+def numbered(nodes: DataFrame) -> DataFrame:
+    """Distinct nodes (id) with a number n each, in the order of their ids, so that the smaller number is the smaller id."""
+    return written(nodes.select("id").distinct().repartitionByRange("id").sortWithinPartitions("id").withColumn("n", F.monotonically_increasing_id()), "numbers")
+
+
+def coded(edges: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Edges (src, dst, weight) by their ends' numbers: a, b (null: not a node), weight.  Those from elsewhere are left out."""
+    a, b = numbers.select(F.col("id").alias("src"), F.col("n").alias("a")), numbers.select(F.col("id").alias("dst"), F.col("n").alias("b"))
+    return written(edges.join(a, "src").join(b, "dst", "left").select("a", "b", "weight"), "edges")
+
+
+def laid(rows: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """Rows on the executors' disks, dealt and sorted by a key once: rounds that join them by it shuffle the other side only.  A
+    lost executor's part is made again from the written tables; unpersist frees them."""
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, key).sortWithinPartitions(key).persist(StorageLevel.DISK_ONLY)
+
+
+def named(labels: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Numbered labels (n, label) as ids again: id, label."""
+    own = labels.join(numbers, "n").select("id", F.col("label").alias("n"))
+    return written(own.join(numbers.withColumnRenamed("id", "of"), "n").select("id", F.col("of").alias("label")), "labels")
+
+
 def distances(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """Nodes (id) within so many hops of the seeds (id), and their distance: a frontier that leaves visited nodes out."""
     edges = written(edges.select("src", "dst").distinct(), "edges")
@@ -74,31 +99,36 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float
     the rounds end where they changed by less than tolerance in all.  Seeds that aren't nodes don't count; without any, all
     scores are 0.
     """
-    edges = written(edges.select("src", "dst", "weight"), "edges")
-    out_weight = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    steps = written(edges.join(out_weight, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "steps")
-    valid = seeds.select("id").distinct().join(nodes.select("id"), "id", "left_semi")
+    numbers = numbered(nodes)
+    arcs = coded(edges, numbers)
+    valid = written(numbers.join(seeds.select("id").distinct(), "id", "left_semi"), "seeds")
     n = valid.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("score"))
-    start = nodes.select("id").distinct().join(valid.withColumn("s", F.lit(1.0 / n)), "id", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
-    ends = out_weight.select(F.col("src").alias("id"), F.lit(1).alias("linked"))
-    start = written(start.join(ends, "id", "left").select("id", "s", F.col("linked").isNull().alias("dangling")), "start")
+    out_weight = arcs.groupBy("a").agg(F.sum("weight").alias("total"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = laid(arcs.filter("b is not null").join(out_weight, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("p")), "a", parts)
+    start = numbers.select("n").join(valid.select("n", F.lit(1.0 / n).alias("s")), "n", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    ends = out_weight.select(F.col("a").alias("n"), F.lit(1).alias("linked"))
+    start = laid(start.join(ends, "n", "left").select("n", "s", F.col("linked").isNull().alias("dangling")), "n", parts)
     loose = start.filter("dangling and s > 0").limit(1).count() > 0
-    score = start.select("id", F.col("s").alias("score"))
+    score = start.select("n", F.col("s").alias("score"))
     before = score
     for i in range(1, rounds + 1):
-        lost = score.join(start.filter("dangling").select("id"), "id", "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0] if loose else 0.0
-        flow = score.filter("score > 0").join(steps, score["id"] == steps["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("p")).alias("flow"))
-        score = start.join(flow, "id", "left").select("id", (alpha * F.col("s") + (1 - alpha) * (F.coalesce("flow", F.lit(0.0)) + lost * F.col("s"))).alias("score"))
+        lost = score.join(start.filter("dangling").select("n"), "n", "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0] if loose else 0.0
+        flow = steps.join(score.filter("score > 0").select(F.col("n").alias("a"), "score"), "a").groupBy(F.col("b").alias("n")).agg(F.sum(F.col("score") * F.col("p")).alias("flow"))
+        score = start.join(flow, "n", "left").select("n", (alpha * F.col("s") + (1 - alpha) * (F.coalesce("flow", F.lit(0.0)) + lost * F.col("s"))).alias("score"))
         if i % keep == 0 and i < rounds:
             score = written(score, "scores")
             if tolerance is not None:
-                change = score.join(before.select("id", F.col("score").alias("old")), "id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+                change = score.join(before.select("n", F.col("score").alias("old")), "n").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
                 if change is not None and change < tolerance:
                     break
             before = score
-    return score
+    out = written(numbers.join(score, "n").select("id", "score"), "scores")
+    for df in (steps, start):
+        df.unpersist()
+    return out
 
 
 def pagerank_results(scores: DataFrame, facts: DataFrame, limit: int = 20) -> DataFrame:
@@ -115,20 +145,22 @@ def propagate_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> Da
     A node takes the label with the most edge weight among its neighbours' last labels and its own, for which it votes with
     its heaviest edge (so that pairs don't swap labels for ever); ties go to the smaller label.
     """
-    edges = written(weighted(edges.filter("src <> dst")), "edges")
-    own = edges.groupBy(F.col("src").alias("id")).agg(F.max("weight").alias("vote"))
-    base = written(nodes.select("id").distinct().join(own, "id", "left"), "nodes")
-    labels = base.select("id", F.col("id").alias("label"))
+    numbers = numbered(nodes)
+    arcs = coded(weighted(edges.filter("src <> dst")), numbers)
+    own = arcs.groupBy(F.col("a").alias("n")).agg(F.max("weight").alias("vote"))
+    labels = written(numbers.join(own, "n", "left").select("n", F.col("n").alias("label"), "vote"), "nodes")
+    near = laid(arcs.filter("b is not null"), "b")
     for _ in range(rounds):
-        heard = edges.join(labels.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "label", F.col("weight").alias("w"))
-        said = base.filter("vote is not null").join(labels, "id").select("id", "label", F.col("vote").alias("w"))
-        sums = heard.unionByName(said).groupBy("id", "label").agg(F.round(F.sum("w"), 6).alias("w"))
-        best = sums.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("best"))
-        step = written(labels.join(best, "id", "left").select("id", F.coalesce("best.label", "label").alias("label"), (F.coalesce("best.label", "label") != F.col("label")).alias("moved")), "labels")
-        labels = step.select("id", "label")
+        heard = near.join(labels.select(F.col("n").alias("b"), "label"), "b").select(F.col("a").alias("n"), "label", F.col("weight").alias("w"))
+        said = labels.filter("vote is not null").select("n", "label", F.col("vote").alias("w"))
+        sums = heard.unionByName(said).groupBy("n", "label").agg(F.round(F.sum("w"), 6).alias("w"))
+        best = sums.groupBy("n").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("best"))
+        step = written(labels.join(best, "n", "left").select("n", F.coalesce("best.label", "label").alias("label"), "vote", (F.coalesce("best.label", "label") != F.col("label")).alias("moved")), "labels")
+        labels = step.drop("moved")
         if step.filter("moved").isEmpty():
             break
-    return labels
+    near.unpersist()
+    return named(labels, numbers)
 
 
 def communities(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -160,17 +192,19 @@ def first_n(df: DataFrame, keys: list[str], n: int, *order) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: nodes (id) with the smallest id that they reach.  Labels spread and then jump to their labels'
     labels, so rounds grow with the logarithm of the width."""
-    edges = written(edges.select("src", "dst").distinct(), "edges")
-    labels = written(nodes.select("id", F.col("id").alias("label")), "labels")
+    numbers = numbered(nodes)
+    near = laid(coded(edges.select("src", "dst", F.lit(1.0).alias("weight")).distinct(), numbers).filter("b is not null").select("a", "b"), "b")
+    labels = numbers.select("n", F.col("n").alias("label"))
     while True:
-        near = edges.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        jump = step.select(F.col("id").alias("new"), F.col("new").alias("far"))
-        step = step.join(jump, "new", "left").select("id", F.coalesce("far", "new").alias("next"), "label")
-        step = written(step.select("id", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")), "labels")
-        labels = step.select("id", "label")
+        heard = near.join(labels.select(F.col("n").alias("b"), "label"), "b").groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
+        step = labels.join(heard, "n", "left").select("n", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
+        jump = step.select(F.col("n").alias("new"), F.col("new").alias("far"))
+        step = step.join(jump, "new", "left").select("n", F.coalesce("far", "new").alias("next"), "label")
+        step = written(step.select("n", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")), "labels")
+        labels = step.select("n", "label")
         if step.filter("moved").isEmpty():
-            return labels
+            near.unpersist()
+            return named(labels, numbers)
 
 
 def name_members(names: DataFrame) -> DataFrame:

@@ -125,3 +125,30 @@ def test_similar_names_match_brute_force(spark, least):
     assert {(r.a, r.b) for r in G.similar_names(names, least).collect()} == want
     members = {r.id: r.representative for r in G.name_members(names).collect()}
     assert members == {i: first[kind, t] for i, kind, name in rows if (t := frozenset(w for w in name.split() if len(w) > 1))}
+
+
+def test_rounds_shuffle_what_changes_only(spark, monkeypatch):
+    """Edges are dealt by their key once: the plan of a round has no exchange over them, only over labels and sums."""
+    seen = []
+    keep = G.written
+    monkeypatch.setattr(G, "written", lambda df, label: seen.append((label, df._jdf.queryExecution().executedPlan().toString())) or keep(df, label))
+    rng = random.Random(5)
+    n, e = frames(spark, [f"n{i}" for i in range(60)], [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", 1) for _ in range(150)])
+    G.propagate_labels(n, e, 2)
+    rounds = [plan for label, plan in seen if label == "labels" and "moved" in plan]
+    assert rounds and all("InMemoryTableScan [a#" in plan and "hashpartitioning(a#" not in plan and "hashpartitioning(src" not in plan for plan in rounds)
+
+
+def test_order_of_numbers_is_that_of_ids(spark):
+    ids = ["b", "a", "10", "9", "é", "Z", "a", "customer:10", "customer:9"]
+    got = G.numbered(spark.createDataFrame([(i,) for i in ids], "id string")).orderBy("n").collect()
+    assert [r.id for r in got] == sorted(set(ids), key=lambda x: x.encode())
+
+
+def test_edges_to_unknown_nodes_count_in_totals_only(spark):
+    """An edge that leaves the nodes takes its share of a score along, and votes; one from elsewhere does nothing."""
+    n, e = frames(spark, "AB", [("A", "B", 1), ("A", "X", 3), ("Y", "B", 9)], both=False)
+    x = {r.id: r.score for r in G.pagerank(n, e, spark.createDataFrame([("A",), ("X",)], "id string"), rounds=1).collect()}
+    assert x == {"A": pytest.approx(0.15), "B": pytest.approx(0.85 / 4)}
+    assert {r.id: r.label for r in G.propagate_labels(n, e).collect()} == {"A": "A", "B": "B"}
+    assert {r.id: r.label for r in G.components(n, e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))).collect()} == {"A": "A", "B": "A"}
