@@ -129,9 +129,9 @@ def build(rows: DataFrame, key: str, vector: str, folder: str, lists: int | None
     blocks = placed.groupBy("shelf", "list", "block").agg(F.collect_list(F.struct("k", "code")).alias("members"))  # about BLOCK of them
     blocks = blocks.select("shelf", "list", "block", F.col("members.k").alias("k"), F.col("members.code").alias("code"))
     blocks.repartition("shelf").sortWithinPartitions("list", "block").write.partitionBy("shelf").mode("overwrite").parquet(f"{folder}/lists")
-    out.select("k", "v").withColumn("shelf", F.pmod(F.xxhash64("k"), F.lit(shelves))).repartition("shelf").sortWithinPartitions("k").write.partitionBy("shelf").mode("overwrite").parquet(f"{folder}/vectors")
+    placed.select("k", "v", "list", "block").withColumn("shelf", F.pmod(F.xxhash64("k"), F.lit(shelves))).repartition("shelf").sortWithinPartitions("k").write.partitionBy("shelf").mode("overwrite").parquet(f"{folder}/vectors")
     probes = _needed(data, out, centres) if n else 1
-    head = spark.createDataFrame([(json.dumps({"shelves": shelves, "key": kind.simpleString(), "probes": probes}), [c.tolist() for c in centres], [b.tolist() for b in books])], "about string, centres array<array<float>>, books array<array<array<float>>>")
+    head = spark.createDataFrame([(json.dumps({"shelves": shelves, "key": kind.simpleString(), "probes": probes, "rows": n}), [c.tolist() for c in centres], [b.tolist() for b in books])], "about string, centres array<array<float>>, books array<array<array<float>>>")
     head.coalesce(1).write.mode("overwrite").parquet(f"{folder}/model")
     return VectorIndex(spark, folder)
 
@@ -151,12 +151,13 @@ class VectorIndex:
         self.spark, self.folder = spark, folder
         head = spark.read.parquet(f"{folder}/model").first()  # centroids and codebooks: their size doesn't grow with the rows
         about = json.loads(head.about)
-        self.shelves, self.key, self.probes = about["shelves"], about["key"], about["probes"]
+        self.shelves, self.key, self.probes, self.rows = about["shelves"], about["key"], about["probes"], about.get("rows")
         self.centres, self.books = np.asarray(head.centres, np.float32), [np.asarray(b, np.float32) for b in head.books]
 
     def nearest(self, queries: DataFrame, key: str, vector: str, k: int = 10, probes: int | None = None, rerank: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
         """For each query vector its k nearest of the lists it probes (as many as were measured): query, id, similarity.
-        rerank: candidates by codes that are compared exactly (20 times k).  allowed: ids that may be found; candidates that
+        rerank: candidates by codes that are compared exactly (20 times k; from as many as there are rows on, all members of
+        a list are compared where they lie, and codes decide nothing).  allowed: ids that may be found; candidates that
         may not count don't take others' places."""
         probes, rerank = min(probes or self.probes, len(self.centres)), rerank or 20 * k
         spark = self.spark
@@ -182,15 +183,27 @@ class VectorIndex:
         sides = sides.groupBy("list", "m").agg(F.collect_list(F.struct("query", "q")).alias("s"))  # about QUERIES of them
         sides = sides.select("list", F.col("s.query").alias("query"), F.col("s.q").alias("q"))
         lists = spark.read.schema(f"list int, block int, k array<{self.key}>, code array<binary>, shelf int").parquet(f"{self.folder}/lists")
-        pairs = sides.join(lists.select("list", "k", "code") if allowed is None else self._only(lists, allowed.select("id")), "list")
+        all_ = self.rows is not None and rerank >= self.rows
+        if all_:
+            held, what = self._vectors(allowed), "v"
+        else:
+            held, what = (lists.select("list", "k", "code") if allowed is None else self._only(lists, allowed.select("id"))), "code"
+        pairs, rerank = sides.join(held, "list"), 2 * k if all_ else rerank
         schema = T.StructType([T.StructField("query", kind), T.StructField("id", lists.schema["k"].dataType.elementType), T.StructField("near", T.DoubleType())])
-        rough = pairs.select("list", "query", "q", "k", "code").mapInArrow(_scored(model, rerank, schema), schema)
+        rough = pairs.select("list", "query", "q", "k", what).mapInArrow(_compared(rerank, schema) if all_ else _scored(model, rerank, schema), schema)
         rough = first_n(rough, ["query"], rerank, F.desc("near"), "id")
         stored = spark.read.schema(f"k {self.key}, v array<float>, shelf int").parquet(f"{self.folder}/vectors").select(F.col("k").alias("id"), "v", "shelf")
         rough = rough.withColumn("shelf", F.pmod(F.xxhash64("id"), F.lit(self.shelves)).cast("int"))
         exact = rough.join(stored, ["shelf", "id"]).join(asked, "query").select("query", "id", (dot(F.col("q"), F.col("v")) / norm(F.col("q")) / norm(F.col("v"))).alias("similarity"))
         return first_n(exact, ["query"], k, F.desc("similarity"), "id")
 
+    def _vectors(self, allowed: DataFrame | None) -> DataFrame:
+        """Blocks with the vectors of those members that may be found, in place of their codes."""
+        each = self.spark.read.schema(f"k {self.key}, v array<float>, list int, block int").parquet(f"{self.folder}/vectors")
+        each = each if allowed is None else each.join(allowed.select(F.col("id").alias("k")).distinct(), "k", "left_semi")
+        kept = each.groupBy("list", "block").agg(F.collect_list(F.struct("k", "v")).alias("x"))  # about BLOCK of them
+        return kept.select("list", F.col("x.k").alias("k"), F.col("x.v").alias("v"))
+
     def _only(self, lists: DataFrame, ids: DataFrame) -> DataFrame:
         """Blocks with those members that may be found."""
         each = lists.select("list", "block", F.explode(F.arrays_zip("k", "code")).alias("x")).select("list", "block", F.col("x.k").alias("id"), F.col("x.code").alias("code"))
@@ -217,3 +230,21 @@ def _scored(model, most: int, schema: T.StructType):
                 yield pa.RecordBatch.from_arrays([asked.values.take(pa.array(np.repeat(np.arange(len(x)), k))).cast(kinds[0]), ids.values.take(pa.array(best.ravel())).cast(kinds[1]), pa.array(np.take_along_axis(near, best, 1).ravel(), pa.float64())], names=schema.names)
 
     return run
+
+
+def _compared(most: int, schema: T.StructType):
+    """For each pair of a matrix of queries and a block of vectors: the block's nearest members of each query, and those as near
+    as the last of them."""
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked, q, ids, v = (batch.column(c)[i] for c in range(1, 5))
+                x, y = (np.asarray(m.values.flatten(), np.float64).reshape(len(m.values), -1) for m in (q, v))
+                near = x @ y.T
+                k = min(most, near.shape[1])
+                at, of = np.nonzero(near >= np.partition(near, -k, axis=1)[:, -k, None] - 1e-9)
+                yield pa.RecordBatch.from_arrays([asked.values.take(pa.array(at)).cast(kinds[0]), ids.values.take(pa.array(of)).cast(kinds[1]), pa.array(near[at, of], pa.float64())], names=schema.names)
+
+    return run

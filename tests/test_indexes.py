@@ -341,6 +341,25 @@ def test_vector_index_finds_what_the_exact_search_finds(spark):
     assert index.nearest(rows.filter("n < 0"), "id", "v").collect() == []
 
 
+def test_all_lists_compare_members_where_they_lie(spark, monkeypatch):
+    """Every list and every candidate: the exact neighbours, ties by id, of allowed rows only where so asked; a block hands on few
+    members for each query, not all."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 8))
+    x[10:40] = x[10]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    index = V.build(rows, "id", "v", new_folder(spark, "vectors"), lists=4, parts=4)
+    most, keep = [], V.first_n
+    monkeypatch.setattr(V, "first_n", lambda df, *a: most.append(df.count()) or keep(df, *a))
+    asked = rows.filter("id % 100 = 10")
+    for allowed in (None, rows.filter("id % 2 = 0").select("id")):
+        of = rows if allowed is None else rows.join(allowed, "id", "left_semi")
+        want = {(r.query, r.id): pytest.approx(r.similarity, abs=1e-6) for r in nearest_to_each(asked, of, "id", "v", 5).collect()}
+        got = index.nearest(asked, "id", "v", 5, probes=4, rerank=600, allowed=allowed).collect()
+        assert {(r.query, r.id): r.similarity for r in got} == want and len(got) == 30
+    assert max(most) <= 6 * 4 * (10 + 30)  # of 6 * 600
+
+
 def test_vector_index_of_few_rows(spark):
     rows = made_vectors(spark).filter("n in (1, 2, -1)")
     index = V.build(rows, "id", "v", new_folder(spark, "vectors"), parts=4)
