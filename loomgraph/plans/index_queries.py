@@ -151,9 +151,9 @@ SELECT id, action, CASE WHEN action = 'invalidate_existing' THEN n ELSE 0 END AS
 )
 def resolve_facts_vectors(spark, sf_dir):
     """resolve_facts with vectors (here by the length of a fact's id), of which near ones say the same."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), "embedding")
-    with_vector = lambda rows, times: rows.withColumn("k", (F.length("id") * times % 50).cast("long")).join(vectors, "k", "left").drop("k")
-    return I.resolve_facts(with_vector(new_facts(spark, sf_dir), 9), with_vector(bridge.facts(spark, sf_dir), 7), relation_types(spark))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vector"), "embedding")
+    naming = lambda rows, times: rows.withColumn("vector", (F.length("id") * times % 50).cast("long"))
+    return I.resolve_facts(naming(new_facts(spark, sf_dir), 9), naming(bridge.facts(spark, sf_dir), 7), relation_types(spark), vectors)
 
 
 # ------------------------------------------------------------------ vectors

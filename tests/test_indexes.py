@@ -313,6 +313,16 @@ def test_near_vectors_say_the_same_fact(spark):
     assert {r.id: r.action for r in I.resolve_facts(new, facts, relations).collect()} == {"1": "skip", "2": "invalidate_existing", "3": "skip", "4": "invalidate_existing"}
 
 
+def test_facts_may_name_their_vectors(spark):
+    """Facts that name their vectors are judged as by the vectors themselves; a name without a vector counts as none."""
+    columns = "id string, source string, relation string, target string, fact_text string, valid_at timestamp_ntz, invalid_at timestamp_ntz, vector long"
+    facts = spark.createDataFrame([("f", "s", "r", "t", "old", None, None, 1), ("g", "other", "r", "t", "old", None, None, 9)], columns)
+    new = spark.createDataFrame([("1", "s", "r", "u", "x", None, None, 2), ("2", "s", "r", "u", "y", None, None, 3), ("3", "s", "r", "u", "OLD ", None, None, None), ("4", "s", "r", "u", "z", None, None, 7)], columns)
+    relations = spark.createDataFrame([("r", "one_per_source", "always")], "id string, cardinality string, invalidation_policy string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.6])], "vector long, embedding array<float>")
+    assert {r.id: r.action for r in I.resolve_facts(new, facts, relations, vectors).collect()} == {"1": "skip", "2": "invalidate_existing", "3": "skip", "4": "invalidate_existing"}
+
+
 # ---------------------------------------------------------------- vectors
 
 
