@@ -116,6 +116,19 @@ def test_known_names(spark):
     assert sorted(map(tuple, I.known_names(docs, names, "id", "text").collect())) == [(1, "acme"), (1, "acme corp"), (1, "bob zhang")]
 
 
+def test_known_names_of_any_length_and_number(spark):
+    """Names that tasks hold and names that are shuffled find the same; the texts' words go through no shuffle to meet them."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "x b c"), (2, "b c d e x"), (3, "a b c d"), (None, "c d e x a"), (4, "")], "id long, text string")
+    names = spark.createDataFrame([(n,) for n in ("a b c d e f", "b c d e x", "a b c d", "b c", "x", "c d e f g", "b c d e f")], "alias string")
+    want = {(1, "a b c d e f"), (1, "a b c d"), (1, "b c"), (1, "x"), (1, "b c d e f"), (2, "b c d e x"), (2, "b c"), (2, "x"), (3, "a b c d"), (3, "b c"), (None, "x")}
+    for most in (I.HELD_NAMES, 0):
+        found = I.known_names(docs, names, "id", "text", most)
+        assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    assert I.known_names(docs, names.limit(0), "id", "text").collect() == []
+    plan = I.known_names(docs, names, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "rest" not in plan and plan.count("Generate explode") == 1
+
+
 def test_skills(spark):
     skills = spark.createDataFrame([("query", 1, ["what do we know about"]), ("enrich", 2, ["enrich this person"])], "skill string, priority int, triggers array<string>")
     inputs = spark.createDataFrame([(1, "What do we know about Acme"), (2, "enrich this person"), (3, "nothing fits")], "id long, text string")
