@@ -140,13 +140,15 @@ def ingest_batch(stored: dict[str, DataFrame], episodes: DataFrame, entities: Da
     also = rows.join(new_entities.select("id", F.col("name").alias("first")), "id").filter("name <> first").select(F.col("id").alias("entity_id"), F.col("name").alias("alias"))
     for side in ("source", "target"):
         ids = found.select(F.col("name").alias(f"{side}_name"), F.col("entity_type").alias(f"{side}_type"), F.col("id").alias(side))
-        said = said.join(ids, [f"{side}_name", f"{side}_type"], "left")
+        used = said.select(f"{side}_name", f"{side}_type").distinct()  # often few, so that their facts needn't meet by them
+        said = said.join(ids.join(used, [f"{side}_name", f"{side}_type"], "left_semi"), [f"{side}_name", f"{side}_type"], "left")
     said = fact_times(said, new_episodes)
     said = said.withColumn("id", F.concat(F.lit("fact:"), F.md5(F.concat_ws("|", "source", "relation", "target", F.lower(F.trim("fact_text"))))))
     one = written(first_per_key(said, ["id"], "valid_at", "episode_id"), "said")
-    decided = written(I.resolve_facts(one, stored["facts"], relations), "decided")
+    held = I.of_relations(stored["facts"], one)  # others have no key of the new facts
+    decided = written(I.resolve_facts(one, held, relations), "decided")
     kept = one.join(decided.filter("action <> 'skip'").select("id"), "id", "left_semi")
     columns = ["id", "source", "relation", "target", "fact_text", "valid_at", "confidence", "episode_id"]
-    placed = supersede(stored["facts"].select("id", "source", "relation", "target", "valid_at", "invalid_at").unionByName(kept.select("id", "source", "relation", "target", "valid_at").withColumn("invalid_at", F.lit(None).cast("timestamp_ntz"))), relations)
+    placed = supersede(held.select("id", "source", "relation", "target", "valid_at", "invalid_at").unionByName(kept.select("id", "source", "relation", "target", "valid_at").withColumn("invalid_at", F.lit(None).cast("timestamp_ntz"))), relations)
     new_facts = kept.select(*columns).join(placed.select("id", "invalid_at"), "id")
     return Batch(new_episodes, new_entities, also, new_facts, decided)

@@ -177,6 +177,14 @@ def test_a_batch_is_resolved_as_a_whole(spark, stored):
     assert {r.alias for r in out.aliases.collect()} == {"Zork Ltd"} or {r.alias.lower() for r in out.aliases.collect()} >= {"zork ltd"}
 
 
+def test_a_batch_reads_the_facts_of_its_relations(spark, stored):
+    new = spark.createDataFrame([("part_of",), ("likes",), (None,)], "relation string")
+    held = E.I.of_relations(stored["facts"], new)
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan and "o_custkey" not in plan
+    assert {r.id for r in held.collect()} == {r.id for r in stored["facts"].filter("relation = 'part_of'").collect()}
+
+
 def test_tenants_read_their_own_files(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("default", 3)], "group_id string, n int")
     append_rows(rows, str(tmp_path / "t"))
