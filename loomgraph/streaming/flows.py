@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..storage import first_per_key, new_folder, written
 
 
+#: Rows of a file that a task writes and reads.
+FILE_ROWS = 500_000
+
+
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table as stream of its files."""
     path = f"{sf_dir}/{name}.parquet"
@@ -25,13 +30,18 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pieces_of(rows: DataFrame, piece: Column, pieces: int) -> DataFrame:
-    """rows as a stream of so many micro-batches, in the order of piece (0, 1, ...): each is written as files, one after the other,
-    and one is read at a time."""
+    """rows as a stream of so many micro-batches, in the order of piece (0, 1, ...): each is written as so many files (empty ones
+    where it is short of rows), one piece after the other, and so many are read at a time."""
     spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "pieces")
     rows = written(rows.withColumn("__piece", piece), "pieces")
+    most = rows.groupBy("__piece").count().agg(F.max("count")).first()[0] or 1
+    files, schema = -(-most // FILE_ROWS), rows.drop("__piece").schema
     for n in range(pieces):
-        rows.filter(F.col("__piece") == n).drop("__piece").coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.drop("__piece").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        own = rows.filter(F.col("__piece") == n).drop("__piece")
+        (own.repartition(files) if files > 1 else own.coalesce(1)).write.mode("append").parquet(folder)
+        for _ in range(files * (n + 1) - len(spark.read.schema(schema).parquet(folder).inputFiles())):
+            own.limit(0).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def in_time_order(rows: DataFrame, ts: str = "ts", pieces: int = 3) -> DataFrame:
@@ -118,15 +128,15 @@ def superseding(stream: DataFrame) -> DataFrame:
     """For each user the intervals of what they did last: an event closes the one before it.  State: the open event."""
 
     def close(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        frames = list(frames)
+        at, number, kind = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("ts", "event_id", "event_type"))
         if state.exists:
-            at, number, kind = state.get
-            rows = pd.concat([pd.DataFrame({"event_id": [number], "ts": [pd.Timestamp(at)], "event_type": [kind]}), rows]).sort_values(["ts", "event_id"])
-        rows["invalid_at"] = rows["ts"].shift(-1)
-        last = rows.iloc[-1]
-        state.update((str(last["ts"]), int(last["event_id"]), last["event_type"]))
-        done = rows.iloc[:-1]
-        yield pd.DataFrame({"user_id": key[0], "event_id": done["event_id"].astype("int64"), "event_type": done["event_type"], "valid_at": done["ts"], "invalid_at": done["invalid_at"]})
+            open_at, open_number, open_kind = state.get
+            at, number, kind = np.append(at, np.datetime64(open_at)), np.append(number, open_number), np.append(kind, open_kind)
+        order = np.lexsort((number, at))
+        at, number, kind = at[order], number[order], kind[order]
+        state.update((str(at[-1]), int(number[-1]), kind[-1]))
+        yield pd.DataFrame({"user_id": key[0], "event_id": number[:-1], "event_type": kind[:-1], "valid_at": at[:-1], "invalid_at": at[1:]})
 
     rows = stream.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     out = rows.groupBy("user_id").applyInPandasWithState(close, "user_id long, event_id long, event_type string, valid_at timestamp, invalid_at timestamp", "at string, number long, kind string", "append", GroupStateTimeout.NoTimeout)

@@ -53,3 +53,21 @@ def test_expiry_is_cancelled_by_what_rests_on_an_episode(spark):
     stream = flows.pieces_of(spark.createDataFrame(rows, "id string, ts timestamp, retention string, ttl_days int, rests boolean, piece int"), F.col("piece"), 3)
     got = {r.id: r.expired_at for r in flows.run(keyed.expiries(stream), "expiries").collect()}
     assert got == {"gone": at(14), "short": at(1)}
+
+
+def test_pieces_of_many_files_are_a_batch_each(spark, monkeypatch):
+    """Also where a piece has fewer rows than files; the intervals are those of one batch, ties and all."""
+    monkeypatch.setattr(flows, "FILE_ROWS", 40)
+    rng = random.Random(5)
+    rows = [(n, rng.randrange(6), START + datetime.timedelta(hours=rng.randint(0, 700)), rng.choice(["a", "b", None])) for n in range(300)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string")
+    piece = F.when(F.col("ts") < START + datetime.timedelta(hours=5), 0).when(F.col("ts") < START + datetime.timedelta(hours=200), 1).otherwise(2)
+    stream, seen = flows.pieces_of(events, piece, 3), []
+    flows.each_batch(stream, lambda df, n: seen.append((df.count(), df.select(piece.alias("p")).distinct().count(), df.rdd.getNumPartitions())), flows.new_folder(spark, "state"), "append").awaitTermination()
+    assert [n for n, *_ in seen] == [events.filter(piece == k).count() for k in range(3)] and all(p <= 1 for _, p, _ in seen)
+    got = {(r.event_id, r.event_type, r.valid_at, r.invalid_at) for r in flows.run(flows.superseding(flows.pieces_of(events, piece, 3)), "supersede").collect()}
+    want = set()
+    for user in range(6):
+        own = sorted((t, n, k) for n, u, t, k in [(n, u, t, k or "") for n, u, t, k in rows] if u == user)
+        want |= {(n, k or None, t, following[0]) for (t, n, k), following in zip(own, own[1:])}
+    assert got == want
