@@ -10,13 +10,18 @@ Ranks are those of functions.text: alternatives, of which a term's share follows
 from its number of occurrences alone.  A top-k search looks at the blocks' bounds
 first, ranks the documents of the most promising blocks, and then only those blocks
 whose bound reaches the k-th rank found so far.
+
+A build shuffles the texts once, by length, and the finished rows once, by term: a task has all documents of its blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +29,10 @@ from ..functions import text as X
 from ..functions.stem import with_stems
 from ..storage import removed, written
 
-#: Documents of a block.
-BLOCK = 1024
+#: Documents of a block, and its words (more only if one document has more); documents of terms that a shelf has at most by
+#: default, so that its task sorts them in memory; rows from which a shelf's bounds are taken.
+BLOCK, WORDS, SHELF, SAMPLED = 1024, 1 << 21, 1 << 21, 100
+OWN = "term string, block long, n long, most int, ids array<string>, ends array<int>, at array<int>"
 ROWS = "term string, block long, n long, most int, docs array<struct<id:string,at:array<int>>>, shelf int"
 ANALYZERS = ("plain", "english")
 
@@ -37,31 +44,103 @@ def build(rows: DataFrame, key: str, text: Column, folder: str, analyzer: str =
     if analyzer not in ANALYZERS:
         raise ValueError(f"an analyzer is one of {ANALYZERS}")
     spark = rows.sparkSession
-    docs = rows.select(F.col(key).cast("string").alias("id"), X.terms(text).alias("terms")).filter(F.size("terms") > 0).withColumn("n", F.size("terms"))
+    docs = rows.select(F.col(key).cast("string").alias("id"), X.terms(text).alias("terms")).select("id", F.concat_ws(" ", "terms").alias("line"), F.size("terms").alias("n"))
     order = [F.desc("n"), F.col("id")]
-    number = F.monotonically_increasing_id()
-    placed = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("block", F.shiftleft(F.shiftright(number, 33), 32) + F.floor(number % (1 << 33) / block))
-    # n and id, by which the rows lie in ranges, are keys too, so that a document's words are gathered where it lies
-    words = placed.select("n", "block", "id", F.posexplode("terms").alias("pos", "term")).groupBy("n", "id", "block", "term").agg(F.collect_list("pos").alias("at")).drop("n")
+    placed = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    words = placed.select(F.spark_partition_id().cast("long").alias("part"), "id", F.when(F.col("n") > 0, F.split("line", " ")).otherwise(F.array().cast("array<string>")).alias("terms"))
+    own = written(words.mapInArrow(_in_blocks(block), OWN), "words")
     if analyzer == "english":
-        words = written(words, "words")
-        stems = with_stems(words.select("term").distinct())
-        own = words.join(stems, "term").withColumn("term", F.col("stem")).drop("stem")
-        own = own.groupBy("block", "id", "term").agg(F.flatten(F.collect_list("at")).alias("at"))
-    else:
-        own = words
-    shelves = shelves or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = own.repartitionByRange(shelves, "term", "block")  # ranges of as many documents each, not of as many blocks
-    grouped = dealt.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(F.size("at")).alias("most"), F.sort_array(F.collect_list(F.struct("id", F.sort_array("at").alias("at")))).alias("docs"))
-    sorted_ = grouped.sortWithinPartitions("term", "block").withColumn("shelf", F.spark_partition_id())
-    sorted_.write.partitionBy("shelf").mode("overwrite").parquet(f"{folder}/postings")
+        plain, stems = own, with_stems(own.select("term").distinct())
+        forms = plain.join(stems, "term").select(F.col("stem").alias("term"), "block", F.inline(_docs()))
+        each = forms.groupBy("block", "term", "id").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("at"))
+        own = written(each.groupBy("block", "term").agg(F.count("*").alias("n"), F.max(F.size("at")).alias("most"), F.sort_array(F.collect_list(F.struct("id", "at"))).alias("docs")), "stems")
+        removed(plain)
+    held = own.agg(F.sum("n")).first()[0] or 1
+    shelves = shelves or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // SHELF))
+    shelved = own.withColumn("shelf", _shelf(_bounds_of_shelves(own, shelves, held)))
+    sorted_ = shelved.repartitionById(shelves, F.col("shelf")).sortWithinPartitions("shelf", "term", "block")
+    sorted_.select("term", "block", "n", "most", (F.col("docs") if analyzer == "english" else _docs()).alias("docs"), "shelf").write.partitionBy("shelf").mode("overwrite").parquet(f"{folder}/postings")
+    removed(own)
     stored = spark.read.schema(ROWS).parquet(f"{folder}/postings")
     stored.groupBy("shelf").agg(F.min("term").alias("low"), F.max("term").alias("high")).repartition(1).write.mode("overwrite").parquet(f"{folder}/shelves")  # a row for each shelf
-    if analyzer == "english":
-        removed(words)
     return TextIndex(spark, folder, analyzer)
 
 
+def _in_blocks(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's documents (part, id, terms), as they come, cut into blocks; a row for each term of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, docs, words = 0, [], 0, 0
+        for batch in batches:
+            start = 0
+            for i, n in enumerate(pc.list_value_length(batch["terms"]).to_pylist()):
+                if docs == block or docs and words + n > WORDS:
+                    yield from _postings([*held, batch.slice(start, i - start)], number)
+                    number, held, docs, words, start = number + 1, [], 0, 0, i
+                docs, words = docs + 1, words + n
+            held.append(batch.slice(start))
+        yield from _postings(held, number)
+
+    return run
+
+
+def _postings(batches: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one block: terms with their documents, by id, and places."""
+    if not sum(b.num_rows for b in batches):
+        return
+    rows = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    order = pc.sort_indices(rows["id"])
+    ids, terms = rows["id"].take(order), rows["terms"].take(order)
+    sizes = pc.list_value_length(terms).to_numpy()
+    coded = terms.flatten().dictionary_encode()
+    if not len(coded):
+        return
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    pair = coded.indices.to_numpy().astype(np.int64) * len(sizes) + doc
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    starts = np.flatnonzero(np.diff(pair, prepend=-1))  # of a term's document
+    term, doc = np.divmod(pair[starts], len(sizes))
+    first = np.flatnonzero(np.diff(term, prepend=-1))  # of a term
+    many = np.diff(np.append(starts, len(pair)))
+    lists = lambda ends, n, values: pa.ListArray.from_arrays(pa.array(np.append(ends, n), pa.int32()), values)
+    docs = [lists(first, len(term), ids.take(pa.array(doc))), lists(first, len(term), pa.array(starts + many - np.repeat(starts[first], np.diff(np.append(first, len(term)))), pa.int32())), lists(starts[first], len(pair), pa.array(at[order], pa.int32()))]
+    most = np.maximum.reduceat(many, first)
+    block = np.full(len(first), (rows["part"][0].as_py() << 32) + number)
+    yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term[first])), pa.array(block, pa.int64()), pa.array(np.diff(np.append(first, len(term))), pa.int64()), pa.array(most, pa.int32()), *docs], ["term", "block", "n", "most", "ids", "ends", "at"])
+
+
+def _docs() -> Column:
+    """Documents with their places, from the flat lists that are shuffled."""
+    start = lambda i: F.when(i > 0, F.get("ends", i - 1)).otherwise(0)
+    return F.transform("ids", lambda d, i: F.struct(d.alias("id"), F.slice("at", start(i) + 1, F.get("ends", i) - start(i)).alias("at")))
+
+
+def _bounds_of_shelves(own: DataFrame, shelves: int, held: int) -> list[tuple[str, int]]:
+    """The first (term, block) of every shelf but the first, so that shelves hold about as many documents of terms each; from a
+    sample of rows, SAMPLED for each shelf, by the documents that they have."""
+    rate = min(1.0, shelves * SAMPLED / held)
+    chance = F.pmod(F.xxhash64("term", "block"), F.lit(1 << 30)) / (1 << 30)
+    some = sorted((r.term, r.block, max(r.n, 1 / rate)) for r in own.filter(chance < F.col("n") * rate).select("term", "block", "n").collect())
+    ends, bounds = np.cumsum([w for *_, w in some]), []
+    for k in range(1, shelves):
+        i = int(np.searchsorted(ends, k * ends[-1] / shelves)) if some else 0
+        if i + 1 < len(some) and (not bounds or bounds[-1] < some[i + 1][:2]):
+            bounds.append(some[i + 1][:2])
+    return bounds
+
+
+def _shelf(bounds: list[tuple[str, int]], first: int = 0) -> Column:
+    """The number of bounds that a row's (term, block) has reached, by halves."""
+    if not bounds:
+        return F.lit(first)
+    half = len(bounds) // 2
+    term, block = bounds[half]
+    before = (F.col("term") < term) | ((F.col("term") == term) & (F.col("block") < block))
+    return F.when(before, _shelf(bounds[:half], first)).otherwise(_shelf(bounds[half + 1 :], first + half + 1))
+
+
 def weight(n: Column) -> Column:
     """What n occurrences of a term add to a rank."""
     series = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))

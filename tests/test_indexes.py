@@ -228,6 +228,18 @@ def test_an_index_of_no_rows(spark, corpus):
         P.build(rows, "id", F.col("text"), "x", "klingon")
 
 
+def test_blocks_are_cut_by_words_and_shelves_grow_with_the_rows(spark, corpus, monkeypatch):
+    texts, rows = corpus
+    monkeypatch.setattr(P, "SHELF", 100)
+    monkeypatch.setattr(P, "WORDS", 50)
+    index = P.build(rows, "id", F.col("text"), new_folder(spark, "postings"))
+    stored = spark.read.schema(P.ROWS).parquet(f"{index.folder}/postings")
+    assert stored.select("shelf").distinct().count() > 10 and stored.agg(F.max("n")).first()[0] < 50
+    assert stored.groupBy("term", "block").count().filter("count > 1").count() == 0
+    want = plain_search(texts, '"red green" -blue')
+    assert {r.id: pytest.approx(r["rank"]) for r in index.search('"red green" -blue').collect()} == want
+
+
 def test_shelves_hold_as_many_documents_each(spark):
     """A word of every document fills as much of a shelf as a thousand rare words, not as much as one."""
     rows = spark.range(4000).select("id", F.concat(F.lit("has every w"), "id").alias("text"))
