@@ -97,7 +97,7 @@ def contradiction_counts(facts: DataFrame, entities: DataFrame, access: Access |
     keys = ["source", "relation", "target"]
     later = Window.partitionBy(*keys).orderBy("valid_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
     after = Window.partitionBy(*keys).orderBy("valid_at", "id")
-    rows = with_endpoints(facts, entities, access).withColumns({"later": F.count("*").over(later) - 1, "next_id": F.lead("id").over(after)})
+    rows = with_endpoints(facts, entities, access).withColumn("next_id", F.lead("id").over(after)).withColumn("later", F.count("*").over(later) - 1)  # in this order one sort does for both
     return _old(rows, since).select("id", "relation", "invalid_at", "later", "next_id")
 
 

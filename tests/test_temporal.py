@@ -53,6 +53,14 @@ def test_contradictions(spark, graph):
     assert str(got["f1"]) == "2024-04-01 00:00:00" and str(got["f4"]) == "2024-03-01 00:00:00" and got["f3"] is None and got["f6"] is None
 
 
+def test_contradictions_are_counted_after_one_sort(spark, graph):
+    e, f = graph
+    out = T.contradiction_counts(f, e, None)
+    assert {(r.id, r.later, r.next_id) for r in out.collect()} == {("f1", 0, None), ("f4", 1, "f5")}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("valid_at#") and sum(line.strip(" :+-*()0123456789").startswith("Sort [") and "valid_at" in line for line in plan.split("== Initial Plan ==")[-1].split("\n")) == 1
+
+
 def test_late_facts_fall_into_place(spark):
     rows = [("a", "x", "r", "1", "2024-03-01"), ("b", "x", "r", "2", "2024-01-01"), ("c", "x", "r", "3", "2024-02-01")]
     said = spark.createDataFrame(rows, "id string, source string, relation string, target string, valid_at string").withColumn("valid_at", F.col("valid_at").cast("timestamp_ntz")).withColumn("invalid_at", F.lit(None).cast("timestamp_ntz"))
