@@ -56,7 +56,8 @@ def with_stems(words: DataFrame, word: str = "term", out: str = "stem") -> DataF
         """One step: __s is the longest of the suffixes that the word ends in."""
         return df.withColumn("__s", F.regexp_extract(w, _ends(suffixes), 1)).withColumn("__w", F.when(s == "", w).otherwise(new))
 
-    df = words.withColumn("__w", F.regexp_replace(F.regexp_replace(F.col(word), "(^|[aeiou])y", "$1Y"), "yy", "yY"))
+    stays = (F.length(word) < 3) | ~F.col(word).rlike(V)  # null from here, so that numbers pass by all expressions
+    df = words.withColumn("__w", F.when(~stays, F.regexp_replace(F.regexp_replace(F.col(word), "(^|[aeiou])y", "$1Y"), "yy", "yY")))
     first = region(w, "gener|commun|arsen|")
     df = df.withColumn("__p1", F.when(first > 0, first).otherwise(F.length(w)))
     second = region(w.substr(p1 + 1, F.length(w)))
@@ -80,5 +81,5 @@ def with_stems(words: DataFrame, word: str = "term", out: str = "stem") -> DataF
     df = step(df, STEP4, F.when(free & (begins >= p2) & ((s != "ion") | cut.rlike("[st]$")), cut).otherwise(w))
     # 5: a last e or l
     df = step(df, ["e", "l"], F.when(free & (s == "e") & ((begins >= p2) | ((begins >= p1) & ~cut.rlike(SHORT))), cut).when(free & (s == "l") & (begins >= p2) & cut.endswith("l"), cut).otherwise(w))
-    stem = F.when(F.length(word) < 3, F.col(word)).otherwise(F.coalesce(_lookup(SPECIAL, F.col(word)), F.replace(w, F.lit("Y"), F.lit("y"))))
+    stem = F.when(stays, F.col(word)).otherwise(F.coalesce(_lookup(SPECIAL, F.col(word)), F.replace(w, F.lit("Y"), F.lit("y"))))
     return df.withColumn(out, stem).drop("__w", "__p1", "__p2", "__s", "__done")

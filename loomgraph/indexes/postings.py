@@ -1,17 +1,19 @@
 """A positional inverted index as a stored table.
 
-A row of the postings holds a term's documents of one block: their number, the
-most occurrences in one of them, their ids and their places.  Blocks hold documents
-of like length, so that a block's maximum is near its members' ranks.  Rows are
-sorted by range of (term, block) into shelves, a folder each; a small table has
-each shelf's first and last term.  A search opens the shelves of its terms only.
+A row of the postings holds a form of a term and its documents of one block: how
+many, the most occurrences in one of them, their numbers in the block and their
+places.  A block's ids stand once, in a table of their own with a folder for each
+task that made blocks.  Blocks hold documents of like length, so that a block's
+maximum is near its members' ranks.  Rows are sorted by range of (term, block) into
+shelves, a folder each; a small table has each shelf's first and last term.  A
+search opens the shelves of its terms only.
 
 Ranks are those of functions.text: alternatives, of which a term's share follows
 from its number of occurrences alone.  A top-k search looks at the blocks' bounds
 first, ranks the documents of the most promising blocks, and then only those blocks
 whose bound reaches the k-th rank found so far.
 
-A build shuffles the texts once, by length, and the finished rows once, by term: a task has all documents of its blocks.
+A build makes the blocks where the texts are read, and shuffles the finished rows once, by term.
 """
 
 from __future__ import annotations
@@ -32,48 +34,47 @@ from ..storage import removed, written
 #: Documents of a block, and its words (more only if one document has more); documents of terms that a shelf has at most by
 #: default, so that its task sorts them in memory; rows from which a shelf's bounds are taken.
 BLOCK, WORDS, SHELF, SAMPLED = 1024, 1 << 21, 1 << 21, 100
-OWN = "term string, block long, n long, most int, ids array<string>, ends array<int>, at array<int>"
-ROWS = "term string, block long, n long, most int, docs array<struct<id:string,at:array<int>>>, shelf int"
+OWN = "term string, block long, n long, most int, docs array<int>, ends array<int>, at array<int>, ids array<string>"
+ROWS = "term string, block long, n long, most int, docs array<int>, ends array<int>, at array<int>, shelf int"
+IDS = "block long, ids array<string>, part long"
 ANALYZERS = ("plain", "english")
 
 
 def build(rows: DataFrame, key: str, text: Column, folder: str, analyzer: str = "plain", shelves: int | None = None, block: int = BLOCK) -> TextIndex:
     """Writes an index of rows' texts, by their key (unique, as a string), to folder.
 
-    plain keeps the terms of functions.text; english stems them, the distinct ones only, which are joined back."""
+    plain keeps the terms of functions.text; english stems the terms of each block, and the forms of a stem keep rows of their own."""
     if analyzer not in ANALYZERS:
         raise ValueError(f"an analyzer is one of {ANALYZERS}")
     spark = rows.sparkSession
     docs = rows.select(F.col(key).cast("string").alias("id"), X.terms(text).alias("terms")).select("id", F.concat_ws(" ", "terms").alias("line"), F.size("terms").alias("n"))
-    order = [F.desc("n"), F.col("id")]
-    placed = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    words = placed.select(F.spark_partition_id().cast("long").alias("part"), "id", F.when(F.col("n") > 0, F.split("line", " ")).otherwise(F.array().cast("array<string>")).alias("terms"))
-    own = written(words.mapInArrow(_in_blocks(block), OWN), "words")
+    placed = docs.sortWithinPartitions(F.desc("n"), "id").select(F.spark_partition_id().cast("long").alias("part"), "id", "n", "line")
+    made = placed.mapInArrow(_in_blocks(block), OWN)
     if analyzer == "english":
-        plain, stems = own, with_stems(own.select("term").distinct())
-        forms = plain.join(stems, "term").select(F.col("stem").alias("term"), "block", F.inline(_docs()))
-        each = forms.groupBy("block", "term", "id").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("at"))
-        own = written(each.groupBy("block", "term").agg(F.count("*").alias("n"), F.max(F.size("at")).alias("most"), F.sort_array(F.collect_list(F.struct("id", "at"))).alias("docs")), "stems")
-        removed(plain)
+        made = with_stems(made).withColumn("term", F.col("stem")).drop("stem")
+    made = written(made, "words")
+    made.filter("term is null").select("block", "ids", _part().alias("part")).write.partitionBy("part").mode("overwrite").parquet(f"{folder}/ids")
+    own = made.filter("term is not null").drop("ids")
     held = own.agg(F.sum("n")).first()[0] or 1
     shelves = shelves or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // SHELF))
     shelved = own.withColumn("shelf", _shelf(_bounds_of_shelves(own, shelves, held)))
     sorted_ = shelved.repartitionById(shelves, F.col("shelf")).sortWithinPartitions("shelf", "term", "block")
-    sorted_.select("term", "block", "n", "most", (F.col("docs") if analyzer == "english" else _docs()).alias("docs"), "shelf").write.partitionBy("shelf").mode("overwrite").parquet(f"{folder}/postings")
-    removed(own)
+    sorted_.write.partitionBy("shelf").mode("overwrite").parquet(f"{folder}/postings")
+    removed(made)
     stored = spark.read.schema(ROWS).parquet(f"{folder}/postings")
     stored.groupBy("shelf").agg(F.min("term").alias("low"), F.max("term").alias("high")).repartition(1).write.mode("overwrite").parquet(f"{folder}/shelves")  # a row for each shelf
     return TextIndex(spark, folder, analyzer)
 
 
 def _in_blocks(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task's documents (part, id, terms), as they come, cut into blocks; a row for each term of a block."""
+    """A task's documents (part, id, n, line), as they come, cut into blocks; a row for each term of a block, and one without a
+    term for its ids.  Documents without terms are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, docs, words = 0, [], 0, 0
         for batch in batches:
-            start = 0
-            for i, n in enumerate(pc.list_value_length(batch["terms"]).to_pylist()):
+            batch, start = batch.filter(pc.greater(batch["n"], 0)), 0
+            for i, n in enumerate(batch["n"].to_pylist()):
                 if docs == block or docs and words + n > WORDS:
                     yield from _postings([*held, batch.slice(start, i - start)], number)
                     number, held, docs, words, start = number + 1, [], 0, 0, i
@@ -85,16 +86,14 @@ def _in_blocks(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 def _postings(batches: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
-    """The rows of one block: terms with their documents, by id, and places."""
+    """The rows of one block: terms with the numbers of their documents, by id, and places."""
     if not sum(b.num_rows for b in batches):
         return
     rows = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
     order = pc.sort_indices(rows["id"])
-    ids, terms = rows["id"].take(order), rows["terms"].take(order)
+    ids, terms = rows["id"].take(order), pc.split_pattern(rows["line"].take(order), " ")
     sizes = pc.list_value_length(terms).to_numpy()
     coded = terms.flatten().dictionary_encode()
-    if not len(coded):
-        return
     doc = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     pair = coded.indices.to_numpy().astype(np.int64) * len(sizes) + doc
@@ -104,17 +103,25 @@ def _postings(batches: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordB
     term, doc = np.divmod(pair[starts], len(sizes))
     first = np.flatnonzero(np.diff(term, prepend=-1))  # of a term
     many = np.diff(np.append(starts, len(pair)))
-    lists = lambda ends, n, values: pa.ListArray.from_arrays(pa.array(np.append(ends, n), pa.int32()), values)
-    docs = [lists(first, len(term), ids.take(pa.array(doc))), lists(first, len(term), pa.array(starts + many - np.repeat(starts[first], np.diff(np.append(first, len(term)))), pa.int32())), lists(starts[first], len(pair), pa.array(at[order], pa.int32()))]
-    most = np.maximum.reduceat(many, first)
-    block = np.full(len(first), (rows["part"][0].as_py() << 32) + number)
-    yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term[first])), pa.array(block, pa.int64()), pa.array(np.diff(np.append(first, len(term))), pa.int64()), pa.array(most, pa.int32()), *docs], ["term", "block", "n", "most", "ids", "ends", "at"])
+    held = np.diff(np.append(first, len(term)))  # documents of a term
+    lists = lambda ends, n, values: pa.ListArray.from_arrays(pa.array(np.append(ends, n), pa.int32()), pa.array(values, pa.int32()))
+    docs = [lists(first, len(term), doc), lists(first, len(term), starts + many - np.repeat(starts[first], held)), lists(starts[first], len(pair), at[order])]
+    own = (rows["part"][0].as_py() << 32) + number
+    table = lambda *columns: pa.RecordBatch.from_arrays(list(columns), ["term", "block", "n", "most", "docs", "ends", "at", "ids"])
+    none = lambda n, kind: pa.nulls(n, pa.list_(kind))
+    yield table(pa.nulls(1, pa.string()), pa.array([own]), pa.array([len(ids)]), pa.nulls(1, pa.int32()), *[none(1, pa.int32())] * 3, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids))
+    yield table(coded.dictionary.take(pa.array(term[first])), pa.array(np.full(len(first), own)), pa.array(held), pa.array(np.maximum.reduceat(many, first), pa.int32()), *docs, none(len(first), pa.string()))
+
+
+def _part() -> Column:
+    """The task that made a row's block."""
+    return F.shiftright("block", 32)
 
 
 def _docs() -> Column:
-    """Documents with their places, from the flat lists that are shuffled."""
+    """A row's documents with their places, from its flat lists and the ids of its block."""
     start = lambda i: F.when(i > 0, F.get("ends", i - 1)).otherwise(0)
-    return F.transform("ids", lambda d, i: F.struct(d.alias("id"), F.slice("at", start(i) + 1, F.get("ends", i) - start(i)).alias("at")))
+    return F.transform("docs", lambda d, i: F.struct(F.get("ids", d).alias("id"), F.slice("at", start(i) + 1, F.get("ends", i) - start(i)).alias("at")))
 
 
 def _bounds_of_shelves(own: DataFrame, shelves: int, held: int) -> list[tuple[str, int]]:
@@ -222,15 +229,27 @@ class TextIndex:
 
     def _bounds(self, rows: DataFrame, asked: Asked) -> DataFrame:
         """For each block the highest rank that one of its documents can have."""
-        share = lambda terms: F.sum(F.when(F.col("term").isin(terms), weight(F.col("most"))).otherwise(0.0)) / len(terms) if terms else F.lit(0.0)
+        most = lambda t: F.sum(F.when(F.col("term") == t, F.col("most")).otherwise(0)).cast("int")  # noqa: E731 - of all forms
+
+        def share(terms: list[str]) -> Column:
+            total = F.lit(0.0)
+            for t in terms:
+                total = total + weight(most(t))
+            return total / len(terms) if terms else F.lit(0.0)
+
         return rows.groupBy("block").agg(F.greatest(share(asked.strict), 0.65 * share(asked.broad)).alias("bound"))
 
     def _ranked(self, rows: DataFrame, asked: Asked, allowed: DataFrame | None) -> DataFrame:
-        hits = rows.select("term", F.explode("docs").alias("doc")).select("term", "doc.id", "doc.at")
+        ids = self.spark.read.schema(IDS).parquet(f"{self.folder}/ids")
+        hits = rows.withColumn("part", _part()).join(ids, ["part", "block"]).select("term", "block", F.explode(_docs()).alias("doc")).select("term", "block", "doc.id", "doc.at")
         if allowed is not None:
             hits = hits.join(allowed.select(F.col("id").cast("string").alias("id")), "id", "left_semi")
-        docs = hits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "at"))).alias("at"))  # an entry for each asked term
-        at = lambda t: F.coalesce(F.try_element_at("at", F.lit(t)), F.array().cast("array<int>"))
+        docs = hits.groupBy("block", "id").agg(F.collect_list(F.struct("term", "at")).alias("hits"))  # an entry for each form of an asked term
+        names = {t: f"at{n}" for n, t in enumerate(asked.terms)}
+        of = lambda t: F.flatten(F.transform(F.filter("hits", lambda h: h["term"] == t), lambda h: h["at"]))
+        docs = docs.select("id", *[of(t).alias(n) for t, n in names.items()])
+        docs = docs.select("*", *[weight(F.size(n)).alias(f"w_{n}") for n in names.values()])
+        at = lambda t: F.col(names[t])
 
         def phrase(p: tuple[str, ...]) -> Column:
             if len(p) == 1:
@@ -247,7 +266,7 @@ class TextIndex:
         def rank(terms: list[str]) -> Column:
             total = F.lit(0.0)
             for t in terms:
-                total = total + weight(F.size(at(t)))
+                total = total + F.col(f"w_{names[t]}")
             return total / len(terms) if terms else F.lit(0.0)
 
         holds = F.lit(bool(asked.clauses))
@@ -258,4 +277,5 @@ class TextIndex:
             holds = holds & (~any_ if c.negated else any_)
         score: Callable[[list[str]], Column] = rank
         best = F.greatest(F.when(holds, score(asked.strict)).otherwise(0.0), 0.65 * score(asked.broad))
-        return docs.select("id", best.alias("rank")).filter("rank > 0")
+        some = F.filter(F.array(best), lambda r: r > 0)  # in this form nothing is evaluated once more in a filter
+        return docs.select("id", F.explode(some).alias("rank"))

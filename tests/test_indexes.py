@@ -248,6 +248,19 @@ def test_shelves_hold_as_many_documents_each(spark):
     assert sum(held) == 12000 and max(held) < 4000
 
 
+def test_an_english_index_names_a_document_once_and_counts_all_forms_of_a_stem(spark):
+    """Forms keep rows of their own, so no posting has an id, and nothing but finished rows is shuffled."""
+    rng = random.Random(5)
+    texts = {str(i): " ".join([f"w{i}", *rng.choices(["supply", "supplies", "supplying", "supplied"], k=rng.randint(0, 6))]) for i in range(60)} | {"none": None}
+    rows = spark.createDataFrame(list(texts.items()), "id string, text string")
+    index = P.build(rows, "id", F.col("text"), new_folder(spark, "postings"), "english", block=8)
+    held = spark.read.schema(P.IDS).parquet(f"{index.folder}/ids").select(F.explode("ids").alias("id"))
+    assert sorted(r.id for r in held.collect()) == sorted(texts.keys() - {"none"})
+    assert [f.name for f in spark.read.parquet(f"{index.folder}/postings").schema if "string" in f.dataType.simpleString()] == ["term"]
+    want = sorted(plain_search(texts, "supplies", stem=lambda w: Plain(w).stem()).items(), key=lambda x: (-round(x[1], 12), x[0]))[:5]
+    assert [(r.id, pytest.approx(r["rank"])) for r in index.search("supplies", limit=5, first=1).collect()] == want
+
+
 # ---------------------------------------------------------------- trigrams
 
 
