@@ -431,6 +431,25 @@ def test_exact_neighbours_of_groups_with_bounded_products(spark, monkeypatch):
         assert sorted(-s for (p, _), s in got.items() if p == q) == pytest.approx([s for s, _ in want])
 
 
+def test_exact_neighbours_in_tiles_with_equal_vectors_zeros_and_groups(spark, monkeypatch):
+    """Tiles of queries and rows, most of which bring nothing; of equal vectors the smaller keys are nearest, in whatever tile they are."""
+    from loomgraph.functions import vector
+
+    monkeypatch.setattr(vector, "SIDE", 16)
+    monkeypatch.setattr(vector, "PRODUCTS", 512)
+    rng = np.random.default_rng(7)
+    some = rng.normal(size=(60, 6)).astype(np.float32).tolist() + [[0.0] * 6]
+    data = [(f"r{n:03}", some[n * 7 % 61], "abb"[n % 3] if n else "alone") for n in range(400)]
+    rows = spark.createDataFrame(data, "id string, v array<float>, g string").repartition(3, "id")
+    asked = spark.createDataFrame([(n, *data[n][1:]) for n in range(0, 400, 3)] + [(-1, some[0], "none")], "id long, v array<float>, g string")
+    got = {}
+    for r in nearest_to_each(asked, rows, "id", "v", 3, "g").collect():
+        got.setdefault(r.query, []).append((-round(r.similarity, 9), r.id))
+    unit = {i: np.float64(v) / np.linalg.norm(v) for i, v, _ in data if any(v)}
+    want = {n: sorted((-round(float(unit[data[n][0]] @ unit[i]), 9), i) for i, _, g in data if g == data[n][2] and i in unit)[:3] for n in range(0, 400, 3) if data[n][0] in unit}
+    assert {q: sorted(x) for q, x in got.items()} == want and len(want) > 100
+
+
 # ---------------------------------------------------------------- runs of tables
 
 
