@@ -60,8 +60,9 @@ def named(labels: DataFrame, numbers: DataFrame) -> DataFrame:
 
 
 def distances(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """Nodes (id) within so many hops of the seeds (id), and their distance: a frontier that leaves visited nodes out."""
-    edges = written(edges.select("src", "dst").distinct(), "edges")
+    """Nodes (id) within so many hops of the seeds (id), and their distance: a frontier that leaves visited nodes out.  Written
+    edges are read as they are."""
+    edges = edges if hasattr(edges, "written_to") else written(edges.select("src", "dst").distinct(), "edges")
     seen = written(seeds.select("id").distinct().withColumn("distance", F.lit(0)), "bfs")
     frontier = seen
     for hop in range(1, hops + 1):
@@ -75,7 +76,7 @@ def distances(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 def traverse(facts: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 3, limit: int | None = 50) -> DataFrame:
     """Facts within so many hops: hop is one more than the nearer endpoint's distance; score is confidence * 0.9 ^ hop."""
-    edges = written(edges, "edges")
+    edges = edges if hasattr(edges, "written_to") else written(edges, "edges")
     reach = distances(edges, seeds, hops - 1).select(F.col("id").alias("src"), "distance")
     near = edges.join(reach, "src").groupBy("fact_id").agg((F.min("distance") + 1).alias("hop"))
     out = facts.join(near, facts["id"] == near["fact_id"]).select("id", "source", "relation", "target", "hop", (F.col("confidence") * F.pow(F.lit(0.9), F.col("hop"))).alias("score"))

@@ -7,7 +7,7 @@ stand.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from ..indexes.trigrams import TrigramIndex
 from ..indexes.vectors import VectorIndex
 from ..operators import graph as G
 from ..operators import temporal as T
-from ..security import Access, visible_rows
+from ..security import BYPASS, Access, visible_rows
 from ..storage import first_per_key, written
 
 COLUMNS = ["type", "id", "pos", "score", "content", "valid_at", "invalid_at"]
@@ -33,7 +33,8 @@ def keyword_rank(rows: DataFrame, text: Column, query: str, broad: bool = True)
     out = rows.withColumn("__terms", X.terms(text))
     strict = F.when(X.matches(a, clauses), X.rank_any(a, X.clause_terms(clauses))).otherwise(0.0)
     loose = F.when(F.arrays_overlap(a, F.array(*[F.lit(w) for w in words])), X.rank_any(a, words)).otherwise(0.0) if broad and words else F.lit(0.0)
-    return out.withColumn("rank", F.greatest(strict, 0.65 * loose)).filter("rank > 0").drop("__terms")
+    some = F.filter(F.array(F.greatest(strict, 0.65 * loose)), lambda r: r > 0)  # a filter would analyze the text once more for each use
+    return out.select("*", F.explode(some).alias("rank")).drop("__terms")
 
 
 def block(rows: DataFrame, kind: str, order: Column, score: Column, content: Column, limit: int | None, valid: Column | None = None, invalid: Column | None = None) -> DataFrame:
@@ -108,6 +109,8 @@ class Corpus:
     #: Stored vectors of entities, facts and episodes (approximate), and trigrams of entity names; tables without are read whole.
     vectors: dict[str, VectorIndex] = field(default_factory=dict)
     names: TrigramIndex | None = None
+    #: The edges of the request's facts, where a search has made them for all its methods.
+    edges: DataFrame | None = None
 
 
 @dataclass
@@ -200,7 +203,7 @@ def find_seeds(c: Corpus, r: Request, limit: int = 10) -> DataFrame:
 
 
 def _edges(c: Corpus, r: Request) -> DataFrame:
-    return G.edges_of(c.facts, c.entities, r.access, r.as_of, r.relations or None, r.min_fact_confidence)
+    return c.edges if c.edges is not None else G.edges_of(c.facts, c.entities, r.access, r.as_of, r.relations or None, r.min_fact_confidence)
 
 
 def graph_search(c: Corpus, r: Request) -> DataFrame:
@@ -219,14 +222,21 @@ def pagerank_search(c: Corpus, r: Request) -> DataFrame:
     return as_long_list(rows.select("type", "id", "__order", "score", "content", "valid_at", "invalid_at"))
 
 
-def temporal_search(c: Corpus, r: Request, window_days: int = 30) -> DataFrame:
+#: Fixed value: days in which facts count as changed of late.
+LATELY = 30
+
+
+def _since(r: Request, window_days: int = LATELY) -> Column:
+    return (T.moment(r.now) - F.make_dt_interval(F.lit(window_days))).cast("timestamp_ntz")
+
+
+def temporal_search(c: Corpus, r: Request, window_days: int = LATELY) -> DataFrame:
     """What held at a time, or else what changed in the last days."""
     n = 2 * r.limit
     if r.as_of is not None:
         rows = T.as_of(c.facts, c.entities, r.as_of, r.access, n, entity_types=r.entity_types, relations=r.relations)
         return as_list(block(rows, "fact", F.col("valid_at").cast("timestamp").cast("double"), F.col("score"), F.col("fact_text"), None, F.col("valid_at"), F.col("invalid_at")))
-    since = (T.moment(r.now) - F.make_dt_interval(F.lit(window_days))).cast("timestamp_ntz")
-    rows = T.changed_since(c.facts, c.entities, since, r.access, n, entity_types=r.entity_types, relations=r.relations)
+    rows = T.changed_since(c.facts, c.entities, _since(r, window_days), r.access, n, entity_types=r.entity_types, relations=r.relations)
     rows = rows.join(c.facts.select("id", "fact_text", "valid_at", "invalid_at"), "id")
     return as_list(block(rows, "fact", F.col("changed_at").cast("timestamp").cast("double"), F.col("score"), F.col("fact_text"), None, F.col("valid_at"), F.col("invalid_at")))
 
@@ -253,10 +263,27 @@ def community_list(c: Corpus, r: Request) -> DataFrame:
 METHODS = {"keyword": keyword_search, "semantic": semantic_search, "graph": graph_search, "pagerank": pagerank_search, "temporal": temporal_search, "community": community_list}
 
 
+def _read_once(c: Corpus, r: Request) -> tuple[Corpus, Request]:
+    """For methods over the graph, which read facts many times: what the caller sees of the entities, and of the facts of the time
+    (and those changed of late), as written tables, and the edges."""
+    facts = T.is_current() if r.as_of is None else T.holds_at(r.as_of)
+    if r.as_of is None and "temporal" in r.methods:
+        facts = facts | (F.col("created_at") >= _since(r)) | (F.col("invalid_at") >= _since(r))
+    seen = lambda rows, name: written(visible_rows(rows, r.access).drop("visibility"), name)
+    own = replace(c, entities=seen(c.entities, "entities"), facts=seen(c.facts.filter(facts), "facts"), episodes=visible_rows(c.episodes, r.access))
+    asked = replace(r, access=BYPASS)
+    return replace(own, edges=written(_edges(own, asked), "edges")), asked
+
+
 def search(c: Corpus, r: Request) -> DataFrame:
     """All methods' lists fused, filtered by time and score, boosted for recency, and cut to the page asked for."""
     chosen = [m for m in METHODS if m in r.methods and (m != "semantic" or r.vector is not None)]
-    out = fuse([METHODS[m](c, r) for m in chosen])
+    if {"graph", "pagerank"} & set(chosen):
+        c, r = _read_once(c, r)
+        lists = [written(METHODS[m](c, r), m) for m in chosen]
+    else:
+        lists = [METHODS[m](c, r) for m in chosen]
+    out = fuse(lists)
     if r.as_of is not None:
         out = out.filter(true_at(r.as_of))
     if r.min_confidence is not None:

@@ -152,3 +152,33 @@ def test_edges_to_unknown_nodes_count_in_totals_only(spark):
     assert x == {"A": pytest.approx(0.15), "B": pytest.approx(0.85 / 4)}
     assert {r.id: r.label for r in G.propagate_labels(n, e).collect()} == {"A": "A", "B": "B"}
     assert {r.id: r.label for r in G.components(n, e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))).collect()} == {"A": "A", "B": "A"}
+
+
+@pytest.mark.parametrize("as_of", [None, "2001-07-25"])
+def test_a_search_over_the_graph_makes_its_edges_once_and_shows_what_its_caller_sees(spark, monkeypatch, as_of):
+    from loomgraph.bridge import policy_of
+    from loomgraph.plans import retrieval as R
+    from loomgraph.security import Access
+
+    entities = spark.createDataFrame([(f"n{i}", "node", f"node {i}", "") for i in range(8)], "id string, entity_type string, name string, summary string").withColumn("visibility", policy_of(F.when(F.col("id") == "n7", 0).otherwise(3)))
+    data = [(f"f{i}", f"n{i % 8}", "near", f"n{i * 3 % 8}", 0.5 + i / 40, f"2001-07-{1 + i:02}", f"2001-07-{20 + i % 9:02}" if i % 4 == 0 else None, 0 if i == 5 else 3) for i in range(16)]
+    facts = spark.createDataFrame(data, "id string, source string, relation string, target string, confidence double, v string, e string, acl int")
+    facts = facts.select("id", "source", "relation", "target", "confidence", *[F.col(c).cast("timestamp_ntz").alias(n) for c, n in (("v", "valid_at"), ("e", "invalid_at"), ("v", "created_at"))], F.concat_ws(" ", "source", "relation", "target").alias("fact_text"), policy_of(F.col("acl")).alias("visibility"))
+    episodes = facts.select("id", F.col("fact_text").alias("content"), "valid_at", "visibility")
+    asked = R.Request("near n1", now="2001-08-01", as_of=as_of, access=Access(groups=("others",)), limit=30, methods=("keyword", "graph", "pagerank", "temporal"), seeds=spark.createDataFrame([("n1",)], "id string"))
+    corpus = R.Corpus(entities, facts, episodes)
+    want = R.fuse([R.METHODS[m](corpus, asked) for m in R.METHODS if m in asked.methods])
+    want = {(r.type, r.id): r.score for r in (want if as_of is None else want.filter(R.true_at(as_of))).withColumn("score", R.recency(F.col("score"), F.col("valid_at"), asked.now)).collect()}
+    made, edges_of = [], R.G.edges_of
+    monkeypatch.setattr(R.G, "edges_of", lambda *a: made.append(a) or edges_of(*a))
+    got = {(r.type, r.id): r.score for r in R.search(corpus, asked).collect()}
+    assert len(made) == 1 and got.keys() <= want.keys() and len(got) == min(30, len(want))
+    assert all(got[k] == pytest.approx(want[k]) for k in got) and not {("fact", "f5"), ("entity", "n7")} & got.keys()
+
+
+def test_a_text_is_analyzed_once_for_its_rank(spark):
+    from loomgraph.plans import retrieval as R
+
+    rows = spark.range(5).select(F.concat(F.lit("red blue "), "id").alias("text"))
+    plan = R.keyword_rank(rows.repartition(2), F.col("text"), "red 3 blue")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
